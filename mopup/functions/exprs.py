@@ -22,17 +22,18 @@ INT_RE = r"^[+-]?[0-9]+$"
 THOUSANDS_DOT_RE = r"^-?\d{1,3}(\.\d{3})+(\.\d+)?$"
 CURRENCY_WS_RE = r"(?U)[$€£₹,\s]"
 
-# --- fixed values: timestamp layouts tried in order (month first for slashes)
+# --- fixed values: timestamp layouts tried in order (month first for slashes), each
+# with the text shape it needs; the shape test keeps failing parses out of the parser
 TIMESTAMP_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
-    "dd-MMM-yyyy",
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$"),
+    ("MM/dd/yyyy HH:mm:ss", r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("dd-MMM-yyyy", r"^\d{2}-[A-Za-z]{3}-\d{4}$"),
 ]
 
 
@@ -121,7 +122,7 @@ def date_like(c: Column) -> Column:
 def parse_timestamp(c: Column) -> Column:
     """Text → TIMESTAMP_NTZ trying the fixed layouts in order; failures are null."""
     s = strip_ws(c)
-    tries = [F.try_to_timestamp(s, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]
+    tries = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for fmt, shape in TIMESTAMP_FORMATS]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 

@@ -75,7 +75,7 @@ def parse_num(x: str) -> str:
 def parse_ts(x: str) -> str:
     s = strip(x)
     return "coalesce(" + ", ".join(f"try_strptime({s}, '{_JAVA_TO_STRPTIME[f]}')"
-                                   for f in TIMESTAMP_FORMATS) + ")"
+                                   for f, _ in TIMESTAMP_FORMATS) + ")"
 
 
 def to_bool(x: str) -> str:
