@@ -103,10 +103,12 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75), method: str =
         return out
 
     pending = items
-    for _ in range(12):
+    for _ in range(40):
         if not pending:
             break
         pending = _narrow_or_collect(df, pending, accuracy, cap)
+    if pending:
+        raise RuntimeError("exact quantile did not converge; use method='approx'")
     for it in items:
         h, r0, r1 = it.ranks
         a, b = it.values[r0], it.values[r1]
@@ -175,8 +177,10 @@ def _narrow_or_collect(df: DataFrame, pending: list[_Item], accuracy: int, cap:
             continue
         grid = row[f"g{k}"]
         # ranks still wanted (rel: relative to the open interval (lo, hi))
-        a = max(int(math.floor(min(rel) * GRID)) - 1, 0)
-        b = min(int(math.ceil(max(rel) * GRID)) + 1, GRID)
+        # margin: the sketch's rank error (1/accuracy of the inner set) plus one step
+        k = int(math.ceil(GRID * 2.0 / accuracy)) + 1
+        a = max(int(math.floor(min(rel) * GRID)) - k, 0)
+        b = min(int(math.ceil(max(rel) * GRID)) + k, GRID)
         new_lo = grid[a] if a > 0 else it.lo
         new_hi = grid[b] if b < GRID else it.hi
         it.lo, it.hi = new_lo, new_hi

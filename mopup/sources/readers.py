@@ -54,8 +54,8 @@ def repair_header(names: list) -> list[str]:
             n = n.lstrip(BOM)
         if n.strip() == "":
             n = f"Unnamed: {i}"
-        if n in seen:
-            k = seen[n]
+        if n in seen or n in used:
+            k = seen.get(n, 1)
             while f"{n}.{k}" in used:
                 k += 1
             seen[n] = k + 1
