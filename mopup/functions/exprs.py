@@ -37,6 +37,22 @@ TIMESTAMP_FORMATS = [
 ]
 
 
+_LIT_CACHE: dict = {}
+
+
+def lits(values: list) -> list[Column]:
+    """Literal Columns for a fixed vocabulary, built once per Spark context and
+    reused (each literal is otherwise a separate driver→JVM call)."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    k = (id(sc), tuple(values))
+    got = _LIT_CACHE.get(k)
+    if got is None:
+        got = [F.lit(v) for v in values]
+        _LIT_CACHE[k] = got
+    return got
+
+
 def col(name: str) -> Column:
     """Column reference that tolerates dots, spaces and colons in names."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -69,7 +85,7 @@ def as_text(c: Column, dt: T.DataType) -> Column:
 
 def _ph_case_sensitive(c: Column, vocab: list[str]) -> Column:
     s = strip_ws(c)
-    return c.isNotNull() & (s.isin(vocab) | s.startswith("###"))
+    return c.isNotNull() & (s.isin(*lits(vocab)) | s.startswith("###"))
 
 
 def is_placeholder_clean(c: Column) -> Column:
@@ -90,7 +106,7 @@ def is_placeholder_outlier(c: Column) -> Column:
 def is_placeholder_score(c: Column, dt: T.DataType) -> Column:
     """Scoring vocabulary: any column type; null counts as a placeholder."""
     s = F.lower(strip_ws(as_text(c, dt)))
-    return F.coalesce(c.isNull() | s.isin(tokens.PH_SCORE) | s.rlike(r"^#+$"), F.lit(True))
+    return F.coalesce(c.isNull() | s.isin(*lits(tokens.PH_SCORE)) | s.rlike(r"^#+$"), F.lit(True))
 
 
 def null_if(c: Column, pred: Column) -> Column:
@@ -103,15 +119,15 @@ def nan_to_null(c: Column, dt: T.DataType) -> Column:
     return c
 
 
-def parse_number(c: Column) -> Column:
+def parse_number(c: Column, stripped: bool = False) -> Column:
     """Strict text → DOUBLE: only plain decimal text parses; anything else is null."""
-    s = strip_ws(c)
+    s = c if stripped else strip_ws(c)
     return F.when(s.rlike(NUMBER_RE), s.try_cast("double"))
 
 
-def parse_int(c: Column) -> Column:
+def parse_int(c: Column, stripped: bool = False) -> Column:
     """Strict text → BIGINT (null when not an integer literal or out of range)."""
-    s = strip_ws(c)
+    s = c if stripped else strip_ws(c)
     return F.when(s.rlike(INT_RE), s.try_cast("bigint"))
 
 
@@ -119,17 +135,17 @@ def date_like(c: Column) -> Column:
     return c.contains("-") | c.contains("/") | c.contains(":")
 
 
-def parse_timestamp(c: Column) -> Column:
+def parse_timestamp(c: Column, stripped: bool = False) -> Column:
     """Text → TIMESTAMP_NTZ trying the fixed layouts in order; failures are null."""
-    s = strip_ws(c)
+    s = c if stripped else strip_ws(c)
     tries = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for fmt, shape in TIMESTAMP_FORMATS]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def to_bool(c: Column, dt: T.DataType) -> Column:
     if is_text(dt):
-        return (F.when(c.isin(tokens.BOOL_TRUE), F.lit(True))
-                .when(c.isin(tokens.BOOL_FALSE), F.lit(False)))
+        return (F.when(c.isin(*lits(tokens.BOOL_TRUE)), F.lit(True))
+                .when(c.isin(*lits(tokens.BOOL_FALSE)), F.lit(False)))
     if isinstance(dt, T.BooleanType):
         return c
     if is_numeric(dt):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..functions import exprs as X
 from ..functions.exprs import col
+from ..functions.frames import side_by_side
 from .transforms import KEY, data_columns, replace_placeholders
 
 
@@ -56,7 +57,7 @@ def profile_summary(df: DataFrame, key: str = KEY) -> DataFrame:
         tot = tot + F.col(f"m{i}")
     dup = duplicate_count(a, key).select("duplicate_count")
     cells = F.col("_rows") * F.lit(n) if n > 0 else F.lit(1)
-    return counts.crossJoin(dup).select(
+    return side_by_side(counts, dup).select(
         F.col("_rows").cast("bigint").alias("rows"), F.lit(n).cast("bigint").alias("cols"),
         tot.cast("bigint").alias("missing_count"),
         F.when(cells == 0, F.lit(0.0)).otherwise(F.round(tot * 100.0 / cells, 2)).alias("missing_percent"),
@@ -141,4 +142,6 @@ def missing_remaining(df: DataFrame, key: str = KEY) -> DataFrame:
         tot = tot + F.when(col(c).isNull(), 1).otherwise(0)
     totals = df.agg(F.sum(tot).cast("bigint").alias("missing_total"),
                     F.count(F.when(missing_any(df, key), 1)).cast("bigint").alias("rows_with_missing"))
-    return per_col.crossJoin(totals)
+    # one-row totals joined on a constant key: a broadcast of one row
+    return (per_col.withColumn("_one", F.lit(1))
+            .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one"))

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from .. import session
 from ..functions import exprs as X
 from ..functions.exprs import col
+from ..functions.frames import side_by_side, with_ids
 from ..operators import outliers as O
 from ..operators import transforms as TR
 from ..operators.transforms import KEY
@@ -108,7 +109,7 @@ class CleanResult:
         after = self.df.agg(F.count(F.lit(1)).alias("rows_after"))
         dups = self.report["_dedupe_counts"]
         outl = self.report["_outlier_counts"]
-        out = before.crossJoin(after).crossJoin(dups).crossJoin(outl)
+        out = side_by_side(before, after, dups, outl)
         return out.select(
             "rows_before", "rows_after",
             F.lit(r["original_cols"]).cast("bigint").alias("cols_before"),
@@ -180,12 +181,18 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
         changes.append(tch)
         entries.append(_Entry("trim_whitespace", _count_df(tch), tcols))
 
-    # ---- phase B: C7 / C8
+    # ---- phase B: C7 / C8 / C9 / C10 / C11 — one fused aggregate decides them all
     dtype_map = {manual.get(c, c): v for c, v in (opts.dtype_map or {}).items()}
     fields = dict((f.name, f.dataType) for f in w.schema.fields if f.name != key)
     text_cols = [c for c, t in fields.items() if X.is_text(t)]
     want_ts = bool(dtype_map)
-    st = TR.type_stats(w, text_cols, key, want_ts=want_ts) if (opts.convert_dtypes or dtype_map) else {}
+    need_drop = opts.drop_empty_columns or opts.drop_constant_columns
+    forms = TR.candidate_forms(fields, text_cols if (opts.convert_dtypes or dtype_map) else [],
+                               want_ts, dtype_map)
+    fs = TR.form_stats(w, forms, fields, text_cols if (opts.convert_dtypes or dtype_map) else []) \
+        if (need_drop or opts.convert_dtypes or dtype_map) else {"columns": {}, "rows": None}
+    st = fs["columns"]
+    form_of = {c: "raw" for c in fields}
     new_cols: dict = {}
     categories: set = set()
     cur_type = dict(fields)
@@ -196,6 +203,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
                 nt = TR.numeric_target(st[c])
                 new_cols[c] = TR.converted(col(c), fields[c], "numeric", nt)
                 cur_type[c] = nt
+                form_of[c] = "num"
                 c7_changes.append({"column": c, "new_dtype": nt.simpleString(), "reason": "numeric_conversion"})
         if c7_changes:
             entries.append(_Entry("convert_dtypes", len(c7_changes), [x["column"] for x in c7_changes],
@@ -218,26 +226,34 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
                         nt = TR.numeric_target(s)
                         new_cols[c] = TR.converted(src, t0, "numeric", nt)
                         cur_type[c] = nt
+                        form_of[c] = "num"
                         info["coerced"] = s["nonnull"] - s["num"]
                     elif dec == "datetime":
                         new_cols[c] = TR.converted(src, t0, "datetime")
                         cur_type[c] = T.TimestampNTZType()
+                        form_of[c] = "ts"
                         info["coerced"] = s["nonnull"] - s["ts"]
             elif choice in ("numeric", "datetime", "string", "category", "bool"):
                 was_text = X.is_text(t0)
                 nt = T.DoubleType()
                 new_cols[c] = TR.converted(src, t0, choice, nt)
+                on_raw = form_of[c] == "raw"
                 if choice == "numeric":
                     cur_type[c] = t0 if X.is_numeric(t0) else nt
                     info["coerced"] = (s["nonnull"] - s["num"]) if (was_text and s) else 0
+                    if on_raw and was_text:
+                        form_of[c] = "num"
                 elif choice == "datetime":
                     cur_type[c] = T.TimestampNTZType()
                     info["coerced"] = (s["nonnull"] - s["ts"]) if (was_text and s) else None
+                    form_of[c] = f"x:{choice}" if on_raw else None
                 elif choice == "bool":
                     cur_type[c] = T.BooleanType()
                     info["coerced"] = (s["nonnull"] - s["bool"]) if (was_text and s) else None
+                    form_of[c] = f"x:{choice}" if on_raw else None
                 else:
                     cur_type[c] = T.StringType()
+                    form_of[c] = "raw" if on_raw else None
                 if choice == "category":
                     categories.add(c)
                     new_cols[c] = new_cols[c].alias(c, metadata={"logical": "category"})
@@ -256,10 +272,19 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
         if dropped:
             entries.append(_Entry("drop_selected_columns", len(dropped), dropped))
 
-    # ---- C10 / C11 (one aggregate)
+    # ---- C10 / C11 (read off the fused aggregate; a second one only for a
+    # conversion chain the first did not foresee)
     report["empty_columns_removed"] = 0
-    if opts.drop_empty_columns or opts.drop_constant_columns:
-        empty, const = TR.empty_and_constant(w, key)
+    if need_drop:
+        live = [c for c in w.columns if c != key]
+        known = {c: fs["forms"].get((c, form_of.get(c))) for c in live}
+        unknown = [c for c in live if known[c] is None]
+        if unknown:
+            e2, k2 = TR.empty_and_constant(w.select(col(key), *[col(c) for c in unknown]), key)
+            for c in unknown:
+                known[c] = {"count": 0 if c in e2 else 1, "const": c in k2}
+        empty = [c for c in live if known[c]["count"] == 0]
+        const = [c for c in live if known[c]["count"] > 0 and known[c]["const"]]
         if opts.drop_empty_columns:
             if empty:
                 w = w.drop(*empty)
@@ -291,14 +316,14 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
     if how == "auto":
         how = "checkpoint" if later_passes >= 1 and opts.remove_duplicates else "none"
     w = session.stage(w, how)
-    report["_dedupe_counts"] = _count_df(pre_dedupe, "_n0").crossJoin(_count_df(w, "_n1")).select(
+    report["_dedupe_counts"] = side_by_side(_count_df(pre_dedupe, "_n0"), _count_df(w, "_n1")).select(
         (F.col("_n0") - F.col("_n1")).alias("duplicates_removed"))
     after_dedupe = w
 
     # ---- C13
     if opts.selected_outlier_rows:
         ids = sorted({int(x) for x in opts.selected_outlier_rows})
-        gone = w.where(col(key).isin(ids))
+        gone = with_ids(w, ids, key)
         removals.append(gone.select(col(key), F.lit("manual_outlier_removal").alias("action"),
                                     F.lit(None).cast("string").alias("detail")))
         w = TR.remove_rows(w, ids, key)
@@ -319,7 +344,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
         elif method == "iqr" and action == "clip":
             w, b = O.clip_outliers(w, mult, opts.quantiles, key)
             entries.append(_Entry("outlier_clip", None, list(b), {"multiplier": mult}))
-    report["_outlier_counts"] = _count_df(after_dedupe, "_m0").crossJoin(_count_df(w, "_m1")).select(
+    report["_outlier_counts"] = side_by_side(_count_df(after_dedupe, "_m0"), _count_df(w, "_m1")).select(
         (F.col("_m0") - F.col("_m1")).alias("outliers_removed"))
 
     # ---- C16 - C18
@@ -332,9 +357,14 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
         w = TR.drop_missing_rows(w, key)
     elif opts.missing_strategy == "fill":
         num_filled = 0
+        # one aggregate serves both fills: numeric filling only touches numeric
+        # columns, so the text columns' gap counts stay valid after it
+        gaps = TR.gap_stats(w, key)
         if opts.fill_numeric != "skip":
             before = w
-            w, details, skipped = TR.fill_numeric(w, opts.fill_numeric, opts.quantiles, key)
+            w, details, skipped = TR.fill_numeric(w, opts.fill_numeric, opts.quantiles, key, gaps)
+            for d in details:
+                gaps["count"][d["column"]] = gaps["rows"]
             num_filled = sum(d["filled"] for d in details)
             if details:
                 changes.append(TR.fill_changes(before, {d["column"]: _fmt(d["value"]) for d in details},
@@ -348,7 +378,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
             before = w
             w, details, dropped = TR.fill_categorical(
                 w, opts.fill_categorical, opts.categorical_constant,
-                list(opts.categorical_columns) if opts.categorical_columns else None, key)
+                list(opts.categorical_columns) if opts.categorical_columns else None, key, gaps)
             cat_filled = sum(d["filled"] for d in details.values())
             filled += cat_filled
             fills = {c: d["value"] for c, d in details.items() if d["filled"] > 0}

@@ -7,6 +7,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations"]
@@ -65,7 +67,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     for t in names or BASE_TABLES:
         path = os.path.join(sf_dir, f"{t}.parquet")
         if os.path.exists(path) or "://" in sf_dir:
-            spark.read.parquet(path).createOrReplaceTempView(t)
+            spread(spark.read.parquet(path)).createOrReplaceTempView(t)
 
 
 _NEEDS = {

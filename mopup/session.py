@@ -65,6 +65,19 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input that arrives in fewer partitions than the session has
+    task slots (a single unsplittable file or row group), so CPU-heavy text work
+    is not confined to one task.  A large input already has enough splits and is
+    returned unchanged."""
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover - no RDD access (Spark Connect)
+        return df
+    return df.repartition(slots) if n < slots else df
+
+
 def stage(df: DataFrame, how: str = "checkpoint") -> DataFrame:
     """Materialise ``df`` once so that several later passes reuse it.
 

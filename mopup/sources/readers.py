@@ -69,7 +69,7 @@ def repair_header(names: list) -> list[str]:
 
 
 def _na_to_null(c: Column) -> Column:
-    return F.when(c.isin(tokens.READ_NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
+    return F.when(c.isin(*X.lits(tokens.READ_NA_TOKENS)), F.lit(None).cast("string")).otherwise(c)
 
 
 def infer_types(df: DataFrame, cols: list[str]) -> DataFrame:
