@@ -12,15 +12,20 @@ from pyspark.sql import types as T
 
 from . import tokens
 
-# Python's str.strip() removes Unicode whitespace plus the ASCII separators
-# 0x1c-0x1f; Java's \s with (?U) covers the rest.
-_WS = r"[\s\x{1c}-\x{1f}]"
-STRIP_RE = rf"(?U)^{_WS}+|{_WS}+$"
+# --- fixed values: the characters Python's str.strip() removes (str.isspace()),
+# as code points: stripping is a trim of this set at both ends (no regex, no scan
+# of the whole text)
+WHITESPACE_CODEPOINTS = [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+    0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A,
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]
+WHITESPACE = "".join(chr(c) for c in WHITESPACE_CODEPOINTS)
 # A plain decimal number as the strict text-to-number parse accepts it.
 NUMBER_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INT_RE = r"^[+-]?[0-9]+$"
 THOUSANDS_DOT_RE = r"^-?\d{1,3}(\.\d{3})+(\.\d+)?$"
-CURRENCY_WS_RE = r"(?U)[$€£₹,\s]"
+CURRENCY_WS_RE = r"(?U)[$€£₹,\s\x{1c}-\x{1f}]"
 
 # --- fixed values: timestamp layouts tried in order (month first for slashes), each
 # with the text shape it needs; the shape test keeps failing parses out of the parser
@@ -75,8 +80,8 @@ def is_orderable(dt: T.DataType) -> bool:
 
 
 def strip_ws(c: Column) -> Column:
-    """Unicode whitespace strip, like Python's ``str.strip()``."""
-    return F.regexp_replace(c, STRIP_RE, "")
+    """Unicode whitespace strip, like Python's ``str.strip()``: a set trim at both ends."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def as_text(c: Column, dt: T.DataType) -> Column:
@@ -84,8 +89,10 @@ def as_text(c: Column, dt: T.DataType) -> Column:
 
 
 def _ph_case_sensitive(c: Column, vocab: list[str]) -> Column:
+    # null in → null out (falsy); the stripped text appears in both arms of the OR,
+    # so codegen evaluates it once
     s = strip_ws(c)
-    return c.isNotNull() & (s.isin(*lits(vocab)) | s.startswith("###"))
+    return s.isin(*lits(vocab)) | s.startswith("###")
 
 
 def is_placeholder_clean(c: Column) -> Column:
