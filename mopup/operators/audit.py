@@ -35,16 +35,34 @@ def cell_search(df: DataFrame, query: str = "", column: str | None = None, row_i
 def cell_diff(before: DataFrame, after: DataFrame, key: str = KEY) -> DataFrame:
     """A3: cell-level differences of two versions of a table matched by row id and
     column name: (row_id, column, old_value, new_value, change) with change one of
-    ``changed``, ``removed`` (cell gone: row or column dropped), ``added``."""
-    a = cells(before, key).select(F.col(key).alias("_ra"), F.col("column").alias("_ca"),
-                                  F.col("value").alias("old_value"))
-    b = cells(after, key).select(F.col(key).alias("_rb"), F.col("column").alias("_cb"),
-                                 F.col("value").alias("new_value"))
-    j = a.join(b, (F.col("_ra") == F.col("_rb")) & (F.col("_ca") == F.col("_cb")), "full_outer")
-    change = (F.when(F.col("_rb").isNull(), F.lit("removed"))
-              .when(F.col("_ra").isNull(), F.lit("added"))
-              .otherwise(F.lit("changed")))
-    return (j.where(F.col("_ra").isNull() | F.col("_rb").isNull()
-                    | ~F.col("old_value").eqNullSafe(F.col("new_value")))
-            .select(F.coalesce("_ra", "_rb").alias(key), F.coalesce("_ca", "_cb").alias("column"),
-                    "old_value", "new_value", change.alias("change")))
+    ``changed``, ``removed`` (cell gone: row or column dropped), ``added``.
+
+    The two tables are joined row-wise (full outer join on the unique key: one
+    shuffle of each table, no skew) and compared column by column inside the
+    joined row; only differing cells are exploded.  Cells are never exploded
+    before the shuffle."""
+    bcols, acols = data_columns(before, key), data_columns(after, key)
+    allcols = bcols + [c for c in acols if c not in bcols]
+    b = before.select(col(key).cast("bigint").alias("_rb"),
+                      *[col(c).cast("string").alias(f"_b{i}") for i, c in enumerate(allcols) if c in bcols])
+    a = after.select(col(key).cast("bigint").alias("_ra"),
+                     *[col(c).cast("string").alias(f"_a{i}") for i, c in enumerate(allcols) if c in acols])
+    j = b.join(a, F.col("_rb") == F.col("_ra"), "full_outer")
+    in_b, in_a = F.col("_rb").isNotNull(), F.col("_ra").isNotNull()
+    labels, cells = [], []
+    for i, c in enumerate(allcols):
+        old = F.col(f"_b{i}") if c in bcols else F.lit(None).cast("string")
+        new = F.col(f"_a{i}") if c in acols else F.lit(None).cast("string")
+        has_old = in_b & F.lit(c in bcols)
+        has_new = in_a & F.lit(c in acols)
+        labels.append((F.when(has_old & ~has_new, F.lit("removed"))
+                       .when(has_new & ~has_old, F.lit("added"))
+                       .when(has_old & has_new & ~old.eqNullSafe(new), F.lit("changed"))).alias(f"_x{i}"))
+        cells.append(F.when(F.col(f"_x{i}").isNotNull(), F.struct(
+            F.lit(c).alias("column"), old.alias("old_value"), new.alias("new_value"),
+            F.col(f"_x{i}").alias("change"))))
+    # the change label of each cell is projected once, then the differing cells are
+    # gathered with array_compact (no lambda) and exploded
+    labelled = j.select("*", *labels)
+    return (labelled.select(F.coalesce("_rb", "_ra").alias(key), F.explode(F.array_compact(F.array(*cells))).alias("_d"))
+            .select(key, "_d.column", "_d.old_value", "_d.new_value", "_d.change"))

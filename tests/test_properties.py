@@ -73,3 +73,28 @@ def test_partition_invariance(spark, cust, n):
     s1 = Q.data_quality_score(cust).collect()[0]["score"]
     s2 = Q.data_quality_score(cust.repartition(n)).collect()[0]["score"]
     assert s1 == s2 and 0 <= s1 <= 100
+
+
+def test_cell_diff_rows_and_columns(spark):
+    from mopup.operators.audit import cell_diff
+    b = spark.createDataFrame([(0, "a", 1.0), (1, "b", 2.0), (2, "c", None)], "row_id bigint, t string, x double")
+    a = spark.createDataFrame([(0, "a", "new"), (1, "B", "z"), (3, "d", "q")], "row_id bigint, t string, y string")
+    got = sorted(tuple(r) for r in cell_diff(b, a).collect())
+    assert got == [
+        (0, "x", "1.0", None, "removed"), (0, "y", None, "new", "added"),
+        (1, "t", "b", "B", "changed"), (1, "x", "2.0", None, "removed"), (1, "y", None, "z", "added"),
+        (2, "t", "c", None, "removed"), (2, "x", None, None, "removed"),
+        (3, "t", None, "d", "added"), (3, "y", None, "q", "added")]
+
+
+def test_audits_same_with_and_without_codegen(spark, cust):
+    def audit():
+        r = clean(cust, CleanOptions(stage="none", fill_numeric="zero"))
+        return sorted(tuple(x) for x in r.changed_cells.collect())
+    with_cg = audit()
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    try:
+        without = audit()
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    assert with_cg == without and len(with_cg) > 0
