@@ -232,13 +232,7 @@ def _convert(name):
 
 
 def q_convert_report(spark, sf):
-    r = clean(otext(spark, sf), scoped(dtype_map=REPORT_MAP))
-    meta = [e for e in r.entries if e.action == "manual_convert_dtypes"][0].detail
-    rows = [(c, m["from"], m["requested"], m["to"], None if m["coerced"] is None else int(m["coerced"]),
-             bool(m["success"])) for c, m in meta.items()]
-    # the coerced counts were read from the one stats aggregate; expose them with the column list
-    return spark.createDataFrame(rows, "column string, from_type string, requested string, to_type string, "
-                                       "coerced bigint, success boolean")
+    return clean(otext(spark, sf), scoped(dtype_map=REPORT_MAP)).report["conversions"]
 
 
 def q_coerce_numeric_like(spark, sf):
@@ -302,6 +296,18 @@ def q_detect_outliers_after_clean(spark, sf):
     return O.detect_outliers(clean(docl(spark, sf), scoped()).df)
 
 
+def q_read_csv_roundtrip(spark, sf):
+    """The dirty customer view written as a ';'-separated latin-1 file set
+    in the shared scratch folder, then read back with separator sniffing, charset
+    choice, header repair, read-time NA tokens and type inference."""
+    from ..session import scratch_path
+    from ..sources.readers import read_table
+    from ..sources.sinks import write_csv
+    path = scratch_path(spark, "customer_dirty") + ".csv"
+    write_csv(cust(spark, sf), path, key=None, sep=";", encoding="ISO-8859-1")
+    return read_table(spark, path, fmt="csv", key="row_id").df
+
+
 def q_dedupe_text(spark, sf):
     return TR.dedupe(doct(spark, sf), ["text"])
 
@@ -367,4 +373,5 @@ QUERIES = {
     "clean_summary": q_clean_summary,
     "detect_outliers_after_clean": q_detect_outliers_after_clean,
     "dedupe_text": q_dedupe_text,
+    "read_csv_roundtrip": q_read_csv_roundtrip,
 }

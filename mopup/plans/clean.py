@@ -262,6 +262,17 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
             info["actual"] = cur_type[c].simpleString()
             meta[c] = info
         entries.append(_Entry("manual_convert_dtypes", len(meta), list(meta), meta))
+        # C8 report as a lazy aggregate over the table before conversion: values
+        # present before and missing after each requested conversion
+        pre = w
+        rep = []
+        for c, m in meta.items():
+            conv = new_cols.get(c, col(c))
+            rep.append(F.struct(F.lit(c).alias("column"), F.lit(m["from"]).alias("from_type"),
+                                F.lit(m["requested"]).alias("requested"), F.lit(m["to"]).alias("to_type"),
+                                (F.count(col(c)) - F.count(conv)).cast("bigint").alias("coerced"),
+                                F.lit(bool(m["success"])).alias("success")))
+        report["conversions"] = pre.agg(F.array(*rep).alias("_r")).select(F.inline("_r"))
     if new_cols:
         w = w.select(*[(new_cols[c] if c in categories else new_cols[c].alias(c)) if c in new_cols
                        else col(c) for c in w.columns])

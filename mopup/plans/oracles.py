@@ -373,6 +373,13 @@ from ({score_sql('customer_dirty', CUST)}) b, ({score_sql('s4', CUST_CLEANED)})
         "select cast(0 as bigint) as failed_operations, cast(100.0 as double) as completeness "
         "from (select count(*) from customer_dirty)")
     o["clean_minimal"] = _cust(CUST_C1N)
+    na = f"in ({inlist(tokens.READ_NA_TOKENS)})"
+    o["read_csv_roundtrip"] = _cust(f"""
+select row_id, "Name", case when "Mkt Segment" {na} then null else "Mkt Segment" end as "Mkt Segment",
+  acctbal, case when nation_txt {na} then null else nation_txt end as nation_txt,
+  cast(null as double) as notes, origin, cast("Unnamed: 7" as double) as "Unnamed: 7",
+  cast(null as double) as "Unnamed: 8"
+from customer_dirty""")
     o["clean_recipe"] = _cust(
         "select row_id, " + ", ".join(
             (f"{strip(qi(n))} as {qi('segment' if n == 'mkt_segment' else n)}" if k == "t"

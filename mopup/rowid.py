@@ -21,6 +21,9 @@ def add_row_id(df: DataFrame, name: str = "row_id", key: str | None = None,
                how: str = "checkpoint") -> DataFrame:
     """Return ``df`` with ``name`` first.  With ``key`` the id is a copy of that
     (unique) column; otherwise dense ids 0..n-1 in read order."""
+    if key is not None and key == name:
+        return df.select(F.col(f"`{key}`").cast("bigint").alias(name),
+                         *[F.col(f"`{c}`") for c in df.columns if c != key])
     if key is not None:
         return df.select(F.col(f"`{key}`").cast("bigint").alias(name), *[F.col(f"`{c}`") for c in df.columns])
     staged = session.stage(df.withColumn("_mid", F.monotonically_increasing_id()), how)

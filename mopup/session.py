@@ -78,6 +78,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if n < slots else df
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate files inside the cluster's checkpoint folder
+    (shared storage), never a machine-local folder on a cluster."""
+    import uuid
+    base = checkpoint_dir(spark)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for intermediate files")
+    return os.path.join(base, "mopup-scratch", f"{name}-{uuid.uuid4().hex}")
+
+
 def stage(df: DataFrame, how: str = "checkpoint") -> DataFrame:
     """Materialise ``df`` once so that several later passes reuse it.
 

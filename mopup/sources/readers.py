@@ -87,9 +87,10 @@ def infer_types(df: DataFrame, cols: list[str]) -> DataFrame:
     new = {}
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
+        x = X.col(c)
         if n == 0:
+            new[c] = F.lit(None).cast("double")   # an all-empty column reads as floating point
             continue
-        x = X.col(c)
         if r[f"i{i}"] == n and n == r["_rows"]:
             new[c] = X.parse_int(x)
         elif r[f"d{i}"] == n:

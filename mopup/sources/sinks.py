@@ -25,11 +25,14 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str, key: str | None = "row_id", mode: str = "overwrite") -> None:
-    """Header line, UTF-8, one file per partition; the key column is bookkeeping
-    and is not written."""
+def write_csv(df: DataFrame, path: str, key: str | None = "row_id", mode: str = "overwrite",
+              sep: str = ",", encoding: str = "UTF-8") -> None:
+    """Header line, one file per partition, cell text written as it is (no
+    trimming); the key column is bookkeeping and is not written unless ``key=None``."""
     out = df.drop(key) if key and key in df.columns else df
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (out.write.mode(mode).option("header", True).option("escape", '"').option("sep", sep)
+     .option("encoding", encoding).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
