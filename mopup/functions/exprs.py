@@ -42,6 +42,75 @@ TIMESTAMP_FORMATS = [
 ]
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_col(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_in(values) -> str:
+    return ", ".join(sql_str(v) for v in values)
+
+
+_SQL_WS = None
+
+
+def strip_sql(name: str) -> str:
+    global _SQL_WS
+    if _SQL_WS is None:
+        _SQL_WS = sql_str(WHITESPACE)
+    return f"btrim({sql_col(name)}, {_SQL_WS})"
+
+
+def placeholder_expr(name: str, kind: str) -> Column:
+    """The placeholder predicate of a named column as one SQL expression (parsed once
+    in the JVM; the IN list becomes a hash-set lookup).  ``kind`` is one of clean,
+    analyze, outlier (text columns, null → null) or score (any type, null → true)."""
+    if kind == "score":
+        raise ValueError("use is_placeholder_score for the scoring vocabulary")
+    vocab = {"clean": tokens.PH_CLEAN, "analyze": tokens.PH_ANALYZE, "outlier": tokens.PH_OUTLIER}[kind]
+    s = strip_sql(name)
+    return F.expr(f"({s} IN ({_sql_in(vocab)}) OR startswith({s}, '###'))")
+
+
+def score_placeholder_expr(name: str, is_text_col: bool) -> Column:
+    x = sql_col(name)
+    t = x if is_text_col else f"CAST({x} AS STRING)"
+    global _SQL_WS
+    if _SQL_WS is None:
+        _SQL_WS = sql_str(WHITESPACE)
+    s = f"lower(btrim({t}, {_SQL_WS}))"
+    return F.expr(f"coalesce({x} IS NULL OR {s} IN ({_sql_in(tokens.PH_SCORE)}) OR {s} RLIKE '^#+$', true)")
+
+
+def number_expr(name: str, stripped: bool = False) -> Column:
+    """``parse_number`` of a named column as one SQL expression."""
+    s = sql_col(name) if stripped else strip_sql(name)
+    return F.expr(f"CASE WHEN {s} RLIKE {sql_str(NUMBER_RE)} THEN try_cast({s} AS DOUBLE) END")
+
+
+def int_expr(name: str, stripped: bool = False) -> Column:
+    s = sql_col(name) if stripped else strip_sql(name)
+    return F.expr(f"CASE WHEN {s} RLIKE {sql_str(INT_RE)} THEN try_cast({s} AS BIGINT) END")
+
+
+def timestamp_expr(name: str, stripped: bool = False) -> Column:
+    """``parse_timestamp`` of a named column as one SQL expression."""
+    s = sql_col(name) if stripped else strip_sql(name)
+    tries = ", ".join(f"CASE WHEN {s} RLIKE {sql_str(shape)} THEN try_to_timestamp({s}, {sql_str(fmt)}) END"
+                      for fmt, shape in TIMESTAMP_FORMATS)
+    return F.expr(f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)")
+
+
+def bool_expr(name: str) -> Column:
+    x = sql_col(name)
+    return F.expr(f"CASE WHEN {x} IN ({_sql_in(tokens.BOOL_TRUE)}) THEN true "
+                  f"WHEN {x} IN ({_sql_in(tokens.BOOL_FALSE)}) THEN false END")
+
+
 _LIT_CACHE: dict = {}
 
 

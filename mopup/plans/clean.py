@@ -427,6 +427,6 @@ def _placeholder_count(df: DataFrame, key: str) -> DataFrame:
         return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("affected"))
     e = None
     for c in tc:
-        x = F.when(X.is_placeholder_clean(col(c)), 1).otherwise(0)
+        x = F.when(X.placeholder_expr(c, "clean"), 1).otherwise(0)
         e = x if e is None else e + x
     return df.agg(F.sum(e).cast("bigint").alias("affected"))
