@@ -127,9 +127,20 @@ def lits(values: list) -> list[Column]:
     return got
 
 
+_COL_CACHE: dict = {}
+
+
 def col(name: str) -> Column:
-    """Column reference that tolerates dots, spaces and colons in names."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column reference that tolerates dots, spaces and colons in names.  An
+    unresolved reference is immutable, so one object per name and session is
+    reused (each new one costs a driver→JVM round trip)."""
+    from pyspark import SparkContext
+    k = (id(SparkContext._active_spark_context), name)
+    c = _COL_CACHE.get(k)
+    if c is None:
+        c = F.col("`" + name.replace("`", "``") + "`")
+        _COL_CACHE[k] = c
+    return c
 
 
 def is_text(dt: T.DataType) -> bool:
