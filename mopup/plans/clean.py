@@ -416,8 +416,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
 
 
 def _fmt(v) -> str:
-    if isinstance(v, float) and v == int(v) and abs(v) < 1e15:
-        return str(v)
+    """Fill value as the text the audit records."""
     return str(v)
 
 

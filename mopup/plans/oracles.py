@@ -15,8 +15,7 @@ from __future__ import annotations
 
 from ..functions import tokens
 from ..functions.exprs import TIMESTAMP_FORMATS, normalize_name
-from .catalog import (CELL_EDITS, CHANGED_CELLS_OPTS, CONVERT_MAPS, DROP_COLS,  # noqa: F401
-                      MISSING_EDITS, REMOVE_IDS, SEARCH)
+from .catalog import CELL_EDITS, CHANGED_CELLS_OPTS, DROP_COLS, MISSING_EDITS, REMOVE_IDS, SEARCH
 from .fixtures import view_sql
 
 NUM_RE = r"[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
