@@ -20,16 +20,23 @@ def cells(df: DataFrame, key: str = KEY) -> DataFrame:
 def cell_search(df: DataFrame, query: str = "", column: str | None = None, row_id=None,
                 key: str = KEY) -> DataFrame:
     """A4: cells whose text contains ``query`` (case-insensitive), optionally in one
-    column and/or one row.  An empty query matches every cell (missing shown as '')."""
-    long = cells(df, key).withColumn("value", F.coalesce(F.col("value"), F.lit("")))
+    column and/or one row.  An empty query matches every cell (missing shown as '').
+
+    Each row tests its own cells and only the matching ones are exploded, so the
+    intermediate result is the answer, not rows × columns."""
     q = (query or "").strip().lower()
-    if q:
-        long = long.where(F.lower(F.col("value")).contains(q))
-    if column:
-        long = long.where(F.col("column") == column)
-    if row_id is not None:
-        long = long.where(F.col(key) == int(row_id))
-    return long
+    cs = [c for c in data_columns(df, key) if column is None or c == column]
+    src = df if row_id is None else df.where(col(key) == int(row_id))
+    if not cs:
+        return src.select(col(key).cast("bigint").alias(key), F.lit(None).cast("string").alias("column"),
+                          F.lit(None).cast("string").alias("value")).limit(0)
+    hits = []
+    for c in cs:
+        v = F.coalesce(col(c).cast("string"), F.lit(""))
+        hit = F.lower(v).contains(q) if q else F.lit(True)
+        hits.append(F.when(hit, F.struct(F.lit(c).alias("column"), v.alias("value"))))
+    return (src.select(col(key).cast("bigint").alias(key), F.explode(F.array_compact(F.array(*hits))).alias("_h"))
+            .select(key, "_h.column", "_h.value"))
 
 
 def cell_diff(before: DataFrame, after: DataFrame, key: str = KEY) -> DataFrame:

@@ -98,3 +98,11 @@ def test_audits_same_with_and_without_codegen(spark, cust):
     finally:
         spark.conf.set("spark.sql.codegen.wholeStage", "true")
     assert with_cg == without and len(with_cg) > 0
+
+
+def test_cell_search_filters(spark):
+    from mopup.operators.audit import cell_search
+    df = spark.createDataFrame([(0, "Build", "x"), (1, None, "rebuild"), (2, "a", "b")], "row_id bigint, p string, q string")
+    assert sorted(tuple(r) for r in cell_search(df, "BUILD").collect()) == [(0, "p", "Build"), (1, "q", "rebuild")]
+    assert [tuple(r) for r in cell_search(df, "build", column="q").collect()] == [(1, "q", "rebuild")]
+    assert sorted(tuple(r) for r in cell_search(df, "", row_id=1).collect()) == [(1, "p", ""), (1, "q", "rebuild")]
