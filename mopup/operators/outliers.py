@@ -72,6 +72,29 @@ def detect_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact
     return out.select(key, "_h.column", "_h.value", *(["row_data"] if include_row_data else []))
 
 
+def outlier_listing(df: DataFrame, multiplier: float = 1.5, method: str = "exact", key: str = KEY,
+                    max_rows: int | None = None):
+    """O2 for review screens: (rows, summary).  ``rows`` lists flagged rows in the
+    order a reviewer walks them (column by column, then by row id), capped at
+    ``max_rows`` when given (a top-k, not a sample); ``summary`` is one row with
+    columns_checked, total_rows and total_cells over the whole table."""
+    flagged = detect_outliers(df, multiplier, method, key)
+    cols = numeric_columns(df, key)
+    pos = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))]) if cols else None
+    rows = flagged
+    if max_rows is not None and cols:
+        rows = flagged.orderBy(pos[F.col("column")], F.col(key)).limit(int(max_rows))
+    clean_df = replace_placeholders(df, key, vocab="outlier")
+    b = iqr_bounds(clean_df, cols, multiplier, method, key)
+    cells = F.lit(0)
+    for c in cols:
+        cells = cells + F.when(outlier_flag(c, b[c]), 1).otherwise(0)
+    summary = clean_df.agg(F.count(F.when(cells > 0, 1)).cast("bigint").alias("total_rows"),
+                           F.coalesce(F.sum(cells), F.lit(0)).cast("bigint").alias("total_cells")).select(
+        F.lit(",".join(cols)).alias("columns_checked"), "total_rows", "total_cells")
+    return rows, summary
+
+
 def any_outlier(bounds: dict) -> Column:
     e = F.lit(False)
     for c, b in bounds.items():

@@ -145,3 +145,17 @@ def missing_remaining(df: DataFrame, key: str = KEY) -> DataFrame:
     # one-row totals joined on a constant key: a broadcast of one row
     return (per_col.withColumn("_one", F.lit(1))
             .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
+def profile(df: DataFrame, key: str = KEY, preview_rows: int = tokens.PREVIEW_ROWS) -> dict:
+    """Everything the analysis step reports, as lazy DataFrames: summary (P1-P3),
+    columns (P4/P5), missing_by_column (P6), missing_rows (P7), unnamed_columns
+    (P8) and preview (P9)."""
+    return {
+        "summary": profile_summary(df, key),
+        "columns": profile_columns(df, key),
+        "missing_by_column": missing_by_column(df, key),
+        "missing_rows": missing_rows(df, key),
+        "unnamed_columns": unnamed_columns(df, key),
+        "preview": preview(df, key, preview_rows),
+    }

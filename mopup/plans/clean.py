@@ -100,6 +100,11 @@ class CleanResult:
                                   .select("row_id", "action", "detail"))
         return out
 
+    def report_frames(self) -> dict:
+        """The frames of a cleaning report (S9 writes them as JSON)."""
+        return {"summary": self.summary, "operations": self.log, "changed_cells": self.changed_cells,
+                "removed_rows": self.removed_rows}
+
     # ---------------- C22
     @property
     def summary(self) -> DataFrame:

@@ -135,3 +135,23 @@ def test_fill_constant_rejects_text(spark):
     df = spark.createDataFrame([(0, None)], "row_id bigint, x double")
     with pytest.raises(ValueError):
         TR.fill_numeric(df, "abc")
+
+
+def test_outlier_listing_cap_and_totals(spark):
+    data = [(i, float(v), float(w)) for i, (v, w) in enumerate(
+        [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9), (100, 1000), (-50, 5)])]
+    df = spark.createDataFrame(data, "row_id bigint, x double, y double")
+    rows, summary = O.outlier_listing(df, max_rows=1)
+    assert [(r["row_id"], r["column"]) for r in rows.collect()] == [(9, "x")]
+    s = summary.collect()[0]
+    assert (s["total_rows"], s["total_cells"], s["columns_checked"]) == (2, 3, "x,y")
+
+
+def test_profile_bundle(spark):
+    from mopup.operators.profile import profile
+    df = spark.createDataFrame([(0, "a", None), (1, "N/A", 2.0), (2, "a", None)], "row_id bigint, t string, x double")
+    p = profile(df)
+    s = p["summary"].collect()[0]
+    assert (s["rows"], s["cols"], s["missing_count"], s["duplicate_count"]) == (3, 2, 3, 1)
+    assert [r["row_id"] for r in p["missing_rows"].orderBy("row_id").collect()] == [0, 1, 2]
+    assert p["preview"].count() == 3
