@@ -308,6 +308,16 @@ def q_read_csv_roundtrip(spark, sf):
     return read_table(spark, path, fmt="csv", key="row_id").df
 
 
+def q_lineitem_quality(spark, sf):
+    """D1-D10 over every row of the largest table.  It has no unique key, and the
+    score needs no row identity (every count is over values), so no ids are built
+    and nothing is staged: a scan, the quantile passes and one aggregate."""
+    import os
+    from ..session import spread
+    li = spread(spark.read.parquet(os.path.join(sf, "lineitem.parquet")))
+    return Q.components(li)
+
+
 def q_dedupe_text(spark, sf):
     return TR.dedupe(doct(spark, sf), ["text"])
 
@@ -374,4 +384,5 @@ QUERIES = {
     "detect_outliers_after_clean": q_detect_outliers_after_clean,
     "dedupe_text": q_dedupe_text,
     "read_csv_roundtrip": q_read_csv_roundtrip,
+    "lineitem_quality": q_lineitem_quality,
 }

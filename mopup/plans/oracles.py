@@ -575,8 +575,17 @@ select t.* from documents_text t join (select min(row_id) as r from documents_te
     return o
 
 
+LINEITEM = [("l_orderkey", "n"), ("l_partkey", "n"), ("l_suppkey", "n"), ("l_linenumber", "n"),
+            ("l_quantity", "n"), ("l_extendedprice", "n"), ("l_discount", "n"), ("l_tax", "n"),
+            ("l_returnflag", "t"), ("l_linestatus", "t"), ("l_shipdate", "o")]
+
+
+def _lineitem_oracles() -> dict:
+    return {"lineitem_quality": score_sql("lineitem", LINEITEM).strip()}
+
+
 def oracles() -> dict[str, str]:
     out = {}
-    for f in (_cust_oracles, _odup_oracles, _otext_oracles, _evg_oracles, _doc_oracles):
+    for f in (_cust_oracles, _odup_oracles, _otext_oracles, _evg_oracles, _doc_oracles, _lineitem_oracles):
         out.update(f())
     return out
