@@ -133,18 +133,29 @@ def preview(df: DataFrame, key: str = KEY, n: int = tokens.PREVIEW_ROWS, analyze
 
 def missing_remaining(df: DataFrame, key: str = KEY) -> DataFrame:
     """P10 on a cleaned table: per column (missing, percent) plus the table's
-    missing_total and rows_with_missing, repeated on each row."""
+    missing_total and rows_with_missing, repeated on each row.  One aggregate
+    computes all of it; the totals ride along when the row is unpivoted."""
     from .transforms import missing_any
-    per_col = missing_by_column(df, key, analyze=False)
     cs = data_columns(df, key)
     tot = F.lit(0)
     for c in cs:
         tot = tot + F.when(col(c).isNull(), 1).otherwise(0)
-    totals = df.agg(F.sum(tot).cast("bigint").alias("missing_total"),
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"),
+                    *[F.count(F.when(col(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(cs)],
+                    F.coalesce(F.sum(tot), F.lit(0)).cast("bigint").alias("missing_total"),
                     F.count(F.when(missing_any(df, key), 1)).cast("bigint").alias("rows_with_missing"))
-    # one-row totals joined on a constant key: a broadcast of one row
-    return (per_col.withColumn("_one", F.lit(1))
-            .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    if not cs:
+        return counts.select(F.lit(0).alias("position"), F.lit("").alias("column"),
+                             F.lit(0).cast("bigint").alias("missing"), F.lit(0.0).alias("percent"),
+                             "missing_total", "rows_with_missing").limit(0)
+    arr = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+                             F.col(f"m{i}").alias("missing")) for i, c in enumerate(cs)])
+    lg = counts.select(F.col("_rows").alias("rows"), "missing_total", "rows_with_missing", F.inline(arr))
+    return lg.where(F.col("missing") > 0).select(
+        "position", "column", F.col("missing").cast("bigint").alias("missing"),
+        F.when(F.col("rows") == 0, F.lit(0.0))
+         .otherwise(F.round(F.col("missing") * 100.0 / F.col("rows"), 2)).alias("percent"),
+        "missing_total", "rows_with_missing")
 
 
 def profile(df: DataFrame, key: str = KEY, preview_rows: int = tokens.PREVIEW_ROWS) -> dict:
