@@ -28,6 +28,10 @@ def test_missing_by_column_is_one_aggregate(spark):
 def test_no_python_udf_and_no_global_window(spark, name):
     p = plan(QUERIES[name](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    for line in p.splitlines():
+        if "SortAggregate(" in line:           # only key-less (streaming) global aggregates
+            assert "SortAggregate(key=[]" in line, line
     for line in p.splitlines():
         if "Window [" in line:
             assert "partitionBy" in line or "specifiedwindowframe" in line.lower()
