@@ -79,7 +79,14 @@ if __name__ == "__main__":
     from mopup.plans.catalog import QUERIES
     from mopup.plans.oracles import oracles
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = get_spark("local[8]", 8)
+    if os.environ.get("PLAIN"):
+        # the way a driver builds its session: none of the library's settings
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_spark("local[8]", 8)
     con = duck(sf)
     ors = oracles()
     names = sys.argv[1:] or list(QUERIES)
