@@ -30,6 +30,8 @@ from ..functions.exprs import col
 
 DEFAULT_ACCURACY = 10000
 DEFAULT_CAP = 200_000
+# values brought to the driver by one pass, over all columns and quantiles together
+TOTAL_CAP = 2_000_000
 GRID = 256
 
 
