@@ -120,8 +120,10 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75), method: str =
 
 def _narrow_or_collect(df: DataFrame, pending: list[_Item], accuracy: int, cap: int) -> list[_Item]:
     """One fused pass.  Items whose bracket is provably small collect their inner
-    values; others get counts and a tighter bracket for the next pass."""
-    d = 3.0 / accuracy
+    values; others get counts and a tighter bracket for the next pass.  The cap
+    per item shrinks with the number of items, so one pass never brings more than
+    ``TOTAL_CAP`` values to the driver however many columns are asked for."""
+    cap = min(cap, max(2_000, TOTAL_CAP // max(len(pending), 1)))
     aggs = []
     small = []
     for k, it in enumerate(pending):
