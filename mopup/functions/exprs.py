@@ -76,9 +76,21 @@ def placeholder_expr(name: str, kind: str) -> Column:
     return F.expr(f"({s} IN ({_sql_in(vocab)}) OR startswith({s}, '###'))")
 
 
-def score_placeholder_expr(name: str, is_text_col: bool) -> Column:
+def score_placeholder_expr(name: str, dt) -> Column:
+    """Scoring vocabulary of a named column as one SQL expression.  Only text is
+    compared with the words: a number's text can only hit the list as +infinity
+    ("inf" / "infinity"; NaN is null by then), and timestamps, dates and booleans
+    never do, so those test null (and +infinity) without printing the value."""
     x = sql_col(name)
-    t = x if is_text_col else f"CAST({x} AS STRING)"
+    if dt is not True and not (dt is not False and is_text(dt)):
+        if isinstance(dt, (T.DoubleType, T.FloatType)):
+            return F.expr(f"({x} IS NULL OR {x} = double('+inf'))")
+        if dt is False or isinstance(dt, (T.NumericType, T.BooleanType, T.TimestampType,
+                                          T.TimestampNTZType, T.DateType)):
+            return F.expr(f"({x} IS NULL)")
+        t = f"CAST({x} AS STRING)"
+    else:
+        t = x
     global _SQL_WS
     if _SQL_WS is None:
         _SQL_WS = sql_str(WHITESPACE)
