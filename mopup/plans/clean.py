@@ -322,8 +322,8 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
         removals.append(rem.select(col(key), F.lit("drop_duplicates").alias("action"),
                                    F.concat(F.lit("duplicate of "), F.col("duplicate_of").cast("string"))
                                    .alias("detail")))
-        entries.append(_Entry("drop_duplicates", _count_df(rem), list(subset or []),
-                              {"subset": subset}))
+        dedupe_entry = _Entry("drop_duplicates", None, list(subset or []), {"subset": subset})
+        entries.append(dedupe_entry)
 
     # ---- staging: later phases make several passes over w
     later_passes = (bool(opts.handle_outliers) + (opts.missing_strategy == "fill")
@@ -334,6 +334,9 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
     w = session.stage(w, how)
     report["_dedupe_counts"] = side_by_side(_count_df(pre_dedupe, "_n0"), _count_df(w, "_n1")).select(
         (F.col("_n0") - F.col("_n1")).alias("duplicates_removed"))
+    if opts.remove_duplicates:
+        # rows before minus rows after (the after side is staged): no audit join needed
+        dedupe_entry.affected = report["_dedupe_counts"].select(F.col("duplicates_removed").alias("affected"))
     after_dedupe = w
 
     # ---- C13
