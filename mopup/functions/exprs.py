@@ -269,6 +269,28 @@ def has_alpha(c: Column) -> Column:
     return c.rlike(r"[A-Za-z]")
 
 
+def balanced(exprs: list[Column], op) -> Column:
+    """Combine many per-column expressions as a balanced tree (depth log2 n), so
+    that a table with hundreds of columns does not build an expression hundreds of
+    levels deep."""
+    xs = list(exprs)
+    while len(xs) > 1:
+        xs = [op(xs[i], xs[i + 1]) if i + 1 < len(xs) else xs[i] for i in range(0, len(xs), 2)]
+    return xs[0]
+
+
+def sum_all(exprs: list[Column]) -> Column:
+    return balanced(exprs, lambda a, b: a + b) if exprs else F.lit(0)
+
+
+def any_of(exprs: list[Column]) -> Column:
+    return balanced(exprs, lambda a, b: a | b) if exprs else F.lit(False)
+
+
+def all_of(exprs: list[Column]) -> Column:
+    return balanced(exprs, lambda a, b: a & b) if exprs else F.lit(True)
+
+
 def count_if(pred: Column) -> Column:
     return F.sum(F.when(pred, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 

@@ -55,3 +55,17 @@ def without_ids(df: DataFrame, ids: list, key: str) -> DataFrame:
     if len(ids) <= IN_LIST_MAX:
         return df.where(~col(key).isin(ids))
     return _id_join(df, ids, key, "left_anti")
+
+
+# aggregate expressions per generated aggregate; very wide tables are split so that
+# no single generated class grows without bound (each chunk is one more pass)
+AGG_CHUNK = 480
+
+
+def agg_chunked(df: DataFrame, aggs: list, chunk: int | None = None) -> DataFrame:
+    """``df.agg(*aggs)`` for any number of expressions: up to ``chunk`` in one
+    aggregate, beyond that several aggregates placed side by side (no join)."""
+    chunk = chunk or AGG_CHUNK
+    if len(aggs) <= chunk:
+        return df.agg(*aggs)
+    return side_by_side(*[df.agg(*aggs[i:i + chunk]) for i in range(0, len(aggs), chunk)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..functions.exprs import col
 from . import stats
 from .transforms import KEY, _select_replacing, numeric_columns, replace_placeholders
@@ -86,9 +87,7 @@ def outlier_listing(df: DataFrame, multiplier: float = 1.5, method: str = "exact
         rows = flagged.orderBy(pos[F.col("column")], F.col(key)).limit(int(max_rows))
     clean_df = replace_placeholders(df, key, vocab="outlier")
     b = iqr_bounds(clean_df, cols, multiplier, method, key)
-    cells = F.lit(0)
-    for c in cols:
-        cells = cells + F.when(outlier_flag(c, b[c]), 1).otherwise(0)
+    cells = X.sum_all([F.when(outlier_flag(c, b[c]), 1).otherwise(0) for c in cols])
     summary = clean_df.agg(F.count(F.when(cells > 0, 1)).cast("bigint").alias("total_rows"),
                            F.coalesce(F.sum(cells), F.lit(0)).cast("bigint").alias("total_cells")).select(
         F.lit(",".join(cols)).alias("columns_checked"), "total_rows", "total_cells")
@@ -96,10 +95,7 @@ def outlier_listing(df: DataFrame, multiplier: float = 1.5, method: str = "exact
 
 
 def any_outlier(bounds: dict) -> Column:
-    e = F.lit(False)
-    for c, b in bounds.items():
-        e = e | outlier_flag(c, b)
-    return e
+    return X.any_of([outlier_flag(c, b) for c, b in bounds.items()])
 
 
 def remove_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact", key: str = KEY):

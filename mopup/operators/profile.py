@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..functions import exprs as X
 from ..functions.exprs import col
-from ..functions.frames import side_by_side
+from ..functions.frames import agg_chunked, side_by_side
 from .transforms import KEY, data_columns, replace_placeholders
 
 
@@ -20,8 +20,8 @@ def analyzed(df: DataFrame, key: str = KEY) -> DataFrame:
 def _null_counts(df: DataFrame, key: str) -> DataFrame:
     """One row: _rows, then one null count per data column (m0, m1, ...)."""
     cs = data_columns(df, key)
-    return df.agg(F.count(F.lit(1)).alias("_rows"),
-                  *[F.count(F.when(col(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(cs)])
+    return agg_chunked(df, [F.count(F.lit(1)).alias("_rows"),
+                            *[F.count(F.when(col(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(cs)]])
 
 
 def _long(df: DataFrame, key: str, counts: DataFrame) -> DataFrame:
@@ -52,9 +52,7 @@ def profile_summary(df: DataFrame, key: str = KEY) -> DataFrame:
     cs = data_columns(a, key)
     n = len(cs)
     counts = _null_counts(a, key)
-    tot = F.lit(0)
-    for i in range(n):
-        tot = tot + F.col(f"m{i}")
+    tot = X.sum_all([F.col(f"m{i}") for i in range(n)])
     dup = duplicate_count(a, key).select("duplicate_count")
     cells = F.col("_rows") * F.lit(n) if n > 0 else F.lit(1)
     return side_by_side(counts, dup).select(
@@ -97,9 +95,7 @@ def missing_rows(df: DataFrame, key: str = KEY, analyze: bool = True) -> DataFra
     if not cs:
         return a.select(col(key).cast("bigint").alias(key), F.lit("").alias("missing_columns"),
                         F.lit(0).alias("missing_count")).limit(0)
-    n = F.lit(0)
-    for c in cs:
-        n = n + F.when(col(c).isNull(), 1).otherwise(0)
+    n = X.sum_all([F.when(col(c).isNull(), 1).otherwise(0) for c in cs])
     return a.where(missing_any(a, key)).select(
         col(key).cast("bigint").alias(key), missing_list(a, key).alias("missing_columns"),
         n.cast("bigint").alias("missing_count"))
@@ -137,13 +133,11 @@ def missing_remaining(df: DataFrame, key: str = KEY) -> DataFrame:
     computes all of it; the totals ride along when the row is unpivoted."""
     from .transforms import missing_any
     cs = data_columns(df, key)
-    tot = F.lit(0)
-    for c in cs:
-        tot = tot + F.when(col(c).isNull(), 1).otherwise(0)
-    counts = df.agg(F.count(F.lit(1)).alias("_rows"),
-                    *[F.count(F.when(col(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(cs)],
-                    F.coalesce(F.sum(tot), F.lit(0)).cast("bigint").alias("missing_total"),
-                    F.count(F.when(missing_any(df, key), 1)).cast("bigint").alias("rows_with_missing"))
+    tot = X.sum_all([F.when(col(c).isNull(), 1).otherwise(0) for c in cs])
+    counts = agg_chunked(df, [F.count(F.lit(1)).alias("_rows"),
+                              *[F.count(F.when(col(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(cs)],
+                              F.coalesce(F.sum(tot), F.lit(0)).cast("bigint").alias("missing_total"),
+                              F.count(F.when(missing_any(df, key), 1)).cast("bigint").alias("rows_with_missing")])
     if not cs:
         return counts.select(F.lit(0).alias("position"), F.lit("").alias("column"),
                              F.lit(0).cast("bigint").alias("missing"), F.lit(0.0).alias("percent"),

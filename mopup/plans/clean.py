@@ -432,8 +432,5 @@ def _placeholder_count(df: DataFrame, key: str) -> DataFrame:
     tc = TR.text_columns(df, key)
     if not tc:
         return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("affected"))
-    e = None
-    for c in tc:
-        x = F.when(X.placeholder_expr(c, "clean"), 1).otherwise(0)
-        e = x if e is None else e + x
+    e = X.sum_all([F.when(X.placeholder_expr(c, "clean"), 1).otherwise(0) for c in tc])
     return df.agg(F.sum(e).cast("bigint").alias("affected"))

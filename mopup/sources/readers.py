@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..functions import tokens
+from ..functions.frames import agg_chunked
 from ..rowid import add_row_id
 
 BOM = "﻿"
@@ -83,7 +84,7 @@ def infer_types(df: DataFrame, cols: list[str]) -> DataFrame:
         aggs += [F.count(x).alias(f"n{i}"), F.count(X.parse_int(x)).alias(f"i{i}"),
                  F.count(X.parse_number(x)).alias(f"d{i}"),
                  F.count(F.when(F.lower(X.strip_ws(x)).isin("true", "false"), 1)).alias(f"b{i}")]
-    r = df.agg(*aggs).collect()[0]
+    r = agg_chunked(df, aggs).collect()[0]
     new = {}
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
