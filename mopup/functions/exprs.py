@@ -41,6 +41,23 @@ TIMESTAMP_FORMATS = [
     ("dd-MMM-yyyy", r"^\d{2}-[A-Za-z]{3}-\d{4}$"),
 ]
 
+# --- fixed values: English month abbreviations, in calendar order (dd-MMM-yyyy)
+MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+
+def _iso_sql(fmt: str, s: str) -> str:
+    """SQL rewriting a text of layout ``fmt`` (shape already checked) to ISO text,
+    so that a time-zone-free ``try_cast(... AS TIMESTAMP_NTZ)`` parses it."""
+    if fmt.startswith("MM/dd/yyyy"):
+        return f"regexp_replace({s}, '^(\\\\d{{2}})/(\\\\d{{2}})/(\\\\d{{4}})', '$3-$1-$2')"
+    if fmt == "yyyy/MM/dd":
+        return f"replace({s}, '/', '-')"
+    if fmt == "dd-MMM-yyyy":
+        months = " ".join(f"WHEN '{m}' THEN '{i + 1:02d}'" for i, m in enumerate(MONTH_ABBREVIATIONS))
+        return (f"concat(substr({s}, 8, 4), '-', CASE lower(substr({s}, 4, 3)) {months} END, '-', "
+                f"substr({s}, 1, 2))")
+    return s
+
 
 def sql_str(s: str) -> str:
     """A Spark SQL string literal."""
@@ -112,9 +129,9 @@ def int_expr(name: str, stripped: bool = False) -> Column:
 def timestamp_expr(name: str, stripped: bool = False) -> Column:
     """``parse_timestamp`` of a named column as one SQL expression."""
     s = sql_col(name) if stripped else strip_sql(name)
-    tries = ", ".join(f"CASE WHEN {s} RLIKE {sql_str(shape)} THEN try_to_timestamp({s}, {sql_str(fmt)}) END"
+    tries = ", ".join(f"CASE WHEN {s} RLIKE {sql_str(shape)} THEN try_cast({_iso_sql(fmt, s)} AS TIMESTAMP_NTZ) END"
                       for fmt, shape in TIMESTAMP_FORMATS)
-    return F.expr(f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)")
+    return F.expr(f"coalesce({tries})")
 
 
 def bool_expr(name: str) -> Column:
@@ -237,8 +254,24 @@ def date_like(c: Column) -> Column:
 def parse_timestamp(c: Column, stripped: bool = False) -> Column:
     """Text → TIMESTAMP_NTZ trying the fixed layouts in order; failures are null."""
     s = c if stripped else strip_ws(c)
-    tries = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for fmt, shape in TIMESTAMP_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    tries = []
+    for fmt, shape in TIMESTAMP_FORMATS:
+        if fmt.startswith("MM/dd/yyyy"):
+            iso = F.regexp_replace(s, r"^(\d{2})/(\d{2})/(\d{4})", "$3-$1-$2")
+        elif fmt == "yyyy/MM/dd":
+            iso = F.regexp_replace(s, "/", "-")
+        elif fmt == "dd-MMM-yyyy":
+            month = F.lower(F.substring(s, 4, 3))
+            num = None
+            for i, m in enumerate(MONTH_ABBREVIATIONS):
+                num = (F.when(month == m, F.lit(f"{i + 1:02d}")) if num is None
+                       else num.when(month == m, F.lit(f"{i + 1:02d}")))
+            iso = F.concat(F.substring(s, 8, 4), F.lit("-"), num, F.lit("-"), F.substring(s, 1, 2))
+        else:
+            iso = s
+        # a time-zone-free parse: the wall-clock text becomes the timestamp as written
+        tries.append(F.when(s.rlike(shape), iso.try_cast("timestamp_ntz")))
+    return F.coalesce(*tries)
 
 
 def to_bool(c: Column, dt: T.DataType) -> Column:

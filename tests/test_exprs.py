@@ -65,3 +65,16 @@ def test_timestamp_layouts(spark):
     assert [g.isoformat() if g else None for g in got] == [
         "2024-01-02T00:00:00", "2024-01-02T03:04:05", "2024-01-02T00:00:00", "2024-01-02T00:00:00",
         "2024-03-05T00:00:00", None, None, None]
+
+
+def test_timestamp_parse_ignores_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = _one_col(spark, ["2024-03-10 02:30", "03/10/2024 02:30:00", "10-Mar-2024"])
+        got = [r[0] for r in df.orderBy("row_id").select(X.parse_timestamp(F.col("v"))).collect()]
+        sql = [r[0] for r in df.orderBy("row_id").select(X.timestamp_expr("v")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [g.isoformat() for g in got] == ["2024-03-10T02:30:00", "2024-03-10T02:30:00", "2024-03-10T00:00:00"]
+    assert got == sql
