@@ -79,3 +79,10 @@ def test_csv_and_report_sinks(spark, tmpdir_path):
     assert json_safe(df).where("x is null").count() == 1
     write_report({"summary": df}, os.path.join(tmpdir_path, "rep"))
     assert spark.read.json(os.path.join(tmpdir_path, "rep", "summary")).count() == 2
+
+
+def test_json_lines_and_key(spark, tmpdir_path):
+    p = _write(tmpdir_path, "t.jsonl", b'{"id": 7, "b": "x"}\n{"id": 9, "b": null}\n')
+    r = read_table(spark, p, key="id")
+    assert r.df.columns[0] == "row_id"
+    assert sorted((x["row_id"], x["b"]) for x in r.df.collect()) == [(7, "x"), (9, None)]
