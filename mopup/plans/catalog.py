@@ -318,6 +318,24 @@ def q_lineitem_quality(spark, sf):
     return Q.components(li)
 
 
+STREAM_OPTS = dict(trim_whitespace=True, missing_strategy="drop", dtype_map={"nation_txt": "numeric"},
+                   column_renames={"mkt_segment": "segment"}, drop_selected_columns=["notes", "unnamed:_8"])
+
+
+def q_stream_clean(spark, sf):
+    """The row-local steps on a Structured Streaming file source over the customer
+    table: C1, C2, C5, C6, C8b, C9, C16 per micro-batch into a Parquet sink."""
+    import os
+    from ..session import scratch_path
+    from ..streaming.narrow import clean_stream, run_to_table
+    from .fixtures import view_sql
+    schema = spark.read.parquet(os.path.join(sf, "customer.parquet")).schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf))
+    src.createOrReplaceTempView("customer")
+    stream = clean_stream(spark.sql(view_sql("customer_dirty")), scoped(**STREAM_OPTS))
+    return run_to_table(stream, scratch_path(spark, "stream_clean"))
+
+
 def q_dedupe_text(spark, sf):
     return TR.dedupe(doct(spark, sf), ["text"])
 
@@ -385,4 +403,5 @@ QUERIES = {
     "dedupe_text": q_dedupe_text,
     "read_csv_roundtrip": q_read_csv_roundtrip,
     "lineitem_quality": q_lineitem_quality,
+    "stream_clean": q_stream_clean,
 }

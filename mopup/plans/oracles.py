@@ -372,6 +372,16 @@ from ({score_sql('customer_dirty', CUST)}) b, ({score_sql('s4', CUST_CLEANED)})
         "select cast(0 as bigint) as failed_operations, cast(100.0 as double) as completeness "
         "from (select count(*) from customer_dirty)")
     o["clean_minimal"] = _cust(CUST_C1N)
+    keep = [n for n, _ in CUSTN if n not in ("notes", "unnamed:_8")]
+
+    def streamed(n):
+        x = strip(qi(n)) if dict(CUSTN)[n] == "t" else qi(n)
+        return parse_num(x) if n == "nation_txt" else x
+    o["stream_clean"] = _cust(
+        "select * from (select row_id, " + ", ".join(
+            f"{streamed(n)} as {qi('segment' if n == 'mkt_segment' else n)}" for n in keep)
+        + " from c1n) where " + " and ".join(
+            f"{qi('segment' if n == 'mkt_segment' else n)} is not null" for n in keep), ("c1n", CUST_C1N))
     na = f"in ({inlist(tokens.READ_NA_TOKENS)})"
     o["read_csv_roundtrip"] = _cust(f"""
 select row_id, "Name", case when "Mkt Segment" {na} then null else "Mkt Segment" end as "Mkt Segment",

@@ -3,7 +3,8 @@
 Only the row-local steps run unchanged on an unbounded input: placeholder
 replacement (C1), name normalisation (C2), manual renames (C5), trimming (C6),
 dropping chosen columns (C9), explicit conversions whose target type is given
-(C8b-C8f), and dropping rows with gaps (C16).  Steps that need statistics of
+(C8b-C8f; only the listed columns — the batch rule that unlisted columns are
+``auto`` needs statistics of the whole table), and dropping rows with gaps (C16).  Steps that need statistics of
 the whole table (auto type decisions, empty/constant columns, dedupe, fills,
 outliers, encoding) are refused rather than silently approximated.
 
@@ -55,6 +56,16 @@ def clean_stream(df: DataFrame, options: CleanOptions | dict | None = None, key:
     return w
 
 
+def run_to_table(stream_df: DataFrame, path: str) -> DataFrame:
+    """Run an append-mode stream over everything available now into a Parquet table
+    at ``path`` (checkpoint next to it, on shared storage), then read the table."""
+    q = (stream_df.writeStream.format("parquet").option("path", f"{path}/data")
+         .option("checkpointLocation", f"{path}/_checkpoint").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return stream_df.sparkSession.read.parquet(f"{path}/data")
+
+
 def running_profile(df: DataFrame, key: str = TR.KEY, analyze: bool = True) -> DataFrame:
     """Stateful global aggregate: rows seen and missing cells per column (after the
     profiling placeholder set), for ``outputMode("complete")`` or ``"update"``."""
