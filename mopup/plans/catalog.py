@@ -336,6 +336,17 @@ def q_stream_clean(spark, sf):
     return run_to_table(stream, scratch_path(spark, "stream_clean"))
 
 
+def q_stream_profile(spark, sf):
+    """P1/P6 counts kept as streaming state over a file source of the customer table."""
+    import os
+    from ..streaming.narrow import run_profile, running_profile
+    from .fixtures import view_sql
+    schema = spark.read.parquet(os.path.join(sf, "customer.parquet")).schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf))
+    src.createOrReplaceTempView("customer")
+    return run_profile(running_profile(spark.sql(view_sql("customer_dirty"))))
+
+
 def q_dedupe_text(spark, sf):
     return TR.dedupe(doct(spark, sf), ["text"])
 
@@ -404,4 +415,5 @@ QUERIES = {
     "read_csv_roundtrip": q_read_csv_roundtrip,
     "lineitem_quality": q_lineitem_quality,
     "stream_clean": q_stream_clean,
+    "stream_profile": q_stream_profile,
 }

@@ -372,6 +372,10 @@ from ({score_sql('customer_dirty', CUST)}) b, ({score_sql('s4', CUST_CLEANED)})
         "select cast(0 as bigint) as failed_operations, cast(100.0 as double) as completeness "
         "from (select count(*) from customer_dirty)")
     o["clean_minimal"] = _cust(CUST_C1N)
+    o["stream_profile"] = _cust(
+        "select cast(count(*) as bigint) as rows, " + ", ".join(
+            f"{cif(qi(n) + ' is null')} as {qi('missing__' + normalize_name(n))}" for n, _ in CUST)
+        + " from a", ("a", f"select row_id, {sel(CUST, c1_cols(CUST, tokens.PH_ANALYZE))} from customer_dirty"))
     keep = [n for n, _ in CUSTN if n not in ("notes", "unnamed:_8")]
 
     def streamed(n):

@@ -66,6 +66,18 @@ def run_to_table(stream_df: DataFrame, path: str) -> DataFrame:
     return stream_df.sparkSession.read.parquet(f"{path}/data")
 
 
+def run_profile(agg_stream: DataFrame) -> DataFrame:
+    """Run a one-row streaming aggregate (``running_profile``) over everything
+    available now in complete mode.  The result table is one row by construction,
+    so the in-memory sink is bounded; it is returned as a batch DataFrame."""
+    import uuid
+    name = f"mopup_profile_{uuid.uuid4().hex}"
+    q = (agg_stream.writeStream.format("memory").queryName(name).outputMode("complete")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return agg_stream.sparkSession.table(name)
+
+
 def running_profile(df: DataFrame, key: str = TR.KEY, analyze: bool = True) -> DataFrame:
     """Stateful global aggregate: rows seen and missing cells per column (after the
     profiling placeholder set), for ``outputMode("complete")`` or ``"update"``."""
