@@ -57,3 +57,19 @@ def test_quantiles_tiny_and_empty(spark):
     assert q["x"][0.25] == 5.0 and q["x"][0.75] == 5.0
     e = df.where(F.col("x") > 100)
     assert stats.quantiles(e, ["x"])["x"][0.25] is None
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(vals=st.lists(st.one_of(st.integers(-5, 5).map(float),
+                               st.floats(-1e6, 1e6, allow_nan=False, allow_infinity=False)),
+                     min_size=1, max_size=400),
+       accuracy=st.sampled_from([20, 100, 10000]), cap=st.sampled_from([3, 50, 200_000]))
+def test_exact_quantiles_property(spark, vals, accuracy, cap):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "row_id bigint, x double").repartition(3)
+    q = stats.quantiles(df, ["x"], probs=(0.25, 0.5, 0.75), accuracy=accuracy, cap=cap)
+    for p in (0.25, 0.5, 0.75):
+        assert q["x"][p] == pytest.approx(_np_q(vals, p), rel=1e-12, abs=1e-9)
