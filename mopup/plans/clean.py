@@ -4,12 +4,14 @@ frames (A1, A2, A5), all as DataFrames.
 Phases and barriers (what must be known before the plan can be built):
 
 * A  C1-C6: narrow projections, no job.
-* B  type decisions (C7/C8) — one fused aggregate of parse counts; then
-     emptiness / constancy (C10/C11) — one aggregate of count/min/max.
+* B  type decisions (C7/C8) and emptiness / constancy (C10/C11) — one fused
+     aggregate over every form a column may take (raw, parsed number, parsed
+     timestamp, explicit target); a second one only for an unforeseen chain.
 * C  C12 dedupe: hash aggregate (partial aggregation map-side).
 * D  C13 removal by key: hash-set filter.
 * E  C14/C15 bounds: distributed exact quantiles (or approx).
-* F  C16-C18: one stats aggregate, (column, value) counts for modes.
+* F  C16-C18: one gap-statistics aggregate shared by both fills, (column, value)
+     counts for modes of the text columns that have gaps.
 * G  C19: bounded dictionaries.
 
 When E-G need several passes over the deduplicated table, it is staged once
