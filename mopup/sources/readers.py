@@ -127,8 +127,13 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     # shorter lines are kept with the missing cells null
     wide = T.StructType(fields + [T.StructField("_extra", T.StringType(), True)])
     extra = F.from_csv(F.col(CORRUPT), wide.simpleString(), {"sep": sep, "escape": '"'})["_extra"]
-    too_long = F.col(CORRUPT).isNotNull() & extra.isNotNull()
-    good = raw.where(~too_long | F.col(CORRUPT).isNull()).select(
+    # the predicate reads every parsed field (in a form the optimizer cannot fold
+    # away): with CSV column pruning, whether a line counts as malformed depends on
+    # the columns a query needs, and a scan of the corrupt-record column alone is
+    # refused; reading all fields makes both frames the same for any later query
+    touch = F.length(F.concat_ws("", *[F.col(f"_f{i}") for i in range(len(names))])) >= 0
+    too_long = F.col(CORRUPT).isNotNull() & extra.isNotNull() & touch
+    good = raw.where(~too_long).select(
         *[_na_to_null(F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)])
     # the parsed fields ride along: Spark refuses a query on the corrupt column alone
     rejects = raw.where(too_long).select(F.col(CORRUPT).alias("line"),

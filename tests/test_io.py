@@ -86,3 +86,10 @@ def test_json_lines_and_key(spark, tmpdir_path):
     r = read_table(spark, p, key="id")
     assert r.df.columns[0] == "row_id"
     assert sorted((x["row_id"], x["b"]) for x in r.df.collect()) == [(7, "x"), (9, None)]
+
+
+def test_rejects_same_for_any_column_selection(spark, tmpdir_path):
+    p = _write(tmpdir_path, "r.csv", b"a,b\n1,2\n3,4,5\n6,7\n8\n")
+    r = read_table(spark, p, infer=False)
+    assert r.rejects.count() == 1 and len(r.rejects.collect()) == 1
+    assert r.df.count() == 3 and r.df.select("a").count() == 3
