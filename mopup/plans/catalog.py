@@ -256,6 +256,13 @@ def q_detect_outliers(spark, sf):
     return O.detect_outliers(evg(spark, sf))
 
 
+def q_outlier_review(spark, sf):
+    """O2 as a review screen shows it: the first 100 flagged rows, column by column
+    then by row id (the cap is the feature: a top-k, not a sample)."""
+    rows, _ = O.outlier_listing(evg(spark, sf), max_rows=100)
+    return rows
+
+
 def q_remove_rows(spark, sf):
     return clean(evg(spark, sf), scoped(selected_outlier_rows=REMOVE_IDS)).df
 
@@ -402,6 +409,7 @@ QUERIES = {
     "numeric_issues": q_numeric_issues,
     "iqr_bounds": q_iqr_bounds,
     "detect_outliers": q_detect_outliers,
+    "outlier_review": q_outlier_review,
     "remove_rows": q_remove_rows,
     "outlier_remove": q_outlier_remove,
     "outlier_clip": q_outlier_clip,

@@ -535,6 +535,13 @@ from b""" for i, c in enumerate(nums)), ("e", "select * from events_gaps"), b)
 select row_id, case when {_flag('user_id')} then 'user_id' else 'value' end as {qi('column')},
   case when {_flag('user_id')} then cast(user_id as double) else value end as value
 from e, b where {_flag('user_id')} or {_flag('value')}""", ("e", evo), b)
+    o["outlier_review"] = w(f"""
+select row_id, {qi('column')}, value from (
+  select row_id, case when {_flag('user_id')} then 'user_id' else 'value' end as {qi('column')},
+    case when {_flag('user_id')} then cast(user_id as double) else value end as value,
+    case when {_flag('user_id')} then 0 else 1 end as pos
+  from e, b where {_flag('user_id')} or {_flag('value')})
+order by pos, row_id limit 100""", ("e", evo), b)
     o["remove_rows"] = w(f"select * from e where row_id not in ({', '.join(str(i) for i in REMOVE_IDS)})",
                          ("e", evc1))
     o["outlier_remove"] = w(f"select e.* from e, b where not ({_flag('user_id')} or {_flag('value')})",
