@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats
+from .decontaminate import find_items
 from .mixing import mix
+from .ngram_join import near_duplicates
 from .pii import KINDS as PII_KINDS
 from .pii import pseudonymize
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
+from .toxicity import score_texts, train
 from .url_filter import filter_urls
 
 
@@ -19,16 +23,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
                         "spans", "n_layers", "n_unread")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_texts(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), with_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -44,8 +61,44 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Tools of the calls that ``tool_view`` makes.
+TOOLS = {
+    "measure": {"type": "object", "required": ["chars", "role"], "additionalProperties": False, "properties": {
+        "chars": {"type": "integer", "minimum": 1}, "role": {"type": "string", "enum": ["user"]}}},
+    "answer": {"type": "object", "required": ["after"], "properties": {"after": {"type": "object"}, "turn": {
+        "type": "integer", "maximum": 6}}},
+}
+
+
+def tool_view(conversations: DataFrame) -> DataFrame:
+    """The conversations with tool traffic made from them: each user turn is followed by an assistant
+    message with two calls, the second named first and waiting for the other's result, and each
+    assistant turn is followed by the result of the turn before it.  All given rows stay."""
+    base = conversations.select("conv_id", (F.col("turn") * 3).alias("turn"), "role", "text")
+    name = F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"))
+    first, second = F.concat(name, F.col("turn"), F.lit("a")), F.concat(name, F.col("turn"), F.lit("b"))
+    calls = F.concat(
+        F.lit('{"tool_calls":[{"id":"'), second, F.lit('","name":"answer","arguments":{"turn":'), F.col("turn"),
+        F.lit(',"after":{"$ref":"'), first, F.lit('"}}},{"id":"'), first,
+        F.lit('","name":"measure","arguments":{"role":"user","chars":'),
+        F.coalesce(F.length("text"), F.lit(0)), F.lit("}}]}"))
+    result = F.concat(F.lit('{"tool_call_id":"'), name, F.col("turn") - 1, F.lit('b","content":'),
+                      F.coalesce(F.length("text"), F.lit(0)), F.lit("}"))
+    made = conversations.filter("role = 'user'").select(
+        "conv_id", (F.col("turn") * 3 + 1).alias("turn"), F.lit("assistant").alias("role"), calls.alias("text"))
+    answers = conversations.filter("role = 'assistant'").select(
+        "conv_id", (F.col("turn") * 3 + 1).alias("turn"), F.lit("tool").alias("role"), result.alias("text"))
+    return base.unionByName(made).unionByName(answers)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(tool_view(_table(spark, sf_dir, "conversations")), TOOLS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op5_mix_sources, op7_quality_rules, op8_pseudonymize, op9_url_filter)
+    f.__name__: f for f in (
+        op1_ngram_join, op2_secret_scan, op3_decontaminate, op5_mix_sources, op6_toxicity, op7_quality_rules,
+        op8_pseudonymize, op9_url_filter, op10_chat_format)
 }
 
 ORACLES: dict[str, str] = {}
