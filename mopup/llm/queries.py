@@ -15,6 +15,7 @@ from .pii import KINDS as PII_KINDS
 from .pii import pseudonymize
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
+from .substring_dedup import remove_repeats
 from .toxicity import score_texts, train
 from .url_filter import filter_urls
 
@@ -37,6 +38,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -97,7 +102,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_join, op2_secret_scan, op3_decontaminate, op5_mix_sources, op6_toxicity, op7_quality_rules,
+        op1_ngram_join, op2_secret_scan, op3_decontaminate, op4_substring_dedup, op5_mix_sources, op6_toxicity, op7_quality_rules,
         op8_pseudonymize, op9_url_filter, op10_chat_format)
 }
 
