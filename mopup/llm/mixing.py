@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import saved
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
@@ -165,6 +167,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return everything
 
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+              copy_col: str = "copy", **options) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it: all columns, and ``copy`` counted from 1.
+    Rows taken 0 times go.  Rows that repeat id, source and size share their decisions out."""
+    key, taken, turn = "__mopup_key", "__mopup_taken", "__mopup_turn"
+    decided = saved(mix(docs, id_col, source_col, text_col, **options))
+    shares = decided.select(F.struct(F.col(id_col).alias("i"), F.col("source").alias("s"), F.col("size").alias("n")).alias(key),
+                            "copies").groupBy(key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(taken))
+    named = docs.withColumn(key, F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"),
+                                          n_words(F.col(text_col)).alias("n")))
+    joined = named.join(shares.filter(F.element_at(taken, 1) > 0), key)
+    turned = joined.withColumn(turn, F.when(F.size(taken) > 1, F.row_number().over(
+        W.partitionBy(key).orderBy(key))).otherwise(F.lit(1)))
+    copies = F.sequence(F.lit(1), F.element_at(F.col(taken), F.col(turn)))
+    some = turned.filter(F.element_at(F.col(taken), F.col(turn)) > 0)
+    return some.withColumn(copy_col, F.explode(copies)).drop(key, taken, turn)
+
+
 def _levels(targets: DataFrame, block: int) -> int:
     """Levels of the tree over the largest source."""
     most = targets.agg(F.max("source_rows")).first()[0] or 1

@@ -256,3 +256,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = own.join(final, own["class_id"] == final["rep"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("component", "class_id").alias("component_id"), "class_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; all columns pass on.
+    Of rows that repeat an id one stays; rows with a null id and documents without words all stay."""
+    found = saved(near_duplicates(docs, id_col, text_col, words, percent))
+    by_id = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__mopup_id")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component"), F.max("n_shingles").alias("size"))
+    copies = by_id.filter("component <> __mopup_id").select("__mopup_id")
+    kept = docs.join(copies, F.col(id_col) == F.col("__mopup_id"), "left_anti")
+    repeated = by_id.filter("rows > 1 and component = __mopup_id and size > 0").select("__mopup_id")
+    if repeated.isEmpty():
+        return kept
+    same = F.col(id_col) == F.col("__mopup_id")
+    return kept.join(repeated, same, "left_anti").unionByName(
+        kept.join(repeated, same, "left_semi").dropDuplicates([id_col]))

@@ -152,27 +152,49 @@ def score_texts(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", te
     schema = T.StructType([docs.schema[c] for c in (id_col, *keep)] + [
         T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()),
         T.StructField("toxic", T.BooleanType())])
-    weights = model.weights
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, tuple[int, ...]] = {}
+        scorer = _Scorer(model)
         for batch in batches:
-            severity, p_toxic = [], []
-            for x in binaries(batch.column(batch.num_columns - 1)):
-                words = set(split_words(lower_ascii(nulls_to_empty(x.as_py()))))
-                features: set[int] = set()
-                for w in words:
-                    if (hit := cache.get(w)) is None:
-                        if len(cache) >= _CACHE:
-                            cache.clear()
-                        hit = cache[w] = tuple(f for f in word_features(w) if f in weights)
-                    if hit:
-                        features.update(hit)
-                p = model.at_least(sum(weights[f] for f in sorted(features))) if words and weights else []
-                severity.append(sum(p))
-                p_toxic.append(p[0] if p else 0.0)
+            p = [scorer(nulls_to_empty(x.as_py())) for x in binaries(batch.column(batch.num_columns - 1))]
+            p_toxic = [v[0] if v else 0.0 for v in p]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(severity, pa.float64()), pa.array(p_toxic, pa.float64()),
+                [*batch.columns[:-1], pa.array([float(sum(v)) for v in p], pa.float64()), pa.array(p_toxic, pa.float64()),
                  pa.array([v >= threshold for v in p_toxic], pa.bool_())], names=schema.names)
 
     return docs.select(id_col, *keep, text_col).mapInArrow(judge, schema)
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that ``score_texts`` calls toxic; all columns pass on and nothing is
+    shuffled.  Null and empty texts stay."""
+    at = docs.columns.index(text_col)
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
+        for batch in batches:
+            p = [scorer(nulls_to_empty(x.as_py())) for x in binaries(batch.column(at))]
+            yield batch.filter(pa.array([not v or v[0] < threshold for v in p], pa.bool_()))
+
+    return docs.mapInArrow(drop, docs.schema)
+
+
+class _Scorer:
+    """P(grade >= k) of texts; words met before are looked up."""
+
+    def __init__(self, model: OrdinalModel):
+        self.model, self.cache = model, {}
+
+    def __call__(self, data: bytes) -> list[float]:
+        weights, cache = self.model.weights, self.cache
+        words = set(split_words(lower_ascii(data)))
+        if not words or not weights:
+            return []
+        features: set[int] = set()
+        for w in words:
+            if (hit := cache.get(w)) is None:
+                if len(cache) >= _CACHE:
+                    cache.clear()
+                hit = cache[w] = tuple(f for f in word_features(w) if f in weights)
+            if hit:
+                features.update(hit)
+        return self.model.at_least(sum(weights[f] for f in sorted(features)))
