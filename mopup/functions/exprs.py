@@ -6,6 +6,8 @@ functions, so the operators that use them stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,7 @@ WHITESPACE = "".join(chr(c) for c in WHITESPACE_CODEPOINTS)
 # A plain decimal number as the strict text-to-number parse accepts it.
 NUMBER_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INT_RE = r"^[+-]?[0-9]+$"
+EXACT_DOUBLE = 1 << 53  # every integer up to it has a DOUBLE of its own
 THOUSANDS_DOT_RE = r"^-?\d{1,3}(\.\d{3})+(\.\d+)?$"
 CURRENCY_WS_RE = r"(?U)[$€£₹,\s\x{1c}-\x{1f}]"
 
@@ -45,6 +48,10 @@ TIMESTAMP_FORMATS = [
 MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september",
+               "october", "november", "december"]
+
+
 def _iso_sql(fmt: str, s: str) -> str:
     """SQL rewriting a text of layout ``fmt`` (shape already checked) to ISO text,
     so that a time-zone-free ``try_cast(... AS TIMESTAMP_NTZ)`` parses it."""
@@ -131,7 +138,7 @@ def timestamp_expr(name: str, stripped: bool = False) -> Column:
     s = sql_col(name) if stripped else strip_sql(name)
     tries = ", ".join(f"CASE WHEN {s} RLIKE {sql_str(shape)} THEN try_cast({_iso_sql(fmt, s)} AS TIMESTAMP_NTZ) END"
                       for fmt, shape in TIMESTAMP_FORMATS)
-    return F.expr(f"coalesce({tries})")
+    return F.coalesce(F.expr(f"coalesce({tries})"), _parse_loose_timestamp(F.expr(s)))
 
 
 def bool_expr(name: str) -> Column:
@@ -271,7 +278,51 @@ def parse_timestamp(c: Column, stripped: bool = False) -> Column:
             iso = s
         # a time-zone-free parse: the wall-clock text becomes the timestamp as written
         tries.append(F.when(s.rlike(shape), iso.try_cast("timestamp_ntz")))
-    return F.coalesce(*tries)
+    return F.coalesce(*tries, _parse_loose_timestamp(s))
+
+
+# A date, then perhaps a time with seconds, fractions, AM/PM and a zone offset.
+_DATE_RES = {
+    "ymd": r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})",
+    "mdy": r"(\d{1,2})/(\d{1,2})/(\d{4})",
+    "Mdy": r"([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})",
+    "dMy": r"(\d{1,2})[- ]([A-Za-z]{3,9})\.?,?[- ](\d{4})",
+}
+_TIME_RE = (r"(?:(?:[T ]|, ) *(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(?: *([AaPp][Mm]))?"
+            r"(?: *(?:[Zz]|(?:UTC|GMT)?([+-]\d{2}):?(\d{2})?|UTC|GMT))?)?")
+
+
+def _parse_loose_timestamp(s: Column) -> Column:
+    """Text → TIMESTAMP_NTZ for dates without leading zeros, with month names, fractions of a second, AM
+    or PM, or a zone offset; a time with an offset becomes that of UTC.  Slashes read month first."""
+    out = F.lit(None).cast("timestamp_ntz")
+    two = lambda x: F.lpad(x, 2, "0")
+    for kind, date_re in _DATE_RES.items():
+        whole = f"^{date_re}{_TIME_RE}$"
+        g = [F.regexp_extract(s, whole, i) for i in range(1, 11)]
+        part = dict(zip(kind, g))
+        month = part.get("m", part.get("M"))
+        if "M" in kind:
+            short = F.lower(F.substring(month, 1, 3))
+            at = F.array_position(F.array(*lits(MONTH_ABBREVIATIONS)), short)
+            named = F.array(*[F.lit(m) for m in MONTH_NAMES])
+            right = (F.length(month) == 3) | F.array_contains(named, F.lower(month))
+            month = F.when((at > 0) & right, at.cast("string"))
+        hour, minute, second, fraction, half, oh, om = g[3:]
+        h = hour.try_cast("int")
+        h = (F.when(half == "", h).when((h < 1) | (h > 12), F.lit(None))
+             .when(F.lower(half) == "am", h % 12).otherwise(h % 12 + 12))
+        clock = F.when(hour == "", F.lit("")).otherwise(F.concat(
+            F.lit("T"), two(h.cast("string")), F.lit(":"), minute, F.lit(":"),
+            F.when(second == "", F.lit("00")).otherwise(second), F.substring(fraction, 1, 7)))
+        iso = F.concat(part["y"], F.lit("-"), two(month), F.lit("-"), two(part["d"]), clock)
+        shift = F.when(oh == "", F.lit(0)).otherwise(
+            oh.try_cast("int") * 60
+            + F.when(F.startswith(oh, F.lit("-")), -1).otherwise(1) * F.coalesce(om.try_cast("int"), F.lit(0)))
+        wall = iso.try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), shift)
+        out = F.when(s.rlike(whole), wall).otherwise(out)
+    # most texts have neither shape: one cheap test spares them the four
+    return F.when(s.rlike(r"^[0-9A-Za-z]{1,9}[-/. ]"), out)
 
 
 def to_bool(c: Column, dt: T.DataType) -> Column:
@@ -294,14 +345,6 @@ def coerce_numeric_like(c: Column, dt: T.DataType) -> Column:
     return F.when(s.rlike(NUMBER_RE), s.try_cast("double"))
 
 
-def has_digit(c: Column) -> Column:
-    return c.rlike(r"[0-9]")
-
-
-def has_alpha(c: Column) -> Column:
-    return c.rlike(r"[A-Za-z]")
-
-
 def balanced(exprs: list[Column], op) -> Column:
     """Combine many per-column expressions as a balanced tree (depth log2 n), so
     that a table with hundreds of columns does not build an expression hundreds of
@@ -324,11 +367,7 @@ def all_of(exprs: list[Column]) -> Column:
     return balanced(exprs, lambda a, b: a & b) if exprs else F.lit(True)
 
 
-def count_if(pred: Column) -> Column:
-    return F.sum(F.when(pred, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
-
-
 def normalize_name(name: str) -> str:
-    """Column-name normalisation: strip, lower, space → '_', each non-ASCII char → '_'."""
-    nc = str(name).strip().lower().replace(" ", "_")
-    return "".join(ch if ord(ch) < 128 else "_" for ch in nc)
+    """Column-name normalisation: the stripped name in lower case, with an underscore in place of each
+    blank and of each character that ASCII lacks."""
+    return re.sub(r"[ \u0080-\U0010ffff]", "_", f"{name}".strip().lower())

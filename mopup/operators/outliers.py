@@ -8,32 +8,37 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.exprs import col
 from . import stats
-from .transforms import KEY, _select_replacing, numeric_columns, replace_placeholders
+from .transforms import KEY, _select_replacing, numeric_columns, replace_placeholders, row_data
 
 
 def iqr_bounds(df: DataFrame, cols: list[str] | None = None, multiplier: float = 1.5,
                method: str = "exact", key: str = KEY) -> dict:
-    """O1: {col: {n, q1, q3, lower, upper}} (None bounds for columns without values)."""
+    """O1: {col: {n, min, max, q1, q3, lower, upper}} (None bounds for columns without values)."""
     cols = numeric_columns(df, key) if cols is None else cols
     q = stats.quantiles(df, cols, probs=(0.25, 0.75), method=method)
     out = {}
     for c in cols:
         q1, q3 = q[c][0.25], q[c][0.75]
         if q1 is None:
-            out[c] = {"n": q[c]["n"], "q1": None, "q3": None, "lower": None, "upper": None}
+            out[c] = {"n": q[c]["n"], "min": None, "max": None, "q1": None, "q3": None, "lower": None, "upper": None}
             continue
         iqr = q3 - q1
-        out[c] = {"n": q[c]["n"], "q1": q1, "q3": q3,
+        out[c] = {"n": q[c]["n"], "min": q[c]["min"], "max": q[c]["max"], "q1": q1, "q3": q3,
                   "lower": q1 - multiplier * iqr, "upper": q3 + multiplier * iqr}
     return out
 
 
 def outlier_flag(c: str, b: dict) -> Column:
-    """True when the value lies outside the bounds; null values are never outliers."""
+    """True when the value lies outside the bounds; nulls and NaN are never outliers."""
     if b.get("lower") is None:
         return F.lit(False)
     x = col(c)
-    return F.coalesce((x < F.lit(b["lower"])) | (x > F.lit(b["upper"])), F.lit(False))
+    outside = (x < F.lit(b["lower"])) | ((x > F.lit(b["upper"])) & ~F.isnan(x.cast("double")))
+    return F.coalesce(outside, F.lit(False))
+
+
+def has_outliers(b: dict) -> bool:
+    return b.get("lower") is not None and (b["min"] < b["lower"] or b["max"] > b["upper"])
 
 
 def bounds_frame(df: DataFrame, bounds: dict, with_counts: bool = True) -> DataFrame:
@@ -53,21 +58,21 @@ def bounds_frame(df: DataFrame, bounds: dict, with_counts: bool = True) -> DataF
     return bf.join(F.broadcast(counts), "position").orderBy("position")
 
 
-def detect_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact",
-                    key: str = KEY, include_row_data: bool = False) -> DataFrame:
+def detect_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact", key: str = KEY,
+                    include_row_data: bool = False, bounds: dict | None = None) -> DataFrame:
     """O2: every row flagged by some numeric column, reported once with the first
-    flagging column (in column order): (row_id, column, value[, row_data]).
+    flagging column (in column order): (row_id, column, value[, row_data]), ``row_data`` being a map
+    from column to text, empty for missing cells.  ``bounds`` are computed where not given.
     No cap: the listing cap belongs to the presentation layer."""
     df = replace_placeholders(df, key, vocab="outlier")
     cols = numeric_columns(df, key)
-    b = iqr_bounds(df, cols, multiplier, method, key)
+    b = bounds or iqr_bounds(df, cols, multiplier, method, key)
     if not cols:
         return df.sparkSession.createDataFrame([], f"{key} bigint, column string, value double")
     hits = F.array_compact(F.array(*[
         F.when(outlier_flag(c, b[c]), F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")))
         for c in cols]))
-    extra = [F.to_json(F.struct(*[col(c) for c in df.columns if c != key])).alias("row_data")] \
-        if include_row_data else []
+    extra = [row_data(df, key).alias("row_data")] if include_row_data else []
     out = (df.select(col(key).cast("bigint").alias(key), F.get(hits, 0).alias("_h"), *extra)
            .where(F.col("_h").isNotNull()))
     return out.select(key, "_h.column", "_h.value", *(["row_data"] if include_row_data else []))
@@ -78,15 +83,14 @@ def outlier_listing(df: DataFrame, multiplier: float = 1.5, method: str = "exact
     """O2 for review screens: (rows, summary).  ``rows`` lists flagged rows in the
     order a reviewer walks them (column by column, then by row id), capped at
     ``max_rows`` when given (a top-k, not a sample); ``summary`` is one row with
-    columns_checked, total_rows and total_cells over the whole table."""
-    flagged = detect_outliers(df, multiplier, method, key)
+    columns_checked, total_rows and total_cells over the whole table.  Both use one set of bounds."""
+    clean_df = replace_placeholders(df, key, vocab="outlier")
     cols = numeric_columns(df, key)
+    b = iqr_bounds(clean_df, cols, multiplier, method, key)
+    rows = detect_outliers(df, multiplier, method, key, bounds=b)
     pos = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))]) if cols else None
-    rows = flagged
     if max_rows is not None and cols:
-        rows = flagged.orderBy(pos[F.col("column")], F.col(key)).limit(int(max_rows))
-    clean_df = replace_placeholders(df, key, vocab="outlier")
-    b = iqr_bounds(clean_df, cols, multiplier, method, key)
+        rows = rows.orderBy(pos[F.col("column")], F.col(key)).limit(int(max_rows))
     cells = X.sum_all([F.when(outlier_flag(c, b[c]), 1).otherwise(0) for c in cols])
     summary = clean_df.agg(F.count(F.when(cells > 0, 1)).cast("bigint").alias("total_rows"),
                            F.coalesce(F.sum(cells), F.lit(0)).cast("bigint").alias("total_cells")).select(
@@ -107,13 +111,14 @@ def remove_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact
 
 
 def clip_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact", key: str = KEY):
-    """Clamp each numeric column into its bounds; nulls stay null."""
+    """Clamp each numeric column with outliers into its bounds; nulls and NaN stay, and so do the
+    columns without outliers, type included (a clamped integer column turns DOUBLE)."""
     b = iqr_bounds(df, None, multiplier, method, key)
     new = {}
     for c, bb in b.items():
-        if bb["lower"] is None:
+        if not has_outliers(bb):
             continue
-        x = col(c)
-        new[c] = F.when(x.isNull(), x).otherwise(
+        x = col(c).cast("double")
+        new[c] = F.when(x.isNull() | F.isnan(x), x).otherwise(
             F.greatest(F.least(x, F.lit(bb["upper"])), F.lit(bb["lower"])))
     return _select_replacing(df, new), b

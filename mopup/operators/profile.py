@@ -10,7 +10,7 @@ from ..functions import tokens
 from ..functions import exprs as X
 from ..functions.exprs import col
 from ..functions.frames import agg_chunked, side_by_side
-from .transforms import KEY, data_columns, replace_placeholders
+from .transforms import KEY, data_columns, replace_placeholders, row_digest
 
 
 def analyzed(df: DataFrame, key: str = KEY) -> DataFrame:
@@ -38,9 +38,9 @@ def _long(df: DataFrame, key: str, counts: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame, key: str = KEY) -> DataFrame:
     """One row (rows, distinct_rows, duplicate_count); null equals null.
-    Hash aggregate on all data columns with partial aggregation."""
+    Rows meet by a 128-bit digest, combined map-side: no data column is shuffled."""
     cs = data_columns(df, key)
-    groups = df.groupBy(*[col(c) for c in cs]).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.select(*row_digest(df, cs)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"),
                       F.count(F.lit(1)).cast("bigint").alias("distinct_rows")).select(
         "rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicate_count"))
@@ -87,9 +87,10 @@ def missing_by_column(df: DataFrame, key: str = KEY, analyze: bool = True) -> Da
          .otherwise(F.round(F.col("missing") * 100.0 / F.col("rows"), 2)).alias("percent"))
 
 
-def missing_rows(df: DataFrame, key: str = KEY, analyze: bool = True) -> DataFrame:
-    """Rows with a missing cell: (row_id, missing_columns, missing_count)."""
-    from .transforms import missing_any, missing_list
+def missing_rows(df: DataFrame, key: str = KEY, analyze: bool = True, include_row_data: bool = False) -> DataFrame:
+    """Rows with a missing cell: (row_id, missing_columns, missing_count[, row_data]), ``row_data``
+    being a map from column to text, empty for missing cells."""
+    from .transforms import missing_any, missing_list, row_data
     a = analyzed(df, key) if analyze else df
     cs = data_columns(a, key)
     if not cs:
@@ -98,7 +99,8 @@ def missing_rows(df: DataFrame, key: str = KEY, analyze: bool = True) -> DataFra
     n = X.sum_all([F.when(col(c).isNull(), 1).otherwise(0) for c in cs])
     return a.where(missing_any(a, key)).select(
         col(key).cast("bigint").alias(key), missing_list(a, key).alias("missing_columns"),
-        n.cast("bigint").alias("missing_count"))
+        n.cast("bigint").alias("missing_count"),
+        *([row_data(a, key).alias("row_data")] if include_row_data else []))
 
 
 def unnamed_columns(df: DataFrame, key: str = KEY) -> DataFrame:

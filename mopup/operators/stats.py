@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from ..functions.frames import agg_chunked
 
 DEFAULT_ACCURACY = 10000
 DEFAULT_CAP = 200_000
@@ -61,10 +62,17 @@ def _ranks(p: float, n: int):
     return h, r0, r1
 
 
+def _number(c: str):
+    """The column as DOUBLE; NaN is a missing value."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75), method: str = "exact",
               accuracy: int = DEFAULT_ACCURACY, cap: int = DEFAULT_CAP) -> dict:
     """Return ``{col: {"n": count, p: value-or-None, ...}}``.
 
+    ``min`` and ``max`` come along.  NaN counts as missing.
     ``method="exact"`` matches linear interpolation exactly; ``"approx"`` uses a
     single ``percentile_approx`` pass (rank error ≤ n/accuracy).
     """
@@ -73,7 +81,7 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75), method: str =
     d = 3.0 / accuracy
     aggs = []
     for i, c in enumerate(cols):
-        x = col(c).cast("double")
+        x = _number(c)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
         if method == "approx":
             aggs.append(F.percentile_approx(x, list(probs), accuracy).alias(f"q{i}"))
@@ -82,12 +90,12 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75), method: str =
             for p in probs:
                 pts += [max(p - d, 0.0), min(p + d, 1.0)]
             aggs.append(F.percentile_approx(x, pts, accuracy).alias(f"q{i}"))
-    row = df.agg(*aggs).collect()[0]
+    row = agg_chunked(df, aggs).collect()[0]
     out: dict = {}
     items: list[_Item] = []
     for i, c in enumerate(cols):
         n = int(row[f"n{i}"])
-        res = {"n": n}
+        res = {"n": n, "min": row[f"mn{i}"], "max": row[f"mx{i}"]}
         out[c] = res
         qs = row[f"q{i}"]
         for j, p in enumerate(probs):
@@ -104,13 +112,10 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75), method: str =
     if method == "approx":
         return out
 
+    # each pass cuts a bracket to a few grid steps of what it held, or collects it
     pending = items
-    for _ in range(40):
-        if not pending:
-            break
+    while pending:
         pending = _narrow_or_collect(df, pending, accuracy, cap)
-    if pending:
-        raise RuntimeError("exact quantile did not converge; use method='approx'")
     for it in items:
         h, r0, r1 = it.ranks
         a, b = it.values[r0], it.values[r1]
@@ -123,11 +128,11 @@ def _narrow_or_collect(df: DataFrame, pending: list[_Item], accuracy: int, cap:
     values; others get counts and a tighter bracket for the next pass.  The cap
     per item shrinks with the number of items, so one pass never brings more than
     ``TOTAL_CAP`` values to the driver however many columns are asked for."""
-    cap = min(cap, max(2_000, TOTAL_CAP // max(len(pending), 1)))
+    cap = min(cap, max(1, TOTAL_CAP // max(len(pending), 1)))
     aggs = []
     small = []
     for k, it in enumerate(pending):
-        x = col(it.name).cast("double")
+        x = _number(it.name)
         lo, hi = F.lit(it.lo).cast("double"), F.lit(it.hi).cast("double")
         inner = (x > lo) & (x < hi)
         aggs += [
@@ -145,7 +150,7 @@ def _narrow_or_collect(df: DataFrame, pending: list[_Item], accuracy: int, cap:
             # known after this pass, so ask for a spread of points and pick later
             pts = [i / GRID for i in range(GRID + 1)]
             aggs.append(F.percentile_approx(F.when(inner, x), pts, accuracy).alias(f"g{k}"))
-    row = df.agg(*aggs).collect()[0]
+    row = agg_chunked(df, aggs).collect()[0]
     nxt = []
     for k, it in enumerate(pending):
         below, el, eh, m = (int(row[f"b{k}"]), int(row[f"el{k}"]),
@@ -194,6 +199,6 @@ def _narrow_or_collect(df: DataFrame, pending: list[_Item], accuracy: int, cap:
 
 
 def _full_range(df: DataFrame, name: str):
-    x = col(name).cast("double")
+    x = _number(name)
     r = df.agg(F.min(x), F.max(x), F.count(x)).collect()[0]
     return r[0], r[1], int(r[2])

@@ -320,38 +320,37 @@ def q_lineitem_quality(spark, sf):
     score needs no row identity (every count is over values), so no ids are built
     and nothing is staged: a scan, the quantile passes and one aggregate."""
     import os
-    from ..session import spread
-    li = spread(spark.read.parquet(os.path.join(sf, "lineitem.parquet")))
-    return Q.components(li)
+    return Q.components(spark.read.parquet(os.path.join(sf, "lineitem.parquet")))
 
 
 STREAM_OPTS = dict(trim_whitespace=True, missing_strategy="drop", dtype_map={"nation_txt": "numeric"},
                    column_renames={"mkt_segment": "segment"}, drop_selected_columns=["notes", "unnamed:_8"])
 
 
+def _customer_stream(spark, sf):
+    """The dirty customer view over a stream of the customer table, a file or a folder of files."""
+    import os
+    from .fixtures import view_sql
+    schema = spark.read.parquet(os.path.join(sf, "customer.parquet")).schema
+    # a pattern that fits just this name: a stream's plain path must be a folder
+    src = spark.readStream.schema(schema).parquet(os.path.join(sf, "customer.parque[t]"))
+    src.createOrReplaceTempView("customer_stream")
+    return spark.sql(view_sql("customer_dirty").replace("from customer", "from customer_stream"))
+
+
 def q_stream_clean(spark, sf):
     """The row-local steps on a Structured Streaming file source over the customer
     table: C1, C2, C5, C6, C8b, C9, C16 per micro-batch into a Parquet sink."""
-    import os
     from ..session import scratch_path
     from ..streaming.narrow import clean_stream, run_to_table
-    from .fixtures import view_sql
-    schema = spark.read.parquet(os.path.join(sf, "customer.parquet")).schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf))
-    src.createOrReplaceTempView("customer")
-    stream = clean_stream(spark.sql(view_sql("customer_dirty")), scoped(**STREAM_OPTS))
+    stream = clean_stream(_customer_stream(spark, sf), scoped(**STREAM_OPTS))
     return run_to_table(stream, scratch_path(spark, "stream_clean"))
 
 
 def q_stream_profile(spark, sf):
     """P1/P6 counts kept as streaming state over a file source of the customer table."""
-    import os
     from ..streaming.narrow import run_profile, running_profile
-    from .fixtures import view_sql
-    schema = spark.read.parquet(os.path.join(sf, "customer.parquet")).schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf))
-    src.createOrReplaceTempView("customer")
-    return run_profile(running_profile(spark.sql(view_sql("customer_dirty"))))
+    return run_profile(running_profile(_customer_stream(spark, sf)))
 
 
 def q_dedupe_text(spark, sf):

@@ -129,6 +129,11 @@ class CleanResult:
             F.lit(",".join(c for c in self.df.columns if c != k)).alias("cleaned_columns"))
 
 
+def _number_form(target: T.DataType) -> str:
+    """The form of ``candidate_forms`` that a numeric target takes."""
+    return "int" if isinstance(target, T.LongType) else "num"
+
+
 def _count_df(df: DataFrame, name: str = "affected") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
@@ -210,7 +215,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
                 nt = TR.numeric_target(st[c])
                 new_cols[c] = TR.converted(col(c), fields[c], "numeric", nt)
                 cur_type[c] = nt
-                form_of[c] = "num"
+                form_of[c] = _number_form(nt)
                 c7_changes.append({"column": c, "new_dtype": nt.simpleString(), "reason": "numeric_conversion"})
         if c7_changes:
             entries.append(_Entry("convert_dtypes", len(c7_changes), [x["column"] for x in c7_changes],
@@ -233,7 +238,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
                         nt = TR.numeric_target(s)
                         new_cols[c] = TR.converted(src, t0, "numeric", nt)
                         cur_type[c] = nt
-                        form_of[c] = "num"
+                        form_of[c] = _number_form(nt)
                         info["coerced"] = s["nonnull"] - s["num"]
                     elif dec == "datetime":
                         new_cols[c] = TR.converted(src, t0, "datetime")
@@ -242,14 +247,14 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
                         info["coerced"] = s["nonnull"] - s["ts"]
             elif choice in ("numeric", "datetime", "string", "category", "bool"):
                 was_text = X.is_text(t0)
-                nt = T.DoubleType()
+                nt = TR.numeric_target(s) if (was_text and s) else T.DoubleType()
                 new_cols[c] = TR.converted(src, t0, choice, nt)
                 on_raw = form_of[c] == "raw"
                 if choice == "numeric":
                     cur_type[c] = t0 if X.is_numeric(t0) else nt
                     info["coerced"] = (s["nonnull"] - s["num"]) if (was_text and s) else 0
                     if on_raw and was_text:
-                        form_of[c] = "num"
+                        form_of[c] = _number_form(nt)
                 elif choice == "datetime":
                     cur_type[c] = T.TimestampNTZType()
                     info["coerced"] = (s["nonnull"] - s["ts"]) if (was_text and s) else None

@@ -76,8 +76,8 @@ def merge_recipe(applied: list[dict], base: dict | None = None) -> CleanOptions:
 
     Later steps override earlier keys; list-valued edits accumulate.  A step that
     sets only the numeric fill implies text fill ``skip`` (and vice versa) unless
-    already chosen, and either implies ``missing_strategy="fill"``.  A step that
-    chooses ``missing_strategy="drop"`` also turns on dropping empty columns.
+    already chosen, and either implies ``missing_strategy="fill"``.  A
+    step that drops rows with gaps drops columns only where it says so itself.
     Column names in steps are normalised the way cleaning normalises them.
     """
     merged: dict = dict(SCOPED_DEFAULTS if base is None else base)
@@ -112,8 +112,6 @@ def merge_recipe(applied: list[dict], base: dict | None = None) -> CleanOptions:
             merged["fill_numeric"] = "skip"
         if (has_num or has_cat) and "missing_strategy" not in step:
             merged["missing_strategy"] = "fill"
-        if step.get("missing_strategy") == "drop":
-            merged["drop_empty_columns"] = True
         merged.update(step)
     return CleanOptions.from_dict(merged)
 

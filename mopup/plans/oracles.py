@@ -551,7 +551,8 @@ order by pos, row_id limit 100""", ("e", evo), b)
         lo = f"b.q1_{c} - 1.5 * (b.q3_{c} - b.q1_{c})"
         hi = f"b.q3_{c} + 1.5 * (b.q3_{c} - b.q1_{c})"
         return f"case when {c} is null then null else {rnd(f'greatest(least({c}, {hi}), {lo})', 4)} end"
-    o["outlier_clip"] = w(f"select row_id, {clip('user_id')} as user_id, event_type, {clip('value')} as value, ts "
+    # a column without outliers keeps its type and values
+    o["outlier_clip"] = w(f"select row_id, user_id, event_type, {clip('value')} as value, ts "
                           f"from e, b", ("e", evc1), b)
     o["fill_categorical_mode"] = w(
         f"select row_id, user_id, coalesce(event_type, {mode_of('e', 'event_type')}) as event_type, value, ts "

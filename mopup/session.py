@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -65,19 +64,6 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an input that arrives in fewer partitions than the session has
-    task slots (a single unsplittable file or row group), so CPU-heavy text work
-    is not confined to one task.  A large input already has enough splits and is
-    returned unchanged."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover - no RDD access (Spark Connect)
-        return df
-    return df.repartition(slots) if n < slots else df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files inside the cluster's checkpoint folder
     (shared storage), never a machine-local folder on a cluster."""
@@ -91,16 +77,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, how: str = "checkpoint") -> DataFrame:
     """Materialise ``df`` once so that several later passes reuse it.
 
-    ``checkpoint`` writes to the cluster's checkpoint folder and cuts lineage
-    (survives executor loss); ``persist`` keeps blocks on executors (lost blocks
-    are recomputed from lineage); ``none`` returns ``df`` unchanged.
+    ``checkpoint`` writes a Parquet copy to the cluster's shared folder and reads that:
+    lineage is cut, lost executors do no harm, and later passes read only the columns they
+    need.  Copies stay until the folder is cleared.  ``none`` returns ``df`` unchanged.
     """
     if how == "none":
         return df
     if how == "checkpoint":
-        if checkpoint_dir(df.sparkSession) is not None:
-            return df.checkpoint(eager=True)
-        how = "persist"
-    if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        path = scratch_path(df.sparkSession, "stage")
+        # any column names and types survive: positional names, the given ones put back
+        names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+        df.toDF(*plain).write.parquet(path)
+        back = df.sparkSession.read.schema(df.toDF(*plain).schema).parquet(path)
+        return back.toDF(*names)
     raise ValueError(f"unknown staging mode {how!r}")

@@ -28,9 +28,9 @@ def test_scoped_start_and_fill_implications():
     assert merge_recipe([]).missing_strategy == "ignore"
 
 
-def test_drop_strategy_turns_on_empty_column_drop():
+def test_drop_strategy_leaves_columns_alone():
     r = merge_recipe([{"missing_strategy": "drop"}])
-    assert r.missing_strategy == "drop" and r.drop_empty_columns
+    assert r.missing_strategy == "drop" and not r.drop_empty_columns
 
 
 def test_edits_accumulate_and_names_normalise():
