@@ -6,8 +6,12 @@ prefix).  Documents with the same prefix and size form one group; groups that sh
 shingle are filtered by size; the members of the remaining pairs are verified exactly.
 
 Components need not see every pair.  First each group is paired with one leader of every
-shingle it shares (the smallest set).  Pairs inside one shingle's list that the links found
-so far do not connect are verified after that, so no link between components is missed.
+shingle it shares: the group with the fewest shingles of its own, as the original of many
+edited copies has.  Pairs inside one shingle's list that the links found so far do not
+connect are verified after that, so no link between components is missed.
+
+Verification first bounds the overlap from above by folded parity bitmaps of the sets, and
+then compares the shingle sets of the texts.
 """
 
 from __future__ import annotations
@@ -41,16 +45,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def ordered(shingles: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles, rare ones first, and which of them have a split list."""
+def ordered(shingles: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles, rare ones first, which of them have a split list, and which are not frequent."""
     known, level, hot = frequent
     if not len(known) or not len(shingles):
-        return shingles, np.zeros(len(shingles), dtype=bool)
+        return shingles, np.zeros(len(shingles), dtype=bool), np.ones(len(shingles), dtype=bool)
     at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
     hit = known[at] == shingles
     levels = np.where(hit, level[at], 0)
     order = np.lexsort((shingles, levels))
-    return shingles[order], (hit & hot[at])[order]
+    return shingles[order], (hit & hot[at])[order], ~hit[order]
 
 
 def _frequent(docs: DataFrame, words: int) -> Frequent:
@@ -77,26 +81,46 @@ def _frequent(docs: DataFrame, words: int) -> Frequent:
     return known[order], level[order], (count / max(share, 1e-9) >= HOT)[order]
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """A bitmap in which each shingle flips one of at least 2n bits.  Two sets that differ in d
+    shingles have bitmaps that differ in at most d bits."""
+    bits = max(256, 1 << (2 * max(len(shingles), 1) - 1).bit_length())
+    flips = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Differing bits of two bitmaps, the longer folded to the size of the shorter."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 _SETS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("g", T.LongType()),
-    T.StructField("set", T.BinaryType()), T.StructField("rare", T.ArrayType(T.LongType())),
+    T.StructField("set", T.BinaryType()), T.StructField("bits", T.BinaryType()),
+    T.StructField("rank", T.IntegerType()), T.StructField("rare", T.ArrayType(T.LongType())),
     T.StructField("hot", T.ArrayType(T.LongType()))])
 
 
 def _sets(docs: DataFrame, words: int, percent: int, frequent: Frequent) -> DataFrame:
-    """(id, set size, group, digest of the set, prefix shingles with whole and with split lists)."""
+    """(id, set size, group, digest and bitmap of the set, rank as a leader, prefix shingles with
+    whole and with split lists).  The rank counts infrequent shingles per thousand of the prefix."""
     spread = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = spread.value
         for batch in batches:
-            sizes, groups, digests, rare, hot = [], [], [], [], []
+            sizes, groups, digests, bits, ranks, rare, hot = [], [], [], [], [], [], []
             for x in binaries(batch.column(1)):
                 s = shingle_set(nulls_to_empty(x.as_py()), words)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                o, split = ordered(s, known)
+                bits.append(parity_bits(s))
+                o, split, own = ordered(s, known)
                 p = prefix_length(len(s), percent) if len(s) else 0
                 o, split = o[:p], split[:p]
+                ranks.append(1000 * int(own[:p].sum()) // max(p, 1))
                 sizes.append(len(s))
                 groups.append(int.from_bytes(hashlib.blake2b(o.tobytes() + b"%d" % len(s), digest_size=8).digest(),
                                              "little", signed=True))
@@ -104,24 +128,24 @@ def _sets(docs: DataFrame, words: int, percent: int, frequent: Frequent) -> Data
                 hot.append(o[split].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()),
-                 pa.array(digests, pa.binary()), pa.array(rare, pa.list_(pa.int64())),
-                 pa.array(hot, pa.list_(pa.int64()))], names=_SETS.names)
+                 pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(ranks, pa.int32()),
+                 pa.array(rare, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], names=_SETS.names)
 
     return docs.select("id", "text").mapInArrow(build, _SETS)
 
 
 _SHARED = T.StructType([
-    T.StructField("shingle", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("g", T.LongType()),
-    T.StructField("n", T.IntegerType()), T.StructField("lead", T.LongType()), T.StructField("lead_n", T.IntegerType())])
+    T.StructField("shingle", T.LongType()), T.StructField("salt", T.IntegerType()),
+    T.StructField("rank", T.IntegerType()), T.StructField("g", T.LongType()), T.StructField("lead", T.LongType())])
 
 
 def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (shingle, salt, n, g): each group of a list but the first, with the
+    """From postings sorted by (shingle, salt, rank, g): each group of a list but the first, with the
     first one, the leader.  Repeated postings count once.  Split lists also report their leader, as
     its own follower.  Holds one batch and the state of the list that it ends in."""
-    state = None  # shingle, salt, leader, leader's n, last group
+    state = None  # shingle, salt, leader, last group
     for batch in batches:
-        s, salt, n, g = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        s, salt, rank, g = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(s):
             continue
         new = np.ones(len(s), dtype=bool)
@@ -129,25 +153,24 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(s), dtype=bool)
         again[1:] = ~new[1:] & (g[1:] == g[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-        lead, lead_n = g[first], n[first]
+        lead = g[first]
         if state is not None and (s[0], salt[0]) == state[:2]:
-            same = first == 0
-            lead, lead_n = np.where(same, state[2], lead), np.where(same, state[3], lead_n)
-            again[0], new[0] = g[0] == state[4], False
+            lead = np.where(first == 0, state[2], lead)
+            again[0], new[0] = g[0] == state[3], False
         keep = ~again & ((lead != g) | (new & (salt >= 0)))
-        state = (s[-1], salt[-1], lead[-1], lead_n[-1], g[-1])
+        state = (s[-1], salt[-1], lead[-1], g[-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c[keep]) for c in (s, salt, g, n, lead, lead_n)], names=_SHARED.names)
+            [pa.array(c[keep]) for c in (s, salt, rank, g, lead)], names=_SHARED.names)
 
 
 def _shared(sets: DataFrame) -> DataFrame:
-    """The lists of the prefix shingles that several groups share: (shingle, salt, g, n, lead, lead_n)
-    for each group but the list's leader."""
-    rare = sets.select(F.explode("rare").alias("shingle"), F.lit(-1).alias("salt"), F.col("n").cast("int").alias("n"), "g")
+    """The lists of the prefix shingles that several groups share: (shingle, salt, rank, g, lead) for
+    each group but the list's leader."""
+    rare = sets.select(F.explode("rare").alias("shingle"), F.lit(-1).alias("salt"), "rank", "g")
     hot = sets.select(F.explode("hot").alias("shingle"), F.pmod("g", F.lit(SALTS)).cast("int").alias("salt"),
-                      F.col("n").cast("int").alias("n"), "g")
+                      "rank", "g")
     parts = rare.unionByName(hot)
-    return (parts.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "g")
+    return (parts.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "rank", "g")
             .mapInArrow(_followers, _SHARED))
 
 
@@ -170,8 +193,25 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.select("id", "text").mapInArrow(pack, schema).dropDuplicates(["id"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps don't rule out.  Similar sets differ in at most
+    (100 - percent) / (100 + percent) of their total size."""
+    facts = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            good = [(100 + percent) * differing_bits(x, y) <= (100 - percent) * (n + m) for n, m, x, y in zip(*columns)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(facts, "a").join(facts.toDF("b", "n_b", "bits_b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, schema).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: 100 * intersection >= percent * union."""
+    pairs = saved(_possible(pairs, sets, percent))
     texts = saved(_texts(docs, pairs.select(F.col("a").alias("id")).unionByName(
         pairs.select(F.col("b").alias("id"))).distinct()))
     left = texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a"))
@@ -212,20 +252,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = sets.select("id", "n", "g", "set")
     classes = saved(facts.filter("n > 0 and id is not null").groupBy("g", "n", "set").agg(F.min("id").alias("rep")))
     shared = saved(_shared(sets.filter("n > 0 and id is not null")))
-    leads = classes.groupBy("g").agg(F.min("rep").alias("lead_rep"))
+    leads = classes.groupBy("g").agg(F.min("rep").alias("lead_rep"), F.min("n").alias("n"))
 
     # first pairs: every class with the leader of its group and of each list of its group
-    heads = shared.filter("salt >= 0 and g = lead").select("shingle", "g", "n")
-    top = heads.groupBy("shingle").agg(F.min(F.struct("n", "g")).alias("top"))
-    over = heads.join(top, "shingle").select("g", "n", F.col("top.g").alias("lead"), F.col("top.n").alias("lead_n"))
-    group_pairs = (shared.select("g", "n", "lead", "lead_n").unionByName(over).filter("g <> lead")
-                   .filter(_size_fits(F.col("n"), F.col("lead_n"), percent)).select("g", "lead").distinct())
-    outer = (group_pairs.join(classes.select("g", "rep"), "g")
-             .join(leads.withColumnRenamed("g", "lead"), "lead").select("rep", "lead_rep"))
-    inner = classes.join(leads, "g").select("rep", "lead_rep")
+    heads = shared.filter("salt >= 0 and g = lead").select("shingle", "rank", "g")
+    top = heads.groupBy("shingle").agg(F.min(F.struct("rank", "g")).alias("top"))
+    over = heads.join(top, "shingle").select("g", F.col("top.g").alias("lead"))
+    group_pairs = shared.select("g", "lead").unionByName(over).filter("g <> lead").distinct()
+    outer = (group_pairs.join(classes.select("g", "n", "rep"), "g")
+             .join(leads.select(F.col("g").alias("lead"), F.col("n").alias("lead_n"), "lead_rep"), "lead")
+             .filter(_size_fits(F.col("n"), F.col("lead_n"), percent)).select("rep", "lead_rep"))
+    inner = classes.join(leads.select("g", "lead_rep"), "g").select("rep", "lead_rep")
     first = saved(outer.unionByName(inner).filter("rep <> lead_rep").distinct()
                   .select(F.col("rep").alias("a"), F.col("lead_rep").alias("b")))
-    links = saved(_verified(first, docs, words, percent))
+    links = saved(_verified(first, sets, docs, words, percent))
     label = saved(components(links))
 
     # second pairs: within a list, those not connected yet
@@ -240,7 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = spread.filter("low <> high").select("g").join(named, "g").select(
         F.col("g").alias("shingle"), "n", "rep", "component")
     rows = lists.select("shingle", "n", "rep", "component").unionByName(alone)
-    head = rows.groupBy("shingle").agg(F.min(F.struct("n", "rep", "component")).alias("head"))
+    # the largest component of a list is only met by the others
+    counts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
+    head = counts.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("head"))
     rest = rows.join(head, "shingle").filter("component <> head.component").select(
         "shingle", F.col("n").alias("n1"), F.col("rep").alias("a"), F.col("component").alias("c1"),
         F.col("head.component").alias("main"))
@@ -248,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = (rest.join(other, "shingle").filter("c1 <> c2 and (c2 = main or a < b)")
               .filter(_size_fits(F.col("n1"), F.col("n2"), percent)).select("a", "b").distinct())
     second = saved(second.join(first, ["a", "b"], "left_anti"))
-    more = _verified(second, docs, words, percent)
+    more = _verified(second, sets, docs, words, percent)
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
 
     own = facts.join(classes.select("set", F.col("rep").alias("class_id")), "set", "left")
