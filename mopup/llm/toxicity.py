@@ -88,16 +88,17 @@ def telling_features(rows: list[np.ndarray], toxic: np.ndarray, most: int) -> np
 
 
 def best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut with the best F1 over the given scores, half way to the next lower score."""
+    """The highest cut whose F1 over the given scores is within 0.002 of the best, half way to the
+    next lower score: in doubt a document is clean."""
     order = np.argsort(-scores, kind="stable")
     s, hit = scores[order], np.cumsum(toxic[order])
     f1 = 2 * hit / (np.arange(1, len(s) + 1) + toxic.sum())
     f1[:-1][s[:-1] == s[1:]] = 0.0
-    k = int(np.argmax(f1))
+    k = int(np.flatnonzero(f1 >= f1.max() - 0.002)[0])
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, steps: int = 300,
+def fit(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-3, steps: int = 300,
         most_features: int = 4096) -> OrdinalModel:
     """Maximum likelihood with an L1 penalty by proximal AdaGrad steps over all given rows and their
     ``most_features`` most telling features.  With rows of one grade only, no model."""
@@ -171,7 +172,8 @@ def score_texts(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", te
     """(id, severity, p_toxic, toxic) for each row of ``docs``, with the columns ``keep`` passed on.
 
     ``severity`` is the expected grade, ``p_toxic`` is P(grade >= 1), and ``toxic`` tells whether
-    that reaches ``threshold`` (the model's own cut where not given).  Null, empty and separator-only texts have severity 0 and are not
+    that reaches ``threshold`` (the model's own cut where not given) and some feature speaks for it,
+    so that a text without any telling feature is clean.  Null, empty and separator-only texts have severity 0 and are not
     toxic.  Repeated rows are judged alike, other columns are not read, and an empty table gives an
     empty table.  One narrow pass; the model that travels with it has at most 2**20 weights."""
     schema = T.StructType([docs.schema[c] for c in (id_col, *keep)] + [
@@ -182,11 +184,12 @@ def score_texts(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", te
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            p = [scorer(nulls_to_empty(x.as_py())) for x in binaries(batch.column(batch.num_columns - 1))]
-            p_toxic = [v[0] if v else 0.0 for v in p]
+            found = [scorer(nulls_to_empty(x.as_py())) for x in binaries(batch.column(batch.num_columns - 1))]
+            p_toxic = [p[0] if p else 0.0 for _, p in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([float(sum(v)) for v in p], pa.float64()), pa.array(p_toxic, pa.float64()),
-                 pa.array([bool(x) and v >= cut for x, v in zip(p, p_toxic)], pa.bool_())], names=schema.names)
+                [*batch.columns[:-1], pa.array([float(sum(p)) for _, p in found], pa.float64()),
+                 pa.array(p_toxic, pa.float64()),
+                 pa.array([told and v >= cut for (told, _), v in zip(found, p_toxic)], pa.bool_())], names=schema.names)
 
     return docs.select(id_col, *keep, text_col).mapInArrow(judge, schema)
 
@@ -200,23 +203,24 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            p = [scorer(nulls_to_empty(x.as_py())) for x in binaries(batch.column(at))]
-            yield batch.filter(pa.array([not v or v[0] < cut for v in p], pa.bool_()))
+            found = [scorer(nulls_to_empty(x.as_py())) for x in binaries(batch.column(at))]
+            yield batch.filter(pa.array([not told or p[0] < cut for told, p in found], pa.bool_()))
 
     return docs.mapInArrow(drop, docs.schema)
 
 
 class _Scorer:
-    """P(grade >= k) of texts; words met before are looked up."""
+    """Whether any feature of a text speaks for toxicity, and its P(grade >= k): (False, []) without
+    words or model.  Words met before are looked up."""
 
     def __init__(self, model: OrdinalModel):
         self.model, self.cache = model, {}
 
-    def __call__(self, data: bytes) -> list[float]:
+    def __call__(self, data: bytes) -> tuple[bool, list[float]]:
         weights, cache = self.model.weights, self.cache
         words = set(split_words(lower_ascii(data)))
         if not words or not weights:
-            return []
+            return False, []
         features: set[int] = set()
         for w in words:
             if (hit := cache.get(w)) is None:
@@ -225,4 +229,5 @@ class _Scorer:
                 hit = cache[w] = tuple(f for f in word_features(w) if f in weights)
             if hit:
                 features.update(hit)
-        return self.model.at_least(sum(weights[f] for f in sorted(features)))
+        found = [weights[f] for f in sorted(features)]
+        return any(w > 0 for w in found), self.model.at_least(sum(found))
