@@ -315,6 +315,128 @@ def q_read_csv_roundtrip(spark, sf):
     return read_table(spark, path, fmt="csv", key="row_id").df
 
 
+# ------------------------------------------------------------------ exact integers, mixed dates
+def q_auto_bigint(spark, sf):
+    """C7 over ids beyond 2^53, neighbours of which share a DOUBLE."""
+    return clean(load_view(spark, sf, "orders_ids"), scoped(convert_dtypes=True)).df
+
+
+def q_clean_bigint_ids(spark, sf):
+    return clean(load_view(spark, sf, "orders_ids"), CleanOptions()).df
+
+
+BIG_EDITS = [{"row_index": 1, "column": "big_id", "value": "1234567890123456789"},
+             {"row_index": 2, "column": "big_id", "value": " "}]
+
+
+def q_cell_update_bigint(spark, sf):
+    return clean(load_view(spark, sf, "orders_bigint"), scoped(cell_updates=BIG_EDITS)).df
+
+
+def q_convert_datetime_mixed(spark, sf):
+    return clean(load_view(spark, sf, "orders_dates"), scoped(dtype_map={"when_txt": "datetime"})).df
+
+
+# ------------------------------------------------------------------ readers over written files
+def q_read_quoted_newlines(spark, sf):
+    """Quoted cells with separators, quotes and line breaks."""
+    from ..session import scratch_path
+    from ..sources.readers import read_table
+    from ..sources.sinks import write_csv
+    path = scratch_path(spark, "quoted") + ".csv"
+    write_csv(load_view(spark, sf, "customer_notes"), path, key=None, sep=";")
+    return read_table(spark, path, fmt="csv", key="row_id").df
+
+
+def q_read_mixed_charset(spark, sf):
+    """One folder of UTF-8 files, one of ISO-8859-1 files, read as one table."""
+    from ..session import scratch_path
+    from ..sources.readers import read_table
+    from ..sources.sinks import write_csv
+    path = scratch_path(spark, "charsets")
+    v = load_view(spark, sf, "customer_notes")
+    write_csv(v.where("row_id % 2 = 0"), f"{path}/a", key=None)
+    write_csv(v.where("row_id % 2 = 1"), f"{path}/b", key=None, encoding="ISO-8859-1")
+    return read_table(spark, f"{path}/*", fmt="csv", key="row_id").df
+
+
+def q_read_json_array(spark, sf):
+    """S3: files that each hold an array of up to a thousand records."""
+    from ..session import scratch_path
+    from ..sources.readers import read_table
+    path = scratch_path(spark, "arrays") + ".json"
+    v = load_view(spark, sf, "customer_notes")
+    arrays = v.groupBy(F.floor(F.col("row_id") / 1000)).agg(
+        F.to_json(F.collect_list(F.struct("row_id", "note", "name"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_table(spark, path, key="row_id").df
+
+
+def q_read_tsv(spark, sf):
+    """S2."""
+    from ..session import scratch_path
+    from ..sources.readers import read_table
+    from ..sources.sinks import write_csv
+    path = scratch_path(spark, "tabs") + ".tsv"
+    write_csv(load_view(spark, sf, "orders_dup"), path, key=None, sep="\t")
+    return read_table(spark, path, key="row_id").df
+
+
+def _write_raw(spark, lines: DataFrame, header: str, name: str) -> str:
+    """Lines written as they are, below a header line in each file."""
+    from ..session import scratch_path
+    path = scratch_path(spark, name) + ".csv"
+    (lines.toDF(header).write.option("header", True).option("quote", "").option("sep", "\x01")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def q_read_rejects(spark, sf):
+    """The lines with more fields than the header."""
+    from ..sources.readers import read_table
+    v = load_view(spark, sf, "orders_dup")
+    line = F.concat_ws(",", "row_id", "o_orderstatus", F.when(F.col("row_id") % 10 == 0, "surplus"))
+    path = _write_raw(spark, v.select(line), "row_id,o_orderstatus", "rejects")
+    return read_table(spark, path, key="row_id").rejects.select("line")
+
+
+def q_read_header_repair(spark, sf):
+    """A blank name and a repeated one."""
+    from ..sources.readers import read_table
+    v = load_view(spark, sf, "orders_dup")
+    line = F.concat_ws(",", "row_id", "cust_bucket", "o_orderstatus", F.lit("x"))
+    path = _write_raw(spark, v.select(line), "row_id,a,a,", "header")
+    return read_table(spark, path, key="row_id").df
+
+
+def q_write_report(spark, sf):
+    """A cleaning report's removed rows, written as JSON and read again."""
+    import os
+    from ..session import scratch_path
+    from ..sources.sinks import write_report
+    path = scratch_path(spark, "report")
+    r = clean(load_view(spark, sf, "orders_dup"), scoped(remove_duplicates=True))
+    write_report({"removed_rows": r.report_frames()["removed_rows"]}, path)
+    return spark.read.json(os.path.join(path, "removed_rows")).select("row_id", "action", "detail")
+
+
+def q_json_safe(spark, sf):
+    from ..sources.sinks import json_safe
+    return json_safe(load_view(spark, sf, "events_odd"))
+
+
+def q_missing_rows_data(spark, sf):
+    """P7 with the rows' cells."""
+    out = P.missing_rows(load_view(spark, sf, "orders_dup"), include_row_data=True)
+    return out.select("row_id", "missing_columns", "missing_count", F.col("row_data")["cust_bucket"].alias("cust_bucket"),
+                      F.col("row_data")["o_orderpriority"].alias("o_orderpriority"))
+
+
+def q_outlier_totals(spark, sf):
+    """O2: the totals of the review screen."""
+    return O.outlier_listing(evg(spark, sf), max_rows=100)[1]
+
+
 def q_lineitem_quality(spark, sf):
     """D1-D10 over every row of the largest table.  It has no unique key, and the
     score needs no row identity (every count is over values), so no ids are built
@@ -421,6 +543,20 @@ QUERIES = {
     "dedupe_text": q_dedupe_text,
     "read_csv_roundtrip": q_read_csv_roundtrip,
     "lineitem_quality": q_lineitem_quality,
+    "auto_bigint": q_auto_bigint,
+    "clean_bigint_ids": q_clean_bigint_ids,
+    "cell_update_bigint": q_cell_update_bigint,
+    "convert_datetime_mixed": q_convert_datetime_mixed,
+    "read_quoted_newlines": q_read_quoted_newlines,
+    "read_mixed_charset": q_read_mixed_charset,
+    "read_json_array": q_read_json_array,
+    "read_tsv": q_read_tsv,
+    "read_rejects": q_read_rejects,
+    "read_header_repair": q_read_header_repair,
+    "write_report": q_write_report,
+    "json_safe": q_json_safe,
+    "missing_rows_data": q_missing_rows_data,
+    "outlier_totals": q_outlier_totals,
     "stream_clean": q_stream_clean,
     "stream_profile": q_stream_profile,
 }

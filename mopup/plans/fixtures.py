@@ -42,6 +42,33 @@ select o_orderkey as row_id,
   case o_orderkey % 6 when 0 then 'yes' when 1 then 'No' when 2 then '1'
        when 3 then 'F' when 4 then 'maybe' else null end as flag_txt
 from orders""",
+    "orders_ids": """
+select o_orderkey as row_id, cast(9007199254740993 + o_orderkey as string) as big_txt, o_orderstatus
+from orders""",
+    "orders_bigint": """
+select o_orderkey as row_id, cast(9007199254740993 + o_orderkey as bigint) as big_id, o_orderstatus
+from orders""",
+    "orders_dates": """
+select o_orderkey as row_id,
+  case o_orderkey % 5
+    when 0 then concat(cast(month(o_orderdate) as string), '/', cast(day(o_orderdate) as string), '/',
+                       cast(year(o_orderdate) as string))
+    when 1 then concat(cast(cast(o_orderdate as date) as string), 'T10:11:12.5Z')
+    when 2 then concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(3 * month(o_orderdate) - 2 as int), 3), ' ',
+                       cast(day(o_orderdate) as string), ', ', cast(year(o_orderdate) as string))
+    when 3 then concat(cast(cast(o_orderdate as date) as string), ' 23:30:00+02:00')
+    else concat(cast(day(o_orderdate) as string), ' ',
+                substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(3 * month(o_orderdate) - 2 as int), 3), ' ',
+                cast(year(o_orderdate) as string), ' 3:04 PM') end as when_txt
+from orders""",
+    "customer_notes": """
+select c_custkey as row_id, c_name as name,
+  case when c_custkey % 3 = 0 then concat('first; line', chr(10), 'says "', c_mktsegment, '"') else 'café' end as note
+from customer""",
+    "events_odd": """
+select event_id as row_id, case when event_id % 7 = 0 then cast('NaN' as double)
+  when event_id % 11 = 0 then cast('Infinity' as double) else value end as value
+from events""",
     "events_gaps": """
 select event_id as row_id, user_id,
   case when event_id % 8 = 0 then null else event_type end as event_type,
@@ -72,6 +99,11 @@ _NEEDS = {
     "customer_dirty": ["customer"],
     "orders_dup": ["orders"],
     "orders_text": ["orders"],
+    "orders_ids": ["orders"],
+    "orders_bigint": ["orders"],
+    "orders_dates": ["orders"],
+    "customer_notes": ["customer"],
+    "events_odd": ["events"],
     "events_gaps": ["events"],
     "documents_labeled": ["documents", "labels"],
     "documents_text": ["documents"],

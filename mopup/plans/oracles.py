@@ -535,6 +535,10 @@ from b""" for i, c in enumerate(nums)), ("e", "select * from events_gaps"), b)
 select row_id, case when {_flag('user_id')} then 'user_id' else 'value' end as {qi('column')},
   case when {_flag('user_id')} then cast(user_id as double) else value end as value
 from e, b where {_flag('user_id')} or {_flag('value')}""", ("e", evo), b)
+    o["outlier_totals"] = w(f"""
+select 'user_id,value' as columns_checked,
+  cast(count_if({_flag('user_id')} or {_flag('value')}) as bigint) as total_rows,
+  cast(count_if({_flag('user_id')}) + count_if({_flag('value')}) as bigint) as total_cells from e, b""", ("e", evo), b)
     o["outlier_review"] = w(f"""
 select row_id, {qi('column')}, value from (
   select row_id, case when {_flag('user_id')} then 'user_id' else 'value' end as {qi('column')},
@@ -606,8 +610,42 @@ def _lineitem_oracles() -> dict:
     return {"lineitem_quality": score_sql("lineitem", LINEITEM).strip()}
 
 
+def _new_oracles() -> dict:
+    def w(view: str, body: str) -> str:
+        return f"with {view} as ({view_sql(view, 'duckdb')})\n{body}"
+
+    ids = "cast(9007199254740993 + row_id as bigint)"
+    day = "cast(o_orderdate as date)"
+    gone = ("select row_id, min(row_id) over (partition by cust_bucket, o_orderstatus, o_orderpriority) as f "
+            "from orders_dup")
+    return {
+        "auto_bigint": w("orders_ids", f"select row_id, {ids} as big_txt, o_orderstatus from orders_ids"),
+        "clean_bigint_ids": w("orders_ids", f"select row_id, {ids} as big_txt, o_orderstatus from orders_ids"),
+        "cell_update_bigint": w("orders_bigint", "select row_id, case row_id when 1 then 1234567890123456789 "
+                                "when 2 then null else big_id end as big_id, o_orderstatus from orders_bigint"),
+        "convert_datetime_mixed": f"""
+select o_orderkey as row_id, cast(case o_orderkey % 5 when 1 then {day} + interval '10 hours 11 minutes 12.5 seconds'
+    when 3 then {day} + interval '21 hours 30 minutes' when 4 then {day} + interval '15 hours 4 minutes'
+    else cast({day} as timestamp) end as timestamp) as when_txt from orders""",
+        "read_quoted_newlines": w("customer_notes", "select * from customer_notes"),
+        "read_mixed_charset": w("customer_notes", "select * from customer_notes"),
+        "read_json_array": w("customer_notes", "select * from customer_notes"),
+        "read_tsv": w("orders_dup", "select * from orders_dup"),
+        "read_rejects": w("orders_dup", "select concat(row_id, ',', o_orderstatus, ',surplus') as line "
+                          "from orders_dup where row_id % 10 = 0"),
+        "read_header_repair": w("orders_dup", """select row_id, cust_bucket as a, o_orderstatus as "a.1",
+  'x' as "Unnamed: 3" from orders_dup"""),
+        "write_report": w("orders_dup", f"select row_id, 'drop_duplicates' as action, concat('duplicate of ', f) as detail "
+                          f"from ({gone}) where row_id <> f"),
+        "json_safe": w("events_odd", "select row_id, case when isfinite(value) then value end as value from events_odd"),
+        "missing_rows_data": w("orders_dup", """select row_id, 'o_orderpriority' as missing_columns,
+  cast(1 as bigint) as missing_count, cast(cust_bucket as varchar) as cust_bucket, '' as o_orderpriority
+from orders_dup where o_orderpriority is null"""),
+    }
+
+
 def oracles() -> dict[str, str]:
     out = {}
-    for f in (_cust_oracles, _odup_oracles, _otext_oracles, _evg_oracles, _doc_oracles, _lineitem_oracles):
+    for f in (_new_oracles, _cust_oracles, _odup_oracles, _otext_oracles, _evg_oracles, _doc_oracles, _lineitem_oracles):
         out.update(f())
     return out

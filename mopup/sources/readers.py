@@ -7,8 +7,11 @@ on the driver except the header line.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +35,34 @@ class ReadResult:
     header: list | None = None
 
 
+@dataclass(frozen=True)
+class FileTraits:
+    """What decides how a file is read."""
+    encoding: str
+    multi_line: bool   # some quoted cell goes on over a line break
+
+
+def file_traits(spark: SparkSession, path) -> dict[str, FileTraits]:
+    """S4 and S1, for each file: UTF-8 when every line is valid UTF-8, else ISO-8859-1 (which decodes
+    any byte); and whether some line has an odd number of quotes.  One distributed pass over the raw
+    lines; one row a file comes back."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    rows = lines.groupBy("file").agg(F.count(F.when(~F.is_valid_utf8("value"), 1)).alias("bad"),
+                                     F.count(F.when(odd, 1)).alias("odd")).collect()
+    return {unquote(r["file"]): FileTraits("UTF-8" if r["bad"] == 0 else "ISO-8859-1", r["odd"] > 0)
+            for r in sorted(rows, key=lambda r: r["file"])}
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else ISO-8859-1 (which decodes any
-    byte).  One distributed pass over the raw lines."""
-    bad = spark.read.text(path).agg(F.count(F.when(~F.is_valid_utf8("value"), 1)).alias("bad")).collect()[0]
-    return "UTF-8" if bad["bad"] == 0 else "ISO-8859-1"
+    """S4 for a path as a whole: UTF-8 when every file is."""
+    return "UTF-8" if all(t.encoding == "UTF-8" for t in file_traits(spark, path).values()) else "ISO-8859-1"
 
 
 def sniff_separator(first_line: str) -> str:
-    """The candidate separator that occurs most often in the header line."""
-    counts = [(first_line.count(s), -i, s) for i, s in enumerate(tokens.SEPARATOR_CANDIDATES)]
+    """The candidate separator that occurs most often in the header line outside quotes."""
+    bare = re.sub(r'"(?:[^"]|"")*"?', "", first_line)
+    counts = [(bare.count(s), -i, s) for i, s in enumerate(tokens.SEPARATOR_CANDIDATES)]
     best = max(counts)
     return best[2] if best[0] > 0 else ","
 
@@ -73,9 +94,10 @@ def _na_to_null(c: Column) -> Column:
     return F.when(c.isin(*X.lits(tokens.READ_NA_TOKENS)), F.lit(None).cast("string")).otherwise(c)
 
 
-def infer_types(df: DataFrame, cols: list[str]) -> DataFrame:
+def infer_types(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
     """Strict per-column inference from one aggregate: BIGINT (integers, no gaps),
-    DOUBLE (numbers; integers with gaps), BOOLEAN (True/False words), else STRING."""
+    DOUBLE (numbers; integers with gaps), BOOLEAN (True/False words), else STRING.  Columns ``keep``
+    pass on as they are."""
     if not cols:
         return df
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -100,29 +122,57 @@ def infer_types(df: DataFrame, cols: list[str]) -> DataFrame:
             new[c] = F.lower(X.strip_ws(x)) == "true"
         else:
             continue
-    return df.select(*[(new[c].alias(c) if c in new else X.col(c)) for c in df.columns])
+    return df.select(*[(new[c].alias(c) if c in new else X.col(c)) for c in [*cols, *keep]])
+
+
+_FILE, _BLOCK = "__mopup_file", "__mopup_block"
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """With the file and the offset of the split that each row was read from."""
+    return df.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK))
+
+
+def _by_traits(traits: dict[str, FileTraits]) -> list[tuple[FileTraits, list[str]]]:
+    kinds = dict.fromkeys(traits.values())
+    return [(k, [f for f, t in traits.items() if t == k]) for k in kinds]
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-                   key: str | None = None, infer: bool = True, multi_line: bool = False,
+                   key: str | None = None, infer: bool = True, multi_line: bool | None = None,
                    row_id: str = "row_id") -> ReadResult:
-    """S1/S2/S4-S7.  ``sep=None`` sniffs it from the header line (``.tsv`` → tab)."""
-    enc = encoding or detect_encoding(spark, path)
+    """S1/S2/S4-S7.  ``sep=None`` sniffs it from the header line (``.tsv`` → tab).
+
+    Each file is read with its own charset.  Only a file with a quoted line break is read whole;
+    all others are split.  ``encoding`` and ``multi_line`` set these for all files.  Without
+    ``key``, row ids follow the files by name and the lines within them."""
+    traits = file_traits(spark, path)
+    if encoding is not None or multi_line is not None:
+        traits = {f: FileTraits(encoding or t.encoding, t.multi_line if multi_line is None else multi_line)
+                  for f, t in traits.items()}
+    encodings = sorted({t.encoding for t in traits.values()}, key=lambda e: e != "UTF-8")
+    enc = encodings[0] if len(encodings) == 1 else ",".join(encodings) or "UTF-8"
     if sep is None and path.lower().endswith(".tsv"):
         sep = "\t"
-    first = spark.read.option("encoding", enc).text(path).where(F.length("value") > 0).first()
-    if first is None:
+    for head, t in traits.items():
+        first = spark.read.option("encoding", t.encoding).text(head).where(F.length("value") > 0).first()
+        if first is not None:
+            break
+    else:
         return ReadResult(spark.createDataFrame([], f"{row_id} bigint"), None, enc, sep or ",", [])
     if sep is None:
         sep = sniff_separator(first["value"].lstrip(BOM))
-    hdr_row = spark.read.csv(path, sep=sep, header=False, encoding=enc, escape='"',
-                             multiLine=multi_line).first()
+    hdr_row = spark.read.csv(head, sep=sep, header=False, encoding=t.encoding, escape='"',
+                             multiLine=t.multi_line).first()
     names = repair_header(list(hdr_row))
     fields = [T.StructField(f"_f{i}", T.StringType(), True) for i in range(len(names))]
     schema = T.StructType(fields + [T.StructField(CORRUPT, T.StringType(), True)])
-    raw = spark.read.csv(path, sep=sep, header=True, encoding=enc, escape='"', schema=schema,
-                         mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=multi_line,
-                         nullValue=None, emptyValue="")
+    raw = None
+    for kind, files in _by_traits(traits):
+        part = _placed(spark.read.csv(files, sep=sep, header=True, encoding=kind.encoding, escape='"', schema=schema,
+                                      mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+                                      multiLine=kind.multi_line, nullValue=None, emptyValue=""))
+        raw = part if raw is None else raw.unionByName(part)
     # a flagged line is rejected only when it has more fields than the header;
     # shorter lines are kept with the missing cells null
     wide = T.StructType(fields + [T.StructField("_extra", T.StringType(), True)])
@@ -134,26 +184,54 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     touch = F.length(F.concat_ws("", *[F.col(f"_f{i}") for i in range(len(names))])) >= 0
     too_long = F.col(CORRUPT).isNotNull() & extra.isNotNull() & touch
     good = raw.where(~too_long).select(
-        *[_na_to_null(F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)])
+        *[_na_to_null(F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)], _FILE, _BLOCK)
     # the parsed fields ride along: Spark refuses a query on the corrupt column alone
     rejects = raw.where(too_long).select(F.col(CORRUPT).alias("line"),
                                          *[F.col(f"_f{i}").alias(n) for i, n in enumerate(names)])
     if infer:
-        good = infer_types(good, names)
-    return ReadResult(add_row_id(good, row_id, key), rejects, enc, sep, names)
+        good = infer_types(good, names, keep=[_FILE, _BLOCK])
+    return ReadResult(add_row_id(good, row_id, key, place=(_FILE, _BLOCK)), rejects, enc, sep, names)
+
+
+#: Characters at the start of a JSON file in which the first record's keys are looked for.
+_JSON_HEAD = 1 << 16
+
+
+def _json_keys(spark: SparkSession, file: str, encoding: str) -> list[str]:
+    """The keys of a file's first record, in their order; [] where it is longer than the head."""
+    lines = spark.read.option("encoding", encoding).text(file).select(F.substring("value", 1, _JSON_HEAD)).take(200)
+    head = "\n".join(r[0] or "" for r in lines)[:_JSON_HEAD].lstrip(BOM)
+    try:
+        record, _ = json.JSONDecoder().raw_decode(head, head.index("{"))
+    except ValueError:
+        return []
+    return list(record)
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False, key: str | None = None,
               row_id: str = "row_id") -> ReadResult:
-    """S3: a JSON array of records (``lines=False``) or JSON Lines."""
-    df = spark.read.json(path, multiLine=not lines)
+    """S3: a JSON array of records (``lines=False``) or JSON Lines, each file with its own charset.
+    Columns keep the order of the first record; those that it lacks follow by name."""
+    traits = file_traits(spark, path)
+    df, order = None, []
+    for encoding in sorted({t.encoding for t in traits.values()}, key=lambda e: e != "UTF-8"):
+        files = [f for f, t in traits.items() if t.encoding == encoding]
+        part = _placed(spark.read.json(files, multiLine=not lines, encoding=encoding))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    if df is None:
+        return ReadResult(spark.createDataFrame([], f"{row_id} bigint"), None)
+    for f, t in traits.items():
+        if order := _json_keys(spark, f, t.encoding):
+            break
+    names = [c for c in df.columns if c not in (_FILE, _BLOCK, CORRUPT)]
+    names = [c for c in order if c in names] + [c for c in names if c not in order]
+    rejects = None
     if CORRUPT in df.columns:
-        rejects = df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"),
-                                                              *[c for c in df.columns if c != CORRUPT])
-        df = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    else:
-        rejects = None
-    return ReadResult(add_row_id(df, row_id, key), rejects)
+        rejects = df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), *[X.col(c) for c in names])
+        df = df.where(F.col(CORRUPT).isNull())
+    df = df.select(*[X.col(c) for c in names], _FILE, _BLOCK)
+    return ReadResult(add_row_id(df, row_id, key, place=(_FILE, _BLOCK)), rejects,
+                      ",".join(dict.fromkeys(t.encoding for t in traits.values())))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, key: str | None = None,
