@@ -17,6 +17,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -143,39 +144,40 @@ def scan(data: bytes, max_layer_bytes: int = 1 << 26) -> tuple[list, list, int,
     spans, seen, work, layers, unread = set(base), {(text, 0, len(text))}, deque([(text, None, None, None)]), 0, 0
     while work:
         now, first, last, made = work.popleft()
-        children = []
+        n, children = len(now), []
+        if first is None:
+            first, last, made = np.arange(n), np.arange(1, n + 1), np.zeros(n, dtype=bool)
         for kind in ("url", "unicode"):
-            if not (put := _replacements(now, kind)):
-                continue
-            out, f, e, new, at = [], [], [], [], 0
-            for a, b, c in [*put, (len(now), len(now), "")]:
-                out.append(now[at:a])
-                f += first[at:a] if first else range(at, a)
-                e += last[at:a] if last else range(at + 1, a + 1)
-                new += made[at:a] if made else [False] * (a - at)
-                if c:
-                    out.append(c)
-                    f.append(first[a] if first else a)
-                    e.append(last[b - 1] if last else b)
-                    new.append(True)
-                at = b
-            children.append(("".join(out), f, e, new))
+            if put := _replacements(now, kind):
+                out, at = [], 0
+                for a, b, c in put:
+                    out += (now[at:a], c)
+                    at = b
+                starts, ends = (np.array([x[i] for x in put]) for i in (0, 1))
+                # of each escape one character stays, with the end of the whole escape
+                gone = np.zeros(n + 1, dtype=np.int32)
+                np.add.at(gone, starts + 1, 1)
+                np.add.at(gone, ends, -1)
+                stay = np.cumsum(gone[:n]) == 0
+                e, new = last.copy(), made.copy()
+                e[starts], new[starts] = last[ends - 1], True
+                children.append(("".join(out) + now[at:], first[stay], e[stay], new[stay]))
         for a, b, inside in _payloads(now, max_layer_bytes):
             if inside is None:
                 unread += 1
                 continue
-            start, end = (first[a], last[b - 1]) if first else (a, b)
-            children.append((inside, [start] * len(inside), [end] * len(inside), [True] * len(inside)))
+            m = len(inside)
+            children.append((inside, np.full(m, first[a]), np.full(m, last[b - 1]), np.ones(m, dtype=bool)))
         for child in children:
             inside, f, e, new = child
-            if not inside or (key := (inside, f[0], e[-1])) in seen:
+            if not inside or (key := (inside, int(f[0]), int(e[-1]))) in seen:
                 continue
             seen.add(key)
             layers += 1
             work.append(child)
             for a, b, kind in base_spans(inside, inside.encode("utf-8", "replace")):
-                if any(new[a:b]):
-                    spans.add((min(f[a:b]), max(e[a:b]), kind))
+                if new[a:b].any():
+                    spans.add((int(f[a:b].min()), int(e[a:b].max()), kind))
     return base, sorted(spans, key=lambda x: (x[0], _ORDER[x[2]], x[1])), layers, unread
 
 
