@@ -135,42 +135,44 @@ def _sets(docs: DataFrame, words: int, percent: int, frequent: Frequent) -> Data
 
 
 _SHARED = T.StructType([
-    T.StructField("shingle", T.LongType()), T.StructField("salt", T.IntegerType()),
-    T.StructField("rank", T.IntegerType()), T.StructField("g", T.LongType()), T.StructField("lead", T.LongType())])
+    T.StructField("shingle", T.LongType()), T.StructField("turn", T.IntegerType()), T.StructField("g", T.LongType()),
+    T.StructField("pos", T.IntegerType()), T.StructField("lead", T.LongType()), T.StructField("lead_pos", T.IntegerType())])
+#: ``turn`` holds a posting's part of the list (0: the list is whole) and, below, its rank.
+_RANKS = 1 << 10
 
 
 def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (shingle, salt, rank, g): each group of a list but the first, with the
+    """From postings sorted by (shingle, turn, g): each group of a list but the first, with the
     first one, the leader.  Repeated postings count once.  Split lists also report their leader, as
     its own follower.  Holds one batch and the state of the list that it ends in."""
-    state = None  # shingle, salt, leader, last group
+    state = None  # shingle, part, leader, its position, last group
     for batch in batches:
-        s, salt, rank, g = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        s, turn, g, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(s):
             continue
+        part = turn // _RANKS
         new = np.ones(len(s), dtype=bool)
-        new[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])
+        new[1:] = (s[1:] != s[:-1]) | (part[1:] != part[:-1])
         again = np.zeros(len(s), dtype=bool)
         again[1:] = ~new[1:] & (g[1:] == g[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-        lead = g[first]
-        if state is not None and (s[0], salt[0]) == state[:2]:
-            lead = np.where(first == 0, state[2], lead)
-            again[0], new[0] = g[0] == state[3], False
-        keep = ~again & ((lead != g) | (new & (salt >= 0)))
-        state = (s[-1], salt[-1], lead[-1], g[-1])
+        lead, lead_pos = g[first], pos[first]
+        if state is not None and (s[0], part[0]) == state[:2]:
+            lead, lead_pos = np.where(first == 0, state[2], lead), np.where(first == 0, state[3], lead_pos)
+            again[0], new[0] = g[0] == state[4], False
+        keep = ~again & ((lead != g) | (new & (part > 0)))
+        state = (s[-1], part[-1], lead[-1], lead_pos[-1], g[-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c[keep]) for c in (s, salt, rank, g, lead)], names=_SHARED.names)
+            [pa.array(c[keep]) for c in (s, turn, g, pos, lead, lead_pos)], names=_SHARED.names)
 
 
 def _shared(sets: DataFrame) -> DataFrame:
-    """The lists of the prefix shingles that several groups share: (shingle, salt, rank, g, lead) for
-    each group but the list's leader."""
-    rare = sets.select(F.explode("rare").alias("shingle"), F.lit(-1).alias("salt"), "rank", "g")
-    hot = sets.select(F.explode("hot").alias("shingle"), F.pmod("g", F.lit(SALTS)).cast("int").alias("salt"),
-                      "rank", "g")
-    parts = rare.unionByName(hot)
-    return (parts.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "rank", "g")
+    """The lists of the prefix shingles that several groups share: (shingle, turn, g, pos, lead,
+    lead_pos) for each group but the list's leader, with the positions in their prefixes."""
+    part = F.when(F.col("pos") >= F.size("rare"), 1 + F.pmod("g", F.lit(SALTS))).otherwise(0)
+    postings = sets.select("rare", "rank", "g", F.posexplode(F.concat("rare", "hot")).alias("pos", "shingle")).select(
+        "shingle", (part * _RANKS + F.col("rank")).cast("int").alias("turn"), "g", "pos")
+    return (postings.repartition("shingle", F.floor(F.col("turn") / _RANKS)).sortWithinPartitions("shingle", "turn", "g")
             .mapInArrow(_followers, _SHARED))
 
 
@@ -255,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = classes.groupBy("g").agg(F.min("rep").alias("lead_rep"), F.min("n").alias("n"))
 
     # first pairs: every class with the leader of its group and of each list of its group
-    heads = shared.filter("salt >= 0 and g = lead").select("shingle", "rank", "g")
+    heads = shared.filter("g = lead").select("shingle", F.pmod("turn", F.lit(_RANKS)).alias("rank"), "g")
     top = heads.groupBy("shingle").agg(F.min(F.struct("rank", "g")).alias("top"))
     over = heads.join(top, "shingle").select("g", F.col("top.g").alias("lead"))
     group_pairs = shared.select("g", "lead").unionByName(over).filter("g <> lead").distinct()
@@ -272,23 +274,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = (classes.select("g", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
              .select("g", "n", "rep", F.coalesce("component", "rep").alias("component")))
     spread = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    members = shared.select("shingle", "g").unionByName(shared.select("shingle", F.col("lead").alias("g"))).distinct()
+    members = shared.select("shingle", "g", "pos").unionByName(
+        shared.select("shingle", F.col("lead").alias("g"), F.col("lead_pos").alias("pos"))).distinct()
     # a group of several components is mixed by itself, whatever it shares
     mixed_lists = (members.join(spread, "g").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
                    .filter("low <> high").select("shingle"))
     lists = saved(members.join(mixed_lists, "shingle").join(named, "g"))
     alone = spread.filter("low <> high").select("g").join(named, "g").select(
-        F.col("g").alias("shingle"), "n", "rep", "component")
-    rows = lists.select("shingle", "n", "rep", "component").unionByName(alone)
+        F.col("g").alias("shingle"), F.lit(0).alias("pos"), "n", "rep", "component")
+    rows = lists.select("shingle", "pos", "n", "rep", "component").unionByName(alone)
     # the largest component of a list is only met by the others
     counts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
     head = counts.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("head"))
     rest = rows.join(head, "shingle").filter("component <> head.component").select(
-        "shingle", F.col("n").alias("n1"), F.col("rep").alias("a"), F.col("component").alias("c1"),
-        F.col("head.component").alias("main"))
-    other = rows.select("shingle", F.col("n").alias("n2"), F.col("rep").alias("b"), F.col("component").alias("c2"))
-    second = (rest.join(other, "shingle").filter("c1 <> c2 and (c2 = main or a < b)")
-              .filter(_size_fits(F.col("n1"), F.col("n2"), percent)).select("a", "b").distinct())
+        "shingle", F.col("pos").alias("p1"), F.col("n").alias("n1"), F.col("rep").alias("a"),
+        F.col("component").alias("c1"), F.col("head.component").alias("main"))
+    other = rows.select("shingle", F.col("pos").alias("p2"), F.col("n").alias("n2"), F.col("rep").alias("b"),
+                        F.col("component").alias("c2"))
+    # similar sets share a shingle that has fewer than n - overlap + 1 before it in either
+    overlap = F.expr(f"((n1 + n2) * {percent} + {99 + percent}) div {100 + percent}")
+    near = (F.col("p1") <= F.col("n1") - overlap) & (F.col("p2") <= F.col("n2") - overlap)
+    second = (rest.join(other, "shingle").filter("c1 <> c2 and (c2 = main or a < b)").filter(near)
+              .select("a", "b").distinct())
     second = saved(second.join(first, ["a", "b"], "left_anti"))
     more = _verified(second, sets, docs, words, percent)
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
