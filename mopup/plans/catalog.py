@@ -432,6 +432,32 @@ def q_missing_rows_data(spark, sf):
                       F.col("row_data")["o_orderpriority"].alias("o_orderpriority"))
 
 
+def q_completeness_with_failure(spark, sf):
+    """D12 where a requested conversion has an unknown target: that step fails, the others go on."""
+    opts = scoped(dtype_map={"total_txt": "no_such_type", "flag_txt": "bool"}, trim_whitespace=True)
+    return Q.cleaning_completeness(clean(otext(spark, sf), opts).log)
+
+
+def q_cell_diff_versions(spark, sf):
+    """A3 with rows and columns on one side only."""
+    v = cust(spark, sf)
+    before = v.where("row_id % 5 <> 0").select("row_id", "nation_txt", "origin")
+    after = v.where("row_id % 7 <> 0").select("row_id", F.upper("nation_txt").alias("nation_txt"), F.lit("n").alias("note"))
+    return A.cell_diff(before, after)
+
+
+def q_missing_remaining_after_fill(spark, sf):
+    """P10 after empty columns are dropped and numbers filled."""
+    return P.missing_remaining(clean(cust(spark, sf), scoped(
+        drop_empty_columns=True, missing_strategy="fill", fill_numeric="zero", fill_categorical="skip")).df)
+
+
+def q_detect_outliers_after_fill(spark, sf):
+    """O3: the outliers of a table whose gaps were filled."""
+    return O.detect_outliers(clean(evg(spark, sf), scoped(
+        missing_strategy="fill", fill_numeric="zero", fill_categorical="skip")).df)
+
+
 def q_outlier_totals(spark, sf):
     """O2: the totals of the review screen."""
     return O.outlier_listing(evg(spark, sf), max_rows=100)[1]
@@ -557,6 +583,10 @@ QUERIES = {
     "json_safe": q_json_safe,
     "missing_rows_data": q_missing_rows_data,
     "outlier_totals": q_outlier_totals,
+    "completeness_with_failure": q_completeness_with_failure,
+    "cell_diff_versions": q_cell_diff_versions,
+    "missing_remaining_after_fill": q_missing_remaining_after_fill,
+    "detect_outliers_after_fill": q_detect_outliers_after_fill,
     "stream_clean": q_stream_clean,
     "stream_profile": q_stream_profile,
 }

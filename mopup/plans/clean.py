@@ -274,6 +274,10 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
             info["actual"] = cur_type[c].simpleString()
             meta[c] = info
         entries.append(_Entry("manual_convert_dtypes", len(meta), list(meta), meta))
+        failed = [c for c, m in meta.items() if not m["success"]]
+        if failed:
+            entries.append(_Entry("manual_convert_dtypes_failed", len(failed), failed,
+                                  {c: meta[c]["note"] for c in failed}, success=False))
         # C8 report as a lazy aggregate over the table before conversion: values
         # present before and missing after each requested conversion
         pre = w

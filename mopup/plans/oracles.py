@@ -327,6 +327,28 @@ from ({lgn}),
           cast(count_if({' or '.join(f'{qi(n)} is null' for n, _ in CUSTN)}) as bigint) as rows_with_missing
    from c1n) t
 where missing > 0""", ("c1n", CUST_C1N))
+    # the columns without any value go, the numbers have no gaps left
+    left = [(n, k) for n, k in CUSTN if n not in ("notes", "unnamed:_8")]
+    filled = f"select row_id, {sel(left, lambda n, k: qi(n) if k == 't' else f'coalesce({qi(n)}, 0)')} from c1n"
+    tot = " + ".join(f"cast({qi(n)} is null as int)" for n, _ in left)
+    o["missing_remaining_after_fill"] = _cust(f"""
+select position, {qi('column')}, missing,
+  case when rows = 0 then 0.0 else {rnd('missing * 100.0 / rows', 2)} end as percent,
+  t.missing_total, t.rows_with_missing
+from ({_null_long("f", left)}),
+  (select cast(sum({tot}) as bigint) as missing_total,
+          cast(count_if({' or '.join(f'{qi(n)} is null' for n, _ in left)}) as bigint) as rows_with_missing
+   from f) t
+where missing > 0""", ("c1n", CUST_C1N), ("f", filled))
+    o["cell_diff_versions"] = _cust("""
+select coalesce(b.row_id, a.row_id) as row_id, 'nation_txt' as "column", b.nation_txt as old_value, a.nation_txt as new_value,
+  case when a.row_id is null then 'removed' when b.row_id is null then 'added' else 'changed' end as change
+from b full join a on a.row_id = b.row_id
+where a.row_id is null or b.row_id is null or a.nation_txt is distinct from b.nation_txt
+union all select row_id, 'origin', origin, null, 'removed' from b
+union all select row_id, 'note', null, note, 'added' from a""",
+        ("b", "select row_id, nation_txt, origin from customer_dirty where row_id % 5 <> 0"),
+        ("a", "select row_id, upper(nation_txt) as nation_txt, 'n' as note from customer_dirty where row_id % 7 <> 0"))
     o["placeholder_cells"] = _cust(" union all ".join(
         f"select {i} as position, {lit(n)} as {qi('column')}, {cif(ph_score(qi(n), k == 't'))} as placeholder_cells "
         f"from customer_dirty" for i, (n, k) in enumerate(CUST)))
@@ -535,6 +557,11 @@ from b""" for i, c in enumerate(nums)), ("e", "select * from events_gaps"), b)
 select row_id, case when {_flag('user_id')} then 'user_id' else 'value' end as {qi('column')},
   case when {_flag('user_id')} then cast(user_id as double) else value end as value
 from e, b where {_flag('user_id')} or {_flag('value')}""", ("e", evo), b)
+    flagged = f"""
+select row_id, case when {_flag('user_id')} then 'user_id' else 'value' end as {qi('column')},
+  case when {_flag('user_id')} then cast(user_id as double) else value end as value
+from e, b where {_flag('user_id')} or {_flag('value')}"""
+    o["detect_outliers_after_fill"] = w(flagged, ("e", "select * replace (coalesce(value, 0) as value) from events_gaps"), b)
     o["outlier_totals"] = w(f"""
 select 'user_id,value' as columns_checked,
   cast(count_if({_flag('user_id')} or {_flag('value')}) as bigint) as total_rows,
@@ -619,6 +646,7 @@ def _new_oracles() -> dict:
     gone = ("select row_id, min(row_id) over (partition by cust_bucket, o_orderstatus, o_orderpriority) as f "
             "from orders_dup")
     return {
+        "completeness_with_failure": "select cast(1 as bigint) as failed_operations, cast(80.0 as double) as completeness",
         "auto_bigint": w("orders_ids", f"select row_id, {ids} as big_txt, o_orderstatus from orders_ids"),
         "clean_bigint_ids": w("orders_ids", f"select row_id, {ids} as big_txt, o_orderstatus from orders_ids"),
         "cell_update_bigint": w("orders_bigint", "select row_id, case row_id when 1 then 1234567890123456789 "
