@@ -23,7 +23,7 @@ WHITESPACE_CODEPOINTS = [
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 WHITESPACE = "".join(chr(c) for c in WHITESPACE_CODEPOINTS)
-# A plain decimal number as the strict text-to-number parse accepts it.
+# --- fixed values: a plain decimal number as the strict text-to-number parse accepts it.
 NUMBER_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INT_RE = r"^[+-]?[0-9]+$"
 EXACT_DOUBLE = 1 << 53  # every integer up to it has a DOUBLE of its own
@@ -94,7 +94,7 @@ def placeholder_expr(name: str, kind: str) -> Column:
     in the JVM; the IN list becomes a hash-set lookup).  ``kind`` is one of clean,
     analyze, outlier (text columns, null → null) or score (any type, null → true)."""
     if kind == "score":
-        raise ValueError("use is_placeholder_score for the scoring vocabulary")
+        raise ValueError("use score_placeholder_expr for the scoring vocabulary")
     vocab = {"clean": tokens.PH_CLEAN, "analyze": tokens.PH_ANALYZE, "outlier": tokens.PH_OUTLIER}[kind]
     s = strip_sql(name)
     return F.expr(f"({s} IN ({_sql_in(vocab)}) OR startswith({s}, '###'))")
@@ -204,34 +204,6 @@ def as_text(c: Column, dt: T.DataType) -> Column:
     return c if is_text(dt) else c.cast("string")
 
 
-def _ph_case_sensitive(c: Column, vocab: list[str]) -> Column:
-    # null in → null out (falsy); the stripped text appears in both arms of the OR,
-    # so codegen evaluates it once
-    s = strip_ws(c)
-    return s.isin(*lits(vocab)) | s.startswith("###")
-
-
-def is_placeholder_clean(c: Column) -> Column:
-    """Cleaning vocabulary (text columns only)."""
-    return _ph_case_sensitive(c, tokens.PH_CLEAN)
-
-
-def is_placeholder_analyze(c: Column) -> Column:
-    """Profiling vocabulary (text columns only)."""
-    return _ph_case_sensitive(c, tokens.PH_ANALYZE)
-
-
-def is_placeholder_outlier(c: Column) -> Column:
-    """Outlier-listing vocabulary (text columns only)."""
-    return _ph_case_sensitive(c, tokens.PH_OUTLIER)
-
-
-def is_placeholder_score(c: Column, dt: T.DataType) -> Column:
-    """Scoring vocabulary: any column type; null counts as a placeholder."""
-    s = F.lower(strip_ws(as_text(c, dt)))
-    return F.coalesce(c.isNull() | s.isin(*lits(tokens.PH_SCORE)) | s.rlike(r"^#+$"), F.lit(True))
-
-
 def null_if(c: Column, pred: Column) -> Column:
     return F.when(pred, F.lit(None)).otherwise(c)
 

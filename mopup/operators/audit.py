@@ -10,13 +10,6 @@ from ..functions.exprs import col
 from .transforms import KEY, data_columns
 
 
-def cells(df: DataFrame, key: str = KEY) -> DataFrame:
-    """Long form of a table, nulls included: (row_id, column, value) with text values."""
-    cs = data_columns(df, key)
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in cs])
-    return df.select(col(key).cast("bigint").alias(key), F.inline(arr))
-
-
 def cell_search(df: DataFrame, query: str = "", column: str | None = None, row_id=None,
                 key: str = KEY) -> DataFrame:
     """A4: cells whose text contains ``query`` (case-insensitive), optionally in one

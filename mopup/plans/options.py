@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass, field, fields, replace
 
 from ..functions.exprs import normalize_name
@@ -14,7 +13,7 @@ class CleanOptions:
 
     Defaults are those of a direct library call ("everything on", fill missing
     values with mean / mode).  ``quantiles`` ("exact" | "approx") and ``stage``
-    ("auto" | "checkpoint" | "persist" | "none") are Spark-side knobs.
+    ("auto" | "checkpoint" | "none") are Spark-side knobs.
     """
     remove_duplicates: bool = True
     duplicates_subset: tuple | None = None
@@ -114,7 +113,3 @@ def merge_recipe(applied: list[dict], base: dict | None = None) -> CleanOptions:
             merged["missing_strategy"] = "fill"
         merged.update(step)
     return CleanOptions.from_dict(merged)
-
-
-def recipe_json(opts: CleanOptions) -> str:
-    return json.dumps(opts.to_dict(), sort_keys=True, default=str)

@@ -16,10 +16,10 @@ def test_placeholder_vocabularies_m15(spark):
     vals = ["unknown", "Unknown", " - ", "###x", "##"]
     df = _one_col(spark, vals)
     got = df.orderBy("row_id").select(
-        X.is_placeholder_clean(F.col("v")).alias("clean"),
-        X.is_placeholder_analyze(F.col("v")).alias("analyze"),
-        X.is_placeholder_score(F.col("v"), T.StringType()).alias("score"),
-        X.is_placeholder_outlier(F.col("v")).alias("outlier")).collect()
+        X.placeholder_expr("v", "clean").alias("clean"),
+        X.placeholder_expr("v", "analyze").alias("analyze"),
+        X.score_placeholder_expr("v", T.StringType()).alias("score"),
+        X.placeholder_expr("v", "outlier").alias("outlier")).collect()
     assert [r["clean"] for r in got] == [True, False, True, True, False]
     assert [r["analyze"] for r in got] == [False, False, True, True, False]
     assert [r["score"] for r in got] == [True, True, True, False, True]
