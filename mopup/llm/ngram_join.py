@@ -301,7 +301,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
 
     own = facts.join(classes.select("set", F.col("rep").alias("class_id")), "set", "left")
-    own = own.withColumn("class_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")))
+    own = own.withColumn("class_id", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("class_id"))
+                         .otherwise(F.col("id")))
     out = own.join(final, own["class_id"] == final["rep"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("component", "class_id").alias("component_id"), "class_id")
