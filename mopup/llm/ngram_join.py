@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,25 +81,36 @@ def _frequent(docs: DataFrame, words: int) -> Frequent:
     return known[order], level[order], (count / max(share, 1e-9) >= HOT)[order]
 
 
-def parity_bits(shingles: np.ndarray) -> bytes:
-    """A bitmap in which each shingle flips one of at least 2n bits.  Two sets that differ in d
-    shingles have bitmaps that differ in at most d bits."""
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap, as 64-bit numbers, in which each shingle flips one of 2n to 4n bits.  Two sets that
+    differ in d shingles have bitmaps that differ in at most d bits."""
     bits = max(256, 1 << (2 * max(len(shingles), 1) - 1).bit_length())
     flips = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def differing_bits(a: bytes, b: bytes) -> int:
-    """Differing bits of two bitmaps, the longer folded to the size of the shorter."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    if len(x) > len(y):
-        x, y = y, x
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+def _differing_bits(x: Column, y: Column) -> Column:
+    """Differing bits of two bitmaps, the longer one folded once where their sizes differ."""
+    def folded(z: Column) -> Column:
+        half = F.floor(F.size(z) / 2).cast("int")
+        return F.zip_with(F.slice(z, F.lit(1), half), F.slice(z, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def apart(p: Column, q: Column) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+
+    return (F.when(F.size(x) == F.size(y), apart(x, y)).when(F.size(x) == 2 * F.size(y), apart(folded(x), y))
+            .when(2 * F.size(x) == F.size(y), apart(x, folded(y))))
+
+
+def _may_link(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    """False where the bitmaps rule a link out: similar sets differ in at most
+    (100 - percent) / (100 + percent) of their total size.  Sets of bitmaps that can't be compared may."""
+    return F.coalesce((100 + percent) * _differing_bits(x, y) <= (100 - percent) * (n + m), F.lit(True))
 
 
 _SETS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("g", T.LongType()),
-    T.StructField("set", T.BinaryType()), T.StructField("bits", T.BinaryType()),
+    T.StructField("set", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType())),
     T.StructField("rank", T.IntegerType()), T.StructField("rare", T.ArrayType(T.LongType())),
     T.StructField("hot", T.ArrayType(T.LongType()))])
 
@@ -128,7 +139,7 @@ def _sets(docs: DataFrame, words: int, percent: int, frequent: Frequent) -> Data
                 hot.append(o[split].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()),
-                 pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(ranks, pa.int32()),
+                 pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(ranks, pa.int32()),
                  pa.array(rare, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], names=_SETS.names)
 
     return docs.select("id", "text").mapInArrow(build, _SETS)
@@ -196,24 +207,16 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their bitmaps don't rule out.  Similar sets differ in at most
-    (100 - percent) / (100 + percent) of their total size."""
+    """The pairs (a, b) that their bitmaps don't rule out."""
     facts = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[2:]]
-            good = [(100 + percent) * differing_bits(x, y) <= (100 - percent) * (n + m) for n, m, x, y in zip(*columns)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
     both = pairs.join(facts, "a").join(facts.toDF("b", "n_b", "bits_b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, schema).distinct()
+    return both.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)).select(
+        "a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: 100 * intersection >= percent * union."""
-    pairs = saved(_possible(pairs, sets, percent))
+    pairs = saved(pairs)
     texts = saved(_texts(docs, pairs.select(F.col("a").alias("id")).unionByName(
         pairs.select(F.col("b").alias("id"))).distinct()))
     left = texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a"))
@@ -267,10 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = classes.join(leads.select("g", "lead_rep"), "g").select("rep", "lead_rep")
     first = saved(outer.unionByName(inner).filter("rep <> lead_rep").distinct()
                   .select(F.col("rep").alias("a"), F.col("lead_rep").alias("b")))
-    links = saved(_verified(first, sets, docs, words, percent))
+    links = saved(_verified(_possible(first, sets, percent), docs, words, percent))
     label = saved(components(links))
 
     # second pairs: within a list, those not connected yet
+    bits = sets.filter("n > 0").select(F.col("id").alias("rep"), F.col("n"), "bits").dropDuplicates(["rep", "n"])
     named = (classes.select("g", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
              .select("g", "n", "rep", F.coalesce("component", "rep").alias("component")))
     spread = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -279,25 +283,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a group of several components is mixed by itself, whatever it shares
     mixed_lists = (members.join(spread, "g").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
                    .filter("low <> high").select("shingle"))
-    lists = saved(members.join(mixed_lists, "shingle").join(named, "g"))
-    alone = spread.filter("low <> high").select("g").join(named, "g").select(
-        F.col("g").alias("shingle"), F.lit(0).alias("pos"), "n", "rep", "component")
-    rows = lists.select("shingle", "pos", "n", "rep", "component").unionByName(alone)
+    lists = saved(members.join(mixed_lists, "shingle").join(named.join(bits, ["rep", "n"]), "g"))
+    alone = spread.filter("low <> high").select("g").join(named, "g").join(bits, ["rep", "n"]).select(
+        F.col("g").alias("shingle"), F.lit(0).alias("pos"), "n", "rep", "component", "bits")
+    rows = lists.select("shingle", "pos", "n", "rep", "component", "bits").unionByName(alone)
     # the largest component of a list is only met by the others
     counts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
     head = counts.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("head"))
     rest = rows.join(head, "shingle").filter("component <> head.component").select(
         "shingle", F.col("pos").alias("p1"), F.col("n").alias("n1"), F.col("rep").alias("a"),
-        F.col("component").alias("c1"), F.col("head.component").alias("main"))
+        F.col("component").alias("c1"), F.col("head.component").alias("main"), F.col("bits").alias("x"))
     other = rows.select("shingle", F.col("pos").alias("p2"), F.col("n").alias("n2"), F.col("rep").alias("b"),
-                        F.col("component").alias("c2"))
+                        F.col("component").alias("c2"), F.col("bits").alias("y"))
     # similar sets share a shingle that has fewer than n - overlap + 1 before it in either
     overlap = F.expr(f"((n1 + n2) * {percent} + {99 + percent}) div {100 + percent}")
     near = (F.col("p1") <= F.col("n1") - overlap) & (F.col("p2") <= F.col("n2") - overlap)
-    second = (rest.join(other, "shingle").filter("c1 <> c2 and (c2 = main or a < b)").filter(near)
-              .select("a", "b").distinct())
+    # one condition of the join, so that it makes no other rows; the bitmaps are compared last
+    apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") < F.col("b")))
+    may = F.when(apart & near, _may_link(F.col("n1"), F.col("n2"), F.col("x"), F.col("y"), percent)).otherwise(False)
+    second = rest.join(other, "shingle").filter(may).select("a", "b").distinct()
     second = saved(second.join(first, ["a", "b"], "left_anti"))
-    more = _verified(second, sets, docs, words, percent)
+    more = _verified(second, docs, words, percent)
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
 
     own = facts.join(classes.select("set", F.col("rep").alias("class_id")), "set", "left")
