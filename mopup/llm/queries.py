@@ -11,6 +11,7 @@ from .chat import format_chats
 from .decontaminate import find_items
 from .mixing import mix
 from .ngram_join import near_duplicates
+from .oracles import ORACLES  # noqa: F401 - read by the entry point
 from .pii import KINDS as PII_KINDS
 from .pii import pseudonymize
 from .quality_rules import quality_rules
@@ -105,5 +106,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_ngram_join, op2_secret_scan, op3_decontaminate, op4_substring_dedup, op5_mix_sources, op6_toxicity, op7_quality_rules,
         op8_pseudonymize, op9_url_filter, op10_chat_format)
 }
-
-ORACLES: dict[str, str] = {}
