@@ -31,7 +31,7 @@ from .words import binaries, mix, nulls_to_empty, shingle_set
 
 #: Documents whose shingles are counted to tell frequent shingles, which go last in the order.
 #: Any order gives the same result; this one keeps the lists short.
-SAMPLE_DOCS = 8000
+SAMPLE_DOCS = 16000
 SAMPLE_MOST = 500_000
 #: Expected number of documents from which a shingle's list is split, and into how many parts.
 HOT, SALTS = 4096, 64
@@ -277,13 +277,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = sets.filter("n > 0").select(F.col("id").alias("rep"), F.col("n"), "bits").dropDuplicates(["rep", "n"])
     named = (classes.select("g", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
              .select("g", "n", "rep", F.coalesce("component", "rep").alias("component")))
-    spread = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                    F.count(F.lit(1)).alias("classes"))
+    # the leader of a whole list has met all others, but for further classes of its group
+    several = spread.filter("classes > 1").select(F.col("g").alias("lead"))
+    leaders = shared.filter("g <> lead").select("shingle", "lead", "lead_pos").distinct().join(several, "lead")
     members = shared.select("shingle", "g", "pos").unionByName(
-        shared.select("shingle", F.col("lead").alias("g"), F.col("lead_pos").alias("pos"))).distinct()
+        leaders.select("shingle", F.col("lead").alias("g"), F.col("lead_pos").alias("pos")))
     # a group of several components is mixed by itself, whatever it shares
     mixed_lists = (members.join(spread, "g").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
                    .filter("low <> high").select("shingle"))
-    lists = saved(members.join(mixed_lists, "shingle").join(named.join(bits, ["rep", "n"]), "g"))
+    lists = saved(members.distinct().join(mixed_lists, "shingle").join(named.join(bits, ["rep", "n"]), "g"))
     alone = spread.filter("low <> high").select("g").join(named, "g").join(bits, ["rep", "n"]).select(
         F.col("g").alias("shingle"), F.lit(0).alias("pos"), "n", "rep", "component", "bits")
     rows = lists.select("shingle", "pos", "n", "rep", "component", "bits").unionByName(alone)

@@ -72,7 +72,7 @@ def brute_components(rows, percent=80):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("sample,hot", [(8000, 4096), (60, 2)])
+@pytest.mark.parametrize("sample,hot", [(16000, 4096), (60, 2)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, sample, hot):
     monkeypatch.setattr(ngram_join, "SAMPLE_DOCS", sample)
     monkeypatch.setattr(ngram_join, "HOT", hot)
