@@ -33,7 +33,8 @@ from .words import binaries, mix, nulls_to_empty, shingle_set
 #: Any order gives the same result; this one keeps the lists short.
 SAMPLE_DOCS = 16000
 SAMPLE_MOST = 500_000
-#: Expected number of documents from which a shingle's list is split, and into how many parts.
+#: Expected number of documents from which a shingle's list is split, lowered to the limit of a level
+#: of the order, and into how many parts.
 HOT, SALTS = 4096, 64
 #: Ids that are broadcast at most (8 bytes each); beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -77,8 +78,13 @@ def _frequent(docs: DataFrame, words: int) -> Frequent:
     known = rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
     count = rows.column("n").to_numpy()
     order = np.argsort(known)
-    level = 1 + np.floor(2 * np.log2(np.maximum(count, 1))).astype(np.int32)
-    return known[order], level[order], (count / max(share, 1e-9) >= HOT)[order]
+    level = _level(count)
+    # split lists are whole levels, so that they are the end of a prefix and positions keep its order
+    return known[order], level[order], (level >= _level(HOT * share))[order]
+
+
+def _level(count: np.ndarray | float) -> np.ndarray:
+    return 1 + np.floor(2 * np.log2(np.maximum(count, 1))).astype(np.int32)
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:

@@ -92,6 +92,24 @@ def test_near_duplicates_edges(spark):
     assert ngram_join.near_duplicates(docs(spark, [(1, None), (2, " ")])).count() == 2
 
 
+def test_near_duplicates_where_the_split_limit_falls_inside_a_level(spark, monkeypatch):
+    # x and y = x + 20 rare words (J = 0.8) share one prefix shingle, the first of x: it is found in
+    # 10 documents and has a split list, the others of its level are found in 8 and have none
+    monkeypatch.setattr(ngram_join, "HOT", 10)
+    rng = random.Random(4)
+    common = [f"h{j}" for j in range(63)]
+    rows, pairs = [], []
+    for f in range(8):
+        core = sorted((f"f{f}c{j}" for j in range(17)), key=lambda w: int(W.shingle_set(w.encode(), 1)[0]))
+        x = core + common
+        pairs.append((100 * f, 100 * f + 1))
+        family = [x, x + [f"f{f}r{j}" for j in range(20)]]
+        family += [core + rng.sample(common, 20) for _ in range(6)] + [core[:1] + rng.sample(common, 30) for _ in range(2)]
+        rows += [(100 * f + k, " ".join(w)) for k, w in enumerate(family)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs(spark, rows), words=1).collect()}
+    assert [(a, b) for a, b in pairs if got[a] != got[b]] == []
+
+
 def brute_repeats(rows, window=20):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
