@@ -2,8 +2,9 @@
 
 Each layer of a text is scanned for secrets.  Its URL escapes, Unicode escapes, base64
 tokens and compressed payloads are unwrapped to further layers until nothing new comes
-out; layers seen before are left alone, so cycles end.  Every finding is mapped back to
-the code points of the text that it came from.
+out; layers seen before are left alone, so cycles end.  Layers carry bytes: those that aren't
+UTF-8 stay in the text as lone surrogates.  Every finding is mapped back to the code points of
+the text that it came from.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -35,10 +37,13 @@ _HEX_MAP = bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_B64_MIN = 20
+_B64_MIN = 19  # of the shortest secret, 14 bytes, without padding
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % _B64_MIN)
 _B64_MAP = bytes(0x78 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 0x20
                  for c in range(256))
+_PACKED = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00")  # gzip, zlib, bzip2, xz
+_PIECE = 1 << 16
+_ODD = re.compile("[\udc80-\udcff]")  # bytes that aren't UTF-8
 
 
 def base_spans(text: str, data: bytes) -> list[tuple[int, int, str]]:
@@ -59,12 +64,9 @@ def may_be_encoded(data: bytes) -> bool:
 
 
 def _url_run(run: str) -> list[tuple[str, int]]:
-    """(character, escapes used) of a run of %XX; [] where it isn't UTF-8."""
-    try:
-        out = binascii.unhexlify(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return []
-    return [(c, 3 * len(c.encode())) for c in out]
+    """(character, escapes used) of a run of %XX."""
+    out = binascii.unhexlify(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    return [(c, 3 * len(c.encode("utf-8", "surrogateescape"))) for c in out]
 
 
 def _replacements(text: str, kind: str) -> list[tuple[int, int, str]]:
@@ -85,35 +87,81 @@ def _replacements(text: str, kind: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """The content of a compressed payload and whether it was left unread for its size."""
+def _inflate(raw: bytes, at: int, limit: int) -> tuple[bytes | None, int, bool]:
+    """The content of the compressed stream at a place, its end, and whether it was left unread for its size."""
+    if raw.startswith(b"BZh", at):
+        unzip = bz2.BZ2Decompressor()
+    elif raw.startswith(b"\xfd7zXZ\x00", at):
+        unzip = lzma.LZMADecompressor()
+    else:
+        unzip = zlib.decompressobj(47)
+    parts, room = [], limit
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            unzip = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
-            unzip = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            unzip = lzma.LZMADecompressor()
-        else:
-            return None, False
-        out = unzip.decompress(raw, limit + 1)
-        return (None, True) if len(out) > limit else (out, False)
+        while at < len(raw) and not unzip.eof:
+            piece = raw[at:at + _PIECE]
+            parts.append(unzip.decompress(piece, room + 1))
+            at, room = at + len(piece), room - len(parts[-1])
+            if room < 0:
+                return None, at, True
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None, False
+        return None, at, False
+    return b"".join(parts), at - len(unzip.unused_data), False
 
 
-def _readable(raw: bytes) -> str | None:
-    """Text, if the bytes are UTF-8 with hardly any control character."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
+def _streams(raw: bytes, limit: int) -> Iterator[tuple[int, int, bytes | None]]:
+    """(start, end, content) of the compressed streams; content None where it was left unread."""
+    end = 0
+    for m in _PACKED.finditer(raw):
+        if m.start() >= end:
+            out, to, unread = _inflate(raw, m.start(), limit)
+            if out or unread:
+                end = to
+                yield m.start(), to, out
+
+
+def _unpacked(raw: bytes, limit: int) -> bytes | None:
+    """The bytes, inflated until they don't begin with a stream; None where one was left unread."""
+    seen = set()
+    while _PACKED.match(raw) and (key := hashlib.sha256(raw).digest()) not in seen:
+        seen.add(key)
+        parts, at, room = [], 0, limit
+        while _PACKED.match(raw, at):
+            out, to, unread = _inflate(raw, at, room)
+            if unread:
+                return None
+            if out is None:
+                break
+            parts.append(out)
+            at, room = to, room - len(out)
+        if not at:
+            break
+        raw = b"".join(parts) + raw[at:]
+    return raw
+
+
+def _of_use(text: str, raw: bytes, limit: int) -> bool:
+    """Whether a layer holds a secret or something to unwrap."""
+    data = text.encode("utf-8", "replace")
+    return bool(base_spans(text, data) or may_be_encoded(data) and any(p.search(text) for p in (_URL, _ESCAPE, _B64))
+                or next(_streams(raw, limit), None))
+
+
+def _texts(raw: bytes, limit: int) -> Iterator[str]:
+    """The bytes as UTF-8 and as UTF-16.  Bytes that are no clean text count where something is found in them."""
+    text = raw.decode("utf-8", "surrogateescape")
     odd = sum(c < 32 and c not in (9, 10, 13) for c in raw)
-    return text if text and odd * 10 <= len(raw) else None
+    clean = odd * 10 <= len(raw) and not _ODD.search(text)
+    if text and (clean or _of_use(text, raw, limit)):
+        yield text
+    if b"\0" in raw:
+        for code in ("utf-16-le", "utf-16-be"):
+            if _of_use(text := raw.decode(code, "replace"), b"", limit):
+                yield text
 
 
-def _payloads(text: str, limit: int) -> Iterator[tuple[int, int, str | None]]:
-    """(start, end, content) of base64 tokens; content None where it was left unread."""
+def _payloads(text: str, decoded: bool, limit: int) -> Iterator[tuple[int, int, str | None]]:
+    """(start, end, content) of base64 tokens and, in decoded layers, of compressed streams; content
+    None where it was left unread."""
     for m in _B64.finditer(text):
         token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(token) % 4 == 1:
@@ -122,11 +170,22 @@ def _payloads(text: str, limit: int) -> Iterator[tuple[int, int, str | None]]:
             raw = base64.b64decode(token + "=" * (-len(token) % 4))
         except (binascii.Error, ValueError):
             continue
-        inside, unread = _inflate(raw, limit)
-        if unread:
+        if (raw := _unpacked(raw, limit)) is None:
             yield m.start(), m.end(), None
-        elif (out := _readable(inside if inside is not None else raw)) is not None:
-            yield m.start(), m.end(), out
+        else:
+            for out in _texts(raw, limit):
+                yield m.start(), m.end(), out
+    if decoded and _PACKED.search(raw := text.encode("utf-8", "surrogateescape")):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        size = 1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000)
+        ends = np.cumsum(np.where((code >= 0xDC80) & (code <= 0xDCFF), 1, size))
+        for a, b, inside in _streams(raw, limit):
+            a, b = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1
+            if inside is None or (inside := _unpacked(inside, limit)) is None:
+                yield a, b, None
+            else:
+                for out in _texts(inside, limit):
+                    yield a, b, out
 
 
 def scan(data: bytes, max_layer_bytes: int = 1 << 26) -> tuple[list, list, int, int]:
@@ -162,7 +221,7 @@ def scan(data: bytes, max_layer_bytes: int = 1 << 26) -> tuple[list, list, int,
                 e, new = last.copy(), made.copy()
                 e[starts], new[starts] = last[ends - 1], True
                 children.append(("".join(out) + now[at:], first[stay], e[stay], new[stay]))
-        for a, b, inside in _payloads(now, max_layer_bytes):
+        for a, b, inside in _payloads(now, made.any(), max_layer_bytes):
             if inside is None:
                 unread += 1
                 continue

@@ -1,12 +1,15 @@
 """Operators that judge each row by itself, against plain definitions, on the awkward cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +87,36 @@ def test_secrets_base_and_layers(spark):
     assert secrets.scan_secrets(docs(spark, [])).count() == 0
 
 
+def test_secrets_unwrap_to_the_end():
+    secret = b"token=abcdefgh"
+    b64 = lambda x: base64.b64encode(x).decode()
+    twice, rng = gzip.compress(gzip.compress(secret)), random.Random(3)
+    assert len(b64(secret)) == 20 and b64(secret).endswith("=")
+    texts = {
+        "padded": b64(secret), "gzip of gzip": b64(twice), "zlib of bzip2": b64(zlib.compress(bz2.compress(secret))),
+        "xz of gzip of zlib": b64(lzma.compress(gzip.compress(zlib.compress(secret)))),
+        "members": b64(gzip.compress(b"nothing here ") + gzip.compress(secret)),
+        "url beside %FF": "".join(f"%{c:02X}" for c in b"\xff" + secret + b"\xe9\xff"),
+        "url of gzip": urllib.parse.quote(twice), "url of zlib": urllib.parse.quote(zlib.compress(secret)),
+        "url of bzip2": "".join(f"%{c:02x}" for c in bz2.compress(secret)),
+        "latin-1": b64("caf\xe9 token=abcdefgh \xfc".encode("latin-1")), "utf-16": b64(secret.decode().encode("utf-16")),
+        "utf-16-be": b64(secret.decode().encode("utf-16-be")),
+        "binary": b64(bytes(rng.randrange(256) for _ in range(60)) + b" " + secret + b" " + bytes(rng.randrange(256) for _ in range(60))),
+        "stream in bytes": b64(b"\x00\x01head \xff" + gzip.compress(secret) + b"tail"),
+    }
+    for name, text in texts.items():
+        base, spans, layers, unread = secrets.scan(f"é {text} ü".encode())
+        assert base == [] and unread == 0 and layers > 0, name
+        assert spans and all(2 <= a < b <= 2 + len(text) and kind == "assign" for a, b, kind in spans), name
+        if not name.startswith("url beside"):
+            assert spans == [(2, 2 + len(text), "assign")], name
+    # a bomb inside a stream is counted
+    bomb = gzip.compress(zlib.compress(b"0" * 5000))
+    assert secrets.scan(b64(bomb).encode(), 1000)[3] == 1
+    # plain words and random bytes make no finding
+    assert secrets.scan(b64(bytes(rng.randrange(256) for _ in range(5000))).encode())[1] == []
+
+
 def brute_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
