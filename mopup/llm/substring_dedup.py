@@ -9,12 +9,14 @@ each automaton state at most.
 The automata can't hold a corpus, so the windows outside the reference meet by content.
 Each window has an anchor, its least n-gram by hash; equal windows have equal anchors.  Only
 the anchors are shuffled for all documents, and only the windows whose anchor is found twice
-go on, as hashes packed by anchor.
+go on, as hashes packed by anchor.  Those of anchors found at many places go on one by one, dealt
+by their own hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import saved
-from .words import binaries, ngram_hashes, nulls_to_empty, split_words, word_hashes
+from .words import binaries, mix, ngram_hashes, nulls_to_empty, split_words, word_hashes
 
 WINDOW = 20
 GRAM = 8
@@ -32,6 +34,10 @@ GRAM = 8
 SAMPLE_DOCS, SAMPLE_COUNT = 4000, 6
 #: Words of one automaton (about 1 kB each) and words of all reference shards.
 SHARD_WORDS, REFERENCE_WORDS = 50_000, 100_000
+#: Places of an anchor up to which its windows meet in one task's memory.
+WIDE = 1024
+#: Wide anchors that are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 class SuffixAutomaton:
@@ -237,7 +243,8 @@ _LATER = T.StructType([T.StructField("id", T.LongType()), T.StructField("start",
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From packed windows sorted by (key, id, start): bits of the windows that are found at an earlier
-    place, or that the reference told.  Holds the distinct windows of one anchor."""
+    place, or that were told before.  Holds the distinct windows of one key: of an anchor that isn't
+    wide, or one window."""
     key, seen = None, {}
     for batch in batches:
         out = []
@@ -310,13 +317,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # at most one row for each window of the reference
     firsts = spark.sparkContext.broadcast(
         {r["state"]: (r["id"], r["start"]) for r in told.filter("state >= 0").collect()})
-    repeated = told.filter("state < 0").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    places_of = told.filter("state < 0")
+    wide = saved(places_of.groupBy("key").count().filter(F.col("count") > WIDE).select(
+        "key", F.col("key").alias("wide")))
+    wide = F.broadcast(wide) if wide.count() <= BROADCAST_KEYS else wide
+    repeated = places_of.join(wide, "key", "left").groupBy("id").agg(
+        F.collect_set("key").alias("keys"), F.collect_set("wide").alias("wide"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference, where = Reference.of(spread, window, gram), firsts.value
         for batch in batches:
             out: list[tuple] = []
-            for i, x, keys in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), batch.column(2)):
+            # first place of each window of a wide anchor in this batch; the later ones are told at once
+            first: dict[tuple[int, int], tuple[int, int]] = {}
+            known: list[tuple[int, int]] = []
+            for i, x, keys, wide in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), *batch.columns[2:]):
                 words = word_hashes(nulls_to_empty(x.as_py()))
                 least, place = anchors(words, window, gram)
                 if not len(least):
@@ -333,17 +348,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if not mine.any():
                     continue
                 grams = ngram_hashes(words, window)
+                if len(wide.values):
+                    apart = mine & np.isin(least, wide.values.to_numpy().view(np.uint64))
+                    mine &= ~apart
+                    at = np.flatnonzero(apart)
+                    dealt = mix(least[at] ^ mix(grams[at])).view(np.int64)
+                    for s, w in zip(at.tolist(), zip(dealt.tolist(), grams[at].tolist())):
+                        low = first.setdefault(w, (i, s))
+                        if low != (i, s):
+                            known.append(max(low, (i, s)))
+                            first[w] = min(low, (i, s))
                 tag = np.where(mine, place, -1)
                 cuts = np.flatnonzero(np.diff(tag, prepend=-2, append=-2))
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     if tag[a] >= 0:
                         out.append((int(least[a].view(np.int64)), i, a, grams[a:b].tobytes(), 0))
+            out += [(k, i, s, w.to_bytes(8, sys.byteorder), 0) for (k, w), (i, s) in first.items()]
+            at, mask = None, 0
+            for i, s in sorted(set(known)):
+                if at is None or at[0] != i or s - at[1] >= 62:
+                    if at:
+                        out.append((at[0], *at, b"", mask))
+                    at, mask = (i, s), 0
+                mask |= 1 << (s - at[1])
+            if at:
+                out.append((at[0], *at, b"", mask))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_PACKED.names)
 
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-    later = (rows.join(repeated, "id", "left").select("id", "text", "keys").mapInArrow(pack, _PACKED)
+    later = (rows.join(repeated, "id", "left").select("id", "text", "keys", "wide").mapInArrow(pack, _PACKED)
              .repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(_later, _LATER))
     runs = later.groupBy("id").agg(F.collect_list(F.struct("start", "later")).alias("runs"))
     schema = T.StructType([

@@ -136,6 +136,37 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, count, words):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_windows_of_a_frequent_anchor_are_dealt_by_their_hash(spark, monkeypatch):
+    # a line of 8 words, the anchor of all windows around it, each time in other surroundings
+    limit, later = 4, substring_dedup._later
+    monkeypatch.setattr(substring_dedup, "WIDE", limit, raising=False)
+    rng = random.Random(6)
+    text = lambda k: [f"v{rng.randrange(100_000)}" for _ in range(k)]
+    gram = lambda w: int(W.ngram_hashes(W.word_hashes(" ".join(w).encode()), 8)[0])
+    line = min((text(8) for _ in range(3000)), key=gram)
+    rows = [(i, " ".join(text(30) + line + text(30))) for i in range(40)]
+    again = rows[7][1].split()
+    rows += [(40 + j, " ".join(text(3) + again[15:15 + k] + text(4))) for j, k in enumerate([19, 20, 25, 40])]
+    rows.append((50, " ".join(again + again)))
+
+    def watched(batches):
+        held = {}
+
+        def seen():
+            for batch in batches:
+                for k, w in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                    held.setdefault(k, set()).update(memoryview(w).cast("Q").tolist())
+                yield batch
+
+        yield from later(seen())
+        assert max(map(len, held.values()), default=0) <= 13 * limit
+
+    monkeypatch.setattr(substring_dedup, "_later", watched)
+    got = substring_dedup.remove_repeats(docs(spark, rows).repartition(5)).collect()
+    assert sum(r["n_removed"] for r in got) > 100
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_repeats(rows)
+
+
 def test_substring_dedup_edges(spark):
     text = " ".join(f"v{i}" for i in range(30))
     rows = [(1, text), (1, text), (None, text), (2, text), (3, None)]
