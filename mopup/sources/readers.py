@@ -193,19 +193,33 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     return ReadResult(add_row_id(good, row_id, key, place=(_FILE, _BLOCK)), rejects, enc, sep, names)
 
 
-#: Characters at the start of a JSON file in which the first record's keys are looked for.
+#: Characters at the start of a JSON file in which the first record's keys are looked for at first;
+#: a record that goes on beyond them is read on to its end.
 _JSON_HEAD = 1 << 16
 
 
 def _json_keys(spark: SparkSession, file: str, encoding: str) -> list[str]:
-    """The keys of a file's first record, in their order; [] where it is longer than the head."""
-    lines = spark.read.option("encoding", encoding).text(file).select(F.substring("value", 1, _JSON_HEAD)).take(200)
-    head = "\n".join(r[0] or "" for r in lines)[:_JSON_HEAD].lstrip(BOM)
-    try:
-        record, _ = json.JSONDecoder().raw_decode(head, head.index("{"))
-    except ValueError:
-        return []
-    return list(record)
+    """The keys of a file's first record, in their order; [] where it isn't valid JSON."""
+    text = spark.read.option("encoding", encoding).text(file)
+    lines, chars = 200, _JSON_HEAD
+    while True:
+        rows = [r[0] or "" for r in text.select(F.substring("value", 1, chars)).take(lines)]
+        joined = "\n".join(rows)
+        head = joined[:chars].lstrip(BOM).rstrip()
+        try:
+            record, _ = json.JSONDecoder().raw_decode(head, head.index("{"))
+            return list(record)
+        except json.JSONDecodeError as e:
+            # at a cut, a string has no end, or the error is at the last few characters
+            cut = e.msg.startswith("Unterminated string") or e.pos >= len(head) - 16
+        except ValueError:
+            cut = not head.strip("[ \t\r\n")
+        if not cut or len(joined) < chars and len(rows) < lines:
+            return []
+        if len(joined) < chars:
+            lines *= 4
+        else:  # as many lines as the head held, so that what is fetched grows with the record only
+            lines, chars = joined.count("\n", 0, chars) + 1, 4 * chars
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False, key: str | None = None,

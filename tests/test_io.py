@@ -5,7 +5,7 @@ import json
 import os
 
 from mopup.rowid import add_row_id
-from mopup.sources.readers import read_table, repair_header, sniff_separator
+from mopup.sources.readers import _json_keys, read_table, repair_header, sniff_separator
 from mopup.sources.sinks import json_safe, write_csv, write_report
 
 
@@ -81,6 +81,19 @@ def test_csv_and_report_sinks(spark, tmpdir_path):
     assert spark.read.json(os.path.join(tmpdir_path, "rep", "summary")).count() == 2
 
 
+def test_json_column_order_of_a_long_first_record(spark, tmpdir_path):
+    long = {"z": "é\\" * 50_000, "m": [{"q": i} for i in range(300)], "b": 1, "a": "x"}
+    wide = {f"k{i * 7919 % 500}": i for i in range(500)}
+    for name, record, indent in [("one_line", long, None), ("many_lines", long, 1), ("many_keys", wide, 1)]:
+        p = _write(tmpdir_path, name + ".json", json.dumps([record, {"a": "y"}], indent=indent, ensure_ascii=False).encode())
+        df = read_table(spark, p).df
+        assert [c for c in df.columns if c != "row_id"][:len(record)] == list(record), name
+    p = _write(tmpdir_path, "long.jsonl", (json.dumps(long) + "\n" + '{"a": "y"}\n' * 400).encode())
+    assert [c for c in read_table(spark, p).df.columns if c != "row_id"] == list(long)
+    bad = _write(tmpdir_path, "bad.json", b'{"b": 1, oops ' + b"x" * 200_000)
+    assert _json_keys(spark, bad, "UTF-8") == []
+
+
 def test_json_lines_and_key(spark, tmpdir_path):
     p = _write(tmpdir_path, "t.jsonl", b'{"id": 7, "b": "x"}\n{"id": 9, "b": null}\n')
     r = read_table(spark, p, key="id")
