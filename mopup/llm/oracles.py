@@ -45,6 +45,50 @@ select t.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(k,
 from t left join kept on kept.doc_id = t.doc_id"""
 
 
+_CRC32 = """xor(list_reduce(
+  list_concat([4294967295], list_transform(range(8 * length(s)), lambda k: (ascii(s[k // 8 + 1]) >> (k % 8)) & 1)),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+
+PERIODIC_RUNS = f"""
+with w0 as (
+  select doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) as ws, cast(doc_id as varchar) as s from documents),
+w1 as (select doc_id, ws, len(ws) as n, cast({_CRC32} as bigint) as h from w0),
+w2 as (select *, case when n > 0 then (h // 10) % n end as a from w1),
+w3 as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from w2),
+t as (
+  select doc_id, n, case when h % 10 = 0 and n > 0
+    then list_transform(range(n), lambda i: case when i < a then ws[i + 1] else ws[a + (i - a) % p + 1] end) else ws end as ws
+  from w3),
+gram as (
+  select doc_id, i, n, md5(array_to_string(ws[i + 1:i + 16], ' ')) as g, case when i > 0 then ws[i] end as before
+  from (select doc_id, n, ws, unnest(range(n - 15)) as i from t where n >= 16)),
+pair as (
+  select x.doc_id, x.i, y.i - x.i as p from gram x join gram y
+  on x.doc_id = y.doc_id and x.g = y.g and x.i < y.i and x.before is distinct from y.before and 3 * (y.i - x.i) <= x.n - x.i),
+far as (
+  select doc_id, pair.i, pair.p, n, list_position(
+    list_transform(range(16, n - pair.i - pair.p), lambda k: ws[pair.i + k + 1] = ws[pair.i + pair.p + k + 1]), false) as stop
+  from pair join t using (doc_id)),
+run as (
+  select doc_id, i as start, min(p) as period, length from (
+    select doc_id, i, p, coalesce(stop - 1 + 16, n - i - p) + p as length from far)
+  where length >= 24 and length >= 3 * p group by doc_id, i, length),
+best as (select * from run qualify row_number() over (
+  partition by doc_id order by cast(length as double) / period desc, start, period) = 1),
+gone as (
+  select distinct doc_id, pos from (select doc_id, unnest(range(start + period, start + length)) as pos from run)),
+word as (select doc_id, unnest(ws) as word, unnest(range(n)) as pos from t),
+kept as (select doc_id, string_agg(word, ' ' order by pos) as text from word anti join gone using (doc_id, pos) group by doc_id),
+listed as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as text
+  from run group by doc_id)
+select t.doc_id, coalesce(n_runs, 0) as n_runs, best.start, best.length, best.period,
+  1000 * best.length // best.period as exponent_milli, sha256(coalesce(listed.text, '')) as runs_sha256,
+  sha256(coalesce(kept.text, '')) as collapsed_sha256
+from t left join listed on listed.doc_id = t.doc_id left join best on best.doc_id = t.doc_id
+left join kept on kept.doc_id = t.doc_id"""
+
+
 def quality_rules(rules: LineRules = LineRules()) -> str:
     symbols = "[#*$%&|<>]"
     count = lambda text, pattern: f"length({text}) - length(regexp_replace({text}, '{pattern}', '', 'g'))"
@@ -89,4 +133,5 @@ ORACLES = {
     "op1_ngram_join": NGRAM_JOIN.strip(),
     "op4_substring_dedup": SUBSTRING_DEDUP.strip(),
     "op7_quality_rules": quality_rules().strip(),
+    "op11_periodic_runs": PERIODIC_RUNS.strip(),
 }

@@ -14,13 +14,16 @@ from .decontaminate import find_items
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
+from .periodic_runs import collapse_runs, longest_exponent
 from .pii import KINDS as PII_KINDS
 from .pii import pseudonymize
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
+from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 from .toxicity import score_texts, train
 from .url_filter import filter_urls
+from .whitening import whiten
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -114,8 +117,47 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(tool_view(_table(spark, sf_dir, "conversations")), TOOLS)
 
 
+def period_view(documents: DataFrame) -> DataFrame:
+    """The documents, a tenth of them (chosen by a hash of the id) with a tail that repeats a few words."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("w")
+    a = F.pmod(F.col("g"), F.col("n")).cast("int")
+    p = (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int")
+    turned = F.transform(F.col("w"), lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get(F.col("w"), F.col("a") + F.pmod(i - F.col("a"), F.col("p")))))
+    plain = documents.select("doc_id", "text", h.alias("h"), g.alias("g"))
+    tailed = F.coalesce(F.col("h") % 10 == 0, F.lit(False)) & F.col("text").isNotNull()
+    # only the chosen rows are split into words
+    return plain.select("doc_id", "text", "g", F.when(tailed, words).alias("w")).select(
+        "*", F.when(n > 0, n).alias("n")).select("*", a.alias("a")).select("*", p.alias("p")).select(
+        "doc_id", F.when(F.col("n").isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(period_view(_table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest_exponent(F.col("runs")).alias("best"),
+                        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+    b = F.col("best")
+    return best.select(
+        "doc_id", "n_runs", b["start"].alias("start"), b["length"].alias("length"), b["period"].alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_join, op2_secret_scan, op3_decontaminate, op4_substring_dedup, op5_mix_sources, op6_toxicity, op7_quality_rules,
-        op8_pseudonymize, op9_url_filter, op10_chat_format)
+        op8_pseudonymize, op9_url_filter, op10_chat_format, op11_periodic_runs, op12_shard_packing, op13_embedding_whitening)
 }
