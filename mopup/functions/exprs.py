@@ -52,20 +52,6 @@ MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "
                "october", "november", "december"]
 
 
-def _iso_sql(fmt: str, s: str) -> str:
-    """SQL rewriting a text of layout ``fmt`` (shape already checked) to ISO text,
-    so that a time-zone-free ``try_cast(... AS TIMESTAMP_NTZ)`` parses it."""
-    if fmt.startswith("MM/dd/yyyy"):
-        return f"regexp_replace({s}, '^(\\\\d{{2}})/(\\\\d{{2}})/(\\\\d{{4}})', '$3-$1-$2')"
-    if fmt == "yyyy/MM/dd":
-        return f"replace({s}, '/', '-')"
-    if fmt == "dd-MMM-yyyy":
-        months = " ".join(f"WHEN '{m}' THEN '{i + 1:02d}'" for i, m in enumerate(MONTH_ABBREVIATIONS))
-        return (f"concat(substr({s}, 8, 4), '-', CASE lower(substr({s}, 4, 3)) {months} END, '-', "
-                f"substr({s}, 1, 2))")
-    return s
-
-
 def sql_str(s: str) -> str:
     """A Spark SQL string literal."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -122,23 +108,23 @@ def score_placeholder_expr(name: str, dt) -> Column:
     return F.expr(f"coalesce({x} IS NULL OR {s} IN ({_sql_in(tokens.PH_SCORE)}) OR {s} RLIKE '^#+$', true)")
 
 
+def _stripped(name: str, stripped: bool) -> Column:
+    return F.expr(sql_col(name) if stripped else strip_sql(name))
+
+
 def number_expr(name: str, stripped: bool = False) -> Column:
-    """``parse_number`` of a named column as one SQL expression."""
-    s = sql_col(name) if stripped else strip_sql(name)
-    return F.expr(f"CASE WHEN {s} RLIKE {sql_str(NUMBER_RE)} THEN try_cast({s} AS DOUBLE) END")
+    """``parse_number`` of a named column."""
+    return parse_number(_stripped(name, stripped), stripped=True)
 
 
 def int_expr(name: str, stripped: bool = False) -> Column:
-    s = sql_col(name) if stripped else strip_sql(name)
-    return F.expr(f"CASE WHEN {s} RLIKE {sql_str(INT_RE)} THEN try_cast({s} AS BIGINT) END")
+    """``parse_int`` of a named column."""
+    return parse_int(_stripped(name, stripped), stripped=True)
 
 
-def timestamp_expr(name: str, stripped: bool = False) -> Column:
-    """``parse_timestamp`` of a named column as one SQL expression."""
-    s = sql_col(name) if stripped else strip_sql(name)
-    tries = ", ".join(f"CASE WHEN {s} RLIKE {sql_str(shape)} THEN try_cast({_iso_sql(fmt, s)} AS TIMESTAMP_NTZ) END"
-                      for fmt, shape in TIMESTAMP_FORMATS)
-    return F.coalesce(F.expr(f"coalesce({tries})"), _parse_loose_timestamp(F.expr(s)))
+def timestamp_expr(name: str, stripped: bool = False, layouts=None) -> Column:
+    """``parse_timestamp`` of a named column."""
+    return parse_timestamp(_stripped(name, stripped), stripped=True, layouts=layouts)
 
 
 def bool_expr(name: str) -> Column:
@@ -230,29 +216,6 @@ def date_like(c: Column) -> Column:
     return c.contains("-") | c.contains("/") | c.contains(":")
 
 
-def parse_timestamp(c: Column, stripped: bool = False) -> Column:
-    """Text → TIMESTAMP_NTZ trying the fixed layouts in order; failures are null."""
-    s = c if stripped else strip_ws(c)
-    tries = []
-    for fmt, shape in TIMESTAMP_FORMATS:
-        if fmt.startswith("MM/dd/yyyy"):
-            iso = F.regexp_replace(s, r"^(\d{2})/(\d{2})/(\d{4})", "$3-$1-$2")
-        elif fmt == "yyyy/MM/dd":
-            iso = F.regexp_replace(s, "/", "-")
-        elif fmt == "dd-MMM-yyyy":
-            month = F.lower(F.substring(s, 4, 3))
-            num = None
-            for i, m in enumerate(MONTH_ABBREVIATIONS):
-                num = (F.when(month == m, F.lit(f"{i + 1:02d}")) if num is None
-                       else num.when(month == m, F.lit(f"{i + 1:02d}")))
-            iso = F.concat(F.substring(s, 8, 4), F.lit("-"), num, F.lit("-"), F.substring(s, 1, 2))
-        else:
-            iso = s
-        # a time-zone-free parse: the wall-clock text becomes the timestamp as written
-        tries.append(F.when(s.rlike(shape), iso.try_cast("timestamp_ntz")))
-    return F.coalesce(*tries, _parse_loose_timestamp(s))
-
-
 # A date, then perhaps a time with seconds, fractions, AM/PM and a zone offset.
 _DATE_RES = {
     "ymd": r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})",
@@ -263,38 +226,75 @@ _DATE_RES = {
 _TIME_RE = (r"(?:(?:[T ]|, ) *(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(?: *([AaPp][Mm]))?"
             r"(?: *(?:[Zz]|(?:UTC|GMT)?([+-]\d{2}):?(\d{2})?|UTC|GMT))?)?")
 
+#: Every layout and the shape of its texts.  A text is read by the first layout whose shape it has.
+LAYOUTS = [*TIMESTAMP_FORMATS, *[(kind, f"^{date}{_TIME_RE}$") for kind, date in _DATE_RES.items()]]
+# most texts have none of the shapes: one cheap test spares them the others
+_ROUGH_DATE = r"^[0-9A-Za-z]{1,9}[-/. ]"
 
-def _parse_loose_timestamp(s: Column) -> Column:
-    """Text → TIMESTAMP_NTZ for dates without leading zeros, with month names, fractions of a second, AM
+
+def layout_of(s: Column) -> Column:
+    """The number of the layout of a stripped text, null where it has none."""
+    out = F.when(~s.rlike(_ROUGH_DATE), F.lit(None).cast("int"))
+    for i, (_, shape) in enumerate(LAYOUTS):
+        out = out.when(s.rlike(shape), F.lit(i))
+    return out
+
+
+def parse_timestamp(c: Column, stripped: bool = False, layouts=None) -> Column:
+    """Text → TIMESTAMP_NTZ by its layout; failures are null.  ``layouts`` are the numbers of those
+    that the column is known to have (``layout_of``): only they are tried.
+
+    Beside the fixed layouts these are dates without leading zeros, with month names, fractions of a second, AM
     or PM, or a zone offset; a time with an offset becomes that of UTC.  Slashes read month first."""
-    out = F.lit(None).cast("timestamp_ntz")
-    two = lambda x: F.lpad(x, 2, "0")
-    for kind, date_re in _DATE_RES.items():
-        whole = f"^{date_re}{_TIME_RE}$"
-        g = [F.regexp_extract(s, whole, i) for i in range(1, 11)]
-        part = dict(zip(kind, g))
-        month = part.get("m", part.get("M"))
-        if "M" in kind:
-            short = F.lower(F.substring(month, 1, 3))
-            at = F.array_position(F.array(*lits(MONTH_ABBREVIATIONS)), short)
-            named = F.array(*[F.lit(m) for m in MONTH_NAMES])
-            right = (F.length(month) == 3) | F.array_contains(named, F.lower(month))
-            month = F.when((at > 0) & right, at.cast("string"))
-        hour, minute, second, fraction, half, oh, om = g[3:]
-        h = hour.try_cast("int")
-        h = (F.when(half == "", h).when((h < 1) | (h > 12), F.lit(None))
-             .when(F.lower(half) == "am", h % 12).otherwise(h % 12 + 12))
-        clock = F.when(hour == "", F.lit("")).otherwise(F.concat(
-            F.lit("T"), two(h.cast("string")), F.lit(":"), minute, F.lit(":"),
-            F.when(second == "", F.lit("00")).otherwise(second), F.substring(fraction, 1, 7)))
-        iso = F.concat(part["y"], F.lit("-"), two(month), F.lit("-"), two(part["d"]), clock)
-        shift = F.when(oh == "", F.lit(0)).otherwise(
-            oh.try_cast("int") * 60
-            + F.when(F.startswith(oh, F.lit("-")), -1).otherwise(1) * F.coalesce(om.try_cast("int"), F.lit(0)))
-        wall = iso.try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), shift)
-        out = F.when(s.rlike(whole), wall).otherwise(out)
-    # most texts have neither shape: one cheap test spares them the four
-    return F.when(s.rlike(r"^[0-9A-Za-z]{1,9}[-/. ]"), out)
+    s = c if stripped else strip_ws(c)
+    out = None
+    for i in range(len(LAYOUTS)) if layouts is None else sorted(layouts):
+        name, shape = LAYOUTS[i]
+        value = _loose_timestamp(s, name) if name in _DATE_RES else _iso_text(s, name).try_cast("timestamp_ntz")
+        out = F.when(s.rlike(shape), value) if out is None else out.when(s.rlike(shape), value)
+    if out is None:
+        return F.lit(None).cast("timestamp_ntz")
+    return out if layouts is not None else F.when(s.rlike(_ROUGH_DATE), out)
+
+
+def _iso_text(s: Column, fmt: str) -> Column:
+    """A text of a fixed layout as ISO text, which is read without a time zone: the wall-clock text becomes
+    the timestamp as written."""
+    if fmt.startswith("MM/dd/yyyy"):
+        return F.regexp_replace(s, r"^(\d{2})/(\d{2})/(\d{4})", "$3-$1-$2")
+    if fmt == "yyyy/MM/dd":
+        return F.regexp_replace(s, "/", "-")
+    if fmt == "dd-MMM-yyyy":
+        month = F.array_position(F.array(*lits(MONTH_ABBREVIATIONS)), F.lower(F.substring(s, 4, 3)))
+        return F.concat(F.substring(s, 8, 4), F.lit("-"), F.when(month > 0, month.cast("string")), F.lit("-"),
+                        F.substring(s, 1, 2))
+    return s
+
+
+def _loose_timestamp(s: Column, kind: str) -> Column:
+    """A text of one of the layouts in ``_DATE_RES``."""
+    whole = f"^{_DATE_RES[kind]}{_TIME_RE}$"
+    # the parts of the text, by one replacement: a part that is missing is empty
+    parts = F.split(F.regexp_replace(s, whole, "|".join(f"${i}" for i in range(1, 11))), r"\|")
+    g = [F.get(parts, F.lit(i)) for i in range(10)]
+    part = dict(zip(kind, g))
+    month = part.get("m", part.get("M"))
+    if "M" in kind:
+        at = F.array_position(F.array(*lits(MONTH_ABBREVIATIONS)), F.lower(F.substring(month, 1, 3)))
+        right = (F.length(month) == 3) | F.lower(month).isin(*lits(MONTH_NAMES))
+        month = F.when((at > 0) & right, at.cast("string"))
+    hour, minute, second, fraction, half, oh, om = g[3:]
+    h = hour.try_cast("int")
+    h = (F.when(half == "", h).when((h < 1) | (h > 12), F.lit(None))
+         .when(F.lower(half) == "am", h % 12).otherwise(h % 12 + 12))
+    clock = F.when(hour == "", F.lit("")).otherwise(F.concat(
+        F.lit("T"), h.cast("string"), F.lit(":"), minute, F.lit(":"),
+        F.when(second == "", F.lit("00")).otherwise(second), F.substring(fraction, 1, 7)))
+    wall = F.concat(part["y"], F.lit("-"), month, F.lit("-"), part["d"], clock).try_cast("timestamp_ntz")
+    shift = F.when(oh == "", F.lit(0)).otherwise(
+        oh.try_cast("int") * 60
+        + F.when(F.startswith(oh, F.lit("-")), -1).otherwise(1) * F.coalesce(om.try_cast("int"), F.lit(0)))
+    return wall - F.make_dt_interval(F.lit(0), F.lit(0), shift)
 
 
 def to_bool(c: Column, dt: T.DataType) -> Column:
@@ -308,10 +308,10 @@ def to_bool(c: Column, dt: T.DataType) -> Column:
     return F.lit(None).cast("boolean")
 
 
-def coerce_numeric_like(c: Column, dt: T.DataType) -> Column:
+def coerce_numeric_like(c: Column, dt: T.DataType, stripped: bool = False) -> Column:
     """Lenient number parse used by the score: drops currency signs, commas and
     whitespace, and treats dot-grouped thousands (1.234.567) as grouping."""
-    s = F.lower(strip_ws(as_text(c, dt)))
+    s = F.lower(c if stripped else strip_ws(as_text(c, dt)))
     s = F.regexp_replace(s, CURRENCY_WS_RE, "")
     s = F.when(s.rlike(THOUSANDS_DOT_RE), F.regexp_replace(s, r"\.", "")).otherwise(s)
     return F.when(s.rlike(NUMBER_RE), s.try_cast("double"))

@@ -1,204 +1,179 @@
 """Distributed exact quantiles (linear interpolation, as pandas/numpy compute them).
 
 Spark's exact ``percentile`` keeps every distinct value of a column in one
-aggregation buffer, which does not survive a very large table.  Here the
-exact value is found by narrowing instead:
-
-1. one pass: ``count``, ``min``, ``max`` and ``percentile_approx`` at p ± 3/A.
-   The approximate quantile's rank error is at most n/A, so the two returned
-   values bracket the wanted ranks, with at most about 8·n/A values strictly
-   inside the bracket.
-2. one pass: count of values below the bracket, tie counts at both ends, and
-   the values strictly inside (bounded, see above).  The exact rank is then
-   read off the small sorted list on the driver.
-
-When 8·n/A exceeds ``cap`` the bracket is narrowed with further approximate
-passes restricted to the bracket before collecting.  Every pass is one fused
-aggregate over all requested columns, so the number of scans does not grow
-with the number of columns.
+aggregation buffer, which does not survive a very large table.  Here the value of
+a rank is found by radix selection instead:
+
+* Each value has an integer key in the same order: integers are their own, a DOUBLE has the
+  64-bit number that its sign, exponent and mantissa make up.
+* The first pass counts the keys by their top 16 bits, with the least and greatest key of each
+  bucket.  The bucket that holds a wanted rank follows from running totals, which Spark sums.
+* Where a bucket's least and greatest key are one, that is the value.  Otherwise the next pass
+  counts the keys between the two in 65,536 equal buckets, and so on.
+
+A pass leaves at most a 65,536th of a bucket's key range, so four passes always suffice and most
+columns need two.  Every pass is one hash aggregate with map-side combination over all
+columns and quantiles together, later passes only count keys inside the wanted buckets, and the
+driver gets one row for each wanted rank: no values are collected, and nothing depends on a sketch.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import col
 from ..functions.frames import agg_chunked
 
-DEFAULT_ACCURACY = 10000
-DEFAULT_CAP = 200_000
-# values brought to the driver by one pass, over all columns and quantiles together
-TOTAL_CAP = 2_000_000
-GRID = 256
-
-
-@dataclass
-class _Item:
-    name: str
-    p: float
-    n: int
-    ranks: tuple
-    lo: float | None = None
-    hi: float | None = None
-    bound: float = 0.0        # proven upper bound of values strictly inside (lo, hi)
-    values: dict = field(default_factory=dict)  # rank -> value
+DEFAULT_ACCURACY = 10000  # of ``approx``
+BUCKETS = 1 << 16
+_TOP = 48                 # the first pass counts keys by the bits above
+_MANTISSA, _LEAST_EXPONENT = 52, -1022
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _lerp(a: float, b: float, t: float) -> float:
+    if a == b:
+        return a
     d = b - a
     if t >= 0.5:
         return b - d * (1 - t)
     return a + d * t
 
 
-def _ranks(p: float, n: int):
-    h = p * (n - 1)
-    r0 = int(math.floor(h))
-    r1 = min(r0 + 1, n - 1)
-    return h, r0, r1
-
-
 def _number(c: str):
     """The column as DOUBLE; NaN is a missing value."""
     x = col(c).cast("double")
     return F.when(~F.isnan(x), x)
 
 
+def _keys(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns' keys as ``k0``, ``k1``, ...: in steps, so that no step is computed twice."""
+    kinds = dict((f.name, f.dataType) for f in df.schema.fields)
+    whole = [isinstance(kinds[c], _INTEGERS) for c in cols]
+    df = df.select(*[(col(c).cast("bigint") if w else _number(c)).alias(f"x{i}") for i, (c, w) in enumerate(zip(cols, whole))])
+    if all(whole):
+        return df.toDF(*[f"k{i}" for i in range(len(cols))])
+    floats = [i for i, w in enumerate(whole) if not w]
+    x, a, e = (lambda i: F.col(f"x{i}")), (lambda i: F.col(f"a{i}")), (lambda i: F.col(f"e{i}"))
+    low = F.lit(_LEAST_EXPONENT)
+    df = df.select("*", *[F.abs(x(i)).alias(f"a{i}") for i in floats])
+    df = df.select("*", *[F.when(a(i) < 2.0 ** _LEAST_EXPONENT, low).otherwise(
+        F.least(F.lit(1023), F.greatest(low, F.floor(F.log2(a(i))).cast("int")))).alias(f"g{i}") for i in floats])
+    # the logarithm is rounded: the exponent may be one off beside a power of two
+    df = df.select("*", *[
+        F.when((F.pow(F.lit(2.0), F.col(f"g{i}")) > a(i)) & (F.col(f"g{i}") > low), F.col(f"g{i}") - 1)
+        .when(a(i) / F.pow(F.lit(2.0), F.col(f"g{i}")) >= 2, F.col(f"g{i}") + 1)
+        .otherwise(F.col(f"g{i}")).alias(f"e{i}") for i in floats])
+    unit = F.lit(2.0 ** _MANTISSA)
+
+    def key(i: int) -> Column:
+        high = (e(i) - low).cast("bigint") * F.lit(1 << _MANTISSA).cast("bigint")
+        size = F.when(a(i) == float("inf"), F.lit(2047 << _MANTISSA).cast("bigint")).otherwise(
+            high + (a(i) / F.pow(F.lit(2.0), e(i)) * unit).cast("bigint"))
+        return F.when(x(i) < 0, -size).otherwise(size)
+
+    return df.select(*[(key(i) if i in floats else x(i)).alias(f"k{i}") for i in range(len(cols))])
+
+
+def _value(key: int, whole: bool) -> float:
+    """The number that a key stands for."""
+    if whole:
+        return float(key)
+    size = struct.unpack(">d", struct.pack(">q", abs(key)))[0]
+    return -size if key < 0 else size
+
+
+def _cells(keys: DataFrame, made: list[Column]) -> DataFrame:
+    """(b, d, k) rows from one struct or null for each bracket."""
+    return keys.select(F.explode(F.array_compact(F.array(*made))).alias("_c")).select("_c.*")
+
+
+def _buckets(cells: DataFrame) -> DataFrame:
+    counts = cells.groupBy("b", "d").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    order = Window.partitionBy("b").orderBy("d")
+    everything = Window.partitionBy("b")
+    return counts.select(
+        "b", "n", "lo", "hi", (F.sum("n").over(order) - F.col("n")).alias("below"),
+        F.sum("n").over(everything).alias("total"), F.min("lo").over(everything).alias("least"),
+        F.max("hi").over(everything).alias("most"))
+
+
 def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75), method: str = "exact",
-              accuracy: int = DEFAULT_ACCURACY, cap: int = DEFAULT_CAP) -> dict:
-    """Return ``{col: {"n": count, p: value-or-None, ...}}``.
+              accuracy: int = DEFAULT_ACCURACY, cap: int = BUCKETS) -> dict:
+    """Return ``{col: {"n": count, "min": value, "max": value, p: value-or-None, ...}}``.
 
-    ``min`` and ``max`` come along.  NaN counts as missing.
-    ``method="exact"`` matches linear interpolation exactly; ``"approx"`` uses a
-    single ``percentile_approx`` pass (rank error ≤ n/accuracy).
+    NaN counts as missing.  ``method="exact"`` matches linear interpolation exactly; ``cap`` is the
+    number of buckets (two at least) that a pass after the first divides a range into.  ``"approx"``
+    uses a single ``percentile_approx`` pass (rank error ≤ n/accuracy).
     """
     if not cols:
         return {}
-    d = 3.0 / accuracy
-    aggs = []
-    for i, c in enumerate(cols):
-        x = _number(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
-        if method == "approx":
-            aggs.append(F.percentile_approx(x, list(probs), accuracy).alias(f"q{i}"))
-        else:
-            pts = []
-            for p in probs:
-                pts += [max(p - d, 0.0), min(p + d, 1.0)]
-            aggs.append(F.percentile_approx(x, pts, accuracy).alias(f"q{i}"))
-    row = agg_chunked(df, aggs).collect()[0]
-    out: dict = {}
-    items: list[_Item] = []
-    for i, c in enumerate(cols):
-        n = int(row[f"n{i}"])
-        res = {"n": n, "min": row[f"mn{i}"], "max": row[f"mx{i}"]}
-        out[c] = res
-        qs = row[f"q{i}"]
-        for j, p in enumerate(probs):
-            if n == 0:
-                res[p] = None
-                continue
-            if method == "approx":
-                res[p] = float(qs[j])
-                continue
-            h, r0, r1 = _ranks(p, n)
-            lo = row[f"mn{i}"] if p - d <= 0 else qs[2 * j]
-            hi = row[f"mx{i}"] if p + d >= 1 else qs[2 * j + 1]
-            items.append(_Item(c, p, n, (h, r0, r1), lo, hi, 8.0 * n / accuracy + 16))
     if method == "approx":
-        return out
+        return _approximate(df, cols, probs, accuracy)
+    kinds = dict((f.name, f.dataType) for f in df.schema.fields)
+    whole = [isinstance(kinds[c], _INTEGERS) for c in cols]
+    keys = _keys(df, cols)
+    out = {c: {"n": 0, "min": None, "max": None, **{p: None for p in probs}} for c in cols}
+    k = [F.col(f"k{i}") for i in range(len(cols))]
+    first = _buckets(_cells(keys, [
+        F.when(x.isNotNull(), F.struct(F.lit(i).alias("b"), F.shiftright(x, _TOP).alias("d"), x.alias("k")))
+        for i, x in enumerate(k)]))
+    # ranks around each quantile's place; the place itself is computed once more on the driver
+    place = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor(h), F.least(F.floor(h) + 1, F.col("total") - 1)) for h in place])))
+    wanted = first.select("*", F.explode(ranks).alias("rank")).filter("below <= rank and rank < below + n")
+    found: dict[tuple[int, int], float] = {}
+    pending: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+
+    def settle(i: int, rank: int, r) -> None:
+        if r["lo"] == r["hi"]:
+            found[i, rank] = _value(r["lo"], whole[i])
+        else:
+            pending.setdefault((i, r["lo"], r["hi"]), []).append((rank, r["rank"] - r["below"]))
 
-    # each pass cuts a bracket to a few grid steps of what it held, or collects it
-    pending = items
+    for r in wanted.collect():
+        c = out[cols[r["b"]]]
+        c["n"], c["min"], c["max"] = int(r["total"]), _value(r["least"], whole[r["b"]]), _value(r["most"], whole[r["b"]])
+        settle(r["b"], int(r["rank"]), r)
     while pending:
-        pending = _narrow_or_collect(df, pending, accuracy, cap)
-    for it in items:
-        h, r0, r1 = it.ranks
-        a, b = it.values[r0], it.values[r1]
-        out[it.name][it.p] = _lerp(a, b, h - r0)
+        brackets, made, asked = list(pending), [], []
+        for b, (i, lo, hi) in enumerate(brackets):
+            width = F.lit((hi - lo) // max(2, cap) + 1).cast("bigint")
+            far = k[i] - F.lit(lo).cast("bigint")
+            made.append(F.when(k[i].between(lo, hi), F.struct(
+                F.lit(b).alias("b"), (far - far % width).alias("d"), k[i].alias("k"))))
+            asked += [(b, rank, inner) for rank, inner in pending[brackets[b]]]
+        ask = df.sparkSession.createDataFrame(asked, "b int, whole_rank bigint, rank bigint")
+        rows = _buckets(_cells(keys, made)).join(F.broadcast(ask), "b").filter("below <= rank and rank < below + n").collect()
+        pending = {}
+        for r in rows:
+            settle(brackets[r["b"]][0], int(r["whole_rank"]), r)
+    for i, c in enumerate(cols):
+        n = out[c]["n"]
+        for p in probs:
+            if n:
+                h = p * (n - 1)
+                at = int(math.floor(h))
+                out[c][p] = _lerp(found[i, at], found[i, min(at + 1, n - 1)], h - at)
     return out
 
 
-def _narrow_or_collect(df: DataFrame, pending: list[_Item], accuracy: int, cap: int) -> list[_Item]:
-    """One fused pass.  Items whose bracket is provably small collect their inner
-    values; others get counts and a tighter bracket for the next pass.  The cap
-    per item shrinks with the number of items, so one pass never brings more than
-    ``TOTAL_CAP`` values to the driver however many columns are asked for."""
-    cap = min(cap, max(1, TOTAL_CAP // max(len(pending), 1)))
+def _approximate(df: DataFrame, cols: list[str], probs, accuracy: int) -> dict:
     aggs = []
-    small = []
-    for k, it in enumerate(pending):
-        x = _number(it.name)
-        lo, hi = F.lit(it.lo).cast("double"), F.lit(it.hi).cast("double")
-        inner = (x > lo) & (x < hi)
-        aggs += [
-            F.count(F.when(x < lo, 1)).alias(f"b{k}"),
-            F.count(F.when(x == lo, 1)).alias(f"el{k}"),
-            F.count(F.when(x == hi, 1)).alias(f"eh{k}"),
-            F.count(F.when(inner, 1)).alias(f"m{k}"),
-        ]
-        is_small = it.bound <= cap
-        small.append(is_small)
-        if is_small:
-            aggs.append(F.sort_array(F.collect_list(F.when(inner, x))).alias(f"v{k}"))
-        else:
-            # relative position of the wanted ranks inside the open bracket is only
-            # known after this pass, so ask for a spread of points and pick later
-            pts = [i / GRID for i in range(GRID + 1)]
-            aggs.append(F.percentile_approx(F.when(inner, x), pts, accuracy).alias(f"g{k}"))
-    row = agg_chunked(df, aggs).collect()[0]
-    nxt = []
-    for k, it in enumerate(pending):
-        below, el, eh, m = (int(row[f"b{k}"]), int(row[f"el{k}"]),
-                            int(row[f"eh{k}"]), int(row[f"m{k}"]))
-        h, r0, r1 = it.ranks
-        inner_vals = row[f"v{k}"] if small[k] else None
-        unresolved = False
-        for r in (r0, r1):
-            if r in it.values:
-                continue
-            i = r - below
-            if i < 0 or i >= el + m + (eh if it.hi != it.lo else 0):
-                unresolved = True  # outside the bracket: should not happen; widen
-                continue
-            if i < el:
-                it.values[r] = float(it.lo)
-            elif i < el + m:
-                if inner_vals is None:
-                    unresolved = True
-                    continue
-                it.values[r] = float(inner_vals[i - el])
-            else:
-                it.values[r] = float(it.hi)
-        if not unresolved:
-            continue
-        rel = [(r - below - el) / max(m - 1, 1) for r in (r0, r1) if r not in it.values]
-        if small[k] or m == 0 or min(rel) < 0 or max(rel) > 1:
-            # bracket did not contain the rank (cannot happen with a sound sketch):
-            # fall back to the full range, still exact
-            it.lo, it.hi, n_all = _full_range(df, it.name)
-            it.bound = float(n_all)
-            nxt.append(it)
-            continue
-        grid = row[f"g{k}"]
-        # ranks still wanted (rel: relative to the open interval (lo, hi))
-        # margin: the sketch's rank error (1/accuracy of the inner set) plus one step
-        k = int(math.ceil(GRID * 2.0 / accuracy)) + 1
-        a = max(int(math.floor(min(rel) * GRID)) - k, 0)
-        b = min(int(math.ceil(max(rel) * GRID)) + k, GRID)
-        new_lo = grid[a] if a > 0 else it.lo
-        new_hi = grid[b] if b < GRID else it.hi
-        it.lo, it.hi = new_lo, new_hi
-        it.bound = ((b - a) / GRID + 2.0 / accuracy) * m + 16
-        nxt.append(it)
-    return nxt
-
-
-def _full_range(df: DataFrame, name: str):
-    x = _number(name)
-    r = df.agg(F.min(x), F.max(x), F.count(x)).collect()[0]
-    return r[0], r[1], int(r[2])
+    for i, c in enumerate(cols):
+        x = _number(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
+                 F.percentile_approx(x, list(probs), accuracy).alias(f"q{i}")]
+    row = agg_chunked(df, aggs).first()
+    out = {}
+    for i, c in enumerate(cols):
+        qs = row[f"q{i}"]
+        out[c] = {"n": int(row[f"n{i}"]), "min": row[f"mn{i}"], "max": row[f"mx{i}"],
+                  **{p: float(qs[j]) if qs else None for j, p in enumerate(probs)}}
+    return out

@@ -197,11 +197,12 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
     dtype_map = {manual.get(c, c): v for c, v in (opts.dtype_map or {}).items()}
     fields = dict((f.name, f.dataType) for f in w.schema.fields if f.name != key)
     text_cols = [c for c, t in fields.items() if X.is_text(t)]
-    want_ts = bool(dtype_map)
+    dates = {c: dtype_map.get(c, "auto") for c in text_cols
+             if dtype_map and dtype_map.get(c, "auto") in ("auto", "datetime")}
     need_drop = opts.drop_empty_columns or opts.drop_constant_columns
-    forms = TR.candidate_forms(fields, text_cols if (opts.convert_dtypes or dtype_map) else [],
-                               want_ts, dtype_map)
-    fs = TR.form_stats(w, forms, fields, text_cols if (opts.convert_dtypes or dtype_map) else []) \
+    parsed_cols = text_cols if (opts.convert_dtypes or dtype_map) else []
+    forms = TR.candidate_forms(fields, parsed_cols, dtype_map)
+    fs = TR.form_stats(w, forms, fields, parsed_cols, dates) \
         if (need_drop or opts.convert_dtypes or dtype_map) else {"columns": {}, "rows": None}
     st = fs["columns"]
     form_of = {c: "raw" for c in fields}
@@ -241,14 +242,14 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
                         form_of[c] = _number_form(nt)
                         info["coerced"] = s["nonnull"] - s["num"]
                     elif dec == "datetime":
-                        new_cols[c] = TR.converted(src, t0, "datetime")
+                        new_cols[c] = TR.converted(src, t0, "datetime", layouts=s["layouts"])
                         cur_type[c] = T.TimestampNTZType()
                         form_of[c] = "ts"
                         info["coerced"] = s["nonnull"] - s["ts"]
             elif choice in ("numeric", "datetime", "string", "category", "bool"):
                 was_text = X.is_text(t0)
                 nt = TR.numeric_target(s) if (was_text and s) else T.DoubleType()
-                new_cols[c] = TR.converted(src, t0, choice, nt)
+                new_cols[c] = TR.converted(src, t0, choice, nt, s["layouts"] if was_text and s else None)
                 on_raw = form_of[c] == "raw"
                 if choice == "numeric":
                     cur_type[c] = t0 if X.is_numeric(t0) else nt
