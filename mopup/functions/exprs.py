@@ -271,30 +271,30 @@ def _iso_text(s: Column, fmt: str) -> Column:
     return s
 
 
+#: Places of year, month and day among the parts of each layout.
+_ISO_ORDER = {"ymd": "$1-$2-$3", "mdy": "$3-$1-$2", "Mdy": "$3-#-$2", "dMy": "$3-#-$1"}
+
+
 def _loose_timestamp(s: Column, kind: str) -> Column:
-    """A text of one of the layouts in ``_DATE_RES``."""
+    """A text of one of the layouts in ``_DATE_RES``: one replacement puts its parts in ISO order."""
     whole = f"^{_DATE_RES[kind]}{_TIME_RE}$"
-    # the parts of the text, by one replacement: a part that is missing is empty
-    parts = F.split(F.regexp_replace(s, whole, "|".join(f"${i}" for i in range(1, 11))), r"\|")
-    g = [F.get(parts, F.lit(i)) for i in range(10)]
-    part = dict(zip(kind, g))
-    month = part.get("m", part.get("M"))
+    iso = F.regexp_replace(s, whole, _ISO_ORDER[kind] + "T$4:$5:$6$7")
     if "M" in kind:
-        at = F.array_position(F.array(*lits(MONTH_ABBREVIATIONS)), F.lower(F.substring(month, 1, 3)))
-        right = (F.length(month) == 3) | F.lower(month).isin(*lits(MONTH_NAMES))
-        month = F.when((at > 0) & right, at.cast("string"))
-    hour, minute, second, fraction, half, oh, om = g[3:]
-    h = hour.try_cast("int")
-    h = (F.when(half == "", h).when((h < 1) | (h > 12), F.lit(None))
-         .when(F.lower(half) == "am", h % 12).otherwise(h % 12 + 12))
-    clock = F.when(hour == "", F.lit("")).otherwise(F.concat(
-        F.lit("T"), h.cast("string"), F.lit(":"), minute, F.lit(":"),
-        F.when(second == "", F.lit("00")).otherwise(second), F.substring(fraction, 1, 7)))
-    wall = F.concat(part["y"], F.lit("-"), month, F.lit("-"), part["d"], clock).try_cast("timestamp_ntz")
-    shift = F.when(oh == "", F.lit(0)).otherwise(
-        oh.try_cast("int") * 60
-        + F.when(F.startswith(oh, F.lit("-")), -1).otherwise(1) * F.coalesce(om.try_cast("int"), F.lit(0)))
-    return wall - F.make_dt_interval(F.lit(0), F.lit(0), shift)
+        name = F.lower(F.regexp_extract(s, "[A-Za-z]{3,9}", 0))
+        at = F.array_position(F.array(*lits(MONTH_ABBREVIATIONS)), F.substring(name, 1, 3))
+        iso = F.replace(iso, F.lit("#"), F.when((at > 0) & ((F.length(name) == 3) | name.isin(*lits(MONTH_NAMES))), at.cast("string")))
+    # a part that is missing is empty: no seconds, or no time at all
+    wall = F.rtrim(iso, F.lit("T:")).try_cast("timestamp_ntz")
+    # few texts have AM, PM or a zone after the time
+    hour, half = F.regexp_extract(s, whole, 4).try_cast("int"), F.lower(F.regexp_extract(s, whole, 8))
+    shift_h, shift_m = F.regexp_extract(s, whole, 9), F.regexp_extract(s, whole, 10)
+    hours = F.when(half == "", 0).when((hour < 1) | (hour > 12), F.lit(None)).otherwise(
+        F.when(half == "pm", 12).otherwise(0) - F.when(hour == 12, 12).otherwise(0))
+    minutes = F.when(shift_h == "", 0).otherwise(
+        shift_h.try_cast("int") * 60
+        + F.when(F.startswith(shift_h, F.lit("-")), -1).otherwise(1) * F.coalesce(shift_m.try_cast("int"), F.lit(0)))
+    moved = wall + F.make_dt_interval(F.lit(0), hours, -minutes)
+    return F.when(s.rlike(r":\d\d.*[A-Za-z+-]"), moved).otherwise(wall)
 
 
 def to_bool(c: Column, dt: T.DataType) -> Column:

@@ -32,6 +32,14 @@ def id_frame(spark, ids: list, name: str = "_id") -> DataFrame:
     return spark.createDataFrame([(int(i),) for i in ids], f"{name} bigint")
 
 
+def flag_ids(df: DataFrame, ids: list, key: str, name: str = "_chosen"):
+    """(``df`` with a flag for the rows whose key is in a long list, the flag as a Column)."""
+    t = id_frame(df.sparkSession, ids, name)
+    if len(ids) <= BROADCAST_IDS_MAX:
+        t = F.broadcast(t)
+    return df.join(t, col(key) == F.col(name), "left"), F.col(name).isNotNull()
+
+
 def _id_join(df: DataFrame, ids: list, key: str, how: str) -> DataFrame:
     t = id_frame(df.sparkSession, ids)
     if len(ids) <= BROADCAST_IDS_MAX:

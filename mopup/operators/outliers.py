@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.exprs import col
 from . import stats
-from .transforms import KEY, _select_replacing, numeric_columns, replace_placeholders, row_data
+from .transforms import KEY, _select_replacing, change, numeric_columns, replace_placeholders, row_data, with_changes
 
 
 def iqr_bounds(df: DataFrame, cols: list[str] | None = None, multiplier: float = 1.5,
@@ -110,9 +110,11 @@ def remove_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact
     return df.where(~flag), df.where(flag), b
 
 
-def clip_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact", key: str = KEY):
+def clip_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact", key: str = KEY,
+                  trail: str | None = None):
     """Clamp each numeric column with outliers into its bounds; nulls and NaN stay, and so do the
-    columns without outliers, type included (a clamped integer column turns DOUBLE)."""
+    columns without outliers, type included (a clamped integer column turns DOUBLE).  The clamped cells are
+    added to the array column ``trail``, where named."""
     b = iqr_bounds(df, None, multiplier, method, key)
     new = {}
     for c, bb in b.items():
@@ -121,4 +123,6 @@ def clip_outliers(df: DataFrame, multiplier: float = 1.5, method: str = "exact",
         x = col(c).cast("double")
         new[c] = F.when(x.isNull() | F.isnan(x), x).otherwise(
             F.greatest(F.least(x, F.lit(bb["upper"])), F.lit(bb["lower"])))
+    if trail is not None:
+        df = with_changes(df, trail, [change(c, "outlier_clip", outlier_flag(c, b[c]), col(c), x) for c, x in new.items()])
     return _select_replacing(df, new), b

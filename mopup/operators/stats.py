@@ -4,36 +4,31 @@ Spark's exact ``percentile`` keeps every distinct value of a column in one
 aggregation buffer, which does not survive a very large table.  Here the value of
 a rank is found by radix selection instead:
 
-* Each value has an integer key in the same order: integers are their own, a DOUBLE has the
-  64-bit number that its sign, exponent and mantissa make up.
-* The first pass counts the keys by their top 16 bits, with the least and greatest key of each
-  bucket.  The bucket that holds a wanted rank follows from running totals, which Spark sums.
-* Where a bucket's least and greatest key are one, that is the value.  Otherwise the next pass
-  counts the keys between the two in 65,536 equal buckets, and so on.
-
-A pass leaves at most a 65,536th of a bucket's key range, so four passes always suffice and most
-columns need two.  Every pass is one hash aggregate with map-side combination over all
-columns and quantiles together, later passes only count keys inside the wanted buckets, and the
+* The first pass counts the values by sign and size, in 256 buckets for each power of two (any
+  function that never falls as the value rises will do), with the least and greatest value of each bucket.
+  The bucket that holds a wanted rank follows from running totals, which Spark sums.
+* Where a bucket's least and greatest value are one, that is the value.  Otherwise the next pass
+  counts the values between the two in 65,536 equal buckets, and so on.
+
+The ends of a range fall into different buckets, so every pass leaves less of it.  A bucket of the first pass has at
+most 2^45 different doubles and a pass keeps about a 65,536th of these, so four passes suffice (five where rounding
+is at its worst) and most columns need two.  Every pass is one hash aggregate with map-side combination over all
+columns and quantiles together, later passes only count values inside the wanted buckets, and the
 driver gets one row for each wanted rank: no values are collected, and nothing depends on a sketch.
 """
 
 from __future__ import annotations
 
 import math
-import struct
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import col
 from ..functions.frames import agg_chunked
 
 DEFAULT_ACCURACY = 10000  # of ``approx``
 BUCKETS = 1 << 16
-_TOP = 48                 # the first pass counts keys by the bits above
-_MANTISSA, _LEAST_EXPONENT = 52, -1022
-_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _lerp(a: float, b: float, t: float) -> float:
@@ -51,50 +46,18 @@ def _number(c: str):
     return F.when(~F.isnan(x), x)
 
 
-def _keys(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The columns' keys as ``k0``, ``k1``, ...: in steps, so that no step is computed twice."""
-    kinds = dict((f.name, f.dataType) for f in df.schema.fields)
-    whole = [isinstance(kinds[c], _INTEGERS) for c in cols]
-    df = df.select(*[(col(c).cast("bigint") if w else _number(c)).alias(f"x{i}") for i, (c, w) in enumerate(zip(cols, whole))])
-    if all(whole):
-        return df.toDF(*[f"k{i}" for i in range(len(cols))])
-    floats = [i for i, w in enumerate(whole) if not w]
-    x, a, e = (lambda i: F.col(f"x{i}")), (lambda i: F.col(f"a{i}")), (lambda i: F.col(f"e{i}"))
-    low = F.lit(_LEAST_EXPONENT)
-    df = df.select("*", *[F.abs(x(i)).alias(f"a{i}") for i in floats])
-    df = df.select("*", *[F.when(a(i) < 2.0 ** _LEAST_EXPONENT, low).otherwise(
-        F.least(F.lit(1023), F.greatest(low, F.floor(F.log2(a(i))).cast("int")))).alias(f"g{i}") for i in floats])
-    # the logarithm is rounded: the exponent may be one off beside a power of two
-    df = df.select("*", *[
-        F.when((F.pow(F.lit(2.0), F.col(f"g{i}")) > a(i)) & (F.col(f"g{i}") > low), F.col(f"g{i}") - 1)
-        .when(a(i) / F.pow(F.lit(2.0), F.col(f"g{i}")) >= 2, F.col(f"g{i}") + 1)
-        .otherwise(F.col(f"g{i}")).alias(f"e{i}") for i in floats])
-    unit = F.lit(2.0 ** _MANTISSA)
-
-    def key(i: int) -> Column:
-        high = (e(i) - low).cast("bigint") * F.lit(1 << _MANTISSA).cast("bigint")
-        size = F.when(a(i) == float("inf"), F.lit(2047 << _MANTISSA).cast("bigint")).otherwise(
-            high + (a(i) / F.pow(F.lit(2.0), e(i)) * unit).cast("bigint"))
-        return F.when(x(i) < 0, -size).otherwise(size)
-
-    return df.select(*[(key(i) if i in floats else x(i)).alias(f"k{i}") for i in range(len(cols))])
-
-
-def _value(key: int, whole: bool) -> float:
-    """The number that a key stands for."""
-    if whole:
-        return float(key)
-    size = struct.unpack(">d", struct.pack(">q", abs(key)))[0]
-    return -size if key < 0 else size
-
-
-def _cells(keys: DataFrame, made: list[Column]) -> DataFrame:
-    """(b, d, k) rows from one struct or null for each bracket."""
-    return keys.select(F.explode(F.array_compact(F.array(*made))).alias("_c")).select("_c.*")
+def _cells(df: DataFrame, made: list[Column]) -> DataFrame:
+    """(b, x) rows: the value that each bracket has of a row, if any."""
+    return df.select(F.posexplode(F.array(*made)).alias("b", "x")).filter("x is not null and not isnan(x)")
+
+
+#: Sign and size of a value: its logarithm to base 2 in steps of 1/256, moved above 0, which is zero's own place.
+_SIZE = ("CASE WHEN x = 0D THEN 0L ELSE CAST(signum(x) AS BIGINT) * "
+         "(CAST(floor(least(log2(abs(x)), 2000D) * 256D) AS BIGINT) + 300000L) END")
 
 
 def _buckets(cells: DataFrame) -> DataFrame:
-    counts = cells.groupBy("b", "d").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    counts = cells.groupBy("b", "d").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     order = Window.partitionBy("b").orderBy("d")
     everything = Window.partitionBy("b")
     return counts.select(
@@ -108,52 +71,55 @@ def quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75), method: str =
     """Return ``{col: {"n": count, "min": value, "max": value, p: value-or-None, ...}}``.
 
     NaN counts as missing.  ``method="exact"`` matches linear interpolation exactly; ``cap`` is the
-    number of buckets (two at least) that a pass after the first divides a range into.  ``"approx"``
+    number of buckets that a pass after the first divides a range into.  ``"approx"``
     uses a single ``percentile_approx`` pass (rank error ≤ n/accuracy).
     """
     if not cols:
         return {}
     if method == "approx":
         return _approximate(df, cols, probs, accuracy)
-    kinds = dict((f.name, f.dataType) for f in df.schema.fields)
-    whole = [isinstance(kinds[c], _INTEGERS) for c in cols]
-    keys = _keys(df, cols)
+    df = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     out = {c: {"n": 0, "min": None, "max": None, **{p: None for p in probs}} for c in cols}
-    k = [F.col(f"k{i}") for i in range(len(cols))]
-    first = _buckets(_cells(keys, [
-        F.when(x.isNotNull(), F.struct(F.lit(i).alias("b"), F.shiftright(x, _TOP).alias("d"), x.alias("k")))
-        for i, x in enumerate(k)]))
+    x = [F.col(f"x{i}") for i in range(len(cols))]
+    first = _buckets(_cells(df, x).select("b", F.expr(_SIZE).alias("d"), "x"))
     # ranks around each quantile's place; the place itself is computed once more on the driver
     place = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(h), F.least(F.floor(h) + 1, F.col("total") - 1)) for h in place])))
     wanted = first.select("*", F.explode(ranks).alias("rank")).filter("below <= rank and rank < below + n")
     found: dict[tuple[int, int], float] = {}
-    pending: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    pending: dict[tuple[int, float, float], list[tuple[int, int]]] = {}
 
     def settle(i: int, rank: int, r) -> None:
         if r["lo"] == r["hi"]:
-            found[i, rank] = _value(r["lo"], whole[i])
+            found[i, rank] = r["lo"]
         else:
             pending.setdefault((i, r["lo"], r["hi"]), []).append((rank, r["rank"] - r["below"]))
 
     for r in wanted.collect():
         c = out[cols[r["b"]]]
-        c["n"], c["min"], c["max"] = int(r["total"]), _value(r["least"], whole[r["b"]]), _value(r["most"], whole[r["b"]])
+        c["n"], c["min"], c["max"] = int(r["total"]), r["least"], r["most"]
         settle(r["b"], int(r["rank"]), r)
+    steps = max(1, cap)
     while pending:
-        brackets, made, asked = list(pending), [], []
-        for b, (i, lo, hi) in enumerate(brackets):
-            width = F.lit((hi - lo) // max(2, cap) + 1).cast("bigint")
-            far = k[i] - F.lit(lo).cast("bigint")
-            made.append(F.when(k[i].between(lo, hi), F.struct(
-                F.lit(b).alias("b"), (far - far % width).alias("d"), k[i].alias("k"))))
-            asked += [(b, rank, inner) for rank, inner in pending[brackets[b]]]
-        ask = df.sparkSession.createDataFrame(asked, "b int, whole_rank bigint, rank bigint")
-        rows = _buckets(_cells(keys, made)).join(F.broadcast(ask), "b").filter("below <= rank and rank < below + n").collect()
+        brackets, asked = list(pending), pending
+
+        def of(values: list) -> Column:
+            return F.get(F.array(*map(F.lit, values)), F.col("b"))
+
+        share = (F.col("x") - of([lo for _, lo, _ in brackets])) / of([hi - lo for _, lo, hi in brackets])
+        cells = _cells(df, [F.when(x[i].between(lo, hi), x[i]) for i, lo, hi in brackets])
+        inside = cells.select("b", F.floor(share * F.lit(float(steps))).alias("d"), "x")
+        # the wanted ranks, counted within each bracket
+        inner = F.get(F.array(*[F.array(*[F.lit(r).cast("bigint") for _, r in asked[k]]) for k in brackets]), F.col("b"))
+        rows = _buckets(inside).select("*", F.explode(inner).alias("rank")).filter(
+            "below <= rank and rank < below + n").collect()
         pending = {}
         for r in rows:
-            settle(brackets[r["b"]][0], int(r["whole_rank"]), r)
+            bracket = brackets[r["b"]]
+            for rank, at in asked[bracket]:
+                if at == r["rank"]:
+                    settle(bracket[0], rank, r)
     for i, c in enumerate(cols):
         n = out[c]["n"]
         for p in probs:

@@ -182,6 +182,30 @@ def q_changed_cells(spark, sf):
     return clean(cust(spark, sf), CleanOptions.from_dict(CHANGED_CELLS_OPTS)).changed_cells
 
 
+CHANGED_ALL_OPTS = {**CHANGED_CELLS_OPTS, "audit": "all", "handle_outliers": {"method": "iqr", "action": "clip", "multiplier": 0.5}}
+
+
+def q_changed_cells_all(spark, sf):
+    """A2 with the cells of C1, C7 and C15 as well."""
+    return clean(cust(spark, sf), CleanOptions.from_dict(CHANGED_ALL_OPTS)).changed_cells
+
+
+def table_edits(spark, sf):
+    """Edits of every seventh customer's balance and market segment, some cells twice, made from the table itself."""
+    v = cust(spark, sf).filter("row_id % 7 = 0")
+    first = v.select(F.col("row_id").alias("row_index"), F.lit("acctbal").alias("column"),
+                     F.lit("17").alias("value"), F.lit(1).alias("seq"))
+    then = v.filter("row_id % 2 = 0").select("row_id", F.lit("acctbal"), F.concat(F.col("row_id").cast("string"), F.lit(".5")), F.lit(2))
+    words = v.select("row_id", F.lit("Mkt Segment"), F.when(F.col("row_id") % 3 == 0, " ").otherwise(F.lit("EDITED")), F.lit(1))
+    lost = v.select(F.col("row_id") + 1_000_000_000, F.lit("acctbal"), F.lit("1"), F.lit(9))
+    return first.union(then).union(words).union(lost)
+
+
+def q_cell_updates_table(spark, sf):
+    """C3 with a table of edits."""
+    return clean(cust(spark, sf), scoped(rename_columns=False, cell_updates=table_edits(spark, sf))).df
+
+
 def q_operation_log(spark, sf):
     return clean(cust(spark, sf), CleanOptions()).log.select("seq", "action", "affected", "columns", "success")
 
@@ -535,6 +559,8 @@ QUERIES = {
     "cell_search": q_cell_search,
     "cell_diff": q_cell_diff,
     "changed_cells": q_changed_cells,
+    "changed_cells_all": q_changed_cells_all,
+    "cell_updates_table": q_cell_updates_table,
     "operation_log": q_operation_log,
     "cleaning_completeness": q_cleaning_completeness,
     "clean_minimal": q_clean_minimal,

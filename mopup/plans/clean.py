@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .. import session
 from ..functions import exprs as X
 from ..functions.exprs import col
-from ..functions.frames import side_by_side, with_ids
+from ..functions.frames import IN_LIST_MAX, agg_chunked, flag_ids, side_by_side, with_ids
 from ..operators import outliers as O
 from ..operators import transforms as TR
 from ..operators.transforms import KEY
@@ -42,10 +42,43 @@ CHANGE_SCHEMA = "row_id bigint, column string, action string, old_value string,
 REMOVED_SCHEMA = "row_id bigint, action string, detail string"
 
 
+# columns that a cleaning run carries along beside the table's own: the changes made to a row so far, and
+# the numbers of its cells that C1 and C6 change
+TRAIL, PLACEHOLDERS, TRIMMED = "__mopup_trail", "__mopup_placeholders", "__mopup_trimmed"
+_HIDDEN = {TRAIL, PLACEHOLDERS, TRIMMED}
+
+
+class Counts:
+    """Row and cell counts of a run by name: known numbers, and aggregates over a frame still to be run.
+    Those asked for together cost one pass over each frame."""
+
+    def __init__(self, spark):
+        self._spark, self._known, self._later = spark, {}, {}
+
+    def know(self, name: str, value: int) -> None:
+        self._known[name] = int(value or 0)
+
+    def later(self, name: str, frame: DataFrame, aggregate) -> None:
+        self._later[name] = (frame, aggregate)
+
+    def row(self, names) -> DataFrame:
+        """One row with these counts."""
+        frames: dict[int, tuple[DataFrame, list]] = {}
+        for n in dict.fromkeys(names):
+            if n not in self._known:
+                frame, aggregate = self._later[n]
+                frames.setdefault(id(frame), (frame, []))[1].append(aggregate.cast("bigint").alias(n))
+        known = [F.lit(self._known[n]).cast("bigint").alias(n) for n in dict.fromkeys(names) if n in self._known]
+        parts = [agg_chunked(frame, aggs) for frame, aggs in frames.values()]
+        if not parts:
+            return self._spark.range(1).select(F.lit(1).alias("_one"), *known)
+        return (parts[0] if len(parts) == 1 else side_by_side(*parts)).select("*", *known)
+
+
 @dataclass
 class _Entry:
     action: str
-    affected: object = None          # int, or a 1-row DataFrame with column "affected"
+    affected: object = None          # a number, or the names of counts: the first less the others
     columns: list = field(default_factory=list)
     detail: object = None
     success: bool = True
@@ -58,39 +91,40 @@ class CleanResult:
     changes: list
     removals: list
     report: dict
+    counts: Counts
     _spark: object = None
-    _orig: DataFrame | None = None
     key: str = KEY
 
     # ---------------- A1
     @property
     def log(self) -> DataFrame:
-        spark = self._spark
-        static, lazy = [], []
+        """The operations in order.  Counts that deciding the steps has not given yet cost one pass over the
+        input, one over the deduplicated table, or both."""
+        rows, needs = [], []
         for i, e in enumerate(self.entries):
             detail = e.detail if isinstance(e.detail, str) or e.detail is None else json.dumps(
                 e.detail, sort_keys=True, default=str)
-            cols = ",".join(e.columns)
-            if isinstance(e.affected, DataFrame):
-                lazy.append(e.affected.select(
-                    F.lit(i + 1).alias("seq"), F.lit(e.action).alias("action"),
-                    F.col("affected").cast("bigint").alias("affected"), F.lit(cols).alias("columns"),
-                    F.lit(detail).cast("string").alias("detail"), F.lit(e.success).alias("success")))
-            else:
-                static.append((i + 1, e.action, None if e.affected is None else int(e.affected),
-                               cols, detail, e.success))
-        out = spark.createDataFrame(static, LOG_SCHEMA)
-        for d in lazy:
-            out = out.unionByName(d)
-        return out
+            affected = F.lit(None if e.affected is None else e.affected) if not isinstance(e.affected, tuple) else F.col(
+                e.affected[0])
+            for n in e.affected[1:] if isinstance(e.affected, tuple) else ():
+                affected = affected - F.col(n)
+            needs += e.affected if isinstance(e.affected, tuple) else ()
+            rows.append(F.struct(
+                F.lit(i + 1).alias("seq"), F.lit(e.action).alias("action"), affected.cast("bigint").alias("affected"),
+                F.lit(",".join(e.columns)).alias("columns"), F.lit(detail).cast("string").alias("detail"),
+                F.lit(e.success).alias("success")))
+        if not rows:
+            return self._spark.createDataFrame([], LOG_SCHEMA)
+        return self.counts.row(needs).select(F.inline(F.array(*rows)))
 
     # ---------------- A2
     @property
     def changed_cells(self) -> DataFrame:
+        """One row for each changed cell.  The changes of a row travel with it as an array, so there is one pass over
+        the input and one over the deduplicated table."""
         out = self._spark.createDataFrame([], CHANGE_SCHEMA)
         for d in self.changes:
-            out = out.unionByName(d.withColumnRenamed(self.key, "row_id")
-                                  .select("row_id", "column", "action", "old_value", "new_value"))
+            out = out.unionByName(d)
         return out
 
     # ---------------- A5
@@ -98,6 +132,7 @@ class CleanResult:
     def removed_rows(self) -> DataFrame:
         out = self._spark.createDataFrame([], REMOVED_SCHEMA)
         for d in self.removals:
+            d = d() if callable(d) else d
             out = out.unionByName(d.withColumnRenamed(self.key, "row_id")
                                   .select("row_id", "action", "detail"))
         return out
@@ -112,21 +147,18 @@ class CleanResult:
     def summary(self) -> DataFrame:
         r = self.report
         k = self.key
-        before = self._orig.agg(F.count(F.lit(1)).alias("rows_before"))
-        after = self.df.agg(F.count(F.lit(1)).alias("rows_after"))
-        dups = self.report["_dedupe_counts"]
-        outl = self.report["_outlier_counts"]
-        out = side_by_side(before, after, dups, outl)
-        return out.select(
-            "rows_before", "rows_after",
+        c = F.col
+        one = self.counts.row(["rows", "deduped", "live", "after"])
+        return one.select(
+            c("rows").alias("rows_before"), c("after").alias("rows_after"),
             F.lit(r["original_cols"]).cast("bigint").alias("cols_before"),
-            F.lit(len([c for c in self.df.columns if c != k])).cast("bigint").alias("cols_after"),
-            F.col("duplicates_removed").cast("bigint").alias("duplicates_removed"),
-            F.col("outliers_removed").cast("bigint").alias("outliers_removed"),
+            F.lit(len([x for x in self.df.columns if x != k])).cast("bigint").alias("cols_after"),
+            (c("rows") - c("deduped")).alias("duplicates_removed"),
+            (c("deduped") - c("live")).alias("outliers_removed"),
             F.lit(r["filled_cells"]).cast("bigint").alias("filled_cells"),
             F.lit(r["columns_renamed"]).cast("bigint").alias("columns_renamed"),
             F.lit(r["empty_columns_removed"]).cast("bigint").alias("empty_columns_removed"),
-            F.lit(",".join(c for c in self.df.columns if c != k)).alias("cleaned_columns"))
+            F.lit(",".join(x for x in self.df.columns if x != k)).alias("cleaned_columns"))
 
 
 def _number_form(target: T.DataType) -> str:
@@ -134,28 +166,33 @@ def _number_form(target: T.DataType) -> str:
     return "int" if isinstance(target, T.LongType) else "num"
 
 
-def _count_df(df: DataFrame, name: str = "affected") -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias(name))
-
-
 def _resolve(names, renamed: dict[str, str]):
     """Names given before renames follow the renames."""
     return [renamed.get(n, n) for n in names]
 
 
+def _changed(df: DataFrame, key: str) -> DataFrame:
+    return df.select(col(key).cast("bigint").alias("row_id"), F.explode(col(TRAIL)).alias("_c")).select(
+        "row_id", "_c.column", "_c.action", "_c.old_value", "_c.new_value")
+
+
 def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str = KEY) -> CleanResult:
     opts = options if isinstance(options, CleanOptions) else CleanOptions.from_dict(options)
     spark = df.sparkSession
-    orig = df
     entries: list[_Entry] = []
     changes: list[DataFrame] = []
-    removals: list[DataFrame] = []
+    removals: list = []
+    counts = Counts(spark)
+    everything = opts.audit == "all"
     report: dict = {"original_cols": len(TR.data_columns(df, key))}
 
     # ---- C1
-    w = TR.replace_placeholders(df, key, "clean")
-    ph_cells = _placeholder_count(df, key)
-    entries.append(_Entry("replace_placeholders", ph_cells, TR.text_columns(df, key)))
+    ph = {c: X.placeholder_expr(c, "clean") for c in TR.text_columns(df, key)}
+    w = df.select("*", X.sum_all([F.when(p, 1).otherwise(0) for p in ph.values()]).cast("bigint").alias(PLACEHOLDERS))
+    if everything:
+        w = TR.with_changes(w, TRAIL, [TR.change(c, "replace_placeholders", p, col(c), F.lit(None)) for c, p in ph.items()])
+    w = TR.replace_placeholders(w, key, "clean")
+    entries.append(_Entry("replace_placeholders", ("placeholders",), list(ph)))
 
     # ---- C2
     renamed: dict[str, str] = {}
@@ -169,14 +206,12 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
     # ---- C3 / C4
     for ups, action in ((opts.cell_updates, "manual_cell_updates"),
                         (opts.missing_cell_updates, "manual_missing_cell_updates")):
-        if not ups:
+        if not isinstance(ups, DataFrame) and not ups:
             continue
-        ce = TR.apply_cell_updates(w, list(ups), key)
+        ce = TR.apply_cell_updates(w, ups if isinstance(ups, DataFrame) else list(ups), key, TRAIL, action)
         w = ce.df
-        if ce.applied:
-            entries.append(_Entry(action, len(ce.applied), list(dict.fromkeys(c for _, c, _, _ in ce.applied)),
-                                  {"retyped": ce.retyped}))
-            changes.append(ce.changes.withColumn("action", F.lit(action)))
+        if ce.count:
+            entries.append(_Entry(action, ce.count, ce.columns, {"retyped": ce.retyped}))
 
     # ---- C5
     manual: dict[str, str] = {}
@@ -187,23 +222,32 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
 
     # ---- C6
     if opts.trim_whitespace:
-        before = w
+        trimmed = TR.trim_changes(w, key)
+        w = TR.with_changes(w.withColumn(TRIMMED, X.sum_all([F.when(x.isNotNull(), 1).otherwise(0) for x in trimmed]).cast("bigint")),
+                            TRAIL, trimmed)
         w, tcols = TR.trim_whitespace(w, key)
-        tch = TR.trim_changes(before, key).withColumn("action", F.lit("trim_whitespace"))
-        changes.append(tch)
-        entries.append(_Entry("trim_whitespace", _count_df(tch), tcols))
+        entries.append(_Entry("trim_whitespace", ("trimmed",), tcols))
 
     # ---- phase B: C7 / C8 / C9 / C10 / C11 — one fused aggregate decides them all
     dtype_map = {manual.get(c, c): v for c, v in (opts.dtype_map or {}).items()}
-    fields = dict((f.name, f.dataType) for f in w.schema.fields if f.name != key)
+    fields = dict((f.name, f.dataType) for f in w.schema.fields if f.name != key and f.name not in _HIDDEN)
     text_cols = [c for c, t in fields.items() if X.is_text(t)]
     dates = {c: dtype_map.get(c, "auto") for c in text_cols
              if dtype_map and dtype_map.get(c, "auto") in ("auto", "datetime")}
     need_drop = opts.drop_empty_columns or opts.drop_constant_columns
     parsed_cols = text_cols if (opts.convert_dtypes or dtype_map) else []
     forms = TR.candidate_forms(fields, parsed_cols, dtype_map)
-    fs = TR.form_stats(w, forms, fields, parsed_cols, dates) \
-        if (need_drop or opts.convert_dtypes or dtype_map) else {"columns": {}, "rows": None}
+    totals = {"placeholders": F.sum(PLACEHOLDERS), **({"trimmed": F.sum(TRIMMED)} if TRIMMED in w.columns else {})}
+    if need_drop or opts.convert_dtypes or dtype_map:
+        fs = TR.form_stats(w, forms, fields, parsed_cols, dates, totals)
+        counts.know("rows", fs["rows"])
+        for name in totals:
+            counts.know(name, fs["totals"][name])
+    else:
+        fs = {"columns": {}, "rows": None}
+        for name, total in {"rows": F.count(F.lit(1)), **totals}.items():
+            counts.later(name, w, F.coalesce(total, F.lit(0)))
+    w = w.drop(PLACEHOLDERS, TRIMMED)
     st = fs["columns"]
     form_of = {c: "raw" for c in fields}
     new_cols: dict = {}
@@ -223,7 +267,7 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
                                   c7_changes))
     if dtype_map:
         meta = {}
-        for c in [x for x in w.columns if x != key]:
+        for c in fields:
             choice = dtype_map.get(c, "auto")
             t0 = cur_type[c]
             src = new_cols.get(c, col(c))
@@ -291,8 +335,15 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
                                 F.lit(bool(m["success"])).alias("success")))
         report["conversions"] = pre.agg(F.array(*rep).alias("_r")).select(F.inline("_r"))
     if new_cols:
+        if everything:
+            w = TR.with_changes(w, TRAIL, [
+                TR.change(c, "convert_dtypes" if c in {x["column"] for x in c7_changes} else "manual_convert_dtypes",
+                          col(c).isNotNull() & x.isNull(), col(c), F.lit(None)) for c, x in new_cols.items()])
         w = w.select(*[(new_cols[c] if c in categories else new_cols[c].alias(c)) if c in new_cols
                        else col(c) for c in w.columns])
+    if TRAIL in w.columns:
+        changes.append(_changed(w, key))
+        w = w.drop(TRAIL)
 
     # ---- C9
     if opts.drop_selected_columns:
@@ -330,12 +381,11 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
     if opts.remove_duplicates:
         subset = [c for c in _resolve(opts.duplicates_subset or [], manual) if c in w.columns] or None
         w = TR.dedupe(w, subset, key)
-        rem = TR.duplicate_removals(pre_dedupe, subset, key)
-        removals.append(rem.select(col(key), F.lit("drop_duplicates").alias("action"),
-                                   F.concat(F.lit("duplicate of "), F.col("duplicate_of").cast("string"))
-                                   .alias("detail")))
-        dedupe_entry = _Entry("drop_duplicates", None, list(subset or []), {"subset": subset})
-        entries.append(dedupe_entry)
+        # the list of removed rows is only made when it is asked for
+        removals.append(lambda: TR.duplicate_removals(pre_dedupe, subset, key).select(
+            col(key), F.lit("drop_duplicates").alias("action"),
+            F.concat(F.lit("duplicate of "), F.col("duplicate_of").cast("string")).alias("detail")))
+        entries.append(_Entry("drop_duplicates", ("rows", "deduped"), list(subset or []), {"subset": subset}))
 
     # ---- staging: later phases make several passes over w
     later_passes = (bool(opts.handle_outliers) + (opts.missing_strategy == "fill")
@@ -344,21 +394,29 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
     if how == "auto":
         how = "checkpoint" if later_passes >= 1 and opts.remove_duplicates else "none"
     w = session.stage(w, how)
-    report["_dedupe_counts"] = side_by_side(_count_df(pre_dedupe, "_n0"), _count_df(w, "_n1")).select(
-        (F.col("_n0") - F.col("_n1")).alias("duplicates_removed"))
-    if opts.remove_duplicates:
-        # rows before minus rows after (the after side is staged): no audit join needed
-        dedupe_entry.affected = report["_dedupe_counts"].select(F.col("duplicates_removed").alias("affected"))
     after_dedupe = w
+    # which of its rows the later steps take out: counted together, in one pass over this table
+    gone = F.lit(False)
+
+    def lost(name: str, flag) -> None:
+        """Count the rows of ``after_dedupe`` that ``flag`` takes out and no step before it did."""
+        nonlocal gone
+        counts.later(name, after_dedupe, F.count(F.when(flag & ~gone, 1)))
+        gone = gone | flag
 
     # ---- C13
     if opts.selected_outlier_rows:
         ids = sorted({int(x) for x in opts.selected_outlier_rows})
-        gone = with_ids(w, ids, key)
-        removals.append(gone.select(col(key), F.lit("manual_outlier_removal").alias("action"),
-                                    F.lit(None).cast("string").alias("detail")))
+        chosen = with_ids(w, ids, key)
+        removals.append(chosen.select(col(key), F.lit("manual_outlier_removal").alias("action"),
+                                      F.lit(None).cast("string").alias("detail")))
         w = TR.remove_rows(w, ids, key)
-        entries.append(_Entry("manual_outlier_removal", _count_df(gone), [], {"selected_rows": ids}))
+        if len(ids) <= IN_LIST_MAX:
+            lost("manual", col(key).isin(ids))
+        else:
+            after_dedupe, flag = flag_ids(after_dedupe, ids, key)
+            lost("manual", flag)
+        entries.append(_Entry("manual_outlier_removal", ("manual",), [], {"selected_rows": ids}))
 
     # ---- C14 / C15
     ho = opts.handle_outliers
@@ -367,64 +425,72 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
         action = ho.get("action", "remove")
         mult = float(ho.get("multiplier", 1.5))
         if method == "iqr" and action == "remove":
-            kept, gone, b = O.remove_outliers(w, mult, opts.quantiles, key)
-            removals.append(gone.select(col(key), F.lit("outlier_removal").alias("action"),
-                                        F.lit(None).cast("string").alias("detail")))
-            entries.append(_Entry("outlier_removal", _count_df(gone), list(b), {"multiplier": mult}))
-            w = kept
+            w, removed, b = O.remove_outliers(w, mult, opts.quantiles, key)
+            removals.append(removed.select(col(key), F.lit("outlier_removal").alias("action"),
+                                           F.lit(None).cast("string").alias("detail")))
+            lost("outliers", O.any_outlier(b))
+            entries.append(_Entry("outlier_removal", ("outliers",), list(b), {"multiplier": mult}))
         elif method == "iqr" and action == "clip":
-            w, b = O.clip_outliers(w, mult, opts.quantiles, key)
+            w, b = O.clip_outliers(w, mult, opts.quantiles, key, TRAIL if everything else None)
             entries.append(_Entry("outlier_clip", None, list(b), {"multiplier": mult}))
-    report["_outlier_counts"] = side_by_side(_count_df(after_dedupe, "_m0"), _count_df(w, "_m1")).select(
-        (F.col("_m0") - F.col("_m1")).alias("outliers_removed"))
+    counts.later("live", after_dedupe, F.count(F.when(~gone, 1)))
 
     # ---- C16 - C18
     filled = 0
     if opts.missing_strategy == "drop":
-        gone = w.where(TR.missing_any(w, key))
-        removals.append(gone.select(col(key), F.lit("drop_missing_rows").alias("action"),
-                                    TR.missing_list(w, key).alias("detail")))
-        entries.append(_Entry("drop_missing_rows", _count_df(gone), []))
+        w = _snapshot(w, changes, key)
+        removals.append(w.where(TR.missing_any(w, key)).select(
+            col(key), F.lit("drop_missing_rows").alias("action"), TR.missing_list(w, key).alias("detail")))
+        lost("missing", TR.missing_any(w, key))
+        entries.append(_Entry("drop_missing_rows", ("missing",), []))
         w = TR.drop_missing_rows(w, key)
     elif opts.missing_strategy == "fill":
         num_filled = 0
         # one aggregate serves both fills: numeric filling only touches numeric
         # columns, so the text columns' gap counts stay valid after it
-        gaps = TR.gap_stats(w, key)
+        gaps = TR.gap_stats(w.drop(TRAIL), key)
+        counts.know("live", gaps["rows"])
+        if not opts.selected_outlier_rows and not ho:
+            counts.know("deduped", gaps["rows"])
         if opts.fill_numeric != "skip":
-            before = w
-            w, details, skipped = TR.fill_numeric(w, opts.fill_numeric, opts.quantiles, key, gaps)
+            w, details, skipped = TR.fill_numeric(w, opts.fill_numeric, opts.quantiles, key, gaps, TRAIL)
             for d in details:
                 gaps["count"][d["column"]] = gaps["rows"]
             num_filled = sum(d["filled"] for d in details)
-            if details:
-                changes.append(TR.fill_changes(before, {d["column"]: _fmt(d["value"]) for d in details},
-                                               "fill_numeric", key))
             entries.append(_Entry("fill_numeric", num_filled, [d["column"] for d in details],
                                   {"strategy": str(opts.fill_numeric), "skipped": skipped}))
         else:
             entries.append(_Entry("fill_numeric", 0, [], {"strategy": "skip"}))
         filled += num_filled
         if opts.fill_categorical != "skip":
-            before = w
+            if opts.fill_categorical == "drop":
+                w = _snapshot(w, changes, key)
             w, details, dropped = TR.fill_categorical(
                 w, opts.fill_categorical, opts.categorical_constant,
-                list(opts.categorical_columns) if opts.categorical_columns else None, key, gaps)
+                list(opts.categorical_columns) if opts.categorical_columns else None, key, gaps, TRAIL)
             cat_filled = sum(d["filled"] for d in details.values())
             filled += cat_filled
-            fills = {c: d["value"] for c, d in details.items() if d["filled"] > 0}
-            if fills:
-                changes.append(TR.fill_changes(before, fills, "fill_categorical", key))
             det = {"strategy": opts.fill_categorical, "values": {c: d["value"] for c, d in details.items()}}
             aff = cat_filled
             if dropped is not None:
                 removals.append(dropped.select(col(key), F.lit("fill_categorical_drop").alias("action"),
                                                F.lit(None).cast("string").alias("detail")))
-                aff = _count_df(dropped)
+                filled_already = set() if opts.fill_numeric == "skip" else {
+                    c for c, n in gaps["count"].items() if n == gaps["rows"]}
+                lost("dropped", X.any_of([col(c).isNull() for c in TR.categorical_columns(
+                    w, opts.categorical_columns, key) if c not in filled_already]))
+                aff = ("dropped",)
             entries.append(_Entry("fill_categorical", aff, list(details), det))
     else:
         entries.append(_Entry("skip_missing_values", 0, [], {"reason": "not selected"}))
     report["filled_cells"] = filled
+    if TRAIL in w.columns:
+        changes.append(_changed(w, key))
+        w = w.drop(TRAIL)
+    counts.later("deduped", after_dedupe, F.count(F.lit(1)))
+    counts.later("after", after_dedupe, F.count(F.when(~gone, 1)))
+    if opts.missing_strategy == "fill" and opts.fill_categorical != "drop":
+        counts.know("after", gaps["rows"])
 
     # ---- C19
     if opts.encode_categoricals == "label":
@@ -432,17 +498,12 @@ def clean(df: DataFrame, options: CleanOptions | dict | None = None, key: str =
         if enc:
             entries.append(_Entry("label_encode", len(enc), enc))
 
-    return CleanResult(w, entries, changes, removals, report, spark, orig, key)
-
-
-def _fmt(v) -> str:
-    """Fill value as the text the audit records."""
-    return str(v)
+    return CleanResult(w, entries, changes, removals, report, counts, spark, key)
 
 
-def _placeholder_count(df: DataFrame, key: str) -> DataFrame:
-    tc = TR.text_columns(df, key)
-    if not tc:
-        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("affected"))
-    e = X.sum_all([F.when(X.placeholder_expr(c, "clean"), 1).otherwise(0) for c in tc])
-    return df.agg(F.sum(e).cast("bigint").alias("affected"))
+def _snapshot(w: DataFrame, changes: list, key: str) -> DataFrame:
+    """Hand over the changes so far, before a step takes rows out."""
+    if TRAIL not in w.columns:
+        return w
+    changes.append(_changed(w, key))
+    return w.drop(TRAIL)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, fields, replace
+from dataclasses import dataclass, field, fields, replace
+
+from pyspark.sql import DataFrame
 
 from ..functions.exprs import normalize_name
 
@@ -13,7 +15,10 @@ class CleanOptions:
 
     Defaults are those of a direct library call ("everything on", fill missing
     values with mean / mode).  ``quantiles`` ("exact" | "approx") and ``stage``
-    ("auto" | "checkpoint" | "none") are Spark-side knobs.
+    ("auto" | "checkpoint" | "none") are Spark-side knobs.  ``cell_updates`` and ``missing_cell_updates``
+    are lists of edits or DataFrames of them.  ``audit`` says which changed cells are recorded:
+    "cells" those of edits, trimming and fills, "all" also replaced placeholders, values that a conversion
+    could not read, and clipped values.
     """
     remove_duplicates: bool = True
     duplicates_subset: tuple | None = None
@@ -30,6 +35,7 @@ class CleanOptions:
     column_renames: dict = field(default_factory=dict)
     cell_updates: tuple = ()
     missing_cell_updates: tuple = ()
+    audit: str = "cells"
     drop_selected_columns: tuple = ()
     selected_outlier_rows: tuple = ()
     dtype_map: dict | None = None
@@ -47,7 +53,7 @@ class CleanOptions:
             raise ValueError(f"unknown option(s): {sorted(unknown)}")
         for k in ("cell_updates", "missing_cell_updates", "drop_selected_columns",
                   "selected_outlier_rows"):
-            if k in d and d[k] is not None:
+            if k in d and d[k] is not None and not isinstance(d[k], DataFrame):
                 d[k] = tuple(d[k])
         for k in ("duplicates_subset", "categorical_columns"):
             if d.get(k) is not None:
@@ -55,7 +61,7 @@ class CleanOptions:
         return cls(**d)
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def with_(self, **kw) -> "CleanOptions":
         return replace(self, **kw)

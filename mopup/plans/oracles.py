@@ -389,6 +389,28 @@ from ({score_sql('customer_dirty', CUST)}) b, ({score_sql('s4', CUST_CLEANED)})
     parts.append(f"select row_id, 'mkt_segment', 'fill_categorical', null, {mode_of('s3', 'mkt_segment')} "
                  f"from s3 where mkt_segment is null")
     o["changed_cells"] = _cust(" union all ".join(parts), *cc)
+    # C1, C7 and C15 as well; the fills are those of the clipped table, which has the same gaps
+    more = list(parts)
+    for n, k in CUST:
+        if k == "t":
+            more.append(f"select row_id, {lit(n)}, 'replace_placeholders', {qi(n)}, null "
+                        f"from customer_dirty where {_ph_cs(qi(n), tokens.PH_CLEAN)}")
+    for n in ("nation_txt", "unnamed:_7"):
+        more.append(f"select row_id, {lit(n)}, 'convert_dtypes', {qi(n)}, null from s2 "
+                    f"where {qi(n)} is not null and {parse_num(qi(n))} is null")
+    bounds = []
+    for i, n in enumerate(("acctbal", "nation_txt", "unnamed:_7")):
+        x = qi(n)
+        q1, q3 = f"quantile_cont({x}, 0.25)", f"quantile_cont({x}, 0.75)"
+        bounds.append((f"b{i}", f"select {q1} - 0.5 * ({q3} - {q1}) as lo, {q3} + 0.5 * ({q3} - {q1}) as hi from s3"))
+        more.append(f"select row_id, {lit(n)}, 'outlier_clip', cast({x} as varchar), "
+                    f"cast(least(greatest({x}, lo), hi) as varchar) from s3, b{i} where {x} < lo or {x} > hi")
+    o["changed_cells_all"] = _cust(" union all ".join(more), *cc, *bounds)
+    # the second edit wins, a blank one clears the cell
+    o["cell_updates_table"] = _cust(f"""select row_id, {sel(CUST, lambda n, k: {
+        'acctbal': "case when row_id % 14 = 0 then row_id + 0.5 when row_id % 7 = 0 then 17.0 else acctbal end",
+        'Mkt Segment': "case when row_id % 21 = 0 then null when row_id % 7 = 0 then 'EDITED' else " + qi(n) + " end",
+        }.get(n, qi(n)))} from c1""", ("c1", CUST_C1))
     o["operation_log"] = _cust(_oplog_sql(), *_clean_default_cust())
     o["cleaning_completeness"] = _cust(
         "select cast(0 as bigint) as failed_operations, cast(100.0 as double) as completeness "

@@ -60,3 +60,28 @@ def test_clean_default_plan_has_no_cartesian(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     sc = plan(Q.components(load_view(spark, SF, "customer_dirty")))
     assert "CartesianProduct" not in sc
+
+
+def test_audit_frames_read_the_table_once(spark):
+    """The counts of the log and the summary come from the passes that decide the steps; changed cells take one
+    pass over the input and one over the deduplicated table."""
+    r = clean(load_view(spark, SF, "customer_dirty"), CleanOptions())
+    assert plan(r.log).count("FileScan") == 0 and plan(r.summary).count("FileScan") == 0
+    assert plan(r.changed_cells).count("FileScan") <= 2
+    every = clean(load_view(spark, SF, "customer_dirty"), CleanOptions(
+        audit="all", handle_outliers={"method": "iqr", "action": "clip"}))
+    assert plan(every.changed_cells).count("FileScan") <= 2
+    scoped = clean(load_view(spark, SF, "customer_dirty"), CleanOptions(
+        drop_empty_columns=False, drop_constant_columns=False, convert_dtypes=False, remove_duplicates=False,
+        missing_strategy="drop", stage="none"))
+    assert plan(scoped.log).count("FileScan") <= 2
+
+
+def test_dedupe_shuffles_no_text(spark):
+    docs = load_view(spark, SF, "documents_labeled")
+    df = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("doc_id", "row_id").select("row_id", "text", "lang")
+    for p in (plan(TR.dedupe(df)), plan(TR.duplicate_removals(df))):
+        for line in p.splitlines():
+            if "Exchange hashpartitioning" in line:
+                assert "text#" not in line and "lang#" not in line, line
+    assert "text" in df.columns and docs.columns

@@ -122,3 +122,49 @@ def test_chunked_aggregates_equal_single(spark, cust):
     finally:
         frames.AGG_CHUNK = old
     assert base == chunked
+
+
+def test_counts_equal_the_frames(spark, cust):
+    """Numbers of the log and the summary against the frames they describe, in runs that use every row filter."""
+    for opts in (CleanOptions(missing_strategy="drop", handle_outliers={"method": "iqr", "action": "remove"}),
+                 CleanOptions(missing_strategy="fill", fill_categorical="drop", selected_outlier_rows=(1, 2, 3)),
+                 CleanOptions(missing_strategy="ignore", convert_dtypes=False, drop_empty_columns=False,
+                              drop_constant_columns=False, selected_outlier_rows=tuple(range(20_000)))):
+        r = clean(cust.filter("row_id <> 2"), opts)
+        log = {x["action"]: x["affected"] for x in r.log.collect()}
+        s = r.summary.first()
+        removed = {x["action"]: x["count"] for x in r.removed_rows.groupBy("action").count().collect()}
+        for action, n in removed.items():
+            assert log["fill_categorical" if action == "fill_categorical_drop" else action] == n, (action, log)
+        assert s["rows_before"] == cust.count() - 1 and s["rows_after"] == r.df.count()
+        changed = {x["action"]: x["count"] for x in r.changed_cells.groupBy("action").count().collect()}
+        assert log["trim_whitespace"] == changed.get("trim_whitespace", 0)
+
+
+def test_changes_of_every_step(spark):
+    df = spark.createDataFrame(
+        [(i, f" {i} " if i < 9 else "N/A", "x" if i == 3 else str(i), float(i) if i < 9 else 1000.0) for i in range(10)],
+        "row_id bigint, a string, b string, c double")
+    r = clean(df, CleanOptions(audit="all", remove_duplicates=False, handle_outliers={"method": "iqr", "action": "clip"},
+                               missing_strategy="fill", fill_numeric="zero", stage="none"))
+    got = {(x["row_id"], x["column"], x["action"]): (x["old_value"], x["new_value"]) for x in r.changed_cells.collect()}
+    assert got[9, "a", "replace_placeholders"] == ("N/A", None)
+    assert got[4, "a", "trim_whitespace"] == (" 4 ", "4")
+    assert got[3, "b", "convert_dtypes"] == ("x", None)
+    assert got[9, "c", "outlier_clip"] == ("1000.0", str(r.df.where("row_id = 9").first()["c"]))
+    assert got[9, "a", "fill_numeric"][0] is None and got[3, "b", "fill_numeric"][0] is None
+    assert len(got) == 1 + 9 + 1 + 1 + 2
+
+
+def test_edits_from_a_table_equal_a_list(spark):
+    df = spark.createDataFrame([(0, 1.0, "p", 5), (1, 2.0, "q", 6), (2, 3.0, None, 7)], "row_id bigint, n double, t string, i int")
+    edits = [(1, "n", "7"), (2, "n", "x"), (0, "n", " "), (9, "n", "1"), (1, "zz", "1"), (0, "t", "one"), (0, "t", "two"),
+             (2, "i", "9000000000"), (1, "i", "")]
+    listed = [{"row_index": r, "column": c, "value": v} for r, c, v in edits]
+    table = spark.createDataFrame([(r, c, v, k) for k, (r, c, v) in enumerate(edits)],
+                                  "row_index bigint, column string, value string, seq int")
+    a, b = TR.apply_cell_updates(df, listed), TR.apply_cell_updates(df, table)
+    assert a.df.dtypes == b.df.dtypes and _sorted(a.df) == _sorted(b.df)
+    assert a.count == b.count == 7 and a.retyped == b.retyped == ["n"] and set(a.columns) == set(b.columns)
+    none = TR.apply_cell_updates(df, table.limit(0))
+    assert none.count == 0 and _sorted(none.df) == _sorted(df)

@@ -73,3 +73,30 @@ def test_exact_quantiles_property(spark, vals, accuracy, cap):
     q = stats.quantiles(df, ["x"], probs=(0.25, 0.5, 0.75), accuracy=accuracy, cap=cap)
     for p in (0.25, 0.5, 0.75):
         assert q["x"][p] == pytest.approx(_np_q(vals, p), rel=1e-12, abs=1e-9)
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3, 65536])
+def test_exact_quantiles_end_at_every_cap(spark, cap):
+    """Values and settings that once sent the search round for ever; extremes of DOUBLE; big integers."""
+    vals = [float(i) for i in range(10)] + [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308,
+                                            1.0, float(np.nextafter(1.0, 2)), float("inf")]
+    df = spark.createDataFrame([(i, float(i), v, 2 ** 62 + i) for i, v in enumerate(vals)],
+                               "row_id bigint, small double, wide double, big bigint").repartition(3)
+    q = stats.quantiles(df, ["small", "wide", "big"], probs=(0.0, 0.25, 0.5, 0.75), accuracy=20, cap=cap)
+    for p in (0.0, 0.25, 0.5, 0.75):
+        assert q["small"][p] == _np_q(range(len(vals)), p)
+        assert q["wide"][p] == _np_q(vals, p)
+        assert q["big"][p] == pytest.approx(_np_q([2 ** 62 + i for i in range(len(vals))], p), rel=1e-15)
+    assert q["wide"]["max"] == float("inf") and q["wide"]["n"] == len(vals)
+
+
+def test_quantiles_collect_no_values(spark, monkeypatch):
+    """However many values a column has, the driver gets a row for each wanted rank."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    sizes = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (lambda r: (sizes.append(len(r)), r)[1])(collect(self)))
+    df = spark.range(50_000).select((F.rand(3) * 1e6).alias("a"), (F.col("id") % 7).alias("b"))
+    q = stats.quantiles(df, ["a", "b"])
+    assert q["a"]["n"] == q["b"]["n"] == 50_000
+    assert len(sizes) <= 4 and max(sizes) <= 8
