@@ -13,6 +13,8 @@ Call object: ``{"id": str, "name": str, "arguments": object}``; an argument
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from graphlib import CycleError, TopologicalSorter
 
@@ -22,12 +24,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tool traffic nested deeper than this is left a plain message: no message may exhaust a worker's stack.
+MAX_DEPTH = 200
+
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def plain_text(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 can't hold, as JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys and no blanks."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no blanks; lone surrogates stay escaped."""
+    return plain_text(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
@@ -38,7 +51,7 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
     kind = schema.get("type")
     if kind in ("integer", "number"):
         right = isinstance(value, (int, float)) and not isinstance(value, bool)
-        right = right and (kind == "number" or float(value).is_integer())
+        right = right and (kind == "number" or isinstance(value, int) or value.is_integer())
     else:
         right = kind is None or isinstance(value, _TYPES[kind])
     if not right:
@@ -66,11 +79,19 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def references(value) -> set[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$ref"}:
-            return {str(value["$ref"])}
-        return set().union(*map(references, value.values())) if value else set()
-    return set().union(*map(references, value)) if isinstance(value, list) and value else set()
+    out, left = set(), [value]
+    while left:
+        x = left.pop()
+        if isinstance(x, dict) and set(x) == {"$ref"}:
+            out.add(_name(x["$ref"]))
+        elif isinstance(x, (dict, list)):
+            left += x.values() if isinstance(x, dict) else x
+    return out
+
+
+def _name(identifier) -> str:
+    """An identifier as text: strings as they are, other JSON in canonical form."""
+    return plain_text(identifier) if isinstance(identifier, str) else canonical(identifier)
 
 
 def ordered_calls(calls: list) -> list[tuple[dict, str | None]]:
@@ -79,7 +100,8 @@ def ordered_calls(calls: list) -> list[tuple[dict, str | None]]:
     good = [c if isinstance(c, dict) else {} for c in calls]
     place = {}
     for i, c in enumerate(good):
-        place.setdefault(str(c.get("id")), i)
+        if c.get("id") is not None:
+            place.setdefault(_name(c["id"]), i)
     graph = {i: {place[r] for r in references(c.get("arguments")) if r in place} for i, c in enumerate(good)}
     sorter, order = TopologicalSorter(graph), []
     try:
@@ -93,26 +115,52 @@ def ordered_calls(calls: list) -> list[tuple[dict, str | None]]:
     return [(good[i], None) for i in order] + [(good[i], "cycle") for i in rest]
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError("not a JSON number")
+    return value
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def _depth(value) -> int:
+    deepest, left = 0, [(value, 1)]
+    while left:
+        x, d = left.pop()
+        if isinstance(x, (dict, list)):
+            deepest = max(deepest, d)
+            left += [(y, d + 1) for y in (x.values() if isinstance(x, dict) else x)]
+    return deepest
+
+
 def _parsed(text: str | None) -> dict:
+    """The object that a text holds; empty where it is none: not JSON (NaN and infinite numbers are not), another
+    value, or nested deeper than ``MAX_DEPTH``.  Of equal keys the last counts."""
     if not text or not text.lstrip().startswith("{"):
         return {}
     try:
-        out = json.loads(text)
+        out = json.loads(text, parse_constant=_no_constant, parse_float=_finite)
     except (ValueError, RecursionError):
         return {}
-    return out if isinstance(out, dict) else {}
+    return out if isinstance(out, dict) and _depth(out) <= MAX_DEPTH else {}
 
 
 def message_parts(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
-    """(place, kind, call id, canonical JSON, errors) of one message: one ``message`` or ``result``
-    part, or a part for each call.  ``errors`` is a comma-joined list or null."""
+    """(place, kind, call id, canonical JSON, errors, references) of one message: one ``message`` or ``result``
+    part, or a part for each call.  ``errors`` is a comma-joined list or null; ``references`` are the identifiers
+    that a call uses and its message doesn't have."""
     value = _parsed(text) if role in ("assistant", "tool") else {}
-    if role == "tool" and "tool_call_id" in value:
-        call_id = str(value["tool_call_id"])
-        line = {"type": "tool_result", "tool_call_id": call_id, "content": value.get("content")}
-        return [(0, "result", call_id, canonical(line), None)]
+    if role == "tool" and value.get("tool_call_id") is not None:
+        call_id = _name(value["tool_call_id"])
+        given = value["tool_call_id"]
+        line = {"type": "tool_result", "tool_call_id": given if isinstance(given, str) else call_id, "content": value.get("content")}
+        return [(0, "result", call_id, canonical(line), None, [])]
     if role == "assistant" and isinstance(value.get("tool_calls"), list) and value["tool_calls"]:
         out = []
+        here = {_name(c["id"]) for c in value["tool_calls"] if isinstance(c, dict) and c.get("id") is not None}
         for i, (call, error) in enumerate(ordered_calls(value["tool_calls"])):
             name, arguments = call.get("name"), call.get("arguments", {})
             errors = [error] if error else []
@@ -120,19 +168,20 @@ def message_parts(role: str | None, text: str | None, schemas: dict[str, dict])
                 errors.append("unknown tool")
             else:
                 errors += schema_errors(arguments, schemas[name])
-            call_id = str(call["id"]) if call.get("id") is not None else None
+            call_id = _name(call["id"]) if call.get("id") is not None else None
             if call_id is None:
                 errors.append("no id")
-            line = {"type": "tool_call", "id": call_id, "name": name, "arguments": arguments}
-            out.append((i, "call", call_id, canonical(line), ",".join(errors) or None))
+            line = {"type": "tool_call", "id": call["id"] if isinstance(call.get("id"), str) else call_id, "name": name, "arguments": arguments}
+            out.append((i, "call", call_id, canonical(line), plain_text(",".join(errors)) or None,
+                        sorted(references(arguments) - here)))
         return out
-    return [(0, "message", None, canonical({"type": "message", "role": role, "content": text}), None)]
+    return [(0, "message", None, canonical({"type": "message", "role": role, "content": text}), None, [])]
 
 
 _PART = T.ArrayType(T.StructType([
     T.StructField("place", T.LongType()), T.StructField("kind", T.StringType()),
     T.StructField("call_id", T.StringType()), T.StructField("json", T.StringType()),
-    T.StructField("errors", T.StringType())]))
+    T.StructField("errors", T.StringType()), T.StructField("refs", T.ArrayType(T.StringType()))]))
 
 
 def format_chats(messages: DataFrame, schemas: dict[str, dict], conv_col: str = "conv_id", turn_col: str = "turn",
@@ -145,9 +194,15 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv_col: str =
     The n-th call with an identifier in a conversation, by turn and place, links to the n-th result
     with it that is not before the first such call.  Calls without a result and results without a
     call have ``linked`` false and the error ``no result`` or ``no call``; ``linked`` is null for
-    plain messages.  A null role or text makes a plain message with JSON null.  Repeated rows are
-    messages of their own.  A null conversation is one of its own; calls and results with a null
-    turn come first.  Other columns are not read; an empty table gives an empty one.
+    plain messages.  A reference to a call of another message is right if a message before names that call; else the
+    call has the error ``unknown reference`` or, where only later messages name it, ``later reference``.
+
+    A null role or text makes a plain message with JSON null, and so does an empty or very long text that is no tool
+    traffic; a text that only resembles tool traffic (not JSON, NaN, numbers beyond DOUBLE, nested deeper than 200) stays a plain
+    message whole.  Lone surrogates stay escaped.  Repeated rows are
+    messages of their own; rows that tie by turn and place are told by their JSON.  A null conversation is one
+    of its own; calls and results with a null
+    turn come first.  Other columns, clashing names included, are not read; an empty table gives an empty one.
 
     Plain messages, the bulk, are formatted where they are read.  Only calls and results, without
     the plain messages, are shuffled for the join, by conversation and identifier: a hot
@@ -179,8 +234,11 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv_col: str =
     parts = parts_of(messages.filter(special))
     key = ["conv", "call_id"]
     nth = W.partitionBy(*key).orderBy("turn", "place", "json", "errors")
-    calls = parts.filter("kind = 'call'").withColumn("n", F.when(F.col("call_id").isNotNull(), F.row_number().over(nth)))
-    results = parts.filter("kind = 'result'")
+    calls = _checked_references(parts.filter("kind = 'call'"))
+    # calls without an identifier are never numbered: nothing can link to them
+    calls = calls.filter("call_id is not null").withColumn("n", F.row_number().over(nth)).unionByName(
+        calls.filter("call_id is null").withColumn("n", F.lit(None).cast("int")))
+    results = parts.filter("kind = 'result'").drop("refs")
     first = calls.groupBy(*key).agg(F.min("turn").alias("first"))
     r = results.alias("r").join(first.alias("f"), F.col("r.conv").eqNullSafe(F.col("f.conv"))
                                 & (F.col("r.call_id") == F.col("f.call_id")), "left")
@@ -205,8 +263,30 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv_col: str =
         F.when(F.col("r.kind").isNotNull(), line(F.coalesce(F.col("c.turn"), F.col("r.turn")),
                                                  F.coalesce(F.col("c.place"), F.col("r.place")), "r", "no call")))).alias("x"))
     linked = lines.filter("x is not null").select("x.*")
-    rest = (plain.unionByName(parts.filter("kind = 'message'"))
+    rest = (plain.unionByName(parts.filter("kind = 'message'")).drop("refs")
             .withColumn("linked", F.lit(None).cast("boolean")))
     every = linked.unionByName(rest.select(*linked.columns))
     return every.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "place", "kind", "call_id",
                         "linked", "errors", "json")
+
+
+def _checked_references(calls: DataFrame) -> DataFrame:
+    """``calls`` without ``refs``, with the errors of references to other messages.
+
+    References meet the first turn of the call they name by conversation and identifier; identifiers named by no
+    reference are not looked at."""
+    uses = calls.filter(F.size("refs") > 0).select("conv", "turn", "place", "json", F.explode("refs").alias("ref")).distinct()
+    known = calls.filter("call_id is not null").groupBy("conv", "call_id").agg(
+        F.min(F.struct("turn")).alias("first"))  # a null turn comes first
+    found = uses.alias("u").join(known.alias("k"), F.col("u.conv").eqNullSafe(F.col("k.conv"))
+                                 & (F.col("u.ref") == F.col("k.call_id")), "left")
+    at, own = F.col("k.first.turn"), F.col("u.turn")
+    before = (at < own) | (at.isNull() & own.isNotNull())
+    wrong = F.when(F.col("k.call_id").isNull(), F.concat(F.lit("unknown reference "), F.col("u.ref"))).when(
+        ~F.coalesce(before, F.lit(False)), F.concat(F.lit("later reference "), F.col("u.ref")))
+    bad = found.select("u.conv", "u.turn", "u.place", "u.json", wrong.alias("wrong")).filter("wrong is not null").groupBy(
+        "conv", "turn", "place", "json").agg(F.array_join(F.array_sort(F.collect_list("wrong")), ",").alias("wrong"))
+    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"b.{x}")) for x in ("conv", "turn", "place", "json")]
+    return calls.alias("c").join(bad.alias("b"), same[0] & same[1] & same[2] & same[3], "left").select(
+        *[F.col(f"c.{x}") for x in calls.columns if x not in ("errors", "refs")],
+        F.nullif(F.concat_ws(",", F.col("c.errors"), F.col("b.wrong")), F.lit("")).alias("errors"))

@@ -281,11 +281,10 @@ def fixed_point(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Rows are left out whose vector is null or empty, or holds a null, a NaN, an infinite entry or one
     beyond 2^50, where the integer form is no longer exact."""
-    c = F.col(vector_col).cast("array<double>")
-    sound = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) * F.lit(scale) < F.lit(LARGEST)))
-    return embeddings.filter(F.size(c) > 0).filter(F.coalesce(sound, F.lit(False))).select(
-        F.col(id_col).alias("id"),
-        F.transform(c, lambda v: F.floor(v * F.lit(scale)).cast("bigint") + F.lit(shift).cast("bigint")).alias("x"))
+    x = F.transform(F.col(vector_col).cast("array<double>"), lambda v: F.when(
+        F.abs(v) * F.lit(scale) < F.lit(LARGEST), F.floor(v * F.lit(scale)).cast("bigint") + F.lit(shift).cast("bigint")))
+    rows = embeddings.select(F.col(id_col).alias("id"), x.alias("x"))
+    return rows.filter(F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull()))
 
 
 def fit(vectors: DataFrame) -> Whitening | None:
