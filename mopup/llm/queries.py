@@ -16,7 +16,7 @@ from .ngram_join import near_duplicates
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 from .periodic_runs import collapse_runs, longest_exponent
 from .pii import KINDS as PII_KINDS
-from .pii import pseudonymize
+from .pii import key_of, pseudonymize
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
@@ -75,7 +75,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts="pii")
+    out = pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=key_of(spark), counts="pii")
     return out.select("doc_id", "text", *[F.col(f"pii.{k}").alias(f"n_{k}") for k in PII_KINDS])
 
 
