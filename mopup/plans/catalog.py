@@ -362,6 +362,19 @@ def q_convert_datetime_mixed(spark, sf):
 
 
 # ------------------------------------------------------------------ readers over written files
+def q_read_header_order(spark, sf):
+    """A folder of files whose headers differ in order, and in one column each."""
+    from ..session import scratch_path
+    from ..sources.readers import read_table
+    from ..sources.sinks import write_csv
+    path = scratch_path(spark, "headers")
+    v = load_view(spark, sf, "customer_notes")
+    mine = [c for c in v.columns if c != "row_id"]
+    write_csv(v.where("row_id % 2 = 0").withColumn("even", F.lit("e")), path + "/a.csv", key=None)
+    write_csv(v.where("row_id % 2 = 1").select("row_id", *mine[::-1], F.lit("o").alias("odd")), path + "/b.csv", key=None, sep=";")
+    return read_table(spark, path + "/*.csv", fmt="csv", key="row_id").df
+
+
 def q_read_quoted_newlines(spark, sf):
     """Quoted cells with separators, quotes and line breaks."""
     from ..session import scratch_path
@@ -599,6 +612,7 @@ QUERIES = {
     "clean_bigint_ids": q_clean_bigint_ids,
     "cell_update_bigint": q_cell_update_bigint,
     "convert_datetime_mixed": q_convert_datetime_mixed,
+    "read_header_order": q_read_header_order,
     "read_quoted_newlines": q_read_quoted_newlines,
     "read_mixed_charset": q_read_mixed_charset,
     "read_json_array": q_read_json_array,

@@ -678,6 +678,8 @@ select o_orderkey as row_id, cast(case o_orderkey % 5 when 1 then {day} + interv
     when 3 then {day} + interval '21 hours 30 minutes' when 4 then {day} + interval '15 hours 4 minutes'
     else cast({day} as timestamp) end as timestamp) as when_txt from orders""",
         "read_quoted_newlines": w("customer_notes", "select * from customer_notes"),
+        "read_header_order": w("customer_notes", """select *, case when row_id % 2 = 0 then 'e' end as even,
+  case when row_id % 2 = 1 then 'o' end as odd from customer_notes"""),
         "read_mixed_charset": w("customer_notes", "select * from customer_notes"),
         "read_json_array": w("customer_notes", "select * from customer_notes"),
         "read_tsv": w("orders_dup", "select * from orders_dup"),

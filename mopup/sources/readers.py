@@ -7,6 +7,7 @@ on the driver except the header line.
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import re
@@ -14,9 +15,11 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import session
 from ..functions import exprs as X
 from ..functions import tokens
 from ..functions.frames import agg_chunked
@@ -39,19 +42,56 @@ class ReadResult:
 class FileTraits:
     """What decides how a file is read."""
     encoding: str
-    multi_line: bool   # some quoted cell goes on over a line break
+    multi_line: bool      # some quoted cell goes on over a line break
+    bare_returns: bool = False  # lines may end in a carriage return alone
+
+
+def _lines(spark: SparkSession, files) -> DataFrame:
+    """(file, block, at, value): the raw lines, in the order of ``at`` within each split of a file."""
+    return spark.read.option("lineSep", "\n").text(files).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _surveyed(spark: SparkSession, path) -> list:
+    """One row a file, from one pass over the raw lines: counts, and where its first line is."""
+    lines = _lines(spark, path)
+    first = F.when((F.col("block") == 0) & (F.length(F.rtrim("value")) > 0), F.col("at"))
+    return lines.groupBy("file").agg(
+        F.count(F.when(~F.is_valid_utf8("value"), 1)).alias("bad"),
+        F.count(F.when(_quotes(F.col("value")) % 2 == 1, 1)).alias("odd"),
+        F.count(F.when(F.col("value").rlike(r"\r(?!$)"), 1)).alias("returns"),
+        F.count(F.when(F.contains("value", F.lit('"')), 1)).alias("quoted"), F.min(first).alias("first")).orderBy("file").collect()
 
 
 def file_traits(spark: SparkSession, path) -> dict[str, FileTraits]:
     """S4 and S1, for each file: UTF-8 when every line is valid UTF-8, else ISO-8859-1 (which decodes
     any byte); and whether some line has an odd number of quotes.  One distributed pass over the raw
     lines; one row a file comes back."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    rows = lines.groupBy("file").agg(F.count(F.when(~F.is_valid_utf8("value"), 1)).alias("bad"),
-                                     F.count(F.when(odd, 1)).alias("odd")).collect()
-    return {unquote(r["file"]): FileTraits("UTF-8" if r["bad"] == 0 else "ISO-8859-1", r["odd"] > 0)
-            for r in sorted(rows, key=lambda r: r["file"])}
+    return {unquote(r["file"]): _traits(r) for r in _surveyed(spark, path)}
+
+
+def _traits(r) -> FileTraits:
+    returns = r["returns"] > 0
+    return FileTraits("UTF-8" if r["bad"] == 0 else "ISO-8859-1", r["odd"] > 0 or (returns and r["quoted"] > 0), returns)
+
+
+def _decoded(line: Column, encoding: str) -> Column:
+    return line if encoding == "UTF-8" else F.decode(line.cast("binary"), encoding)
+
+
+def _first_lines(spark: SparkSession, path, rows: list) -> dict[str, str]:
+    """The first line with text of each file, found by its place."""
+    places = [r["first"] for r in rows if r["first"] is not None]
+    places = spark.createDataFrame([(p,) for p in places], "at bigint")
+    found = _lines(spark, path).join(F.broadcast(places), "at").select("file", "value", F.decode(
+        F.col("value").cast("binary"), "ISO-8859-1").alias("latin")).collect()
+    by = {unquote(r["file"]): r for r in rows}
+    return {unquote(r["file"]): (r["value"] if by[unquote(r["file"])]["bad"] == 0 else r["latin"]).rstrip("\r") for r in found}
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -138,41 +178,80 @@ def _by_traits(traits: dict[str, FileTraits]) -> list[tuple[FileTraits, list[str
     return [(k, [f for f, t in traits.items() if t == k]) for k in kinds]
 
 
+@dataclass(frozen=True)
+class _Layout:
+    """Files that are read alike."""
+    traits: FileTraits
+    sep: str
+    names: tuple
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
                    key: str | None = None, infer: bool = True, multi_line: bool | None = None,
                    row_id: str = "row_id") -> ReadResult:
-    """S1/S2/S4-S7.  ``sep=None`` sniffs it from the header line (``.tsv`` → tab).
+    """S1/S2/S4-S7.  ``sep=None`` sniffs it from each file's header line (``.tsv`` → tab).
 
-    Each file is read with its own charset.  Only a file with a quoted line break is read whole;
-    all others are split.  ``encoding`` and ``multi_line`` set these for all files.  Without
+    Each file is read with its own charset, separator and header.  Columns of several files are matched by name: those of
+    the first file (by path) come first, in its order, others follow as they appear, and cells of a column that a
+    file lacks are missing.  Files are split over tasks, those with quoted line breaks too (see ``_records``);
+    only files that have both quotes and lines ended by a carriage return alone are read whole.
+    ``encoding`` and ``multi_line`` set these for all files.  Without
     ``key``, row ids follow the files by name and the lines within them."""
-    traits = file_traits(spark, path)
-    if encoding is not None or multi_line is not None:
-        traits = {f: FileTraits(encoding or t.encoding, t.multi_line if multi_line is None else multi_line)
+    rows = _surveyed(spark, path)
+    traits = {unquote(r["file"]): _traits(r) for r in rows}
+    forced = multi_line is not None
+    if encoding is not None or forced:
+        traits = {f: FileTraits(encoding or t.encoding, multi_line if forced else t.multi_line, t.bare_returns)
                   for f, t in traits.items()}
     encodings = sorted({t.encoding for t in traits.values()}, key=lambda e: e != "UTF-8")
     enc = encodings[0] if len(encodings) == 1 else ",".join(encodings) or "UTF-8"
     if sep is None and path.lower().endswith(".tsv"):
         sep = "\t"
-    for head, t in traits.items():
-        first = spark.read.option("encoding", t.encoding).text(head).where(F.length("value") > 0).first()
-        if first is not None:
-            break
-    else:
+    heads = _first_lines(spark, path, rows)
+    if not heads:
         return ReadResult(spark.createDataFrame([], f"{row_id} bigint"), None, enc, sep or ",", [])
-    if sep is None:
-        sep = sniff_separator(first["value"].lstrip(BOM))
-    hdr_row = spark.read.csv(head, sep=sep, header=False, encoding=t.encoding, escape='"',
-                             multiLine=t.multi_line).first()
-    names = repair_header(list(hdr_row))
+    layouts: dict[_Layout, list[str]] = {}
+    for f in sorted(heads):
+        line, t = heads[f].lstrip(BOM), traits[f]
+        s = sep or sniff_separator(line.split("\r")[0])
+        if encoding is not None or t.bare_returns or _quotes_in(line) % 2:  # the header may be more than this line
+            top = list(spark.read.csv(f, sep=s, header=False, encoding=t.encoding, escape='"', multiLine=t.multi_line).first())
+        else:
+            top = [v or None for v in next(csv.reader([line], delimiter=s))]
+        layouts.setdefault(_Layout(t, s, tuple(repair_header(top))), []).append(f)
+    names = list(dict.fromkeys(n for layout in layouts for n in layout.names))
+    good, rejects = None, None
+    for layout, files in layouts.items():
+        kept, bad = _read_layout(spark, layout, files, spread=not forced and not layout.traits.bare_returns)
+        missing = [n for n in names if n not in layout.names]
+        kept = kept.select(*[X.col(n) if n not in missing else F.lit(None).cast("string").alias(n) for n in names], _FILE, _BLOCK)
+        bad = bad.select("line", *[X.col(n) if n not in missing else F.lit(None).cast("string").alias(n) for n in names])
+        good = kept if good is None else good.unionByName(kept)
+        rejects = bad if rejects is None else rejects.unionByName(bad)
+    if infer:
+        good = infer_types(good, names, keep=[_FILE, _BLOCK])
+    first = next(iter(layouts))
+    return ReadResult(add_row_id(good, row_id, key, place=(_FILE, _BLOCK)), rejects, enc, sep or first.sep, names)
+
+
+def _quotes_in(line: str) -> int:
+    return line.count('"')
+
+
+def _read_layout(spark: SparkSession, layout: _Layout, files: list[str], spread: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines) of files of one layout, with the place of each row."""
+    names, sep, kind = layout.names, layout.sep, layout.traits
     fields = [T.StructField(f"_f{i}", T.StringType(), True) for i in range(len(names))]
     schema = T.StructType(fields + [T.StructField(CORRUPT, T.StringType(), True)])
-    raw = None
-    for kind, files in _by_traits(traits):
-        part = _placed(spark.read.csv(files, sep=sep, header=True, encoding=kind.encoding, escape='"', schema=schema,
-                                      mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
-                                      multiLine=kind.multi_line, nullValue=None, emptyValue=""))
-        raw = part if raw is None else raw.unionByName(part)
+    if kind.multi_line and spread:
+        options = {"sep": sep, "escape": '"', "emptyValue": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+                   "multiLine": "true"}
+        parsed = F.from_csv("record", schema.simpleString(), options)
+        raw = _records(spark, files, kind.encoding).select(parsed.alias("_r"), _FILE, _BLOCK).select("_r.*", _FILE, _BLOCK)
+    else:
+        raw = _placed(spark.read.csv(files, sep=sep, header=True, encoding=kind.encoding, escape='"', schema=schema,
+                                     mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+                                     multiLine=kind.multi_line, nullValue=None, emptyValue=""))
     # a flagged line is rejected only when it has more fields than the header;
     # shorter lines are kept with the missing cells null
     wide = T.StructType(fields + [T.StructField("_extra", T.StringType(), True)])
@@ -188,9 +267,43 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     # the parsed fields ride along: Spark refuses a query on the corrupt column alone
     rejects = raw.where(too_long).select(F.col(CORRUPT).alias("line"),
                                          *[F.col(f"_f{i}").alias(n) for i, n in enumerate(names)])
-    if infer:
-        good = infer_types(good, names, keep=[_FILE, _BLOCK])
-    return ReadResult(add_row_id(good, row_id, key, place=(_FILE, _BLOCK)), rejects, enc, sep, names)
+    return good, rejects
+
+
+def _records(spark: SparkSession, files: list[str], encoding: str) -> DataFrame:
+    """(record, file, place): the records of files with quoted line breaks, without their headers.
+
+    A line begins a record where the number of quotes before it in its file is even.  Within a split that is a running
+    sum; the splits' own sums, one row each, are added up on the driver.  Lines of a record then meet by
+    its number, so a file of any size is read by as many tasks as it has splits, and a task holds one record at a time.
+    Records are put back in the order of the file by a range partitioning on their number."""
+    odd = (_quotes(F.col("value")) % 2).cast("int")
+    split = W.partitionBy("file", "block").orderBy("at")
+    before = F.coalesce(F.sum("odd").over(split.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2
+    lines = _lines(spark, files).withColumn("odd", odd).withColumn("inside", before)
+    # records begun in the split up to each line, if it starts outside a quoted cell and if it starts inside one
+    upto = split.rowsBetween(W.unboundedPreceding, 0)
+    lines = session.stage(lines.select(
+        "file", "block", "at", "value", "odd", F.sum(1 - F.col("inside")).over(upto).alias("n0"),
+        F.sum("inside").over(upto).alias("n1")))
+    sums = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd"), F.max("n0").alias("n0"), F.max("n1").alias("n1")).collect()
+    starts, state = [], {}
+    for r in sorted(sums, key=lambda r: (r["file"], r["block"])):  # one row for each split of a file
+        inside, seen = state.get(r["file"], (0, 0))
+        starts.append((r["file"], r["block"], inside, seen))
+        state[r["file"]] = ((inside + r["odd"]) % 2, seen + r["n1" if inside else "n0"])
+    table = spark.createDataFrame(starts, "file string, block bigint, inside int, seen bigint")
+    numbered = lines.join(F.broadcast(table), ["file", "block"]).select(
+        "file", (F.col("seen") + F.when(F.col("inside") == 0, F.col("n0")).otherwise(F.col("n1"))).alias("n"),
+        F.struct("block", "at", _decoded(F.col("value"), encoding).alias("value")).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"]), "\n")
+    records = numbered.groupBy("file", "n").agg(F.regexp_replace(text, r"\r$", "").alias("record"))
+    # the header is the first record with text
+    told = records.filter(F.length(F.trim("record")) > 0)
+    head = told.groupBy("file").agg(F.min("n").alias("head"))
+    told = told.join(F.broadcast(head), "file").filter("n > head")
+    ordered = told.repartitionByRange("file", "n").sortWithinPartitions("file", "n")
+    return ordered.select("record", F.col("file").alias(_FILE), F.spark_partition_id().cast("bigint").alias(_BLOCK))
 
 
 #: Characters at the start of a JSON file in which the first record's keys are looked for at first;

@@ -106,3 +106,45 @@ def test_rejects_same_for_any_column_selection(spark, tmpdir_path):
     r = read_table(spark, p, infer=False)
     assert r.rejects.count() == 1 and len(r.rejects.collect()) == 1
     assert r.df.count() == 3 and r.df.select("a").count() == 3
+
+
+def test_headers_are_matched_by_name(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "folder")
+    os.mkdir(d)
+    _write(d, "1.csv", b"id,name,v\n1,x,10\n2,y,20\n")
+    _write(d, "2.csv", b"name,id,v\nz,3,30\n")
+    _write(d, "3.csv", "v;id;größe\n40;4;1\n".encode("latin-1"))
+    _write(d, "4.csv", b'id,"na\nme",v\n5,"w\r\nw",50\n')
+    _write(d, "5.csv", b"id,name\n")
+    r = read_table(spark, d, fmt="csv")
+    assert r.df.columns == ["row_id", "id", "name", "v", "größe", "na\nme"]
+    assert [tuple(x) for x in r.df.orderBy("row_id").collect()] == [
+        (0, 1, "x", 10, None, None), (1, 2, "y", 20, None, None), (2, 3, "z", 30, None, None), (3, 4, None, 40, 1.0, None),
+        (4, 5, None, 50, None, "w\r\nw")]
+
+
+def test_quoted_line_breaks_over_many_splits(spark, tmpdir_path):
+    """A file whose records go on over lines and splits is read by many tasks, in order."""
+    import csv
+    import io
+    import random
+    rng = random.Random(3)
+    rows = [[str(i), "".join(rng.choice(['a', 'é', ' ', '"', ',', '\n', 'bb', '\n\n']) for _ in range(rng.randint(0, 60))) + "x", f"t{i}"]
+            for i in range(3000)]
+    rows[1500][1] = "long\n" * 30_000 + "end"   # one record over several splits
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator="\n").writerows([["n", "text", "tag"], *rows])
+    p = _write(tmpdir_path, "q.csv", out.getvalue().encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        from mopup.sources import readers
+        assert readers._records(spark, [p], "UTF-8").select(readers._FILE, "record").count() == 3000
+        assert readers._lines(spark, p).rdd.getNumPartitions() > 4
+        r = read_table(spark, p)
+        got = [tuple(x)[1:] for x in r.df.orderBy("row_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(int(a), b, c) for a, b, c in rows]
+    assert r.rejects.count() == 0
