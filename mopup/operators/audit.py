@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions.exprs import col
-from .transforms import KEY, data_columns
+from ..functions.frames import BROADCAST_IDS_MAX
+from .transforms import KEY, data_columns, row_sha
 
 
 def cell_search(df: DataFrame, query: str = "", column: str | None = None, row_id=None,
@@ -37,12 +39,31 @@ def cell_diff(before: DataFrame, after: DataFrame, key: str = KEY) -> DataFrame:
     column name: (row_id, column, old_value, new_value, change) with change one of
     ``changed``, ``removed`` (cell gone: row or column dropped), ``added``.
 
-    The two tables are joined row-wise (full outer join on the unique key: one
-    shuffle of each table, no skew) and compared column by column inside the
-    joined row; only differing cells are exploded.  Cells are never exploded
-    before the shuffle."""
+    First the rows are compared by a digest of the columns that both versions have (SHA-256; key and digest are
+    shuffled).  Only the keys of rows that differ, or that one version lacks, go on: with up to
+    ``BROADCAST_IDS_MAX`` of them (broadcast), the cells of equal rows never cross a shuffle.  The differing rows are
+    joined on the unique key and compared column by column; only differing cells are exploded.  Where one version has a
+    column that the other lacks, every row differs, and the first step is left out."""
     bcols, acols = data_columns(before, key), data_columns(after, key)
     allcols = bcols + [c for c in acols if c not in bcols]
+    if set(bcols) == set(acols) and bcols:
+        changed = session.stage(_differing_keys(before, after, bcols, key))
+        few = F.broadcast if changed.count() <= BROADCAST_IDS_MAX else (lambda x: x)
+        before, after = (t.join(few(changed), col(key).cast("bigint") == F.col("_differs"), "left_semi") for t in (before, after))
+    return _joined_diff(before, after, bcols, acols, allcols, key)
+
+
+def _differing_keys(before: DataFrame, after: DataFrame, cols: list[str], key: str) -> DataFrame:
+    def digests(t: DataFrame, name: str) -> DataFrame:
+        text = t.select(col(key).cast("bigint").alias(f"_k{name}"), *[col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(cols)])
+        return text.select(f"_k{name}", row_sha(text, [f"_c{i}" for i in range(len(cols))]).alias(f"_d{name}"))
+
+    both = digests(before, "b").join(digests(after, "a"), F.col("_kb") == F.col("_ka"), "full_outer")
+    return both.where(~F.col("_db").eqNullSafe(F.col("_da"))).select(F.coalesce("_kb", "_ka").alias("_differs"))
+
+
+def _joined_diff(before: DataFrame, after: DataFrame, bcols: list[str], acols: list[str], allcols: list[str],
+                 key: str) -> DataFrame:
     b = before.select(col(key).cast("bigint").alias("_rb"),
                       *[col(c).cast("string").alias(f"_b{i}") for i, c in enumerate(allcols) if c in bcols])
     a = after.select(col(key).cast("bigint").alias("_ra"),

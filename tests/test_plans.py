@@ -85,3 +85,49 @@ def test_dedupe_shuffles_no_text(spark):
             if "Exchange hashpartitioning" in line:
                 assert "text#" not in line and "lang#" not in line, line
     assert "text" in df.columns and docs.columns
+
+
+def _exchanged(df) -> str:
+    """The plan's lines at and below each shuffle that name a column of the table."""
+    return "\n".join(line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_modes_shuffle_no_values(spark, monkeypatch):
+    """A near-unique text column is counted by digest."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    plans = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (plans.append(plan(self)), collect(self))[1])
+    df = spark.range(4000).selectExpr("id as row_id", "concat('text ', cast(id div 2 * 2 + (case when id > 3996 then id else 0 end) as string)) as t",
+                                      "cast(id % 3 as string) as few", "cast(id as string) as unique")
+    assert TR.modes(df, ["t", "few", "unique"]) == {"t": "text 0", "few": "0", "unique": "0"}
+    assert len(plans) == 2
+    for p in plans:
+        for line in p.splitlines():
+            if "Exchange hashpartitioning" in line:
+                assert ", v#" not in line and "(v#" not in line, line
+
+
+def test_labels_of_a_wide_column_stop_early(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    plans = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (plans.append(plan(self)), collect(self))[1])
+    df = spark.range(20_000).selectExpr("id as row_id", "cast(id as string) as wide", "cast(id % 999 as string) as near",
+                                        "case when id % 2 = 0 then 'x' end as gaps", "'same' as one")
+    out, done = TR.label_encode(df)
+    assert done == ["near", "gaps", "one"]
+    assert all("wide" not in p or "hashpartitioning(wide" not in p for p in plans)
+    assert sorted({r["near"] for r in out.collect()}) == list(range(999))
+    edge = spark.range(10_000).selectExpr("id as row_id", "cast(id % 1000 as string) as thousand", "cast(id % 1001 as string) as more")
+    assert TR.label_encode(edge)[1] == ["thousand"]
+
+
+def test_cell_diff_shuffles_changed_rows_only(spark):
+    from mopup.operators.audit import cell_diff
+    before = spark.range(5000).selectExpr("id as row_id", "concat('t', id) as text", "id * 2.5 as x")
+    after = before.selectExpr("row_id", "case when row_id % 1000 = 7 then 'new' else text end as text", "x").where("row_id <> 3")
+    d = cell_diff(before, after)
+    assert sorted((r["row_id"], r["column"], r["change"]) for r in d.collect()) == sorted(
+        [(i, "text", "changed") for i in range(7, 5000, 1000)] + [(3, "text", "removed"), (3, "x", "removed")])
+    assert "BroadcastHashJoin" in plan(d) and "LeftSemi" in plan(d)
