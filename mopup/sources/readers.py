@@ -11,7 +11,7 @@ import csv
 import json
 import os
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,8 @@ from ..functions import tokens
 from ..functions.frames import agg_chunked
 from ..rowid import add_row_id
 
+#: Bytes of a JSON array file from which it is cut into records by many tasks.
+SPREAD_ABOVE = 64 << 20
 BOM = "﻿"
 CORRUPT = "_corrupt_record"
 
@@ -44,13 +46,14 @@ class FileTraits:
     encoding: str
     multi_line: bool      # some quoted cell goes on over a line break
     bare_returns: bool = False  # lines may end in a carriage return alone
+    large: bool = False         # more than SPREAD_ABOVE bytes
 
 
 def _lines(spark: SparkSession, files) -> DataFrame:
     """(file, block, at, value): the raw lines, in the order of ``at`` within each split of a file."""
     return spark.read.option("lineSep", "\n").text(files).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
+        F.monotonically_increasing_id().alias("at"), "value", F.col("_metadata.file_size").alias("size"))
 
 
 def _quotes(line: Column) -> Column:
@@ -65,7 +68,8 @@ def _surveyed(spark: SparkSession, path) -> list:
         F.count(F.when(~F.is_valid_utf8("value"), 1)).alias("bad"),
         F.count(F.when(_quotes(F.col("value")) % 2 == 1, 1)).alias("odd"),
         F.count(F.when(F.col("value").rlike(r"\r(?!$)"), 1)).alias("returns"),
-        F.count(F.when(F.contains("value", F.lit('"')), 1)).alias("quoted"), F.min(first).alias("first")).orderBy("file").collect()
+        F.count(F.when(F.contains("value", F.lit('"')), 1)).alias("quoted"), F.min(first).alias("first"),
+        F.max("size").alias("size")).orderBy("file").collect()
 
 
 def file_traits(spark: SparkSession, path) -> dict[str, FileTraits]:
@@ -77,7 +81,8 @@ def file_traits(spark: SparkSession, path) -> dict[str, FileTraits]:
 
 def _traits(r) -> FileTraits:
     returns = r["returns"] > 0
-    return FileTraits("UTF-8" if r["bad"] == 0 else "ISO-8859-1", r["odd"] > 0 or (returns and r["quoted"] > 0), returns)
+    return FileTraits("UTF-8" if r["bad"] == 0 else "ISO-8859-1", r["odd"] > 0 or (returns and r["quoted"] > 0), returns,
+                      r["size"] > SPREAD_ABOVE)
 
 
 def _decoded(line: Column, encoding: str) -> Column:
@@ -212,7 +217,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
         return ReadResult(spark.createDataFrame([], f"{row_id} bigint"), None, enc, sep or ",", [])
     layouts: dict[_Layout, list[str]] = {}
     for f in sorted(heads):
-        line, t = heads[f].lstrip(BOM), traits[f]
+        line, t = heads[f].lstrip(BOM), replace(traits[f], large=False)
         s = sep or sniff_separator(line.split("\r")[0])
         if encoding is not None or t.bare_returns or _quotes_in(line) % 2:  # the header may be more than this line
             top = list(spark.read.csv(f, sep=s, header=False, encoding=t.encoding, escape='"', multiLine=t.multi_line).first())
@@ -335,15 +340,70 @@ def _json_keys(spark: SparkSession, file: str, encoding: str) -> list[str]:
             lines, chars = joined.count("\n", 0, chars) + 1, 4 * chars
 
 
+def _array_records(spark: SparkSession, files: list[str], encoding: str) -> str:
+    """A folder of JSON Lines with the records of array files, in order.
+
+    The files are read in pieces that end with a closing brace, which any split can begin at.  A piece's quotes and
+    braces, counted for both cases (it starts inside a string or not), give running sums within its split; the splits'
+    sums, one row each, are added up on the driver.  A record ends where the depth comes back to 0, and its pieces
+    meet by its number.  Every task holds one split's pieces or one record."""
+    body = F.regexp_replace(F.col("value"), r"(?s)\\.", "")
+    outside = F.regexp_replace(F.col("body"), r'"[^"]*("|$)', "")
+    after = F.regexp_replace(F.regexp_replace(F.col("body"), r'^[^"]*("|$)', ""), r'"[^"]*("|$)', "")
+    opens = lambda x: F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))
+    split = W.partitionBy("file", "block").orderBy("at")
+    upto = split.rowsBetween(W.unboundedPreceding, 0)
+    read = spark.read.option("lineSep", "}").text(files).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), _decoded(F.col("value"), encoding).alias("value"))
+    pieces = read.withColumn("body", body).select("file", "block", "at", "value", _quotes(F.col("body")).alias("q"),
+                                                  opens(outside).alias("o0"), opens(after).alias("o1"))
+    pieces = pieces.withColumn("now", F.coalesce(F.sum("q").over(split.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2)
+    for s in (0, 1):  # the split starts outside of a string, or inside of one
+        begun, ended = (F.col("now") + s) % 2, (F.col("now") + F.col("q") + s) % 2
+        pieces = pieces.withColumn(f"c{s}", 1 - ended).withColumn(
+            f"d{s}", F.sum(F.when(begun == 0, F.col("o0")).otherwise(F.col("o1")) - (1 - ended)).over(upto))
+    pieces = session.stage(pieces.select("file", "block", "at", "value", "q", "c0", "c1", "d0", "d1"))
+    last = F.max(F.struct("at", "d0", "d1"))
+    sums = pieces.groupBy("file", "block").agg(F.sum("q").alias("q"), last.alias("last")).collect()
+    starts, state = [], {}
+    for r in sorted(sums, key=lambda r: (r["file"], r["block"])):
+        inside, depth = state.get(r["file"], (0, 0))
+        starts.append((r["file"], r["block"], inside, depth))
+        state[r["file"]] = ((inside + r["q"]) % 2, depth + r["last"][f"d{inside}"])
+    table = spark.createDataFrame(starts, "file string, block bigint, inside int, depth bigint")
+    of = lambda name: F.when(F.col("inside") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    ends = ((of("c") == 1) & (F.col("depth") + of("d") == 0)).cast("int")
+    marked = pieces.join(F.broadcast(table), ["file", "block"]).select("file", "block", "at", "value", ends.alias("end"))
+    counts = marked.groupBy("file", "block").agg(F.sum("end").alias("n")).collect()
+    bases, seen = [], {}
+    for r in sorted(counts, key=lambda r: (r["file"], r["block"])):
+        bases.append((r["file"], r["block"], seen.get(r["file"], 0)))
+        seen[r["file"]] = seen.get(r["file"], 0) + r["n"]
+    base = spark.createDataFrame(bases, "file string, block bigint, base bigint")
+    numbered = marked.withColumn("done", F.sum("end").over(upto) - F.col("end")).join(F.broadcast(base), ["file", "block"]).select(
+        "file", (F.col("base") + F.col("done")).alias("n"), F.struct("block", "at", "value").alias("piece"))
+    whole = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["value"]), "}"), F.lit("}"))
+    records = numbered.groupBy("file", "n").agg(whole.alias("text")).select(
+        "file", "n", F.regexp_replace(F.regexp_replace("text", r"^[^{]*", ""), r"[\r\n]+", " ").alias("value"))
+    path = session.scratch_path(spark, "json-records")
+    records.where("value like '{%'").repartitionByRange("file", "n").sortWithinPartitions("file", "n").select("value").write.text(path)
+    return path
+
+
 def read_json(spark: SparkSession, path: str, lines: bool = False, key: str | None = None,
               row_id: str = "row_id") -> ReadResult:
     """S3: a JSON array of records (``lines=False``) or JSON Lines, each file with its own charset.
-    Columns keep the order of the first record; those that it lacks follow by name."""
+    Columns keep the order of the first record; those that it lacks follow by name.  An array file of more than
+    ``SPREAD_ABOVE`` bytes is cut into its records by many tasks (see ``_array_records``)."""
     traits = file_traits(spark, path)
     df, order = None, []
-    for encoding in sorted({t.encoding for t in traits.values()}, key=lambda e: e != "UTF-8"):
-        files = [f for f, t in traits.items() if t.encoding == encoding]
-        part = _placed(spark.read.json(files, multiLine=not lines, encoding=encoding))
+    for encoding, large in sorted({(t.encoding, t.large and not lines) for t in traits.values()}, key=lambda e: (e[0] != "UTF-8", e[1])):
+        files = [f for f, t in traits.items() if (t.encoding, t.large and not lines) == (encoding, large)]
+        if large:
+            part = _placed(spark.read.json(_array_records(spark, files, encoding)))
+        else:
+            part = _placed(spark.read.json(files, multiLine=not lines, encoding=encoding))
         df = part if df is None else df.unionByName(part, allowMissingColumns=True)
     if df is None:
         return ReadResult(spark.createDataFrame([], f"{row_id} bigint"), None)

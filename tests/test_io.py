@@ -148,3 +148,29 @@ def test_quoted_line_breaks_over_many_splits(spark, tmpdir_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == [(int(a), b, c) for a, b, c in rows]
     assert r.rejects.count() == 0
+
+
+def test_large_json_array_is_cut_by_many_tasks(spark, tmpdir_path, monkeypatch):
+    """Braces, quotes and escapes in strings, nested values, pretty print; the same rows as one task reads."""
+    import random
+    from mopup.sources import readers
+    rng = random.Random(9)
+    texts = ['{"a": 1}', '}', '{', '"', '\\', '\\"}', 'é{', '[', ']', '', 'line\nbreak', '\\\\', '"}{"']
+    rows = [{"n": i, "t": "".join(rng.choice(texts) for _ in range(rng.randint(0, 30))), "o": {"x": rng.choice(texts), "l": [{"y": "}"}] * (i % 3)}}
+            for i in range(3000)]
+    one = _write(tmpdir_path, "one.json", json.dumps(rows, ensure_ascii=False).encode())
+    pretty = _write(tmpdir_path, "pretty.json", ("\n " + json.dumps(rows, indent=2) + "\n").encode())
+    latin = _write(tmpdir_path, "latin.json", json.dumps(rows, ensure_ascii=False).encode("latin-1"))
+    plain = [tuple(r) for r in read_table(spark, one).df.orderBy("row_id").collect()]
+    assert [r[1] for r in plain] == list(range(3000)) and [r[2] for r in plain] == [r["t"] for r in rows]
+    monkeypatch.setattr(readers, "SPREAD_ABOVE", 1000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for p in (one, pretty, latin):
+            r = read_table(spark, p)
+            assert r.df.columns == ["row_id", "n", "t", "o"]
+            assert [tuple(x) for x in r.df.orderBy("row_id").collect()] == plain, p
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
