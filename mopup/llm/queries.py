@@ -48,7 +48,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
-                        "spans", "n_layers", "n_unread")
+                        "spans", "n_layers", "n_streamed")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,13 +36,21 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs of [0-9a-f]+ that are lo
 _HEX_MAP = bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(
+    r"\\u(?P<high>[Dd][89ABab][0-9A-Fa-f]{2})\\u(?P<low>[Dd][C-Fc-f][0-9A-Fa-f]{2})"  # a surrogate pair
+    r"|\\u\{(?P<braces>[0-9A-Fa-f]{1,6})\}|\\u(?P<four>[0-9A-Fa-f]{4})|\\U(?P<eight>[0-9A-Fa-f]{8})"
+    r"|\\x(?P<two>[0-9A-Fa-f]{2})|&#x(?P<markup>[0-9A-Fa-f]{1,6});|&#(?P<decimal>[0-9]{1,7});|\\(?P<octal>[0-3][0-7]{2})")
+_BASES = {"decimal": 10, "octal": 8}
 _B64_MIN = 19  # of the shortest secret, 14 bytes, without padding
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % _B64_MIN)
 _B64_MAP = bytes(0x78 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 0x20
                  for c in range(256))
 _PACKED = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00")  # gzip, zlib, bzip2, xz
+#: Lines of base64, as mail wraps it: long runs that follow each other with nothing but a line break between.
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{40,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_BREAKS = re.compile(r"[\r\n \t]+")
 _PIECE = 1 << 16
+OVERLAP = 1 << 16  # bytes that neighbouring pieces of a large payload share
 _ODD = re.compile("[\udc80-\udcff]")  # bytes that aren't UTF-8
 
 
@@ -80,8 +88,10 @@ def _replacements(text: str, kind: str) -> list[tuple[int, int, str]]:
                 at += n
     elif kind == "unicode" and ("\\" in text or "&#" in text):
         for m in _ESCAPE.finditer(text):
-            digits = m[1] or m[2] or m[3] or m[4]
-            code = int(digits, 16) if digits else int(m[5])
+            if m["high"]:
+                code = 0x10000 + ((int(m["high"], 16) - 0xD800) << 10) + int(m["low"], 16) - 0xDC00
+            else:
+                code = int(m[m.lastgroup], _BASES.get(m.lastgroup, 16))
             if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF:
                 out.append((m.start(), m.end(), chr(code)))
     return out
@@ -159,37 +169,106 @@ def _texts(raw: bytes, limit: int) -> Iterator[str]:
                 yield text
 
 
-def _payloads(text: str, decoded: bool, limit: int) -> Iterator[tuple[int, int, str | None]]:
-    """(start, end, content) of base64 tokens and, in decoded layers, of compressed streams; content
-    None where it was left unread."""
-    for m in _B64.finditer(text):
-        token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(token) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(token + "=" * (-len(token) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if (raw := _unpacked(raw, limit)) is None:
-            yield m.start(), m.end(), None
-        else:
+def _chained(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of the compressed streams that ``chunks`` begin with, one after the other, then the rest as it is."""
+    held, unzip = b"", None
+    for chunk in chunks:
+        held += chunk
+        while held:
+            if unzip is None:
+                if not _PACKED.match(held):
+                    yield held
+                    held = b""
+                    break
+                unzip = (bz2.BZ2Decompressor() if held.startswith(b"BZh") else lzma.LZMADecompressor()
+                         if held.startswith(b"\xfd7zXZ\x00") else zlib.decompressobj(47))
+            try:
+                out = unzip.decompress(held, _PIECE)
+                held = unzip.unconsumed_tail if hasattr(unzip, "unconsumed_tail") else b""
+                yield out
+                while not unzip.eof and hasattr(unzip, "needs_input") and not unzip.needs_input:
+                    yield unzip.decompress(b"", _PIECE)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                return
+            if unzip.eof:
+                held, unzip = unzip.unused_data, None
+            elif not held:
+                break
+
+
+def _large_pieces(raw: bytes, limit: int) -> Iterator[bytes]:
+    """The content of a payload of any size, streams within streams unwrapped, in pieces of up to ``limit`` bytes (and
+    four times the overlap at least) that share ``OVERLAP`` bytes with the next."""
+    chunks, seen = iter([raw]), set()
+    while True:
+        first = b""
+        for x in chunks:
+            first += x
+            if len(first) >= 64:
+                break
+        if not _PACKED.match(first) or hashlib.sha256(first[:_PIECE]).digest() in seen:
+            break
+        seen.add(hashlib.sha256(first[:_PIECE]).digest())
+        chunks = _chained(_before(first, chunks))
+    most, held = max(limit, 4 * OVERLAP), bytearray()
+    for x in _before(first, chunks):
+        held += x
+        while len(held) >= most:
+            yield bytes(held[:most])
+            del held[:most - OVERLAP]
+    yield bytes(held)
+
+
+def _before(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield first
+    yield from rest
+
+
+def _decoded(token: str) -> bytes:
+    token = token[:len(token) - (len(token) % 4 == 1)]
+    try:
+        return base64.b64decode(token + "=" * (-len(token) % 4))
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def _payloads(text: str, decoded: bool, limit: int) -> Iterator[tuple[int, int, str | bytes]]:
+    """(start, end, content) of base64 tokens and, in decoded layers, of compressed streams; content is bytes, packed
+    as they are, where it is larger than the limit.
+
+    A run of base64 characters may hold more than the token (a path or a name before it, which shifts its groups of
+    four), so it is decoded from each of its first four places; from the later three it counts
+    only where something is found in it.  Wrapped lines are joined as well."""
+    runs = [(m.start(), m.end(), m[0]) for m in _B64.finditer(text)]
+    if "\n" in text:
+        runs += [(m.start(), m.end(), _BREAKS.sub("", m[0])) for m in _WRAPPED.finditer(text)]
+    for start, end, run in runs:
+        token = run.rstrip("=").replace("-", "+").replace("_", "/")
+        for shift in range(4):
+            if not (raw := _decoded(token[shift:])):
+                continue
+            packed = raw
+            if (raw := _unpacked(raw, limit)) is None:
+                yield start, end, packed
+                continue
             for out in _texts(raw, limit):
-                yield m.start(), m.end(), out
+                if not shift or _of_use(out, out.encode("utf-8", "surrogateescape"), limit):
+                    yield start, end, out
     if decoded and _PACKED.search(raw := text.encode("utf-8", "surrogateescape")):
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         size = 1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000)
         ends = np.cumsum(np.where((code >= 0xDC80) & (code <= 0xDCFF), 1, size))
-        for a, b, inside in _streams(raw, limit):
-            a, b = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1
+        for at, to, inside in _streams(raw, limit):
+            a, b = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(ends, to - 1, "right")) + 1
             if inside is None or (inside := _unpacked(inside, limit)) is None:
-                yield a, b, None
+                yield a, len(text), raw[at:]
             else:
                 for out in _texts(inside, limit):
                     yield a, b, out
 
 
 def scan(data: bytes, max_layer_bytes: int = 1 << 26) -> tuple[list, list, int, int]:
-    """Base spans, all spans, number of decoded layers and of payloads left unread.
+    """Base spans, all spans, number of decoded layers and of payloads scanned in pieces for their size.
 
     A layer's ``first``/``last`` give, for each of its characters, the code points of the
     original text that it came from; ``made`` tells which characters a decoding made.  A
@@ -200,7 +279,7 @@ def scan(data: bytes, max_layer_bytes: int = 1 << 26) -> tuple[list, list, int,
     base = base_spans(text, data)
     if not may_be_encoded(data):
         return base, base, 0, 0
-    spans, seen, work, layers, unread = set(base), {(text, 0, len(text))}, deque([(text, None, None, None)]), 0, 0
+    spans, seen, work, layers, large = set(base), {(text, 0, len(text))}, deque([(text, None, None, None)]), 0, 0
     while work:
         now, first, last, made = work.popleft()
         n, children = len(now), []
@@ -222,8 +301,16 @@ def scan(data: bytes, max_layer_bytes: int = 1 << 26) -> tuple[list, list, int,
                 e[starts], new[starts] = last[ends - 1], True
                 children.append(("".join(out) + now[at:], first[stay], e[stay], new[stay]))
         for a, b, inside in _payloads(now, made.any(), max_layer_bytes):
-            if inside is None:
-                unread += 1
+            if isinstance(inside, bytes):
+                # every finding in it has the span of the payload, so its pieces are scanned one by one and let go
+                key = (inside, int(first[a]), int(last[b - 1]))
+                if key not in seen:
+                    seen.add(key)
+                    large, layers = large + 1, layers + 1
+                    for piece in _large_pieces(inside, max_layer_bytes):
+                        _, found, n, more = scan(piece, max_layer_bytes)
+                        layers, large = layers + n, large + more
+                        spans.update((int(first[a]), int(last[b - 1]), kind) for _, _, kind in found)
                 continue
             m = len(inside)
             children.append((inside, np.full(m, first[a]), np.full(m, last[b - 1]), np.ones(m, dtype=bool)))
@@ -237,7 +324,7 @@ def scan(data: bytes, max_layer_bytes: int = 1 << 26) -> tuple[list, list, int,
             for a, b, kind in base_spans(inside, inside.encode("utf-8", "replace")):
                 if new[a:b].any():
                     spans.add((int(f[a:b].min()), int(e[a:b].max()), kind))
-    return base, sorted(spans, key=lambda x: (x[0], _ORDER[x[2]], x[1])), layers, unread
+    return base, sorted(spans, key=lambda x: (x[0], _ORDER[x[2]], x[1])), layers, large
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -249,16 +336,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of ``docs``: counts of its plain secrets by kind, their spans and all
     spans (``kind:start:end``, code points of the given text, end exclusive).
 
-    ``n_layers`` counts the decoded layers; ``n_unread`` counts payloads that would unpack to more
-    than ``max_layer_bytes`` (a guard against decompression bombs: they are reported, not
-    unpacked).  A null text counts as empty: no secrets.  Repeated rows are scanned each for
+    ``n_layers`` counts the decoded layers.  A payload that unpacks to more than ``max_layer_bytes`` is scanned
+    whole, in pieces of that size that overlap by 64 KB, so that memory stays bounded; ``n_streamed`` counts these.
+    Only an encoded token of more than 64 KB inside such a payload may be cut by a piece's end.  Whole texts are scanned,
+    however long.  Findings that tie in place and kind are one.  A null text counts as empty: no secrets.  Repeated rows are scanned each for
     itself, other columns are not read, and an empty table gives an empty table.  One narrow
     pass: nothing is shuffled."""
     schema = T.StructType(
         [T.StructField(id_col, docs.schema[id_col].dataType)]
         + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
         + [T.StructField("base_spans", T.StringType()), T.StructField("spans", T.StringType()),
-           T.StructField("n_layers", T.LongType()), T.StructField("n_unread", T.LongType())])
+           T.StructField("n_layers", T.LongType()), T.StructField("n_streamed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
