@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from .words import binaries, nulls_to_empty, split_words
 
 RATE = 0.08
+#: Characters of a normalised item from which it is searched for: a shorter one is found in texts that have
+#: nothing to do with it.
+MIN_CHARS = 25
 #: Characters of items in one automaton (about 100 bytes of memory each).
 BLOCK_CHARS = 1_000_000
 
@@ -71,10 +74,10 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """The items of one block: their pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = 1):
         self.items, found = [], {}
         for item_id, text in items:
-            if not text:
+            if len(text) < max(1, min_chars):
                 continue
             k, parts = pieces(text, rate)
             number = len(self.items)
@@ -130,13 +133,15 @@ def _windows(at: list[int], m: int, k: int, n: int) -> Iterator[tuple[int, int]]
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE,
-               block_chars: int = BLOCK_CHARS) -> DataFrame:
+               block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, item id, start, end, distance): the nearest occurrence of each item in each row of
     ``docs`` that has it within the edit budget.  Offsets count characters of the normalised
     text (lower-cased, words joined by one blank).
 
-    Null and empty texts have no items; null and empty items are found nowhere.  Repeated
-    documents or items give a row for each.  Other columns are not read; an empty table of
+    Null and empty texts have no items; null and empty items, and those of fewer than ``min_chars`` characters once
+    normalised, are found nowhere.  Repeated
+    documents or items give a row for each; of equally near occurrences the first end counts.  Whole texts are searched, however
+    long.  Other columns, clashing names included, are not read; an empty table of
     either kind gives an empty result.  The items are dealt into as many blocks as their total
     length asks for, each block is one automaton of bounded size and one narrow pass over the
     documents; the documents are never shuffled."""
@@ -144,7 +149,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                            T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                            T.StructField("distance", T.LongType())])
     source = docs.select(id_col, text_col)
-    passes = [source.mapInArrow(_searcher(mine, rate, schema), schema)
+    passes = [source.mapInArrow(_searcher(mine, rate, schema, min_chars), schema)
               for mine in _blocks_of(items, item_col, item_text_col, block_chars)]
     found = passes[0]
     for more in passes[1:]:
@@ -152,10 +157,10 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return found
 
 
-def _searcher(items: list[tuple], rate: float, schema: T.StructType):
+def _searcher(items: list[tuple], rate: float, schema: T.StructType, min_chars: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
-        matcher = Matcher([(i, normalize(t.encode())) for i, t in items], rate)
+        matcher = Matcher([(i, normalize(t.encode())) for i, t in items], rate, min_chars)
         shape = to_arrow_schema(schema)
         for batch in batches:
             rows: list[tuple] = []
@@ -171,7 +176,8 @@ def _searcher(items: list[tuple], rate: float, schema: T.StructType):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                  item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS,
+                  min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the rows whose text has an item within its edit budget; all columns pass on.
 
     Each row is judged where it is read, so nothing is shuffled.  Nulls and empty texts as in
@@ -179,7 +185,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     out = docs
     at = docs.columns.index(text_col)
     for mine in _blocks_of(items, item_col, item_text_col, block_chars):
-        out = out.mapInArrow(_dropper(mine, rate, at), docs.schema)
+        out = out.mapInArrow(_dropper(mine, rate, at, min_chars), docs.schema)
     return out
 
 
@@ -194,9 +200,9 @@ def _blocks_of(items: DataFrame, item_col: str, item_text_col: str, block_chars:
         yield [(r["item"], r["text"]) for r in mine]
 
 
-def _dropper(items: list[tuple], rate: float, at: int):
+def _dropper(items: list[tuple], rate: float, at: int, min_chars: int):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher([(i, normalize(t.encode())) for i, t in items], rate)
+        matcher = Matcher([(i, normalize(t.encode())) for i, t in items], rate, min_chars)
         for batch in batches:
             clean = [not matcher.search(normalize(nulls_to_empty(x.as_py()))) for x in binaries(batch.column(at))]
             yield batch.filter(pa.array(clean, pa.bool_()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import LineRules
+from .quality_rules import PHRASES, LineRules
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,9 +93,7 @@ def quality_rules(rules: LineRules = LineRules()) -> str:
     symbols = "[#*$%&|<>]"
     count = lambda text, pattern: f"length({text}) - length(regexp_replace({text}, '{pattern}', '', 'g'))"
     closing = """[.!?:;,"'')\\]…»”’][\\x20\\x09-\\x0D]*$"""
-    phrases = ("cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|"
-               "javascript is disabled|subscribe to our newsletter|sign in|log in|skip to (?:main )?content|"
-               "lorem ipsum|share on (?:facebook|twitter)|click here")
+    phrases = "|".join(PHRASES.values()).replace("'", "''")
     return f"""
 with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),
 line as (
@@ -106,7 +104,7 @@ judged as (
   select doc_id, l, chars, symbols > {rules.max_symbols}::double * chars
       or (n <= {rules.nav_words} and not regexp_matches(l, '{closing}'))
       or len(regexp_extract_all(l, '\\||>{{1,2}}|»|›|·|•')) >= {rules.nav_marks}
-      or (n <= {rules.boiler_words} and regexp_matches(l, '(?i){phrases}')) as failed
+      or (n <= {rules.boiler_words} and regexp_matches(translate(l, '{_UPPER}', '{_LOWER}'), '{phrases}')) as failed
   from line where n > 0),
 lines as (
   select doc_id, count(*) - count(distinct l) as dup, coalesce(sum(chars) filter (failed), 0) as lost from judged group by doc_id),

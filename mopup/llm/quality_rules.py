@@ -18,10 +18,18 @@ _SEPARATORS = b" \t\n\v\f\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 _TERMINAL = tuple(x.encode() for x in (".", "!", "?", ":", ";", ",", '"', "'", ")", "]", "…", "»", "”", "’"))
-_BOILERPLATE = re.compile(
-    rb"cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|"
-    rb"javascript is disabled|subscribe to our newsletter|sign in|log in|skip to (?:main )?content|"
-    rb"lorem ipsum|share on (?:facebook|twitter)|click here", re.IGNORECASE)
+#: Phrases of page furniture in the corpus's languages, as patterns over text in lower case.
+PHRASES = {
+    "en": "cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|javascript is disabled|"
+          "subscribe to our newsletter|sign in|log in|skip to (?:main )?content|lorem ipsum|share on (?:facebook|twitter)|click here",
+    "de": "cookie-richtlinie|datenschutzerklärung|allgemeine geschäftsbedingungen|alle rechte vorbehalten|javascript aktivieren|"
+          "newsletter abonnieren|jetzt anmelden|zum inhalt springen|auf (?:facebook|twitter) teilen|hier klicken",
+    "fr": "politique de confidentialité|conditions d(?:'|’)utilisation|tous droits réservés|activer javascript|"
+          "abonnez-vous à notre newsletter|se connecter|aller au contenu|partager sur (?:facebook|twitter)|cliquez ici",
+    "es": "política de (?:cookies|privacidad)|términos de (?:uso|servicio)|todos los derechos reservados|activar javascript|"
+          "suscríbete a nuestro boletín|iniciar sesión|saltar al contenido|compartir en (?:facebook|twitter)|haz clic aquí",
+}
+_BOILERPLATE = re.compile("|".join(PHRASES.values()).encode(), re.IGNORECASE)  # ASCII letters in either case
 _NAVIGATION = re.compile(rb"\||>{1,2}|\xc2\xbb|\xe2\x80\xba|\xc2\xb7|\xe2\x80\xa2")
 
 
