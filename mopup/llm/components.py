@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import stage
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut."""
-    if checkpoint_dir(df.sparkSession) is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return df.checkpoint(eager=True)
+    """``df`` written as Parquet to the shared checkpoint folder, its lineage cut: later passes read the columns
+    they need only."""
+    return stage(df)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

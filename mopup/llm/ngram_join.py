@@ -36,6 +36,10 @@ SAMPLE_MOST = 500_000
 #: Expected number of documents from which a shingle's list is split, lowered to the limit of a level
 #: of the order, and into how many parts.
 HOT, SALTS = 4096, 64
+#: Rows of a list that one task pairs with the others of it; a longer list's pairs are dealt over more tasks.
+LIST_PART, LIST_PARTS = 1024, 256
+#: Classes that are broadcast at most: those with at least this fraction of all rows.
+MANY_CLASSES = 10_000
 #: Ids that are broadcast at most (8 bytes each); beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -245,6 +249,61 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, schema)
 
 
+def _members(shared: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(shingle, g, pos) of all groups of each list but its leader, and of those leaders that ``leaders`` (lead) names."""
+    own = shared.filter("g <> lead").select("shingle", "lead", "lead_pos").distinct().join(leaders, "lead")
+    return shared.select("shingle", "g", "pos").unionByName(
+        own.select("shingle", F.col("lead").alias("g"), F.col("lead_pos").alias("pos")))
+
+
+def _list_pairs(rows: DataFrame, head: DataFrame, percent: int, all_pairs: bool = False) -> DataFrame:
+    """The pairs (a, b) of a list's classes that are of different components and that neither sizes, positions nor
+    bitmaps rule out.  ``head`` has each list's largest component, which only the others meet, and its number of rows.
+
+    A long list is dealt over parts: its rows on one side by their id, those on the other side to every part."""
+    parts = F.least(F.lit(LIST_PARTS), 1 + F.floor(F.col("rows") / LIST_PART)).cast("int")
+    head = head.select("shingle", "head", parts.alias("parts"))
+    rest = rows.join(head, "shingle").filter(F.lit(all_pairs) | (F.col("component") != F.col("head.component"))).select(
+        "shingle", F.col("pos").alias("p1"), F.col("n").alias("n1"), F.col("rep").alias("a"),
+        F.col("component").alias("c1"), F.col("head.component").alias("main"), F.col("bits").alias("x"),
+        F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+    other = rows.join(head.select("shingle", "parts"), "shingle").select(
+        "shingle", F.col("pos").alias("p2"), F.col("n").alias("n2"), F.col("rep").alias("b"),
+        F.col("component").alias("c2"), F.col("bits").alias("y"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # similar sets share a shingle that has fewer than n - overlap + 1 before it in either
+    overlap = F.expr(f"((n1 + n2) * {percent} + {99 + percent}) div {100 + percent}")
+    near = (F.col("p1") <= F.col("n1") - overlap) & (F.col("p2") <= F.col("n2") - overlap)
+    # one condition of the join, so that it makes no other rows; the bitmaps are compared last
+    apart = (F.col("c1") != F.col("c2")) & (F.coalesce(F.col("c2") == F.col("main"), F.lit(False)) | (F.col("a") < F.col("b")))
+    may = F.when(apart & near, _may_link(F.col("n1"), F.col("n2"), F.col("x"), F.col("y"), percent)).otherwise(False)
+    return rest.join(other, ["shingle", "part"]).filter(may).select("a", "b").distinct()
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                    percent: int = 80) -> DataFrame:
+    """(a, b): every link between different shingle sets, a < b being the smallest ids of documents with these sets (the
+    ``class_id`` of ``near_duplicates``, which gives the members).
+
+    Unlike ``near_duplicates``, this verifies the pairs that other links connect already: it costs more where many
+    different documents are alike.  Copies are never expanded.  Nulls, empty tables and repeated ids as there."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = saved(_sets(docs, words, percent, _frequent(docs, words)).filter("n > 0 and id is not null"))
+    classes = saved(sets.groupBy("g", "n", "set").agg(F.min("id").alias("rep")))
+    shared = saved(_shared(sets))
+    every = shared.select("lead").distinct()
+    bits = sets.select(F.col("id").alias("rep"), "n", "bits").dropDuplicates(["rep", "n"])
+    mine = classes.select("g", "n", "rep").join(bits, ["rep", "n"])
+    groups = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
+    rows = saved(_members(shared, every).distinct().join(mine, "g").select("shingle", "pos", "n", "rep", "bits").unionByName(
+        mine.join(groups, "g").select(F.col("g").alias("shingle"), F.lit(0).alias("pos"), "n", "rep", "bits")).withColumn(
+        "component", F.col("rep")))
+    # each class is a component of its own, and none is the largest
+    head = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).withColumn("head", F.struct(
+        F.lit(0).cast("long").alias("k"), F.lit(None).cast("long").alias("component")))
+    return _verified(_list_pairs(rows, head, percent, all_pairs=True), docs, words, percent)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, class_id) for each row of ``docs``.
@@ -261,7 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = saved(_sets(docs, words, percent, _frequent(docs, words)))
     facts = sets.select("id", "n", "g", "set")
-    classes = saved(facts.filter("n > 0 and id is not null").groupBy("g", "n", "set").agg(F.min("id").alias("rep")))
+    classes = saved(facts.filter("n > 0 and id is not null").groupBy("g", "n", "set").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     shared = saved(_shared(sets.filter("n > 0 and id is not null")))
     leads = classes.groupBy("g").agg(F.min("rep").alias("lead_rep"), F.min("n").alias("n"))
 
@@ -287,9 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                     F.count(F.lit(1)).alias("classes"))
     # the leader of a whole list has met all others, but for further classes of its group
     several = spread.filter("classes > 1").select(F.col("g").alias("lead"))
-    leaders = shared.filter("g <> lead").select("shingle", "lead", "lead_pos").distinct().join(several, "lead")
-    members = shared.select("shingle", "g", "pos").unionByName(
-        leaders.select("shingle", F.col("lead").alias("g"), F.col("lead_pos").alias("pos")))
+    members = _members(shared, several)
     # a group of several components is mixed by itself, whatever it shares
     mixed_lists = (members.join(spread, "g").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
                    .filter("low <> high").select("shingle"))
@@ -299,26 +357,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = lists.select("shingle", "pos", "n", "rep", "component", "bits").unionByName(alone)
     # the largest component of a list is only met by the others
     counts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    head = counts.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("head"))
-    rest = rows.join(head, "shingle").filter("component <> head.component").select(
-        "shingle", F.col("pos").alias("p1"), F.col("n").alias("n1"), F.col("rep").alias("a"),
-        F.col("component").alias("c1"), F.col("head.component").alias("main"), F.col("bits").alias("x"))
-    other = rows.select("shingle", F.col("pos").alias("p2"), F.col("n").alias("n2"), F.col("rep").alias("b"),
-                        F.col("component").alias("c2"), F.col("bits").alias("y"))
-    # similar sets share a shingle that has fewer than n - overlap + 1 before it in either
-    overlap = F.expr(f"((n1 + n2) * {percent} + {99 + percent}) div {100 + percent}")
-    near = (F.col("p1") <= F.col("n1") - overlap) & (F.col("p2") <= F.col("n2") - overlap)
-    # one condition of the join, so that it makes no other rows; the bitmaps are compared last
-    apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") < F.col("b")))
-    may = F.when(apart & near, _may_link(F.col("n1"), F.col("n2"), F.col("x"), F.col("y"), percent)).otherwise(False)
-    second = rest.join(other, "shingle").filter(may).select("a", "b").distinct()
+    head = counts.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("head"), F.sum("k").alias("rows"))
+    second = _list_pairs(rows, head, percent)
     second = saved(second.join(first, ["a", "b"], "left_anti"))
     more = _verified(second, docs, words, percent)
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
 
-    own = facts.join(classes.select("set", F.col("rep").alias("class_id")), "set", "left")
-    own = own.withColumn("class_id", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("class_id"))
-                         .otherwise(F.col("id")))
+    # documents without words or id have no class; the classes of many copies are few, and broadcast
+    linked = F.coalesce((F.col("n") > 0) & F.col("id").isNotNull(), F.lit(False))
+    many = max(256, facts.count() // MANY_CLASSES)
+    named_sets = classes.select("set", F.col("rep").alias("class_id"), "copies")
+    hot = facts.filter(linked).join(F.broadcast(named_sets.filter(F.col("copies") >= many).select("set", "class_id")), "set", "left")
+    own = (hot.filter("class_id is not null").unionByName(
+        hot.filter("class_id is null").drop("class_id").join(named_sets.filter(F.col("copies") < many).select("set", "class_id"), "set"))
+        .unionByName(facts.filter(~linked).select("set", "id", "n", "g", F.col("id").alias("class_id"))))
     out = own.join(final, own["class_id"] == final["rep"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("component", "class_id").alias("component_id"), "class_id")

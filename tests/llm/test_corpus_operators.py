@@ -82,6 +82,30 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, sample, hot
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("sample,hot,part", [(16000, 4096, 1024), (60, 2, 4)])
+def test_links_between_classes_equal_brute_force(spark, monkeypatch, sample, hot, part):
+    """Every link of different sets, also of those that other links connect; long lists are split."""
+    monkeypatch.setattr(ngram_join, "SAMPLE_DOCS", sample)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "SALTS", 3)
+    monkeypatch.setattr(ngram_join, "LIST_PART", part)
+    monkeypatch.setattr(ngram_join, "MANY_CLASSES", 1_000_000 if part > 4 else 1)
+    rows = corpus(3)
+    rows += [(5000 + i, rows[0][1]) for i in range(300)] + [(None, rows[1][1]), (None, None)]
+    sets = {}
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        if i is not None and w:
+            sets.setdefault(frozenset(tuple(w[j:j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]), []).append(i)
+    reps = [(min(ids), s) for s, ids in sets.items()]
+    want = {(min(a, b), max(a, b)) for a, x in reps for b, y in reps if a < b and 100 * len(x & y) >= 80 * len(x | y)}
+    got = [(min(r), max(r)) for r in ngram_join.similar_classes(docs(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    classes = {r["doc_id"]: r["class_id"] for r in ngram_join.near_duplicates(docs(spark, rows)).collect() if r["doc_id"] is not None}
+    assert all(classes[i] == min(ids) for ids in sets.values() for i in ids)
+    assert ngram_join.similar_classes(docs(spark, [])).count() == 0
+
+
 def test_near_duplicates_edges(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (9, "A b c D e f"), (None, "a b c d e f"), (11, "q"), (12, "Q"), (13, None)]
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.near_duplicates(docs(spark, rows)).collect()))
