@@ -445,29 +445,49 @@ from customer_dirty""")
     return o
 
 
+def _decisions_sql() -> str:
+    """One row for each column after C6: whether it converts (C7), is empty (C10) or constant (C11), and its gaps
+    afterwards, all from the data."""
+    parts = []
+    for i, (n, k) in enumerate(CUSTN):
+        x = qi(n)
+        num = parse_num(x) if k == "t" else x
+        parts.append(
+            f"select {i} as position, {lit(n)} as c, {'true' if k == 't' else 'false'} as was_text, count(*) as n_rows, "
+            f"count({x}) as present, count({num}) as numbers, coalesce(min({x}) = max({x}), false) as same_text, "
+            f"coalesce(min({num}) = max({num}), false) as same_number from s2")
+    return (
+        "select *, converts or not was_text as numeric, present = 0 as empty, "
+        "present > 0 and (case when converts or not was_text then same_number else same_text end) as constant, "
+        "n_rows - (case when converts or not was_text then numbers else present end) as gaps from (select *, "
+        f"was_text and numbers > 0 and numbers >= {tokens.AUTO_NUMERIC_RATIO} * present as converts from ("
+        + " union all ".join(parts) + "))")
+
+
 def _oplog_sql() -> str:
     text_raw = ",".join(CUST_TEXT)
     ph_cells = " + ".join(f"count_if({_ph_cs(qi(n), tokens.PH_CLEAN)})" for n in CUST_TEXT)
     renamed = [normalize_name(n) for n, _ in CUST if normalize_name(n) != n]
     text_n = [n for n, k in CUSTN if k == "t"]
     trim_cells = " + ".join(f"count_if({qi(n)} is not null and {strip(qi(n))} <> {qi(n)})" for n in text_n)
-    fills = " + ".join(f"count_if({qi(n)} is null)" for n in ("acctbal", "nation_txt", "unnamed:_7"))
+    dec = f"({_decisions_sql()})"
+    names = "coalesce(string_agg(c, ',' order by position), '')"
+    left = "not empty and not constant"
     rows = [
-        f"select 1 as seq, 'replace_placeholders' as action, cast({ph_cells} as bigint) as affected, "
-        f"{lit(text_raw)} as {qi('columns')}, true as success from customer_dirty",
-        f"select 2, 'rename_columns', {len(renamed)}, {lit(','.join(renamed))}, true",
-        f"select 3, 'trim_whitespace', cast({trim_cells} as bigint), {lit(','.join(text_n))}, true from c1n",
-        "select 4, 'convert_dtypes', 2, 'nation_txt,unnamed:_7', true",
-        "select 5, 'drop_empty_columns', 2, 'notes,unnamed:_8', true",
-        "select 6, 'drop_constant_columns', 1, 'origin', true",
-        "select 7, 'drop_duplicates', cast((select count(*) from s3) - (select count(*) from "
-        "(select distinct name, mkt_segment, acctbal, nation_txt, \"unnamed:_7\" from s3)) as bigint), '', true",
-        f"select 8, 'fill_numeric', cast({fills} as bigint), 'acctbal,nation_txt,unnamed:_7', true from s3",
-        "select 9, 'fill_categorical', cast(count_if(mkt_segment is null) as bigint), 'name,mkt_segment', true "
-        "from s3",
+        f"select 'replace_placeholders' as action, cast({ph_cells} as bigint) as affected, "
+        f"{lit(text_raw)} as {qi('columns')}, 1 as step, true as always from customer_dirty",
+        f"select 'rename_columns', {len(renamed)}, {lit(','.join(renamed))}, 2, true",
+        f"select 'trim_whitespace', cast({trim_cells} as bigint), {lit(','.join(text_n))}, 3, true from c1n",
+        f"select 'convert_dtypes', count(*), {names}, 4, false from {dec} where converts",
+        f"select 'drop_empty_columns', count(*), {names}, 5, false from {dec} where empty",
+        f"select 'drop_constant_columns', count(*), {names}, 6, false from {dec} where constant",
+        "select 'drop_duplicates', cast((select count(*) from s3) - (select count(*) from "
+        "(select distinct name, mkt_segment, acctbal, nation_txt, \"unnamed:_7\" from s3)) as bigint), '', 7, true",
+        f"select 'fill_numeric', coalesce(sum(gaps), 0), {names}, 8, true from {dec} where {left} and numeric and gaps > 0",
+        f"select 'fill_categorical', coalesce(sum(gaps), 0), {names}, 9, true from {dec} where {left} and not numeric",
     ]
-    return "select cast(seq as int) as seq, action, cast(affected as bigint) as affected, " \
-           f"{qi('columns')}, success from (" + " union all ".join(rows) + ")"
+    return ("select cast(row_number() over (order by step) as int) as seq, action, cast(affected as bigint) as affected, "
+            f"{qi('columns')}, true as success from (" + " union all ".join(rows) + ") where always or affected > 0")
 
 
 def _candidates_sql(src: str, cols) -> str:
