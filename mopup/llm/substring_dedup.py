@@ -170,9 +170,11 @@ def _reference(docs: DataFrame, window: int) -> list[list[np.ndarray]]:
 
     often = (sample.mapInArrow(hashed, key).groupBy("w").count().filter(F.col("count") >= SAMPLE_COUNT)
              .orderBy(F.desc("count"), "w").limit(REFERENCE_WORDS).toArrow())
-    hot = np.unique(often.column("w").to_numpy().astype(np.int64).view(np.uint64))
-    if not len(hot):
+    windows = often.column("w").to_numpy().astype(np.int64).view(np.uint64)
+    if not len(windows):
         return []
+    hot = np.unique(windows)
+    count = dict(zip(windows.tolist(), often.column("count").to_pylist()))
     passage = T.StructType([T.StructField("id", T.LongType()), T.StructField("start", T.LongType()),
                             T.StructField("words", T.BinaryType())])
 
@@ -190,17 +192,22 @@ def _reference(docs: DataFrame, window: int) -> list[list[np.ndarray]]:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=passage.names)
 
-    found = sorted((r["id"], r["start"], r["words"]) for r in sample.mapInArrow(cut, passage).collect())
+    def frequency(raw: bytes) -> int:
+        return max(count.get(g, 0) for g in ngram_hashes(np.frombuffer(raw, dtype=np.uint64), window).tolist())
+
+    # the passages with the most frequent windows first: where room ends, the rarest are left out
+    found = sorted((-frequency(r["words"]), r["id"] is None, r["id"] or 0, r["start"], r["words"])
+                   for r in sample.mapInArrow(cut, passage).collect())
     shards: list[list[np.ndarray]] = [[]]
     seen: set[int] = set()
     room, total = SHARD_WORDS, 0
-    for _, _, raw in found:
+    for *_, raw in found:
         words = np.frombuffer(raw, dtype=np.uint64)
         grams = ngram_hashes(words, window).tolist()
         for a, b in _runs(np.array([g not in seen for g in grams])):
             size = b - a + window - 1
             if total + size > REFERENCE_WORDS:
-                return shards  # the windows left out meet by their anchors, like all others
+                continue  # the windows left out meet by their anchors, like all others
             if size > room and shards[-1]:
                 shards.append([])
                 room = SHARD_WORDS
@@ -268,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null, empty and shorter texts have no window and lose nothing.  Rows that repeat an id are one
     document: what is removed at a place of one is removed at that place of all.  Rows with a null id
-    have no order, so they neither lose words nor make others lose any.  Other columns are not
+    have no order, so they neither lose words nor make others lose any.  Whole texts count, however long.  Other columns are not
     read; an empty table gives an empty one.  ``kept_text`` is left out without ``with_text``.
 
     Shuffled are one number for each anchor (about a seventh of the words), the packed window hashes
@@ -378,7 +385,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_PACKED.names)
 
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-    later = (rows.join(repeated, "id", "left").select("id", "text", "keys", "wide").mapInArrow(pack, _PACKED)
+    # rows without an id take part in nothing, and are not gathered by it
+    known_rows, no_id = rows.filter("id is not null"), rows.filter("id is null")
+    later = (known_rows.join(repeated, "id", "left").select("id", "text", "keys", "wide").mapInArrow(pack, _PACKED)
              .repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(_later, _LATER))
     runs = later.groupBy("id").agg(F.collect_list(F.struct("start", "later")).alias("runs"))
     schema = T.StructType([
@@ -412,4 +421,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.join(runs, "id", "left").select("id", "text", "runs").mapInArrow(remove, schema)
+    with_runs = known_rows.join(runs, "id", "left").select("id", "text", "runs").unionByName(
+        no_id.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)))
+    return with_runs.mapInArrow(remove, schema)
