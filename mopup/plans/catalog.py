@@ -515,12 +515,11 @@ STREAM_OPTS = dict(trim_whitespace=True, missing_strategy="drop", dtype_map={"na
 def _customer_stream(spark, sf):
     """The dirty customer view over a stream of the customer table, a file or a folder of files."""
     import os
-    from .fixtures import view_sql
+    from .fixtures import view_over
     schema = spark.read.parquet(os.path.join(sf, "customer.parquet")).schema
     # a pattern that fits just this name: a stream's plain path must be a folder
     src = spark.readStream.schema(schema).parquet(os.path.join(sf, "customer.parque[t]"))
-    src.createOrReplaceTempView("customer_stream")
-    return spark.sql(view_sql("customer_dirty").replace("from customer", "from customer_stream"))
+    return view_over(spark, "customer_dirty", {"customer": src})
 
 
 def q_stream_clean(spark, sf):

@@ -4,13 +4,10 @@ Spark and DuckDB run (``{q}`` is the identifier quote of the engine)."""
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-               "events", "documents", "embeddings", "pages", "benchmark", "labels",
-               "conversations"]
-
 VIEWS = {
     "customer_dirty": """
 select c_custkey as row_id, c_name as {q}Name{q},
@@ -88,13 +85,6 @@ def view_sql(name: str, engine: str = "spark") -> str:
     return VIEWS[name].format(q=q).strip()
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
-    for t in names or BASE_TABLES:
-        path = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(path) or "://" in sf_dir:
-            spark.read.parquet(path).createOrReplaceTempView(t)
-
-
 _NEEDS = {
     "customer_dirty": ["customer"],
     "orders_dup": ["orders"],
@@ -110,10 +100,15 @@ _NEEDS = {
 }
 
 
+def view_over(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The named dirty view over the given tables; no view of the session is made or replaced."""
+    text = re.sub(r"\b(from|join)\s+(" + "|".join(tables) + r")\b", r"\1 {\2}", view_sql(name, "spark"))
+    return spark.sql(text, **tables)
+
+
 def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named dirty view over the parquet tables of ``sf_dir``."""
-    register_tables(spark, sf_dir, _NEEDS[name])
-    return spark.sql(view_sql(name, "spark"))
+    return view_over(spark, name, {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in _NEEDS[name]})
 
 
 def oracle_with(names, body: str) -> str:
