@@ -24,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
+
 #: Tool traffic nested deeper than this is left a plain message: no message may exhaust a worker's stack.
 MAX_DEPTH = 200
 
@@ -204,7 +206,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv_col: str =
     of its own; calls and results with a null
     turn come first.  Other columns, clashing names included, are not read; an empty table gives an empty one.
 
-    Plain messages, the bulk, are formatted where they are read.  Only calls and results, without
+    Plain messages, the bulk, are formatted where they are read; the parts of tool traffic are written to the shared folder.  Only calls and results, without
     the plain messages, are shuffled for the join, by conversation and identifier: a hot
     conversation with many identifiers is spread over all tasks."""
     schema = T.StructType([
@@ -231,7 +233,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv_col: str =
                & F.coalesce(F.col(text_col).rlike(r"^\s*\{"), F.lit(False))
                & F.coalesce(F.col(text_col).contains("tool_call"), F.lit(False)))
     plain = parts_of(messages.filter(~special))
-    parts = parts_of(messages.filter(special))
+    # calls and results are looked at several times; they are parsed once
+    parts = stage(parts_of(messages.filter(special)))
     key = ["conv", "call_id"]
     nth = W.partitionBy(*key).orderBy("turn", "place", "json", "errors")
     calls = _checked_references(parts.filter("kind = 'call'"))
