@@ -260,24 +260,39 @@ def _list_pairs(rows: DataFrame, head: DataFrame, percent: int, all_pairs: bool
     """The pairs (a, b) of a list's classes that are of different components and that neither sizes, positions nor
     bitmaps rule out.  ``head`` has each list's largest component, which only the others meet, and its number of rows.
 
-    A long list is dealt over parts: its rows on one side by their id, those on the other side to every part."""
+    A list of more than ``LIST_PART`` rows is dealt over parts: its rows on one side by their id, those on the other
+    side to every part.  Such lists are few, at most one for each ``LIST_PART`` rows; up to ``BROADCAST_IDS`` of them are
+    told by a broadcast, so that the others, the bulk, are shuffled as if there were none."""
     parts = F.least(F.lit(LIST_PARTS), 1 + F.floor(F.col("rows") / LIST_PART)).cast("int")
-    head = head.select("shingle", "head", parts.alias("parts"))
-    rest = rows.join(head, "shingle").filter(F.lit(all_pairs) | (F.col("component") != F.col("head.component"))).select(
-        "shingle", F.col("pos").alias("p1"), F.col("n").alias("n1"), F.col("rep").alias("a"),
-        F.col("component").alias("c1"), F.col("head.component").alias("main"), F.col("bits").alias("x"),
-        F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    other = rows.join(head.select("shingle", "parts"), "shingle").select(
-        "shingle", F.col("pos").alias("p2"), F.col("n").alias("n2"), F.col("rep").alias("b"),
-        F.col("component").alias("c2"), F.col("bits").alias("y"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    long = saved(head.filter(F.col("rows") > LIST_PART).select("shingle", "head", parts.alias("parts")))
+    n = long.count()
+    if not n:
+        return _met(rows, head, ["shingle"], percent, all_pairs).distinct()
+    long = F.broadcast(long) if n <= BROADCAST_IDS else long
+    short = _met(rows.join(long.select("shingle"), "shingle", "left_anti"), head, ["shingle"], percent, all_pairs)
+    dealt = rows.join(long.select("shingle", "parts"), "shingle")
+    mine = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    every = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return short.unionByName(_met(mine, long, ["shingle", "part"], percent, all_pairs, every)).distinct()
+
+
+def _met(rows: DataFrame, head: DataFrame, on: list[str], percent: int, all_pairs: bool,
+         others: DataFrame | None = None) -> DataFrame:
+    """The pairs of ``_list_pairs`` where rows and others agree in ``on``."""
+    rest = rows.join(head.select("shingle", "head"), "shingle").filter(
+        F.lit(all_pairs) | (F.col("component") != F.col("head.component"))).select(
+        *on, F.col("pos").alias("p1"), F.col("n").alias("n1"), F.col("rep").alias("a"),
+        F.col("component").alias("c1"), F.col("head.component").alias("main"), F.col("bits").alias("x"))
+    other = (rows if others is None else others).select(
+        *on, F.col("pos").alias("p2"), F.col("n").alias("n2"), F.col("rep").alias("b"),
+        F.col("component").alias("c2"), F.col("bits").alias("y"))
     # similar sets share a shingle that has fewer than n - overlap + 1 before it in either
     overlap = F.expr(f"((n1 + n2) * {percent} + {99 + percent}) div {100 + percent}")
     near = (F.col("p1") <= F.col("n1") - overlap) & (F.col("p2") <= F.col("n2") - overlap)
     # one condition of the join, so that it makes no other rows; the bitmaps are compared last
     apart = (F.col("c1") != F.col("c2")) & (F.coalesce(F.col("c2") == F.col("main"), F.lit(False)) | (F.col("a") < F.col("b")))
     may = F.when(apart & near, _may_link(F.col("n1"), F.col("n2"), F.col("x"), F.col("y"), percent)).otherwise(False)
-    return rest.join(other, ["shingle", "part"]).filter(may).select("a", "b").distinct()
+    return rest.join(other, on).filter(may).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
