@@ -37,7 +37,7 @@ SAMPLE_MOST = 500_000
 #: of the order, and into how many parts.
 HOT, SALTS = 4096, 64
 #: Rows of a list that one task pairs with the others of it; a longer list's pairs are dealt over more tasks.
-LIST_PART, LIST_PARTS = 1024, 256
+LIST_PART, LIST_PARTS = 8192, 256
 #: Classes that are broadcast at most: those with at least this fraction of all rows.
 MANY_CLASSES = 10_000
 #: Ids that are broadcast at most (8 bytes each); beyond that the texts are joined by a shuffle.
