@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the largest component of a list is only met by the others
     counts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
     head = counts.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("head"), F.sum("k").alias("rows"))
-    second = _list_pairs(rows, head, percent)
+    second = _met(rows, head, ["shingle"], percent, False).distinct()
     second = saved(second.join(first, ["a", "b"], "left_anti"))
     more = _verified(second, docs, words, percent)
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
