@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (rule, verdict): a rule is a host, then a path prefix from its first slash.
-RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"),
+RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
          ("com/fr/", "allow"), ("com/de/", "block"))
 #: Rows that the model is trained on at most (of each verdict half as many).
 MAX_TRAINING_ROWS = 4000
