@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components, saved
+from .tallies import tally
 from .words import binaries, mix, nulls_to_empty, shingle_set
 
-#: Documents whose shingles are counted to tell frequent shingles, which go last in the order.
-#: Any order gives the same result; this one keeps the lists short.
-SAMPLE_DOCS = 16000
-SAMPLE_MOST = 500_000
-#: Expected number of documents from which a shingle's list is split, lowered to the limit of a level
+#: Buckets that shingles are counted in, by document, and the least and greatest power of two of them.  Frequent shingles
+#: go last in the order.  Any order gives the same result; this one keeps the lists short.
+BUCKETS, LEAST_BITS, MOST_BITS = 32, 16, 22
+#: Fraction of all documents from which a shingle is frequent.
+FREQUENT = 3 / 16000
+#: Number of documents from which a shingle's list is split, lowered to the limit of a level
 #: of the order, and into how many parts.
 HOT, SALTS = 4096, 64
 #: Rows of a list that one task pairs with the others of it; a longer list's pairs are dealt over more tasks.
@@ -43,52 +45,45 @@ MANY_CLASSES = 10_000
 #: Ids that are broadcast at most (8 bytes each); beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-Frequent = tuple[np.ndarray, np.ndarray, np.ndarray]
+Levels = np.ndarray
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def ordered(shingles: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ordered(shingles: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The shingles, rare ones first, which of them have a split list, and which are not frequent."""
-    known, level, hot = frequent
-    if not len(known) or not len(shingles):
-        return shingles, np.zeros(len(shingles), dtype=bool), np.ones(len(shingles), dtype=bool)
-    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-    hit = known[at] == shingles
-    levels = np.where(hit, level[at], 0)
-    order = np.lexsort((shingles, levels))
-    return shingles[order], (hit & hot[at])[order], ~hit[order]
-
-
-def _frequent(docs: DataFrame, words: int) -> Frequent:
-    """Shingles found in at least three documents of a sample of about ``SAMPLE_DOCS``, with their
-    order and whether their list is to be split; at most ``SAMPLE_MOST``."""
+    mine = levels[_bucket(shingles, len(levels))]
+    order = np.lexsort((shingles, mine))
+    mine = mine[order]
+    # split lists are whole levels, so that they are the end of a prefix and positions keep its order
+    return shingles[order], mine >= _level(HOT), mine == 0
+
+
+def _bucket(shingles: np.ndarray, buckets: int) -> np.ndarray:
+    return (shingles & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _frequent(docs: DataFrame, words: int) -> Levels:
+    """The level of each bucket of shingles, 0 for those that are not frequent, from counts over all documents.
+
+    A shingle's bucket counts the documents that have it or another one of the bucket.  Frequent are buckets that exceed
+    the common one, the median, by ``FREQUENT`` of the documents, and by three."""
     n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    schema = T.StructType([T.StructField("shingle", T.LongType())])
+    buckets = 1 << min(MOST_BITS, max(LEAST_BITS, (BUCKETS * n).bit_length()))
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in binaries(batch.column(1)):
-                found = shingle_set(nulls_to_empty(x.as_py()), words)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
-
-    counts = sample.select("id", "text").mapInArrow(shingles, schema).groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("n")).filter("n >= 3").orderBy(F.desc("n"), "shingle").limit(SAMPLE_MOST)
-    rows = counts.toArrow()
-    known = rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
-    count = rows.column("n").to_numpy()
-    order = np.argsort(known)
-    level = _level(count)
-    # split lists are whole levels, so that they are the end of a prefix and positions keep its order
-    return known[order], level[order], (level >= _level(HOT * share))[order]
+    def numbers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for x in binaries(batch.column(1)):
+            yield _bucket(shingle_set(nulls_to_empty(x.as_py()), words), buckets)
+
+    levels = tally(docs.select("id", "text"), buckets, numbers, _level)
+    common = 2 ** (float(np.median(levels)) / 2)  # the next level after the median's starts here
+    return np.where(levels >= _level(common + max(3, FREQUENT * n)), levels, 0).astype(np.int8)
 
 
 def _level(count: np.ndarray | float) -> np.ndarray:
-    return 1 + np.floor(2 * np.log2(np.maximum(count, 1))).astype(np.int32)
+    return (1 + np.floor(2 * np.log2(np.maximum(count, 1)))).astype(np.int8)
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
@@ -125,7 +120,7 @@ _SETS = T.StructType([
     T.StructField("hot", T.ArrayType(T.LongType()))])
 
 
-def _sets(docs: DataFrame, words: int, percent: int, frequent: Frequent) -> DataFrame:
+def _sets(docs: DataFrame, words: int, percent: int, frequent: Levels) -> DataFrame:
     """(id, set size, group, digest and bitmap of the set, rank as a leader, prefix shingles with
     whole and with split lists).  The rank counts infrequent shingles per thousand of the prefix."""
     spread = docs.sparkSession.sparkContext.broadcast(frequent)
