@@ -33,8 +33,8 @@ from .words import binaries, mix, nulls_to_empty, shingle_set
 #: Buckets that shingles are counted in, by document, and the least and greatest power of two of them.  Frequent shingles
 #: go last in the order.  Any order gives the same result; this one keeps the lists short.
 BUCKETS, LEAST_BITS, MOST_BITS = 32, 16, 22
-#: Fraction of all documents from which a shingle is frequent.
-FREQUENT = 3 / 16000
+#: A shingle is frequent from three in this many documents.  No sample is taken: all documents are counted.
+SAMPLE_DOCS = 16000
 #: Number of documents from which a shingle's list is split, lowered to the limit of a level
 #: of the order, and into how many parts.
 HOT, SALTS = 4096, 64
@@ -69,7 +69,7 @@ def _frequent(docs: DataFrame, words: int) -> Levels:
     """The level of each bucket of shingles, 0 for those that are not frequent, from counts over all documents.
 
     A shingle's bucket counts the documents that have it or another one of the bucket.  Frequent are buckets that exceed
-    the common one, the median, by ``FREQUENT`` of the documents, and by three."""
+    the common one, the median, by three in ``SAMPLE_DOCS`` documents, and by three."""
     n = docs.count()
     buckets = 1 << min(MOST_BITS, max(LEAST_BITS, (BUCKETS * n).bit_length()))
 
@@ -79,7 +79,7 @@ def _frequent(docs: DataFrame, words: int) -> Levels:
 
     levels = tally(docs.select("id", "text"), buckets, numbers, _level)
     common = 2 ** (float(np.median(levels)) / 2)  # the next level after the median's starts here
-    return np.where(levels >= _level(common + max(3, FREQUENT * n)), levels, 0).astype(np.int8)
+    return np.where(levels >= _level(common + max(3, 3 * n / SAMPLE_DOCS)), levels, 0).astype(np.int8)
 
 
 def _level(count: np.ndarray | float) -> np.ndarray:
