@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -219,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     only toxic or not, toxic rows are split in three equal parts by the number of their ``markers``.
 
     The steps of ``fit`` over tables: features are counted, telling ones picked, and each step's gradient summed by tasks
-    over all rows.  The driver holds counts by feature, weights and thresholds, never rows.  Rows equal in grade and picked
+    over all rows, one for about ``PART_BYTES`` whatever the number of shuffle partitions.  The driver holds counts by feature, weights and thresholds, never rows.  Rows equal in grade and picked
     features are one, with their number.  Up to ``BROADCAST_LABELS`` labels are broadcast, more are joined by a shuffle."""
     mark = grade_col or toxic_col
     known = labels.select(F.col(id_col).alias("id"), F.col(mark).cast("int").alias("mark")).dropna()
@@ -257,23 +258,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of_rank = np.bincount(rank, weights=[r["n"] for r in found])
     place = F.element_at(F.create_map(*[F.lit(int(v)) for i, g in enumerate(present) for v in (g, i)]), grade)
     ranked = picked.select(place.alias("rank"), "n", "picked").groupBy("rank", "picked").agg(F.sum("n").alias("n"))
-    parts = 1 + sum(r["bytes"] for r in found) // PART_BYTES
-    # equal rows being one, this order is the same in each run, and so are the sums
-    chunks = (ranked.repartition(int(parts), F.xxhash64("rank", "picked")).sortWithinPartitions("rank", "picked")
-              .mapInArrow(_chunked, _CHUNK).persist())
+    parts = int(1 + sum(r["bytes"] for r in found) // PART_BYTES)
+    # many small slices make even parts.  A row tells its slice, and equal rows are one: this order is the same in each
+    # run, and so are the sums
+    slices = 1 if parts == 1 else 16 * parts
+    dealt = ranked.withColumn("part", F.pmod(F.xxhash64("rank", "picked"), F.lit(slices)))
+    chunks = (dealt.repartition(parts, "part").sortWithinPartitions("rank", "picked").select("rank", "picked", "n")
+              .mapInArrow(_chunked, _CHUNK))
+    held = chunks.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        w, t = _climb(lambda w, t: _gradient(chunks, w, t), of_rank, len(used), l1, steps)
+        # however many partitions the session makes, only those of parts get tasks
+        full = held.mapPartitionsWithIndex(lambda i, rows: [i] * any(True for _ in rows)).collect()
+        w, t = _climb(lambda w, t: _gradient(held, full, w, t), of_rank, len(used), l1, steps)
         thresholds = _thresholds(present, t)
         return _model(used, w, thresholds, best_cut_of(_scores(chunks, w, float(thresholds[0]))))
     finally:
-        chunks.unpersist()
+        held.unpersist()
 
 
 _FEATURES = T.StructType([T.StructField("mark", T.IntegerType()), T.StructField("features", T.BinaryType())])
 _PICKED = T.StructType([T.StructField("mark", T.IntegerType()), T.StructField("hits", T.IntegerType()),
                         T.StructField("picked", T.BinaryType())])
 _CHUNK = T.StructType([T.StructField(c, T.BinaryType()) for c in ("rank", "n", "length", "index")])
-_SUMS = T.StructType([T.StructField("sums", T.BinaryType())])
 _SCORES = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n", T.LongType()),
                         T.StructField("hits", T.LongType())])
 
@@ -318,30 +324,29 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([a if isinstance(a, bytes) else a.tobytes()], pa.binary()) for a in arrays], names=_CHUNK.names)
 
 
-def _rows_of(batch: pa.RecordBatch) -> Iterator[_Rows]:
-    for rank, n, length, index in zip(*(c for c in batch.columns)):
-        rank = np.frombuffer(rank.as_buffer(), dtype=np.int32)
-        yield _Rows(rank, np.frombuffer(n.as_buffer(), dtype=np.int64),
-                    np.repeat(np.arange(len(rank)), np.frombuffer(length.as_buffer(), dtype=np.int32)),
-                    np.frombuffer(index.as_buffer(), dtype=np.int32))
+def _rows_of(rank, n, length, index) -> _Rows:
+    rank = np.frombuffer(rank, dtype=np.int32)
+    return _Rows(rank, np.frombuffer(n, dtype=np.int64),
+                 np.repeat(np.arange(len(rank)), np.frombuffer(length, dtype=np.int32)), np.frombuffer(index, dtype=np.int32))
 
 
-def _gradient(chunks: DataFrame, w: np.ndarray, t: np.ndarray) -> np.ndarray:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gradient(held: RDD, full: list[int], w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The sum over the chunks in the partitions ``full``.  A job of the RDD, as it is planned hundreds of times."""
+    def add(chunks: Iterator[tuple]) -> list[np.ndarray]:
         total = np.zeros(len(w) + len(t))
-        for batch in batches:
-            for some in _rows_of(batch):
-                total += some.gradient(w, t)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=_SUMS.names)
+        for chunk in chunks:
+            total += _rows_of(*chunk).gradient(w, t)
+        return [total]
 
-    # a row a task, in the order of the tasks
-    return sum(np.frombuffer(bytes(r["sums"])) for r in chunks.mapInArrow(add, _SUMS).collect())
+    # an array a partition, in their order
+    return sum(held.context.runJob(held, add, full))
 
 
 def _scores(chunks: DataFrame, w: np.ndarray, t: float) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _rows_of(batch):
+            for chunk in zip(*batch.columns):
+                some = _rows_of(*(x.as_buffer() for x in chunk))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_sigmoid(some.linear(w) - t)), pa.array(some.n),
                      pa.array(np.where(some.rank > 0, some.n, 0))], names=_SCORES.names)

@@ -55,6 +55,34 @@ def test_toxicity_model_is_fitted_to_every_labelled_row(spark):
     assert toxicity.train(docs, labels.filter("toxic = 1")).weights == {}
 
 
+def test_steps_run_a_task_for_each_part_only(spark, monkeypatch):
+    """However many partitions a repartition makes (here 64 at least), a step over few rows is one task."""
+    rng = random.Random(9)
+    toxic = [i % 3 == 0 for i in range(300)]
+    texts = [" ".join(rng.choices([f"word{i}" for i in range(40)], k=5) + ["vile"] * t) for t in toxic]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    want = toxicity.train(docs, labels, steps=3)
+    frame, climb, sc = type(docs), toxicity._climb, spark.sparkContext
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: deal(self, max(n, 64) if by and isinstance(n, int) else n, *by))
+
+    def watched(gradient, *rest):
+        def step(w, t):
+            sc.setJobGroup("toxicity-steps", "")
+            try:
+                return gradient(w, t)
+            finally:
+                sc.setLocalProperty("spark.jobGroup.id", None)
+        return climb(step, *rest)
+
+    monkeypatch.setattr(toxicity, "_climb", watched)
+    assert toxicity.train(docs, labels, steps=3) == want
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("toxicity-steps") for s in told.getJobInfo(j).stageIds]
+    assert sum(s.numCompletedTasks for s in stages if s) == 3
+
+
 def test_grades_that_labels_carry(spark):
     rng = random.Random(7)
     grade = [rng.choice([0, 0, 1, 3]) for _ in range(300)]
