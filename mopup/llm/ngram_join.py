@@ -87,9 +87,10 @@ def _level(count: np.ndarray | float) -> np.ndarray:
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """A bitmap, as 64-bit numbers, in which each shingle flips one of 2n to 4n bits.  Two sets that
-    differ in d shingles have bitmaps that differ in at most d bits."""
-    bits = max(256, 1 << (2 * max(len(shingles), 1) - 1).bit_length())
+    """A bitmap, as 64-bit numbers, in which each shingle flips one of n to 2n bits.  Two sets that
+    differ in d shingles have bitmaps that differ in at most d bits; sets with nothing in common differ
+    in about half of n bits, where links differ in less than a quarter."""
+    bits = max(256, 1 << (max(len(shingles), 1) - 1).bit_length())
     flips = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -273,12 +274,15 @@ def _list_pairs(rows: DataFrame, head: DataFrame, percent: int, all_pairs: bool
 
 def _met(rows: DataFrame, head: DataFrame, on: list[str], percent: int, all_pairs: bool,
          others: DataFrame | None = None) -> DataFrame:
-    """The pairs of ``_list_pairs`` where rows and others agree in ``on``."""
+    """The pairs of ``_list_pairs`` where rows and others agree in ``on``.  Without others, both sides read one shuffle of
+    the rows with their bitmaps: no condition on one side may be of a kind that Spark moves below it."""
+    if others is None:
+        rows = others = rows.repartition(*on)
     rest = rows.join(head.select("shingle", "head"), "shingle").filter(
-        F.lit(all_pairs) | (F.col("component") != F.col("head.component"))).select(
+        F.lit(all_pairs) | ~F.col("component").eqNullSafe(F.col("head.component"))).select(
         *on, F.col("pos").alias("p1"), F.col("n").alias("n1"), F.col("rep").alias("a"),
         F.col("component").alias("c1"), F.col("head.component").alias("main"), F.col("bits").alias("x"))
-    other = (rows if others is None else others).select(
+    other = others.select(
         *on, F.col("pos").alias("p2"), F.col("n").alias("n2"), F.col("rep").alias("b"),
         F.col("component").alias("c2"), F.col("bits").alias("y"))
     # similar sets share a shingle that has fewer than n - overlap + 1 before it in either
@@ -361,10 +365,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a group of several components is mixed by itself, whatever it shares
     mixed_lists = (members.join(spread, "g").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
                    .filter("low <> high").select("shingle"))
-    lists = saved(members.distinct().join(mixed_lists, "shingle").join(named.join(bits, ["rep", "n"]), "g"))
+    lists = members.distinct().join(mixed_lists, "shingle").join(named.join(bits, ["rep", "n"]), "g")
     alone = spread.filter("low <> high").select("g").join(named, "g").join(bits, ["rep", "n"]).select(
         F.col("g").alias("shingle"), F.lit(0).alias("pos"), "n", "rep", "component", "bits")
-    rows = lists.select("shingle", "pos", "n", "rep", "component", "bits").unionByName(alone)
+    rows = saved(lists.select("shingle", "pos", "n", "rep", "component", "bits").unionByName(alone))
     # the largest component of a list is only met by the others
     counts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
     head = counts.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("head"), F.sum("k").alias("rows"))

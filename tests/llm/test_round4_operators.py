@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mopup.llm import ngram_join, tallies, toxicity, url_filter
 
@@ -120,3 +121,23 @@ def test_tally_counts_every_row(spark):
     rows = spark.createDataFrame([(int(v),) for v in values], "v long").repartition(7)
     got = tallies.tally(rows, 200_000, lambda batch: iter([batch.column(0).to_numpy()]))
     assert (got == np.bincount(values, minlength=200_000)).all()
+
+
+def test_a_list_join_reads_one_shuffle_of_the_bitmaps(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 700).astype(np.uint64)) for _ in range(4)]
+    sets.append(np.concatenate([sets[0][:-5], sets[1][:3]]))  # like the first one
+    assert all(len(s) <= 64 * len(ngram_join.parity_bits(s)) <= 2 * len(s) for s in sets[:4])
+    rows = spark.createDataFrame([(7, 0, len(s), i, i, ngram_join.parity_bits(s).tolist()) for i, s in enumerate(sets)],
+                                 "shingle long, pos int, n long, rep long, component long, bits array<long>")
+    rows = ngram_join.saved(rows)
+    head = rows.groupBy("shingle").agg(F.max(F.struct(F.lit(1).alias("k"), "component")).alias("head"), F.count("rep").alias("rows"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngram_join._met(rows, head, ["shingle"], 80, False)
+        assert [tuple(r) for r in found.collect()] == [(0, 4)]
+        final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert final.count("ReusedExchange") == 1
