@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
+from .components import saved
 from .tallies import tally
 from .words import binaries, lower_ascii, nulls_to_empty, split_words
 
@@ -263,8 +264,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # run, and so are the sums
     slices = 1 if parts == 1 else 16 * parts
     dealt = ranked.withColumn("part", F.pmod(F.xxhash64("rank", "picked"), F.lit(slices)))
-    chunks = (dealt.repartition(parts, "part").sortWithinPartitions("rank", "picked").select("rank", "picked", "n")
-              .mapInArrow(_chunked, _CHUNK))
+    # saved, so that no task runs this and the next Python step at once: each has workers of its own, whose memory adds up
+    chunks = saved(dealt.repartition(parts, "part").sortWithinPartitions("rank", "picked").select("rank", "picked", "n")
+                   .mapInArrow(_chunked, _CHUNK))
     held = chunks.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # however many partitions the session makes, only those of parts get tasks
