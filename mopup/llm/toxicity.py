@@ -33,7 +33,8 @@ BROADCAST_LABELS = 1_000_000
 PART_BYTES = 1 << 24
 GRADES = 4  # 0 clean, 1 to 3 toxic
 _EDGE = b".,;:!?\"'()[]{}<>-_*"
-_CACHE = 200_000
+#: Words whose features are kept.  Frequent words are among the first that a task meets; others are worked out again.
+_CACHE = 1 << 15
 
 
 def _hash(feature: bytes) -> int:
@@ -48,14 +49,14 @@ def word_features(word: bytes) -> tuple[int, ...]:
 
 
 def text_features(data: bytes, cache: dict[bytes, tuple[int, ...]] | None = None) -> np.ndarray:
-    """The features of a text, sorted.  ``cache`` has those of words met before."""
+    """The features of a text, sorted.  ``cache`` has those of the first words met."""
     out: set[int] = set()
     cache = {} if cache is None else cache
     for w in set(split_words(lower_ascii(data))):
         if (hit := cache.get(w)) is None:
-            if len(cache) >= _CACHE:
-                cache.clear()
-            hit = cache[w] = word_features(w)
+            hit = word_features(w)
+            if len(cache) < _CACHE:
+                cache[w] = hit
         out.update(hit)
     return np.sort(np.fromiter(out, dtype=np.int32, count=len(out)))
 
@@ -400,7 +401,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
 
 class _Scorer:
     """Whether any feature of a text speaks for toxicity, and its P(grade >= k): (False, []) without
-    words or model.  Words met before are looked up."""
+    words or model.  The first words met are looked up when they come again."""
 
     def __init__(self, model: OrdinalModel):
         self.model, self.cache = model, {}
@@ -413,9 +414,9 @@ class _Scorer:
         features: set[int] = set()
         for w in words:
             if (hit := cache.get(w)) is None:
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                hit = cache[w] = tuple(f for f in word_features(w) if f in weights)
+                hit = tuple(f for f in word_features(w) if f in weights)
+                if len(cache) < _CACHE:
+                    cache[w] = hit
             if hit:
                 features.update(hit)
         found = [weights[f] for f in sorted(features)]
